@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +57,6 @@ def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> D
 
     A host's rules are read once per batch of its urls.
     """
-    import pandas as pd
-
     def judge(urls: pd.Series, texts: pd.Series) -> pd.Series:
         from urllib.robotparser import RobotFileParser
 
