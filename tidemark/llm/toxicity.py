@@ -31,10 +31,21 @@ class FtrlSettings:
     seed: int = 5
 
 
+#: Bytes of a word that make its stem.
+STEM_BYTES = 5
+
+
 def features(text: str | None, hashes: WordHashes, bits: int) -> np.ndarray:
-    """Buckets of words, neighbouring pairs and pairs with one word between, in order, repeats kept."""
-    words = hashes.of(text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()) if text else np.empty(0, np.uint64)
-    parts = [fold_hashes([words])] if len(words) else []
+    """Buckets of words, their stems, neighbouring pairs and pairs with one word between, repeats kept.
+
+    A stem, a word's first bytes, lets rare forms of a word share what is learnt.
+    """
+    split = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if text else []
+    words = hashes.of(split)
+    parts = []
+    if len(words):
+        stems = hashes.of([w[:STEM_BYTES] for w in split])
+        parts += [fold_hashes([words]), fold_hashes([stems, np.full(len(stems), STEM_BYTES, np.uint64)])]
     if len(words) > 1:
         parts.append(fold_hashes([words[:-1], words[1:]]))
     if len(words) > 2:
