@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
     """Cut a batch so that each part holds about ``most_bytes`` of ``column``, one row at least."""
     if batch.num_rows == 0:
         return
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     part = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for low, high in zip(cuts, cuts[1:], strict=False):
