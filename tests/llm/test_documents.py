@@ -1,6 +1,5 @@
 """Operators 1, 3, 4, 6, 7 and 8 on small tables."""
 
-import base64
 import hashlib
 import re
 import zlib
@@ -10,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests_support import dedup_oracle, tiktoken_encoding_of
 from tidemark.llm.bpe import ByteBpe, bpe_decode, bpe_encode, byte_characters
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
@@ -140,12 +140,7 @@ def test_weak_parts_need_their_complements(spark):
 
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
-    import public_tokenizers
-    import tiktoken
-
-    lines = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken_encoding_of()
 
 
 TEXTS = ["", "Hello  world\n\n  it's\t1234 <|endoftext|>", "naïve Ünïcödé 漢字 🙂🙃 e\u0301", "\u00a0x\u2028y\r\n", "a" * 5000, " \n " * 50, "\x00\x7f\x80"]
@@ -193,32 +188,6 @@ def test_byte_characters_are_distinct():
 # 7 line dedup
 
 
-def dedup_oracle(rows, least=50):
-    """Delete every later place of a run of whole lines of ``least`` words or more."""
-    docs = []
-    for doc, text in sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
-        lines = [(i, tuple(x.split())) for i, x in enumerate(text.encode().split(b"\n"))]
-        docs.append((doc, text, [(i, w) for i, w in lines if w]))
-    first, gone = {}, {}
-    runs = []
-    for n, (_, _, lines) in enumerate(docs):
-        for i in range(len(lines)):
-            count = 0
-            for j in range(i, len(lines)):
-                count += len(lines[j][1])
-                if count >= least:
-                    runs.append((tuple(w for _, w in lines[i : j + 1]), n, lines[i][0], lines[j][0]))
-    for key, n, a, b in runs:
-        first[key] = min(first.get(key, (n, a, b)), (n, a, b))
-    for key, n, a, b in runs:
-        if first[key][0] != n or a > first[key][2]:
-            gone.setdefault(n, set()).update(range(a, b + 1))
-    return {
-        (doc, text): ("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(n, ())), sorted(gone.get(n, ())))
-        for n, (doc, text, _) in enumerate(docs)
-    }
-
-
 def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     line = lambda k: " ".join(f"w{rng.integers(10**6)}" for _ in range(k))

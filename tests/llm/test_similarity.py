@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests_support import jaccard_oracle, roots
 from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import embedding_near_duplicates, quantise
@@ -13,20 +14,6 @@ from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.tries import link_groups
 
 
-def roots(links, nodes):
-    up = {n: n for n in nodes}
-
-    def top(n):
-        while up[n] != n:
-            n = up[n]
-        return n
-
-    for a, b in links:
-        x, y = sorted((top(a), top(b)))
-        up[y] = x
-    return {n: top(n) for n in nodes}
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=14), st.integers(0, 3))
 def test_trie_links_equal_brute_force(sets, unique):
@@ -53,30 +40,6 @@ def test_components_of_paths_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
-def shingles(text, k=5):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
-
-
-def jaccard_oracle(rows):
-    sets = [shingles(t) for _, t in rows]
-    links = [
-        (i, j)
-        for i in range(len(rows))
-        for j in range(i)
-        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
-    ]
-    top = roots(links, range(len(rows)))
-    least = {}
-    for i, (doc, _) in enumerate(rows):
-        if doc is not None:
-            least[top[i]] = min(doc, least.get(top[i], doc))
-    return sorted(
-        ((doc, len(sets[i]), least.get(top[i]) if links and sets[i] else doc) for i, (doc, _) in enumerate(rows)),
-        key=lambda r: tuple((x is None, x or 0) for x in r),
-    )
-
-
 def near_copies(rng, count, words=60, edits=3):
     base = [f"w{rng.integers(1000)}" for _ in range(words)]
     for _ in range(count):
