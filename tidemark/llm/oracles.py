@@ -70,6 +70,67 @@ LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id
 LEFT JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) r ON r.id = vec_id
 """
 
+
+
+def _op3() -> str:
+    levels = []
+    for d in range(6):
+        seg = f"segs[{d + 1}]"
+        levels.append(f"""c{d} AS (
+  SELECT host, template, {seg} AS seg, sum(n) AS of_seg FROM p{d} WHERE len(segs) > {d} GROUP BY ALL
+), f{d} AS (
+  SELECT *, count(*) OVER (PARTITION BY host, template) AS kinds, sum(of_seg) OVER (PARTITION BY host, template) AS of_all FROM c{d}
+), p{d + 1} AS (
+  SELECT p.host, p.path, p.segs, p.n, p.b, p.l, CASE WHEN len(segs) > {d} THEN p.template ELSE p.parent END AS parent,
+         CASE WHEN len(segs) > {d} THEN p.template || '/' || CASE WHEN f.kinds > 12 AND f.of_seg < 0.05::DOUBLE * f.of_all THEN '*' ELSE {seg} END
+              ELSE p.template END AS template
+  FROM p{d} p LEFT JOIN f{d} f ON f.host = p.host AND f.template = p.template AND f.seg = {seg}
+)""")
+    return f"""
+WITH parts AS (
+  SELECT page_id, {_LOWER.format(text="coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts
+), known AS (
+  SELECT *, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM ruled
+), p0 AS (
+  SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(*) AS n,
+         count(*) FILTER (ruled = 'block') AS b, count(ruled) AS l, '' AS parent, '' AS template
+  FROM known GROUP BY host, path
+), {", ".join(levels)}, paths AS (
+  SELECT host, path, b, l, CASE WHEN len(segs) > 6 THEN template ELSE parent END AS parent,
+         CASE WHEN len(segs) > 6 THEN template || '/**' ELSE template END AS template
+  FROM p6
+), hosts AS (
+  SELECT host, (sum(b) + 4.0::DOUBLE * (SELECT sum(b) / sum(l) FROM paths)) / (sum(l) + 4.0::DOUBLE) AS host_rate FROM paths GROUP BY host
+), branches AS (
+  SELECT host, parent, template, sum(b) AS b, sum(l) AS l FROM paths GROUP BY ALL
+), pooled AS (
+  SELECT *, sum(b) OVER w / nullif(sum(l) OVER w, 0) AS pool FROM branches WINDOW w AS (PARTITION BY host, parent)
+), named AS (
+  SELECT *, CASE WHEN l > 0 AND abs(b / nullif(l, 0) - pool) <= 1.96::DOUBLE * sqrt(pool * (1 - pool) / nullif(l, 0))
+                 THEN parent || '/~' ELSE template END AS branch
+  FROM pooled
+), merged AS (
+  SELECT host, branch, sum(b) AS b, sum(l) AS l FROM named GROUP BY ALL
+)
+SELECT page_id, k.host, k.path, k.rule,
+       coalesce(k.ruled, CASE WHEN m.l > 0 AND (m.b + 4.0::DOUBLE * h.host_rate) / (m.l + 4.0::DOUBLE) >= 0.75 THEN 'block' ELSE 'allow' END) AS verdict
+FROM known k JOIN paths p ON p.host = k.host AND p.path = k.path
+JOIN named ON named.host = p.host AND named.template = p.template JOIN merged m ON m.host = k.host AND m.branch = named.branch JOIN hosts h ON h.host = k.host
+"""
+
+
+OP3 = _op3()
+
 OP5 = """
 WITH usable AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -84,6 +145,33 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 20
 """
 
+OP7 = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
+), split AS (
+  SELECT doc_id, pos, {_WORDS.format(text='line')} AS w FROM lines
+), counted AS (
+  SELECT doc_id, pos, array_to_string(w, ' ') AS norm, len(w) AS k, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM split WHERE len(w) > 0
+), enough AS (
+  SELECT a.doc_id, a.pos AS f, b.pos AS t FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.k >= 50
+), windows AS (
+  SELECT doc_id, f, min(t) AS t FROM enough GROUP BY doc_id, f UNION SELECT doc_id, max(f), t FROM enough GROUP BY doc_id, t
+), contents AS (
+  SELECT w.doc_id, w.f, w.t, string_agg(c.norm, chr(10) ORDER BY c.pos) AS content
+  FROM windows w JOIN counted c ON c.doc_id = w.doc_id AND c.pos BETWEEN w.f AND w.t GROUP BY ALL
+), earliest AS (
+  SELECT content, min(struct_pack(d := doc_id, f := f, t := t)) AS e FROM contents GROUP BY content
+), gone AS (
+  SELECT DISTINCT c.doc_id, unnest(range(c.f, c.t + 1)) AS pos FROM contents c JOIN earliest USING (content) WHERE c.doc_id <> e.d OR c.f > e.t
+), cut AS (
+  SELECT l.doc_id, count(g.pos) AS n_removed, string_agg(g.pos::VARCHAR, ',' ORDER BY g.pos) AS removed,
+         string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
 OP9 = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {_WORDS.format(text=_LOWER.format(text="coalesce(text, '')"))} AS w FROM documents
@@ -122,7 +210,9 @@ FROM bits
 ORACLES = {
     "op1_mixing": OP1,
     "op2_embedding_near_dedup": OP2,
+    "op3_url_filter": OP3,
     "op5_nearest_neighbours": OP5,
+    "op7_line_dedup": OP7,
     "op9_ngram_jaccard_join": OP9,
     "op10_warc": OP10,
 }
