@@ -177,8 +177,10 @@ def embedding_near_duplicates(
     weighed = weighed.select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")
     )
-    keyed = rows.select("vec_id", "node").join(weighed, "node", "left")
-    least = keyed.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least"))
+    # Checkpoints take away the partitioning of what is joined, so that a vector or component
+    # of many rows can be split.
+    keyed = rows.select("vec_id", "node").join(reliable_checkpoint(weighed), "node", "left")
+    least = reliable_checkpoint(keyed.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least")))
     result = keyed.join(least, "root", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id")
     )
