@@ -107,7 +107,9 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marks = reliable_checkpoint(marks)
     place = F.struct("doc", "first", "last")
     earliest = marks.groupBy("mark", "context").agg(F.min(place).alias("at"), F.count("*").alias("places")).where("places > 1")
-    later = marks.join(earliest.drop("places"), ["mark", "context"]).where("doc <> at.doc OR first > at.last")
+    # The checkpoint takes the sum's partitioning away, so that a passage of many rows can be split.
+    earliest = reliable_checkpoint(earliest.drop("places"))
+    later = marks.join(earliest, ["mark", "context"]).where("doc <> at.doc OR first > at.last")
     runs = later.groupBy(F.col("doc.r").alias("_tm_row")).agg(F.collect_set(F.sequence("first", "last")).alias("_tm_runs"))
     runs = runs.select("_tm_row", F.array_sort(F.array_distinct(F.flatten("_tm_runs"))).alias("_tm_gone"))
     joined = named.join(runs, "_tm_row", "left")
