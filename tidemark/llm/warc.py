@@ -213,9 +213,11 @@ def write_archives(
     known = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     named = known.withColumn("_sha", F.sha2(F.coalesce("html", F.lit("")), 256))
     owner = named.groupBy("_sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1 AND owner IS NOT NULL")
+    # The checkpoint takes the sum's partitioning away, so that a payload of many pages can be split.
+    owner = reliable_checkpoint(owner.drop("copies"))
     small = F.coalesce(F.octet_length("html"), F.lit(0)) < least_bytes
     refers = F.when(~small & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    joined = named.join(owner.drop("copies"), "_sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    joined = named.join(owner, "_sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
     return joined.mapInArrow(_write(archive_bytes), "path string, content binary")
 
 
