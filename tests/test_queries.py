@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from conftest import SF
+from tidemark.plans import pages  # noqa: F401
 from tidemark.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
