@@ -110,7 +110,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, settings:
     marked = marked.where("label = most").select("doc_id", "label", F.xxhash64("doc_id", F.lit(settings.seed)).alias("key"))
     chosen = marked.orderBy("key", "doc_id").limit(settings.max_documents)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = chosen.join(texts, "doc_id").select("key", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # The limit bounds what is broadcast, so no text but the sample's is shuffled.
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("key", F.coalesce("text", F.lit("")).alias("text"), "label")
     sample = sample.orderBy("key", "text").limit(settings.max_documents)
     learnt = sample.repartition(1).mapInArrow(_train(settings), "bucket long, weight double")
     return {r["bucket"]: r["weight"] for r in learnt.collect()}
