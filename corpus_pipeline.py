@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and a check that they decode to its text."""
     path, pattern = vocabulary()
     encoded = bpe_encode(docs, path, pattern)
-    decoded = bpe_decode(encoded, path, pattern)
+    decoded = bpe_decode(encoded, path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -26,8 +27,23 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id of a vocabulary file: its characters through the reversed byte table."""
+    to_byte = {c: b for b, c in enumerate(byte_characters())}
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    table = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for token, i in vocabulary.items():
+        table[i] = bytes(to_byte[c] for c in token)
+    return table
+
+
+def decode_ids(table: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
 class ByteBpe:
-    """Encoder and decoder around a byte-level vocabulary file of the tokenizers library.
+    """Encoder around a byte-level vocabulary file of the tokenizers library.
 
     The pattern splits a text first; each piece is encoded by the library once and kept
     in a table of ``limit`` pieces at most, since most pieces repeat.
@@ -42,12 +58,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
-        to_byte = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = self.model.get_vocab(with_added_tokens=False)
-        self.bytes: list[bytes] = [b""] * (max(vocabulary.values(), default=-1) + 1)
-        for token, i in vocabulary.items():
-            self.bytes[i] = bytes(to_byte[c] for c in token)
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.lengths = np.array([len(b) for b in byte_table(path)], np.int64)
 
     def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of the pieces that the table lacks; they enter it while there is room."""
@@ -63,9 +74,6 @@ class ByteBpe:
         table = self._learn([p for pieces in split for p in pieces])
         return [np.array([i for p in pieces for i in table[p]], np.int32) for pieces in split]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
-
     def offsets(self, ids: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Code-point start and end of each token; tokens that share a split character overlap in it."""
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -92,16 +100,16 @@ def _encoder(path: str, pattern: str, offsets: bool):
     return run
 
 
-def _decoder(path: str, pattern: str):
+def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        table = byte_table(path)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(1)
             values, cuts = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())))
             rows = [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            raw = [bpe.decode(r) for r in rows]
+            raw = [decode_ids(table, r) for r in rows]
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -136,7 +144,7 @@ def bpe_encode(
     return known.mapInArrow(_encoder(path, pattern, offsets), schema)
 
 
-def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded binary) of token ids.
 
     Each id's characters go back through the reversed byte table, and bytes are joined
@@ -146,4 +154,4 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """
     known = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     schema = f"doc_id {_key_type(known, 'doc_id')}, n_tokens long, ids_sha256 string, decoded binary"
-    return known.mapInArrow(_decoder(path, pattern), schema)
+    return known.mapInArrow(_decoder(path), schema)

@@ -211,6 +211,9 @@ def similar_sets(
     # A star per prefix token joins all sets that could link into coarse blocks.
     postings = alive.select("node", F.explode("prefix").alias("token"))
     stars = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    # A checkpoint takes the sum's partitioning away: both sides are then dealt anew, and
+    # a key of many rows can be split.
+    stars = reliable_checkpoint(stars)
     pairs = postings.join(stars, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     coarse = connected_components(pairs)
 
@@ -228,7 +231,7 @@ def similar_sets(
         .applyInArrow(_tree_join(percent), "node long, root long")
     )
     if weight.where("tiles > 1").isEmpty():
-        return small
+        return reliable_checkpoint(small)
     # Beyond a block's bound every pair of its tiles is a task of bounded size.
     tile = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     tiled = (
@@ -278,7 +281,7 @@ def ngram_jaccard_join(
     described = reliable_checkpoint(plain.mapInArrow(_describe(k), "doc_id long, n long, node long"))
     roots = similar_sets(docs, described, text_col, k, percent, block_sets, block_tokens)
     grouped = described.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = reliable_checkpoint(grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     return grouped.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )

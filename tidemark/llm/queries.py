@@ -64,7 +64,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    decoded = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    decoded = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), path, pattern), path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -43,10 +43,13 @@ def path_templates(paths: DataFrame, max_depth: int, max_children: int, min_shar
         seg = F.when(F.size("segs") > d, F.element_at("segs", F.lit(d + 1)))
         here = paths.withColumn("seg", seg)
         children = here.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("of_seg"))
+        children = reliable_checkpoint(children)
         parents = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("of_seg").alias("of_all"))
         variable = (F.col("kinds") > max_children) & (F.col("of_seg") < min_share * F.col("of_all"))
+        # A checkpoint takes a sum's partitioning away, so that a host of many rows can be split.
+        parents = reliable_checkpoint(parents)
         fixed = children.join(parents, ["host", "template"]).where(~variable).select("host", "template", "seg", F.lit(True).alias("fixed"))
-        here = here.join(fixed, ["host", "template", "seg"], "left")
+        here = here.join(reliable_checkpoint(fixed), ["host", "template", "seg"], "left")
         step = F.when(F.col("fixed"), F.col("seg")).otherwise("*")
         paths = here.withColumn("parent", F.when(F.col("seg").isNotNull(), F.col("template")).otherwise(F.col("parent"))).withColumn(
             "template", F.when(F.col("seg").isNotNull(), F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))
@@ -115,7 +118,7 @@ def filter_urls(
         "branch",
         F.when(F.col("l") > 0, (F.col("b") + smoothing * F.col("host_rate")) / (F.col("l") + smoothing)).alias("purity"),
     )
-    judged = branches.select("host", "template", "branch").join(merged, ["host", "branch"])
+    judged = reliable_checkpoint(branches.select("host", "template", "branch").join(merged, ["host", "branch"]))
     by_path = paths.select("host", "path", "template").join(judged, ["host", "template"])
     result = known.join(by_path.select("host", "path", "template", "purity"), ["host", "path"])
     own = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
