@@ -54,13 +54,17 @@ def _describe(k: int):
     return run
 
 
-def _by_range(k: int, ranges: int, most: int = 1 << 20):
-    """Documents to packed token arrays, one row per hash range and about ``most`` tokens."""
+def _by_range(k: int, ranges: int, most: int = 1 << 20, remembered: int = 200_000):
+    """Documents to packed token arrays, one row per hash range and about ``most`` tokens.
 
-    def pack(sets: list[np.ndarray]) -> pa.RecordBatch:
+    A task passes over sets it has sent before, of the first ``remembered`` names; copies
+    that come through all the same are told apart by name in :func:`_shared_tokens`.
+    """
+
+    def pack(sets: list[np.ndarray], named: list[int]) -> pa.RecordBatch:
         tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        names = np.array([set_id(s) for s in sets], np.int64)
+        names = np.array(named, np.int64)
         sizes = np.array([len(s) for s in sets], np.int64)
         at = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         order = np.argsort(at, kind="stable")
@@ -78,18 +82,23 @@ def _by_range(k: int, ranges: int, most: int = 1 << 20):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets, total = WordHashes(), [], 0
+        hashes, sets, named, total = WordHashes(), [], [], 0
+        seen: set[int] = set()
         for batch in batches:
             for text in batch.column(0):
                 tokens = shingle_set(hashes.of(lower_words(text.as_py())), k)
-                if len(tokens):
-                    sets.append(tokens)
-                    total += len(tokens)
+                if not len(tokens) or (name := set_id(tokens)) in seen:
+                    continue
+                if len(seen) < remembered:
+                    seen.add(name)
+                sets.append(tokens)
+                named.append(name)
+                total += len(tokens)
                 if total >= most:
-                    yield pack(sets)
-                    sets, total = [], 0
+                    yield pack(sets, named)
+                    sets, named, total = [], [], 0
         if sets:
-            yield pack(sets)
+            yield pack(sets, named)
 
     return run
 
