@@ -188,6 +188,14 @@ def test_byte_characters_are_distinct():
 # 7 line dedup
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 5), (2, text, 6)], "doc_id long, text string, `a.b` int")
+    out = remove_repeated_lines(df)
+    assert out.columns == ["doc_id", "text", "a.b", "removed_lines"]
+    assert sorted(map(tuple, out.collect())) == [(1, text, 5, []), (2, "", 6, [0])]
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     line = lambda k: " ".join(f"w{rng.integers(10**6)}" for _ in range(k))

@@ -98,7 +98,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     column named ``removed_lines`` is replaced.
     """
     others = [c for c in docs.columns if c != "removed_lines"]
-    named = docs.select(*others).withColumn("_tm_row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    named = docs.select(*(F.col(f"`{c}`") for c in others)).withColumn("_tm_row", F.xxhash64(F.col(id_col), F.col(text_col)))
     doc = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_tm_row").alias("r"))
     kind = docs.select(id_col).dtypes[0][1]
     marks = named.select(doc.alias("doc"), F.col(text_col).alias("text")).mapInArrow(
