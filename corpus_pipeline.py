@@ -9,26 +9,49 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.common import WORD_PATTERN, broadcast_if_small, reliable_checkpoint
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.ngram_join import ngram_jaccard_join
+from tidemark.llm.ngram_join import linked_rows
 from tidemark.llm.queries import read, vocabulary
-from tidemark.llm.toxicity import score_toxicity
+from tidemark.llm.toxicity import scored_rows
+
+
+#: Fixed value: the score from which a text is toxic, as in ``score_toxicity``.
+TOXIC = 0.7
+
+
+def of_source() -> list[Column]:
+    """Id and source of a row, never null; null ids and sources come last."""
+    return [
+        F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"),
+        F.col("source").isNull().alias("m"), F.coalesce("source", F.lit("")).alias("s"),
+    ]
+
+
+def row_key() -> Column:
+    """Names a row by id, source and a hash of its text."""
+    return F.struct(*of_source(), F.xxhash64("text").alias("h"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject, unchanged."""
-    scored = score_toxicity(docs, read(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the classifier does not reject, unchanged; each is judged by its own text,
+    whatever its id."""
+    scored = scored_rows(docs, read(spark, sf_dir, "labels"), row_key())
+    rejected = reliable_checkpoint(scored.where(F.col("score") >= TOXIC).select("key").distinct())
+    return docs.withColumn("key", row_key()).join(broadcast_if_small(rejected), "key", "left_anti").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; later repeats of line runs are cut from text, and n_chars follows."""
+    """All documents; later repeats of line runs are cut from text, and n_chars follows.
+
+    Rows equal in id and text count as one document and are cut alike; the next stage
+    keeps one of them.
+    """
     cut = remove_repeated_lines(docs)
     changed = F.size("removed_lines") > 0
     length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -36,18 +59,36 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    linked = ngram_jaccard_join(docs)
-    others = linked.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked rows one: that with the smallest id, null ids last, then by
+    source and text hash; of equal rows one. Rows without words link with nothing and stay.
+    """
+    linked = linked_rows(docs, row_key()).where("root IS NOT NULL").select("key", "root")
+    # Checkpoints take the sums' partitioning away, so that hot groups and keys can be split.
+    best = linked.groupBy("root").agg(F.min("key").alias("best"), F.count("*").alias("c")).where("c > 1").drop("c")
+    judged = linked.join(reliable_checkpoint(best), "root")
+    judged = judged.groupBy("key").agg(F.first(F.col("key") == F.col("best")).alias("stays"), F.count("*").alias("c"))
+    judged = reliable_checkpoint(judged.where("NOT stays OR c > 1").select("key", "stays"))
+    keyed = docs.withColumn("key", row_key())
+    alone = keyed.join(judged.select("key"), "key", "left_anti").select(docs.columns)
+    repeated = judged.where("stays").select("key")
+    if repeated.isEmpty():
+        return alone
+    one = keyed.join(broadcast_if_small(repeated), "key", "left_semi").groupBy("key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return alone.unionByName(one.select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so a document may come twice."""
-    mixed = mix_sources(docs).where("size > 0").select("doc_id", "taken", "size").distinct()
-    times = mixed.select("doc_id", F.expr("taken div size").cast("int").alias("times"))
-    times = times.groupBy("doc_id").agg(F.max("times").alias("times")).where("times > 0")
-    repeated = docs.join(times, "doc_id").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    """Each row as often as the mix takes it, so a document may come twice.
+
+    The mix decides by id and source: rows that share both are taken alike, as are the
+    rows of a source whose ids are null; rows without words are not taken.
+    """
+    mixed = mix_sources(docs).where("taken > 0")
+    times = mixed.select(F.struct(*of_source()).alias("key"), F.expr("taken div size").cast("int").alias("times")).distinct()
+    # The checkpoint takes the distinct rows' partitioning away, so that a key of many rows can be split.
+    times = reliable_checkpoint(times)
+    worded = docs.where(F.col("text").rlike(WORD_PATTERN)).withColumn("key", F.struct(*of_source()))
+    repeated = worded.join(times, "key").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return repeated.select(docs.columns)
 
 

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import WordHashes, fold_hashes, lower_words, mix64, reliable_checkpoint, shuffle_partitions
 from tidemark.llm.components import connected_components
@@ -37,7 +38,7 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _describe(k: int):
-    """Documents to (doc_id, n, node): set size and set name."""
+    """Rows of (key, text) to (key, n, node): set size and set name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -48,7 +49,7 @@ def _describe(k: int):
                 n.append(len(tokens))
                 node.append(set_id(tokens) if len(tokens) else None)
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], [batch.schema.names[0], "n", "node"]
             )
 
     return run
@@ -257,6 +258,24 @@ def similar_sets(
     return connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
+def linked_rows(
+    docs: DataFrame,
+    key: Column,
+    text_col: str = "text",
+    k: int = 5,
+    percent: int = 75,
+    block_sets: int = 4_000,
+    block_tokens: int = 2_000_000,
+) -> DataFrame:
+    """(key, n, node, root) of every row: ``key`` of it, set size, set name and a name of
+    its group, null for a row without words (see :func:`ngram_jaccard_join`)."""
+    plain = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    schema = StructType([plain.schema["key"], StructField("n", LongType()), StructField("node", LongType())])
+    described = reliable_checkpoint(plain.mapInArrow(_describe(k), schema))
+    roots = similar_sets(docs, described, text_col, k, percent, block_sets, block_tokens)
+    return described.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -286,10 +305,7 @@ def ngram_jaccard_join(
     other. An empty table gives an empty result. Other columns are not read.
     Tokens and sets are named by 64-bit hashes.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    described = reliable_checkpoint(plain.mapInArrow(_describe(k), "doc_id long, n long, node long"))
-    roots = similar_sets(docs, described, text_col, k, percent, block_sets, block_tokens)
-    grouped = described.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = linked_rows(docs, F.col(id_col), text_col, k, percent, block_sets, block_tokens).withColumnRenamed("key", "doc_id")
     least = reliable_checkpoint(grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     return grouped.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm.common import WordHashes, fold_hashes
 
@@ -133,7 +134,7 @@ def _score(model, bits: int):
                 at = features(text.as_py(), hashes, bits)
                 total = bias + dense[np.unique(at[active[at]])].sum()
                 scores.append(1 / (1 + np.exp(-min(max(total, -35.0), 35.0))))
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], [batch.schema.names[0], "score"])
 
     return run
 
@@ -143,6 +144,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def scored_rows(
+    docs: DataFrame, labels: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: FtrlSettings = FtrlSettings()
+) -> DataFrame:
+    """(key, score) of every row, its ``key`` being any column of ``docs`` (see :func:`score_toxicity`)."""
+    weights = train_toxicity(docs, labels, ~held_out(F.col("doc_id")), settings, id_col, text_col, label_col)
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    known = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    return known.mapInArrow(_score(model, settings.bits), StructType([known.schema["key"], StructField("score", DoubleType())]))
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -163,12 +174,7 @@ def score_toxicity(
     null ids are not held out. Without labels every score is 0.5. An empty table gives an
     empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    weights = train_toxicity(docs, labels, ~held_out(F.col("doc_id")), settings, id_col, text_col, label_col)
-    model = spark.sparkContext.broadcast(weights)
-    kind = known.dtypes[0][1]
-    scored = known.mapInArrow(_score(model, settings.bits), f"doc_id {kind}, score double")
+    scored = scored_rows(docs, labels, F.col(id_col), id_col, text_col, label_col, settings).withColumnRenamed("key", "doc_id")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
