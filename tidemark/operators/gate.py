@@ -47,39 +47,23 @@ def hash_change_count(readings: DataFrame, key: str, order: list[str], hashed: s
 def confirm_changes(readings: DataFrame, key: str, seq: str, print_col: str) -> DataFrame:
     """Changes that two successive readings agree on: (key, seq, old_print, new_print).
 
-    State per key is the confirmed print and the pending one. A reading equal to the
-    confirmed print clears what is pending; one equal to the pending print confirms it; any
-    other becomes pending. Later readings depend on what was confirmed, which no window can
-    say, so each key's ordered prints are folded. A key's history is its group: prints are
-    short, and only changes of print matter beyond two in a row.
+    A reading equal to the confirmed print clears what is pending; one equal to the pending
+    print confirms it; any other becomes pending. So a print is confirmed by the second of
+    two equal ones in a row and by nothing else, and the confirmed print at any time is that
+    of the last such pair, or the first print of all where there was none. Two windows over
+    rows say this: nothing is gathered, and a long history is sorted and streamed. A null
+    print confirms nothing and comes between equal ones.
     """
-    line = Window.partitionBy(key).orderBy(seq)
-    # A third and later equal print in a row changes nothing, so it need not be gathered.
-    one, two = F.lag(print_col, 1).over(line), F.lag(print_col, 2).over(line)
-    kept = readings.withColumn("_one", one).withColumn("_two", two)
-    kept = kept.where(~(F.col("_one").eqNullSafe(F.col(print_col)) & F.col("_two").eqNullSafe(F.col(print_col))))
-    kind = dict(readings.dtypes)
-    gathered = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(print_col).alias("p")))).alias("r"))
-    event = f"struct<seq:{kind[seq]},old:{kind[print_col]},new:{kind[print_col]}>"
-    start = F.struct(
-        F.lit(None).cast(kind[print_col]).alias("base"),
-        F.lit(None).cast(kind[print_col]).alias("held"),
-        F.array().cast(f"array<{event}>").alias("events"),
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        base, held, p = state["base"], state["held"], x["p"]
-        first, same = base.isNull(), base == p
-        agreed = ~first & ~same & held.eqNullSafe(p)
-        change = F.struct(x["s"].alias("seq"), base.alias("old"), p.alias("new"))
-        return F.struct(
-            F.when(first | agreed, p).otherwise(base).alias("base"),
-            F.when(first | same | agreed, F.lit(None).cast(kind[print_col])).otherwise(p).alias("held"),
-            F.when(agreed, F.array_append(state["events"], change)).otherwise(state["events"]).alias("events"),
-        )
-
-    folded = gathered.select(key, F.explode(F.aggregate("r", start, step, lambda s: s["events"])).alias("e"))
-    return folded.select(key, F.col("e.seq").alias("seq"), F.col("e.old").alias("old_print"), F.col("e.new").alias("new_print"))
+    line = Window.partitionBy(key).orderBy(seq, print_col)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = readings.select(
+        F.col(key), F.col(seq).alias("seq"), F.col(print_col).alias("_print"),
+        (F.lag(print_col).over(line) == F.col(print_col)).alias("_agreed"), F.count(print_col).over(upto).alias("_n"),
+    )
+    # The first print of all starts the line of confirmed prints; each pair goes on with it.
+    settled = marked.where("_print IS NOT NULL AND (_n = 1 OR _agreed)")
+    before = settled.withColumn("_old", F.lag("_print").over(Window.partitionBy(key).orderBy("seq", "_print", "_n")))
+    return before.where("_old <> _print").select(key, "seq", F.col("_old").alias("old_print"), F.col("_print").alias("new_print"))
 
 
 def budget_cutoff(costs: DataFrame, run: str, order: str, cost: str, budget: float = RUN_BUDGET_USD) -> DataFrame:

@@ -28,6 +28,40 @@ def price_series(changes: DataFrame, current: DataFrame | None = None) -> DataFr
     return joined.select("vendor", "plan", F.when(moved, F.array_append("series", F.col("current"))).otherwise(F.col("series")).alias("series"))
 
 
+def series_rows(changes: DataFrame) -> DataFrame:
+    """(vendor, plan, pos, price): the points of :func:`price_series` as rows, so that no
+    history has to fit one row."""
+    known = changes.where("old_value IS NOT NULL AND new_value IS NOT NULL")
+    line = Window.partitionBy("vendor", "plan").orderBy("detected_at", "event_id", "old_value", "new_value")
+    placed = known.select("vendor", "plan", "old_value", "new_value", F.row_number().over(line).alias("pos"))
+    point = lambda pos, price: F.struct(pos.cast("int").alias("pos"), F.col(price).alias("price"))
+    points = F.when(F.col("pos") == 1, F.array(point(F.lit(0), "old_value"), point(F.col("pos"), "new_value"))).otherwise(
+        F.array(point(F.col("pos"), "new_value"))
+    )
+    return placed.select("vendor", "plan", F.explode(points).alias("p")).select("vendor", "plan", "p.pos", "p.price")
+
+
+def longest_history(changes: DataFrame) -> DataFrame:
+    """(vendor, plan, points, first, last) of the plan that :func:`best_history` chooses, from sums alone."""
+    known = changes.where("old_value IS NOT NULL AND new_value IS NOT NULL")
+    at = F.struct("detected_at", "event_id", "old_value", "new_value")
+    ends = known.groupBy("vendor", "plan").agg((F.count("*") + 1).alias("points"), F.min(at).alias("a"), F.max(at).alias("z"))
+    rank = F.struct(-F.col("points"), F.col("z.new_value"), "plan")
+    row = F.struct("plan", F.col("points").cast("int").alias("points"), F.col("a.old_value").alias("first"), F.col("z.new_value").alias("last"))
+    return ends.groupBy("vendor").agg(F.min_by(row, rank).alias("b")).select("vendor", "b.*")
+
+
+def sparkline_rows(rows: DataFrame, width: float = 260.0, height: float = 56.0) -> DataFrame:
+    """(vendor, plan, pos, x, y) of :func:`series_rows`, as :func:`sparkline` places them."""
+    boxes = rows.groupBy("vendor", "plan").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.max("pos").alias("steps"))
+    span = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low"))
+    return rows.join(boxes, ["vendor", "plan"]).select(
+        "vendor", "plan", "pos",
+        F.round(F.col("pos") / F.col("steps") * width, 1).alias("x"),
+        F.round(height - (F.col("price") - F.col("low")) / span * height, 1).alias("y"),
+    )
+
+
 def series_delta(series: Column) -> Column:
     """Change from first to last in per cent, 0 from 0."""
     first, last = F.get(series, F.lit(0)), F.element_at(series, -1)

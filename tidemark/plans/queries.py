@@ -589,24 +589,21 @@ _SERIES = f"""{V.CHANGES}, known AS (SELECT * FROM changes_v WHERE old_value IS
 
 @query(f"WITH {_SERIES} SELECT vendor, plan, generate_subscripts(series, 1)::INTEGER - 1 AS pos, unnest(series) AS price FROM series_v")
 def price_series(spark, sf_dir):
-    series = history.price_series(V.changes(spark, sf_dir))
-    return series.select("vendor", "plan", F.posexplode("series").alias("pos", "price"))
+    return history.series_rows(V.changes(spark, sf_dir))
 
 
 @query(f"""WITH {_SERIES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY len(series) DESC, series[-1], plan) AS r FROM series_v)
   SELECT vendor, plan, len(series)::INTEGER AS points, round(CASE WHEN series[1] = 0 THEN 0 ELSE (series[-1] - series[1]) / series[1] * 100 END, 6) AS delta_pct FROM ranked WHERE r = 1""")
 def spark_target_plan(spark, sf_dir):
-    best = history.best_history(history.price_series(V.changes(spark, sf_dir)))
-    return best.select("vendor", "plan", F.size("series").alias("points"), F.round(history.series_delta(F.col("series")), 6).alias("delta_pct"))
+    best = history.longest_history(V.changes(spark, sf_dir))
+    return best.select("vendor", "plan", "points", F.round(history.series_delta(F.array("first", "last")), 6).alias("delta_pct"))
 
 
 @query(f"""WITH {_SERIES}, boxed AS (SELECT vendor, plan, series, list_min(series) AS lo, CASE WHEN list_max(series) = list_min(series) THEN 1.0::DOUBLE ELSE list_max(series) - list_min(series) END AS span FROM series_v WHERE len(series) > 1),
   pts AS (SELECT vendor, plan, len(series) AS n, lo, span, unnest(series) AS v, generate_subscripts(series, 1) - 1 AS i FROM boxed)
   SELECT vendor, plan, i::INTEGER AS pos, round(i::DOUBLE / (n - 1) * 260.0::DOUBLE, 1) AS x, round(56.0::DOUBLE - (v - lo) / span * 56.0::DOUBLE, 1) AS y FROM pts""")
 def sparkline_points(spark, sf_dir):
-    series = history.price_series(V.changes(spark, sf_dir))
-    points = series.select("vendor", "plan", F.posexplode(history.sparkline(F.col("series"))).alias("pos", "p"))
-    return points.select("vendor", "plan", "pos", "p.x", "p.y")
+    return history.sparkline_rows(history.series_rows(V.changes(spark, sf_dir)))
 
 
 _TOP = "row_number() OVER (ORDER BY detected_at DESC, event_id DESC)"
