@@ -99,10 +99,31 @@ def test_url_templates_block_by_labels(spark):
     got = filter_urls(df, rules).collect()
     blocked = {r["path"] for r in got if r["verdict"] == "block"}
     assert blocked == {r["path"] for r in got if r["host"] == "site.org" and r["path"].startswith("/spam/")}
-    assert {r["template"] for r in got if r["path"].startswith("/news/")} == {"/news/*"}
+    assert {r["template"] for r in got if r["path"].startswith("/news/")} == {"/news/?"}
     assert filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_urls_without_labels_take_the_purity_above(spark):
+    rules = {"bad.org/a/": "block", "good.org/a/": "allow", "mixed.org/x/a/": "block", "mixed.org/y/a/": "allow", "sub.worse.net/a/": "block"}
+    bad = [f"http://{h}/{p}{i}" for h, p in (("bad.org", "a/"), ("sub.worse.net", "a/"), ("mixed.org", "x/a/")) for i in range(40)]
+    good = [f"http://{h}/{p}{i}" for h, p in (("good.org", "a/"), ("mixed.org", "y/a/")) for i in range(40)]
+    # Siblings without labels, hosts without labels under a labelled domain, and a host alone.
+    asked = {
+        "http://bad.org/b/1": "block", "http://good.org/b/1": "allow", "http://mixed.org/x/b/1": "block", "http://mixed.org/y/b/1": "allow",
+        "http://mixed.org/z/1": "allow", "http://other.worse.net/q": "block", "http://worse.net:8080/q": "block", "http://alone.info/": "allow", "": "allow",
+        "http://bad.org/*": "block", "http://bad.org/~": "block", "http://bad.org/a/b/c/d/e/f/g/h": "block", "http://good.org": "allow",
+    }
+    rows = bad + good + list(asked) * 2
+    df = spark.createDataFrame([(i, u, 0.5) for i, u in enumerate(rows)], "page_id long, url string, purity double")
+    got = {r["page_id"]: r for r in filter_urls(df, rules).collect()}
+    assert len(got) == len(rows)
+    for i, u in enumerate(rows[80 * 2 + 40 :], 80 * 2 + 40):
+        assert got[i]["verdict"] == asked[u], (u, got[i])
+    assert {got[i]["verdict"] for i in range(120)} == {"block"} and {got[i]["verdict"] for i in range(120, 200)} == {"allow"}
+    # Without any label all is allowed.
+    assert {r["verdict"] for r in filter_urls(df, {}).collect()} == {"allow"}
+
+
 # 4 secrets
 
 

@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without
-    one (a test) gets a temporary folder.
+    Without that setting a session on one machine gets a temporary folder, the same for all
+    calls; on a cluster, whose machines would not see it, the setting is asked for.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("folder")
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
+#: The temporary folder of a process without a shared one.
+_LOCAL: dict[str, str] = {}
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder (see :func:`shared_folder`) and cut its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -81,10 +81,17 @@ def _op3() -> str:
 ), f{d} AS (
   SELECT *, count(*) OVER (PARTITION BY host, template) AS kinds, sum(of_seg) OVER (PARTITION BY host, template) AS of_all FROM c{d}
 ), p{d + 1} AS (
-  SELECT p.host, p.path, p.segs, p.n, p.b, p.l, CASE WHEN len(segs) > {d} THEN p.template ELSE p.parent END AS parent,
-         CASE WHEN len(segs) > {d} THEN p.template || '/' || CASE WHEN f.kinds > 12 AND f.of_seg < 0.05::DOUBLE * f.of_all THEN '*' ELSE {seg} END
+  SELECT p.host, p.path, p.segs, p.n, p.b, p.l,
+         CASE WHEN len(segs) > {d} THEN p.template || '/' || CASE WHEN f.kinds > 12 AND f.of_seg < 0.05::DOUBLE * f.of_all THEN '?' ELSE {seg} END
               ELSE p.template END AS template
   FROM p{d} p LEFT JOIN f{d} f ON f.host = p.host AND f.template = p.template AND f.seg = {seg}
+)""")
+    # The purity of each level comes from that above: a template has seven steps at most.
+    down = []
+    for d in range(1, 8):
+        down.append(f"""q{d} AS (
+  SELECT q.host, q.template, CASE WHEN j.node IS NULL THEN q.purity ELSE (j.b + 4.0::DOUBLE * q.purity) / (j.l + 4.0::DOUBLE) END AS purity
+  FROM q{d - 1} q LEFT JOIN steps s ON s.host = q.host AND s.template = q.template AND s.depth = {d} LEFT JOIN judged j ON j.host = s.host AND j.node = s.node
 )""")
     return f"""
 WITH parts AS (
@@ -103,29 +110,32 @@ WITH parts AS (
   SELECT *, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM ruled
 ), p0 AS (
   SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(*) AS n,
-         count(*) FILTER (ruled = 'block') AS b, count(ruled) AS l, '' AS parent, '' AS template
+         count(*) FILTER (ruled = 'block') AS b, count(ruled) AS l, '' AS template
   FROM known GROUP BY host, path
 ), {", ".join(levels)}, paths AS (
-  SELECT host, path, b, l, CASE WHEN len(segs) > 6 THEN template ELSE parent END AS parent,
-         CASE WHEN len(segs) > 6 THEN template || '/**' ELSE template END AS template
-  FROM p6
+  SELECT host, path, b, l, CASE WHEN len(segs) > 6 THEN template || '/??' ELSE template END AS template FROM p6
+), leaves AS (
+  SELECT host, template, sum(b) AS b, sum(l) AS l FROM paths GROUP BY ALL
 ), hosts AS (
-  SELECT host, (sum(b) + 4.0::DOUBLE * (SELECT sum(b) / sum(l) FROM paths)) / (sum(l) + 4.0::DOUBLE) AS host_rate FROM paths GROUP BY host
-), branches AS (
-  SELECT host, parent, template, sum(b) AS b, sum(l) AS l FROM paths GROUP BY ALL
+  SELECT host, array_to_string(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')[-2:], '.') AS domain, sum(b) AS b, sum(l) AS l FROM leaves GROUP BY ALL
+), domains AS (
+  SELECT domain, (sum(b) + 4.0::DOUBLE * (SELECT coalesce(sum(b) / nullif(sum(l), 0), 0) FROM hosts)) / (sum(l) + 4.0::DOUBLE) AS purity FROM hosts GROUP BY domain
+), steps AS (
+  SELECT host, template, b, l, d AS depth, array_to_string(string_split(template, '/')[1:d + 1], '/') AS node, array_to_string(string_split(template, '/')[1:d], '/') AS parent
+  FROM (SELECT *, unnest(range(1, len(string_split(template, '/')))) AS d FROM leaves)
+), nodes AS (
+  SELECT host, parent, node, sum(b) AS b, sum(l) AS l FROM steps GROUP BY ALL
 ), pooled AS (
-  SELECT *, sum(b) OVER w / nullif(sum(l) OVER w, 0) AS pool FROM branches WINDOW w AS (PARTITION BY host, parent)
+  SELECT *, sum(b) OVER w / nullif(sum(l) OVER w, 0) AS pool FROM nodes WINDOW w AS (PARTITION BY host, parent)
 ), named AS (
-  SELECT *, CASE WHEN l > 0 AND abs(b / nullif(l, 0) - pool) <= 1.96::DOUBLE * sqrt(pool * (1 - pool) / nullif(l, 0))
-                 THEN parent || '/~' ELSE template END AS branch
-  FROM pooled
-), merged AS (
-  SELECT host, branch, sum(b) AS b, sum(l) AS l FROM named GROUP BY ALL
-)
-SELECT page_id, k.host, k.path, k.rule,
-       coalesce(k.ruled, CASE WHEN m.l > 0 AND (m.b + 4.0::DOUBLE * h.host_rate) / (m.l + 4.0::DOUBLE) >= 0.75 THEN 'block' ELSE 'allow' END) AS verdict
-FROM known k JOIN paths p ON p.host = k.host AND p.path = k.path
-JOIN named ON named.host = p.host AND named.template = p.template JOIN merged m ON m.host = k.host AND m.branch = named.branch JOIN hosts h ON h.host = k.host
+  SELECT *, CASE WHEN abs(b / nullif(l, 0) - pool) <= 1.96::DOUBLE * sqrt(pool * (1 - pool) / nullif(l, 0)) THEN '#' ELSE node END AS branch FROM pooled
+), judged AS (
+  SELECT host, node, sum(b) OVER w AS b, sum(l) OVER w AS l FROM named WINDOW w AS (PARTITION BY host, parent, branch)
+), q0 AS (
+  SELECT v.host, v.template, (h.b + 4.0::DOUBLE * d.purity) / (h.l + 4.0::DOUBLE) AS purity FROM leaves v JOIN hosts h ON h.host = v.host JOIN domains d ON d.domain = h.domain
+), {", ".join(down)}
+SELECT page_id, k.host, k.path, k.rule, coalesce(k.ruled, CASE WHEN q7.purity >= 0.75 THEN 'block' ELSE 'allow' END) AS verdict
+FROM known k JOIN paths p ON p.host = k.host AND p.path = k.path JOIN q7 ON q7.host = p.host AND q7.template = p.template
 """
 
 
