@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,19 @@ def base_spans(text: str) -> list[Span]:
     return found + [(2, m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def _near(starts: list[int], ends: list[int], span: Span, reach: int) -> bool:
-    """Whether an interval of a sorted, non-overlapping list lies within ``reach`` of the span."""
-    at = bisect_left(starts, span[1])
-    return (at > 0 and span[1] - ends[at - 1] <= reach) or (at < len(starts) and starts[at] - span[2] <= reach)
+class Intervals:
+    """Spans that may overlap, for lookups of whether any lies near another span."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(s[1:] for s in spans)
+        self.starts = [a for a, _ in spans]
+        #: The largest end so far: an earlier interval may reach beyond a later one.
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def near(self, span: Span, reach: int) -> bool:
+        """Whether an interval lies within ``reach`` characters of the span or overlaps it."""
+        at = bisect_left(self.starts, span[2])
+        return (at > 0 and span[1] - self.ends[at - 1] <= reach) or (at < len(self.starts) and self.starts[at] - span[2] <= reach)
 
 
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
@@ -45,7 +55,7 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
 
     Within a scope (text between blank lines) a 40-character key counts when an access
     identifier lies within ``reach`` characters; an endpoint counts when both an access
-    identifier and a secret (an assignment or such a key) do.
+    identifier and a secret (an assignment or such a key) do. Parts may overlap.
     """
     access = [s for s in base if s[0] == 1]
     if not access:
@@ -53,24 +63,19 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     weak = [(3, m.start(), m.end()) for m in _WEAK.finditer(text)]
     points = [(4, m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     cuts = [m.end() for m in _SCOPE.finditer(text)]
-    scope = lambda s: bisect_left(cuts, s[1] + 1)
-    found: list[Span] = []
-    ids: dict[int, list[Span]] = {}
-    for s in access:
-        ids.setdefault(scope(s), []).append(s)
-    parts: dict[int, list[Span]] = {}
-    for s in [s for s in base if s[0] == 0] + weak:
-        at = scope(s)
-        if s[0] == 3:
-            if at not in ids or not _near([x[1] for x in ids[at]], [x[2] for x in ids[at]], s, reach):
-                continue
-            found.append(s)
-        parts.setdefault(at, []).append(s)
-    sides = {at: tuple(([x[1] for x in k], [x[2] for x in k]) for k in (ids[at], sorted(parts[at], key=lambda s: s[1:]))) for at in parts if at in ids}
-    for s in points:
-        near = sides.get(scope(s))
-        if near and all(_near(*side, s, reach) for side in near):
-            found.append(s)
+
+    def by_scope(spans: list[Span]) -> dict[int, list[Span]]:
+        grouped: dict[int, list[Span]] = {}
+        for s in spans:
+            grouped.setdefault(bisect_left(cuts, s[1] + 1), []).append(s)
+        return grouped
+
+    ids = {at: Intervals(spans) for at, spans in by_scope(access).items()}
+    found = [s for at, spans in by_scope(weak).items() if at in ids for s in spans if ids[at].near(s, reach)]
+    keys = {at: Intervals(spans) for at, spans in by_scope([s for s in base if s[0] == 0] + found).items()}
+    for at, spans in by_scope(points).items():
+        if at in ids and at in keys:
+            found += [s for s in spans if ids[at].near(s, reach) and keys[at].near(s, reach)]
     return found
 
 
