@@ -38,6 +38,12 @@ def test_broken_markup():
     assert page_text("<p>a<p>b<br>c</article><li>d<li>e<div>f", None).split("\n") == ["a", "b", "c", "d", "e", "f"]
     assert page_text("<script>x</script><svg/>y<header>n</header>z&amp;", None).split("\n") == ["y", "z&"]
     assert page_text("", None) == ""
+    # The end tag of the head is optional, as are those of its neighbours.
+    assert page_text("<html><head><title>t</title><body><p>Pro plan $20</p></body></html>", None) == "Pro plan $20"
+    assert page_text("<head><title>t</title><meta charset=x><p>Pro<dl><dt>a<dd>b<dt>c</dl>", None).split("\n") == ["Pro", "a", "b", "c"]
+    assert page_text("<head><style>x</style> \n Pro plan<b>$20</b>", None).split("\n")[-1] == "$20"
+    assert page_text("<head><noscript><p>x<body>y", None) == "y" and page_text("<head><script>x</script></head>z", None) == "z"
+    assert page_text("<table><tr><td>a<td>b<tr><th>c</table><select><option>d<option>e</select>", None).split("\n") == list("abcde")
 
 
 @pytest.mark.parametrize(

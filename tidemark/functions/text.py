@@ -62,8 +62,9 @@ def normalize_lines(text: Column) -> Column:
     """Runs of blanks to one space, lines stripped, empty lines gone, adjacent repeats once."""
     spaced = F.regexp_replace(text, "[ \t ​]+", " ")
     lines = F.filter(F.transform(F.split(spaced, "\n"), strip_space), lambda s: s != "")
-    kept = F.filter(lines, lambda s, i: (i == 0) | (s != F.get(lines, i - 1)))
-    return F.array_join(kept, "\n")
+    # The lines are bound once by a lambda; named inside the filter they would be made anew for each line.
+    kept = F.transform(F.array(lines), lambda all_: F.filter(all_, lambda s, i: (i == 0) | (s != F.get(all_, i - 1))))
+    return F.array_join(F.get(kept, F.lit(0)), "\n")
 
 
 def content_hash(text: Column) -> Column:

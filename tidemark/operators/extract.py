@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import EXTRACT_CHARS
 from tidemark.operators.records import RAW_RECORD, normalize_record
 
 #: An extractor takes page texts and returns raw records as JSON, or None where it fails.
@@ -48,11 +47,14 @@ def _extract(text: str) -> str | None:
     return json.dumps({"currency": currency, "extraction_notes": "", "plans": plans}) if plans else None
 
 
-def extract_records(pages: DataFrame, text_col: str = "text", extractor: Extractor = pattern_extractor) -> DataFrame:
+def extract_records(
+    pages: DataFrame, text_col: str = "text", extractor: Extractor = pattern_extractor, max_chars: int | None = None
+) -> DataFrame:
     """``pages`` with ``record``: a normalised record, null where extraction failed.
 
-    The text is cut to what an extractor may read; the call is marked as not
-    deterministic, so it runs once per row and above all filters before it.
+    An extractor reads whole texts; ``max_chars`` is for one that is paid by its input and
+    reads no more. The call is marked as not deterministic, so it runs once per row and
+    above all filters before it.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,7 +62,8 @@ def extract_records(pages: DataFrame, text_col: str = "text", extractor: Extract
             yield pd.Series(extractor(texts.fillna("").tolist()), dtype=object)
 
     called = F.pandas_udf(run, "string").asNondeterministic()
-    answered = pages.withColumn("_answer", called(F.substring(F.col(text_col), 1, EXTRACT_CHARS)))
+    read = F.col(text_col) if max_chars is None else F.substring(F.col(text_col), 1, max_chars)
+    answered = pages.withColumn("_answer", called(read))
     raw = F.from_json("_answer", RAW_RECORD)
     stated = F.get_json_object("_answer", "$.pricing_is_public").isNotNull()
     record = F.when(F.col("_answer").isNotNull(), normalize_record(raw, stated))

@@ -66,12 +66,22 @@ def confirm_changes(readings: DataFrame, key: str, seq: str, print_col: str) ->
     return before.where("_old <> _print").select(key, "seq", F.col("_old").alias("old_print"), F.col("_print").alias("new_print"))
 
 
-def budget_cutoff(costs: DataFrame, run: str, order: str, cost: str, budget: float = RUN_BUDGET_USD) -> DataFrame:
-    """Rows of each run before the first that would exceed its budget, with the sum so far."""
-    line = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = costs.withColumn("spent", F.sum(cost).over(line))
-    # Costs are not negative, so the running sum never comes back below the budget.
-    return summed.where(F.col("spent") <= budget)
+def budget_cutoff(costs: DataFrame, run: str, order: str, cost: str, budget: float = RUN_BUDGET_USD, block: int = 10_000) -> DataFrame:
+    """Rows of each run before the first that would exceed its budget, with the sum so far.
+
+    ``order`` is a whole number. Sums of blocks of ``block`` places come first and only they
+    are ordered within a run; inside a block the rows are, so no task sorts a whole run.
+    """
+    blocked = costs.withColumn("_block", F.floor(F.col(order) / block))
+    upto = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(run, "_block").agg(F.sum(cost).alias("_sum"))
+    before = sums.select(run, "_block", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_before"))
+    line = Window.partitionBy(run, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Costs are not negative, so the running sum never comes back below the budget, and a
+    # block that begins above it has no row to give.
+    open_ = blocked.join(before.where(F.col("_before") <= budget), [run, "_block"])
+    summed = open_.withColumn("spent", F.col("_before") + F.sum(cost).over(line))
+    return summed.where(F.col("spent") <= budget).drop("_block", "_before")
 
 
 def consecutive_failures(checks: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:

@@ -77,14 +77,18 @@ def best_history(series: DataFrame) -> DataFrame:
 
 def sparkline(series: Column, width: float = 260.0, height: float = 56.0) -> Column:
     """Points of a line in a box, lowest value at the bottom; empty for fewer than two."""
-    low, high = F.array_min(series), F.array_max(series)
-    span = F.when(high == low, 1.0).otherwise(high - low)
     steps = F.size(series) - 1
+    # The box is bound once by a lambda; named inside the inner one it would be made anew for each point.
+    box = F.array(F.struct(F.array_min(series).alias("low"), F.array_max(series).alias("high")))
+    span = lambda b: F.when(b["high"] == b["low"], 1.0).otherwise(b["high"] - b["low"])
     points = F.transform(
-        series,
-        lambda v, i: F.struct(F.round(i / steps * width, 1).alias("x"), F.round(height - (v - low) / span * height, 1).alias("y")),
+        box,
+        lambda b: F.transform(
+            series,
+            lambda v, i: F.struct(F.round(i / steps * width, 1).alias("x"), F.round(height - (v - b["low"]) / span(b) * height, 1).alias("y")),
+        ),
     )
-    return F.when(F.size(series) > 1, points)
+    return F.when(F.size(series) > 1, F.get(points, F.lit(0)))
 
 
 def newest_first(changes: DataFrame, k: int | None = None) -> DataFrame:

@@ -35,6 +35,10 @@ _ENDED_BY = {
 }
 
 
+#: Elements that may stand in the head; any other start tag ends it, its end tag being optional.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
+
 class _PageText(HTMLParser):
     """Text nodes outside dropped, hidden and noisy elements."""
 
@@ -45,9 +49,15 @@ class _PageText(HTMLParser):
     def _pop(self) -> None:
         self.dropping -= self.open.pop()[1]
 
+    def _end_head(self) -> None:
+        while any(t == "head" for t, _ in self.open):
+            self._pop()
+
     def handle_starttag(self, tag, attrs):
         while self.open and tag in _ENDED_BY.get(self.open[-1][0], ()):
             self._pop()
+        if (tag not in _IN_HEAD and self.open and self.open[-1][0] == "head") or tag == "body":
+            self._end_head()
         if tag in _VOID:
             return
         named = dict(attrs)
@@ -68,6 +78,8 @@ class _PageText(HTMLParser):
             self._pop()
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.dropping:
             self.nodes.append(data)
 

@@ -119,10 +119,13 @@ def plan_text(p: Column) -> Column:
 
 
 def record_fingerprint(record: Column) -> Column:
-    """A digest of what a page offers, blind to plan order, display names, notes and times."""
+    """A digest of what a page offers, blind to plan order, display names, notes and times.
+
+    A record that does not say whether its prices are public counts as public.
+    """
     texts = F.array_sort(F.transform(record["plans"], lambda p: F.struct(p["key"].alias("k"), plan_text(p).alias("t"))))
     plans = F.array_join(F.transform(texts, lambda x: x["t"]), "||")
-    head = F.concat_ws("|", F.coalesce(record["currency"], F.lit("")), _truth(record["pricing_is_public"]).cast("string"))
+    head = F.concat_ws("|", F.coalesce(record["currency"], F.lit("")), F.coalesce(record["pricing_is_public"], F.lit(True)).cast("string"))
     return F.when(record.isNull(), "").otherwise(F.sha2(F.concat_ws("||", head, plans), 256))
 
 

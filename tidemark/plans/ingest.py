@@ -13,6 +13,7 @@ from tidemark.operators.diff import diff_readings, is_publishable
 from tidemark.operators.extract import Extractor, extract_records, pattern_extractor
 from tidemark.operators.html import clean_pages
 from tidemark.operators.records import record_fingerprint
+from tidemark.session import reliable_checkpoint
 
 __all__ = ["IngestRun", "ingest", "is_publishable"]
 
@@ -36,9 +37,9 @@ class IngestRun:
 def flat_plans(records: DataFrame) -> DataFrame:
     """``(slug, record)`` to a row per plan in the shape that the diff takes."""
     exploded = records.select(F.col("slug").alias("vendor"), F.posexplode("record.plans").alias("pos", "p"))
-    # Equal metrics of a plan: the last one counts.
-    metric = F.transform(F.array_distinct(F.transform("p.limits", lambda x: x["metric"])), lambda m: F.struct(
-        m.alias("key"), F.element_at(F.filter("p.limits", lambda x: x["metric"] == m), -1)["value"].alias("value")))
+    # Equal metrics of a plan stand side by side, since limits are sorted: the last one counts.
+    last = F.filter("p.limits", lambda x, i: ~F.coalesce(F.get("p.limits", i + 1)["metric"] == x["metric"], F.lit(False)))
+    metric = F.transform(last, lambda x: F.struct(x["metric"].alias("key"), x["value"].alias("value")))
     return exploded.select(
         "vendor", "p.key", "pos", "p.name", "p.monthly_price", "p.annual_price_per_month", "p.is_custom_pricing", "p.is_per_seat",
         F.map_from_entries(metric).alias("limits"), "p.features",
@@ -77,12 +78,14 @@ def ingest(
         .when(same, "same")
         .otherwise("read")
     )
-    judged = known.withColumn("outcome", status)
+    # Stored, so that no output parses the pages again.
+    judged = reliable_checkpoint(known.withColumn("outcome", status).drop("html", "url"))
     moved = judged.where("outcome = 'read'")
     snapshots = moved.where(~F.col("hash").eqNullSafe(F.col("_last"))).select("slug", F.lit(day).cast("date").alias("day"), "text", "hash")
-    costed = moved.withColumns({"cost": extraction_cost(F.col("text")), "run": F.lit(day)})
-    paid = gate.budget_cutoff(costed, "run", "pos", "cost", budget)
-    read = extract_records(paid.select("slug", "text", "hash", "_held"), extractor=extractor).persist()
+    # Costs are summed without the texts; the pages that are paid for are joined back.
+    costed = moved.select("slug", "pos", extraction_cost(F.col("text")).alias("cost"), F.lit(day).alias("run"))
+    paid = moved.join(gate.budget_cutoff(costed, "run", "pos", "cost", budget).select("slug", "pos"), ["slug", "pos"], "left_semi")
+    read = reliable_checkpoint(extract_records(paid.select("slug", "text", "_held"), extractor=extractor).drop("text"))
 
     compared = read.where("record IS NOT NULL").join(baseline.select("slug", F.col("record").alias("_base")), "slug", "left")
     fp = {n: record_fingerprint(F.col(n)) for n in ("record", "_base", "_held")}

@@ -22,20 +22,21 @@ def index_page(spark, sf_dir):
     return render.index_rows(V.heads(spark, sf_dir))
 
 
-@query(f"""WITH {V.VENDORS}, {V.PLANS}, {V.CHANGES}, f AS (SELECT vendor, bool_or(is_per_seat) AS per_seat FROM plans_v WHERE year = {V.NEW_YEAR} GROUP BY vendor),
+@query(f"""WITH {V.VENDORS}, {V.PLANS}, {V.CHANGES}, {V.CURRENT}, f AS (
+    SELECT vendor, bool_or(is_free) AS free, bool_or(is_custom_pricing) AS custom, bool_or(is_per_seat) AS per_seat FROM current_v GROUP BY vendor),
   c AS (SELECT vendor, count(*) AS changes FROM changes_v GROUP BY vendor)
-  SELECT v.category, v.name, v.vendor, false AS free, false AS custom, f.per_seat, coalesce(c.changes, 0) AS changes
+  SELECT v.category, v.name, v.vendor, f.free, f.custom, f.per_seat, coalesce(c.changes, 0) AS changes
   FROM vendors_v v JOIN f ON f.vendor = v.vendor LEFT JOIN c ON c.vendor = v.vendor""")
 def category_page(spark, sf_dir):
-    own = V.plans(spark, sf_dir).where(F.col("year") == V.NEW_YEAR)
+    own = V.newest(V.plans(spark, sf_dir))
     return site.category_page(V.vendors(spark, sf_dir), own, V.changes(spark, sf_dir))
 
 
-@query(f"""WITH {V.PLANS} SELECT vendor, name, is_addon AS addon, coalesce(nullif(monthly_price, 0), nullif(annual_price_per_month, 0)) AS price,
-  CASE WHEN monthly_price <> 0 THEN 'monthly' WHEN annual_price_per_month <> 0 THEN 'annual' ELSE 'none' END AS shown,
-  CASE WHEN is_per_seat THEN 'per seat' ELSE 'flat' END AS billing, 'quantity ' || round(quantity)::BIGINT AS limits FROM plans_v WHERE year = {V.NEW_YEAR}""")
+@query(f"""WITH {V.PLANS}, {V.CURRENT} SELECT vendor, name, is_addon AS addon, coalesce(nullif(monthly_price, 0), nullif(annual_price_per_month, 0)) AS price,
+  CASE WHEN is_custom_pricing THEN 'contact' WHEN is_free THEN 'free' WHEN monthly_price <> 0 THEN 'monthly' WHEN annual_price_per_month <> 0 THEN 'annual' ELSE 'none' END AS shown,
+  CASE WHEN is_per_seat THEN 'per seat' ELSE 'flat' END AS billing, 'quantity ' || round(quantity)::BIGINT AS limits FROM current_v""")
 def vendor_page(spark, sf_dir):
-    return site.vendor_page(V.plans(spark, sf_dir).where(F.col("year") == V.NEW_YEAR))
+    return site.vendor_page(V.newest(V.plans(spark, sf_dir)))
 
 
 @query(f"""WITH {EVENTS}, {V.VENDORS} SELECT e.vendor, e.change_type, count(*) AS events, count(v.vendor) AS registered

@@ -223,14 +223,14 @@ _RAW_NAME = "'  ' || name || ' Plan '"
 
 
 def _nested(spark, sf_dir):
-    """Raw nested records: a supplier's plans of the newer year, as an extractor would deliver them."""
-    rows = V.plans(spark, sf_dir).where(F.col("year") == V.NEW_YEAR)
+    """Raw nested records: a supplier's plans of each year, as an extractor would deliver them."""
+    rows = V.plans(spark, sf_dir)
     plan = F.struct(
         F.expr(_RAW_NAME).alias("name"),
         F.col("monthly_price").cast("string").alias("monthly_price"),
         F.col("annual_price_per_month").cast("string").alias("annual_price_per_month"),
-        F.lit(None).cast("boolean").alias("is_free"),
-        F.lit(False).alias("is_custom_pricing"),
+        "is_free",
+        "is_custom_pricing",
         "is_per_seat",
         "is_addon",
         F.lit("many").alias("min_seats"),
@@ -239,35 +239,36 @@ def _nested(spark, sf_dir):
         F.transform("features", lambda f: F.concat(F.lit(" "), f)).alias("features"),
     )
     # A supplier's plans of a year make one record, the unit of the data model.
-    grouped = rows.groupBy("vendor").agg(F.collect_list(plan).alias("plans"))
+    grouped = rows.groupBy("vendor", "year").agg(F.collect_list(plan).alias("plans"))
     raw = F.struct(F.lit(" usd").alias("currency"), F.lit(None).cast("boolean").alias("pricing_is_public"), F.lit(" ").alias("extraction_notes"), F.col("plans")).cast(records.RAW_RECORD)
-    return grouped.select("vendor", records.normalize_record(raw).alias("record"))
+    return grouped.select("vendor", "year", records.normalize_record(raw).alias("record"))
 
 
 _NORMAL = f"""{V.PLANS}, normal_v AS (
-  SELECT vendor, name || ' Plan' AS name, key, round(monthly_price, 2) AS monthly_price, round(annual_price_per_month, 2) AS annual_price_per_month,
+  SELECT vendor, year, name || ' Plan' AS name, key, is_free, is_custom_pricing, round(monthly_price, 2) AS monthly_price, round(annual_price_per_month, 2) AS annual_price_per_month,
     is_per_seat, is_addon, round(quantity, 2) AS quantity, list_transform(features, lambda f: lower(f)) AS features
-  FROM plans_v WHERE year = {V.NEW_YEAR})"""
+  FROM plans_v)"""
 
 
-@query(f"""WITH {_NORMAL} SELECT vendor, (row_number() OVER (PARTITION BY vendor ORDER BY monthly_price, key))::INTEGER AS place, name, key,
-  monthly_price, annual_price_per_month, is_per_seat, is_addon, 14 AS trial_days, quantity, array_to_string(features, ',') AS features,
+@query(f"""WITH {_NORMAL} SELECT vendor, year, (row_number() OVER (PARTITION BY vendor, year ORDER BY monthly_price, key))::INTEGER AS place, name, key,
+  monthly_price, annual_price_per_month, is_free, is_custom_pricing AS custom, is_per_seat, is_addon, 14 AS trial_days, quantity, array_to_string(features, ',') AS features,
   'USD' AS currency, false AS public FROM normal_v""")
 def normalize_plans(spark, sf_dir):
-    rows = _nested(spark, sf_dir).select("vendor", "record", F.posexplode("record.plans").alias("pos", "p"))
+    rows = _nested(spark, sf_dir).select("vendor", "year", "record", F.posexplode("record.plans").alias("pos", "p"))
     return rows.select(
-        "vendor", (F.col("pos") + 1).alias("place"), "p.name", "p.key", "p.monthly_price", "p.annual_price_per_month", "p.is_per_seat", "p.is_addon",
+        "vendor", "year", (F.col("pos") + 1).alias("place"), "p.name", "p.key", "p.monthly_price", "p.annual_price_per_month",
+        "p.is_free", F.col("p.is_custom_pricing").alias("custom"), "p.is_per_seat", "p.is_addon",
         "p.trial_days", F.get("p.limits", F.lit(0))["value"].alias("quantity"), F.array_join("p.features", ",").alias("features"),
         F.col("record.currency").alias("currency"), F.col("record.pricing_is_public").alias("public"),
     )
 
 
-@query(f"""WITH {_NORMAL} SELECT vendor, sha256('USD|false||' || string_agg(
+@query(f"""WITH {_NORMAL} SELECT vendor, year, sha256('USD|false||' || string_agg(
     key || '|' || coalesce(round(monthly_price * 100)::BIGINT::VARCHAR, 'None') || '|' || coalesce(round(annual_price_per_month * 100)::BIGINT::VARCHAR, 'None')
-    || '|false|false|' || is_addon || '|quantity=' || round(quantity * 100)::BIGINT || '|' || array_to_string(features, ','), '||' ORDER BY key)) AS fingerprint
-  FROM normal_v GROUP BY vendor""")
+    || '|' || is_free || '|' || is_custom_pricing || '|' || is_addon || '|quantity=' || round(quantity * 100)::BIGINT || '|' || array_to_string(features, ','), '||' ORDER BY key)) AS fingerprint
+  FROM normal_v GROUP BY vendor, year""")
 def record_fingerprint(spark, sf_dir):
-    return _nested(spark, sf_dir).select("vendor", records.record_fingerprint(F.col("record")).alias("fingerprint"))
+    return _nested(spark, sf_dir).select("vendor", "year", records.record_fingerprint(F.col("record")).alias("fingerprint"))
 
 
 @query(f"""WITH {V.PLANS} SELECT vendor, year, key, coalesce(nullif(monthly_price, 0), nullif(annual_price_per_month, 0)) AS price,
@@ -282,15 +283,17 @@ def plan_price_basis(spark, sf_dir):
 @query(f"""WITH {V.PLANS} SELECT vendor, year, min(price) AS entry_price, max(price) AS top_price,
   CASE WHEN bool_and(basis = 'annual') THEN 'annual' ELSE 'monthly' END AS basis FROM (
     SELECT vendor, year, coalesce(monthly_price, annual_price_per_month) AS price, CASE WHEN monthly_price IS NULL THEN 'annual' ELSE 'monthly' END AS basis
-    FROM (SELECT vendor, year, is_addon, CASE WHEN quantity > 40 THEN monthly_price END AS monthly_price, annual_price_per_month FROM plans_v) WHERE NOT is_addon)
+    FROM (SELECT vendor, year, is_addon, is_custom_pricing, CASE WHEN quantity > 40 THEN monthly_price END AS monthly_price, annual_price_per_month FROM plans_v)
+    WHERE NOT is_addon AND NOT is_custom_pricing)
   WHERE price IS NOT NULL GROUP BY vendor, year""")
 def headline_prices(spark, sf_dir):
     rows = V.plans(spark, sf_dir).withColumn("monthly_price", F.when(F.col("limits")["quantity"] > 40, F.col("monthly_price")))
     return records.headline_prices(rows, ["vendor", "year"])
 
 
-@query(f"""WITH {V.PLANS} SELECT vendor, year, false AS free_real, coalesce(bool_or(is_per_seat) FILTER (NOT is_addon), false) AS seat_real, false AS custom_real,
-  false AS free_any, bool_or(is_per_seat) AS seat_any, false AS custom_any, count(*) FILTER (NOT is_addon) AS real_plans FROM plans_v GROUP BY vendor, year""")
+@query(f"""WITH {V.PLANS} SELECT vendor, year, coalesce(bool_or(is_free) FILTER (NOT is_addon), false) AS free_real,
+  coalesce(bool_or(is_per_seat) FILTER (NOT is_addon), false) AS seat_real, coalesce(bool_or(is_custom_pricing) FILTER (NOT is_addon), false) AS custom_real,
+  bool_or(is_free) AS free_any, bool_or(is_per_seat) AS seat_any, bool_or(is_custom_pricing) AS custom_any, count(*) FILTER (NOT is_addon) AS real_plans FROM plans_v GROUP BY vendor, year""")
 def vendor_flags(spark, sf_dir):
     return records.vendor_flags(V.plans(spark, sf_dir), ["vendor", "year"])
 
@@ -306,39 +309,42 @@ def aggregate_offer(spark, sf_dir):
     return records.aggregate_offer(V.plans(spark, sf_dir), ["vendor", "year"])
 
 
-# Differences between two yearly readings
+# Differences between each yearly reading and the one of the year before
 
 
 def _years(spark, sf_dir):
-    rows = V.plans(spark, sf_dir)
-    return tuple(rows.where(F.col("year") == y).drop("year") for y in (V.OLD_YEAR, V.NEW_YEAR))
+    return V.year_pairs(V.plans(spark, sf_dir), V.readings(spark, sf_dir))
+
 
+_SPLIT = ("vendor.vendor", "vendor.year")
 
-_YEARS = f"""{V.PLANS}, {V.READINGS}, o AS (SELECT * FROM plans_v WHERE year = {V.OLD_YEAR}), n AS (SELECT * FROM plans_v WHERE year = {V.NEW_YEAR}),
+_YEARS = f"""{V.PLANS}, {V.READINGS}, pair_years AS (SELECT b.vendor, b.year FROM readings_v a JOIN readings_v b ON a.vendor = b.vendor AND b.year = a.year + 1),
+o AS (SELECT p.* EXCLUDE (year), p.year + 1 AS year FROM plans_v p SEMI JOIN pair_years y ON y.vendor = p.vendor AND y.year = p.year + 1),
+n AS (SELECT p.* FROM plans_v p SEMI JOIN pair_years y ON y.vendor = p.vendor AND y.year = p.year),
 both_v AS (
-  SELECT n.vendor, n.key, n.name, o.monthly_price AS old_monthly, n.monthly_price AS new_monthly, o.annual_price_per_month AS old_annual,
+  SELECT n.vendor, n.year, n.key, n.name, o.name AS old_name, o.is_custom_pricing AS old_custom, n.is_custom_pricing AS new_custom, o.monthly_price AS old_monthly, n.monthly_price AS new_monthly, o.annual_price_per_month AS old_annual,
     n.annual_price_per_month AS new_annual, o.is_per_seat AS old_seat, n.is_per_seat AS new_seat, o.quantity AS old_quantity, n.quantity AS new_quantity,
-    o.features AS old_features, n.features AS new_features FROM o JOIN n ON o.vendor = n.vendor AND o.key = n.key)"""
+    o.features AS old_features, n.features AS new_features FROM o JOIN n ON o.vendor = n.vendor AND o.year = n.year AND o.key = n.key)"""
 
 
-@query(f"WITH {_YEARS} SELECT vendor, key, name, monthly_price FROM n ANTI JOIN o USING (vendor, key)")
+@query(f"WITH {_YEARS} SELECT vendor, year, key, name, monthly_price FROM n ANTI JOIN o USING (vendor, year, key)")
 def plans_added(spark, sf_dir):
     old, new = _years(spark, sf_dir)
-    return diff.plans_added(old, new).select("vendor", "key", "name", "monthly_price")
+    return diff.plans_added(old, new).select(*_SPLIT, "key", "name", "monthly_price")
 
 
-@query(f"WITH {_YEARS} SELECT vendor, key, name, monthly_price FROM o ANTI JOIN n USING (vendor, key)")
+@query(f"WITH {_YEARS} SELECT vendor, year, key, name, monthly_price FROM o ANTI JOIN n USING (vendor, year, key)")
 def plans_removed(spark, sf_dir):
     old, new = _years(spark, sf_dir)
-    return diff.plans_removed(old, new).select("vendor", "key", "name", "monthly_price")
+    return diff.plans_removed(old, new).select(*_SPLIT, "key", "name", "monthly_price")
 
 
-@query(f"""WITH {_YEARS} SELECT coalesce(o.vendor, n.vendor) AS vendor, coalesce(o.key, n.key) AS key, o.monthly_price AS old_price, n.monthly_price AS new_price,
-  CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'persisted' END AS fate FROM o FULL JOIN n ON o.vendor = n.vendor AND o.key = n.key""")
+@query(f"""WITH {_YEARS} SELECT coalesce(o.vendor, n.vendor) AS vendor, coalesce(o.year, n.year) AS year, coalesce(o.key, n.key) AS key, o.monthly_price AS old_price, n.monthly_price AS new_price,
+  CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'persisted' END AS fate FROM o FULL JOIN n ON o.vendor = n.vendor AND o.year = n.year AND o.key = n.key""")
 def plan_diff_outer(spark, sf_dir):
     joined = diff.join_versions(*map(diff.last_by_key, _years(spark, sf_dir)))
     fate = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("persisted")
-    return joined.select("vendor", "key", F.col("old.monthly_price").alias("old_price"), F.col("new.monthly_price").alias("new_price"), fate.alias("fate"))
+    return joined.select(*_SPLIT, "key", F.col("old.monthly_price").alias("old_price"), F.col("new.monthly_price").alias("new_price"), fate.alias("fate"))
 
 
 def _persisted(spark, sf_dir):
@@ -349,81 +355,84 @@ def _persisted(spark, sf_dir):
 _MOVE = "abs((new_monthly - old_monthly) / nullif(old_monthly, 0) * 100)"
 
 
-@query(f"WITH {_YEARS} SELECT vendor, key, old_monthly AS old_price, new_monthly AS new_price FROM both_v WHERE old_monthly <> new_monthly AND {_MOVE} < 1.0")
+@query(f"WITH {_YEARS} SELECT vendor, year, key, old_monthly AS old_price, new_monthly AS new_price FROM both_v WHERE old_monthly <> new_monthly AND {_MOVE} < 1.0")
 def rounding_noise(spark, sf_dir):
     a, b = F.col("old.monthly_price"), F.col("new.monthly_price")
-    return _persisted(spark, sf_dir).where((a != b) & diff.is_noise(a, b)).select("vendor", "key", a.alias("old_price"), b.alias("new_price"))
+    return _persisted(spark, sf_dir).where((a != b) & diff.is_noise(a, b)).select(*_SPLIT, "key", a.alias("old_price"), b.alias("new_price"))
 
 
-@query(f"""WITH {_YEARS} SELECT vendor, key, old_monthly AS old_price, new_monthly AS new_price FROM both_v
+@query(f"""WITH {_YEARS} SELECT vendor, year, key, old_monthly AS old_price, new_monthly AS new_price FROM both_v
   WHERE old_monthly > 0 AND (least(old_monthly, new_monthly) <= 0 OR greatest(old_monthly, new_monthly) / least(old_monthly, new_monthly) > 4.0)""")
 def implausible_moves(spark, sf_dir):
     a, b = F.col("old.monthly_price"), F.col("new.monthly_price")
-    return _persisted(spark, sf_dir).where(diff.is_implausible(a, b)).select("vendor", "key", a.alias("old_price"), b.alias("new_price"))
+    return _persisted(spark, sf_dir).where(diff.is_implausible(a, b)).select(*_SPLIT, "key", a.alias("old_price"), b.alias("new_price"))
 
 
-@query(f"WITH {_YEARS} SELECT vendor, key, 'quantity' AS metric, old_quantity AS old_limit, new_quantity AS new_limit FROM both_v WHERE old_quantity <> new_quantity")
+@query(f"WITH {_YEARS} SELECT vendor, year, key, 'quantity' AS metric, old_quantity AS old_limit, new_quantity AS new_limit FROM both_v WHERE old_quantity <> new_quantity")
 def limit_changes(spark, sf_dir):
     events = diff.plan_events(_persisted(spark, sf_dir), F.lit(False)).where("event.change_type = 'limit_changed'")
-    return events.select("vendor", "key", F.col("event.field").alias("metric"), F.col("event.old_num").alias("old_limit"), F.col("event.new_num").alias("new_limit"))
+    return events.select(*_SPLIT, "key", F.col("event.field").alias("metric"), F.col("event.old_num").alias("old_limit"), F.col("event.new_num").alias("new_limit"))
 
 
 @query(f"""WITH {_YEARS}
-  SELECT vendor, key, 'feature_added' AS change_type, f AS feature FROM both_v, unnest(list_filter(new_features, lambda x: NOT list_contains(old_features, x))) t(f)
+  SELECT vendor, year, key, 'feature_added' AS change_type, f AS feature FROM both_v, unnest(list_filter(new_features, lambda x: NOT list_contains(old_features, x))) t(f)
   UNION ALL
-  SELECT vendor, key, 'feature_moved_out', f FROM both_v, unnest(list_filter(old_features, lambda x: NOT list_contains(new_features, x))) t(f)""")
+  SELECT vendor, year, key, 'feature_moved_out', f FROM both_v, unnest(list_filter(old_features, lambda x: NOT list_contains(new_features, x))) t(f)""")
 def feature_changes(spark, sf_dir):
     events = diff.plan_events(_persisted(spark, sf_dir), F.lit(False)).where("event.field = 'features'")
-    return events.select("vendor", "key", "event.change_type", F.coalesce("event.new_text", "event.old_text").alias("feature"))
+    return events.select(*_SPLIT, "key", "event.change_type", F.coalesce("event.new_text", "event.old_text").alias("feature"))
 
 
-@query(f"""WITH {_YEARS} SELECT DISTINCT vendor, key, unnest(features) AS feature FROM o WHERE NOT is_addon
-  EXCEPT SELECT DISTINCT vendor, key, unnest(features) FROM n WHERE NOT is_addon""")
+@query(f"""WITH {_YEARS} SELECT DISTINCT vendor, year, key, unnest(features) AS feature FROM o WHERE NOT is_addon
+  EXCEPT SELECT DISTINCT vendor, year, key, unnest(features) FROM n WHERE NOT is_addon""")
 def feature_only_left(spark, sf_dir):
     old, new = _years(spark, sf_dir)
-    return records.all_features(old, ["vendor", "key"]).subtract(records.all_features(new, ["vendor", "key"]))
+    lost = records.all_features(old, ["vendor", "key"]).subtract(records.all_features(new, ["vendor", "key"]))
+    return lost.select(*_SPLIT, "key", "feature")
 
 
-@query(f"""WITH {_YEARS} SELECT vendor, key, round(CASE WHEN old_monthly <> 0 THEN (new_monthly - old_monthly) / old_monthly * 100 END, 6) AS pct FROM both_v""")
+@query(f"""WITH {_YEARS} SELECT vendor, year, key, round(CASE WHEN old_monthly <> 0 THEN (new_monthly - old_monthly) / old_monthly * 100 END, 6) AS pct FROM both_v""")
 def pct_change(spark, sf_dir):
     pct = T.percent_change(F.col("old.monthly_price"), F.col("new.monthly_price"))
-    return _persisted(spark, sf_dir).select("vendor", "key", F.round(pct, 6).alias("pct"))
+    return _persisted(spark, sf_dir).select(*_SPLIT, "key", F.round(pct, 6).alias("pct"))
 
 
 def _all_events(spark, sf_dir):
-    r = V.readings(spark, sf_dir)
-    old, new = (r.where(F.col("year") == y).drop("year") for y in (V.OLD_YEAR, V.NEW_YEAR))
-    return diff.diff_readings(*_years(spark, sf_dir), old, new)
+    readings = V.readings(spark, sf_dir)
+    events = diff.diff_readings(*_years(spark, sf_dir), *V.year_pairs(readings, readings))
+    return events.select(*_SPLIT, *(c for c in events.columns if c != "vendor"))
 
 
 _EVENTS = f"""{_YEARS}, pair_v AS (
-  SELECT a.vendor, a.currency AS old_currency, b.currency AS new_currency, a.pricing_is_public AS was, b.pricing_is_public AS now,
+  SELECT b.vendor, b.year, a.currency AS old_currency, b.currency AS new_currency, a.pricing_is_public AS was, b.pricing_is_public AS now,
     round(greatest(0, 0.95::DOUBLE - ((CASE WHEN b.extraction_notes <> '' THEN 0.15::DOUBLE ELSE 0 END)
       + (CASE coalesce(c.k, 0) WHEN 0 THEN 0.4::DOUBLE WHEN 1 THEN 0.1::DOUBLE ELSE 0 END) + 0.0::DOUBLE)), 2) AS base
-  FROM (SELECT * FROM readings_v WHERE year = {V.OLD_YEAR}) a JOIN (SELECT * FROM readings_v WHERE year = {V.NEW_YEAR}) b ON a.vendor = b.vendor
-  LEFT JOIN (SELECT vendor, count(*) AS k FROM n GROUP BY vendor) c ON c.vendor = b.vendor),
+  FROM readings_v a JOIN readings_v b ON a.vendor = b.vendor AND b.year = a.year + 1
+  LEFT JOIN (SELECT vendor, year, count(*) AS k FROM n GROUP BY ALL) c ON c.vendor = b.vendor AND c.year = b.year),
 priced AS (
-  SELECT vendor, key, name, 'monthly_price' AS field, old_monthly AS a, new_monthly AS b FROM both_v
-  UNION ALL SELECT vendor, key, name, 'annual_price_per_month', old_annual, new_annual FROM both_v),
+  SELECT vendor, year, key, name, 'monthly_price' AS field, old_monthly AS a, new_monthly AS b FROM both_v
+  UNION ALL SELECT vendor, year, key, name, 'annual_price_per_month', old_annual, new_annual FROM both_v),
 rules AS (
-  SELECT vendor, NULL AS key, 'pricing_hidden' AS change_type, NULL AS plan, NULL AS field, NULL::DOUBLE AS old_num, NULL::DOUBLE AS new_num,
+  SELECT vendor, year, NULL AS key, 'pricing_hidden' AS change_type, NULL AS plan, NULL AS field, NULL::DOUBLE AS old_num, NULL::DOUBLE AS new_num,
     'true' AS old_text, 'false' AS new_text, 1.0::DOUBLE AS share FROM pair_v WHERE was AND NOT now
-  UNION ALL SELECT vendor, NULL, 'pricing_published', NULL, NULL, NULL, NULL, 'false', 'true', 1.0 FROM pair_v WHERE now AND NOT was
-  UNION ALL SELECT vendor, NULL, 'currency_changed', NULL, 'currency', NULL, NULL, old_currency, new_currency, 0.4 FROM pair_v WHERE old_currency <> new_currency
-  UNION ALL SELECT vendor, key, 'plan_added', name, NULL, NULL, monthly_price, NULL, NULL, 1.0 FROM n ANTI JOIN o USING (vendor, key)
-  UNION ALL SELECT vendor, key, 'plan_removed', name, NULL, monthly_price, NULL, NULL, NULL, 1.0 FROM o ANTI JOIN n USING (vendor, key)
-  UNION ALL SELECT vendor, key, 'billing_model_changed', name, 'is_per_seat', NULL, NULL, old_seat::VARCHAR, new_seat::VARCHAR, 0.8 FROM both_v WHERE old_seat <> new_seat
-  UNION ALL SELECT p.vendor, key, 'price_availability_changed', name, field, a, b, NULL, NULL, 0.7 FROM priced p JOIN pair_v USING (vendor)
+  UNION ALL SELECT vendor, year, NULL, 'pricing_published', NULL, NULL, NULL, NULL, 'false', 'true', 1.0 FROM pair_v WHERE now AND NOT was
+  UNION ALL SELECT vendor, year, NULL, 'currency_changed', NULL, 'currency', NULL, NULL, old_currency, new_currency, 0.4 FROM pair_v WHERE old_currency <> new_currency
+  UNION ALL SELECT vendor, year, key, 'plan_added', name, NULL, NULL, monthly_price, NULL, NULL, 1.0 FROM n ANTI JOIN o USING (vendor, year, key)
+  UNION ALL SELECT vendor, year, key, 'plan_removed', name, NULL, monthly_price, NULL, NULL, NULL, 1.0 FROM o ANTI JOIN n USING (vendor, year, key)
+  UNION ALL SELECT vendor, year, key, 'plan_renamed', name, 'name', NULL, NULL, old_name, name, 1.0 FROM both_v WHERE old_name <> name
+  UNION ALL SELECT vendor, year, key, 'custom_pricing_changed', name, 'is_custom_pricing', NULL, NULL, old_custom::VARCHAR, new_custom::VARCHAR, 1.0 FROM both_v WHERE old_custom <> new_custom
+  UNION ALL SELECT vendor, year, key, 'billing_model_changed', name, 'is_per_seat', NULL, NULL, old_seat::VARCHAR, new_seat::VARCHAR, 0.8 FROM both_v WHERE old_seat <> new_seat
+  UNION ALL SELECT vendor, year, key, 'price_availability_changed', name, field, a, b, NULL, NULL, 0.7 FROM priced JOIN pair_v USING (vendor, year)
     WHERE old_currency = new_currency AND (a IS NULL) <> (b IS NULL)
-  UNION ALL SELECT p.vendor, key, CASE WHEN b > a THEN 'price_increase' ELSE 'price_decrease' END, name, field, a, b, NULL, NULL,
-      CASE WHEN a > 0 AND (least(a, b) <= 0 OR greatest(a, b) / least(a, b) > 4.0) THEN 0.3 ELSE 1.0 END FROM priced p JOIN pair_v USING (vendor)
+  UNION ALL SELECT vendor, year, key, CASE WHEN b > a THEN 'price_increase' ELSE 'price_decrease' END, name, field, a, b, NULL, NULL,
+      CASE WHEN a > 0 AND (least(a, b) <= 0 OR greatest(a, b) / least(a, b) > 4.0) THEN 0.3 ELSE 1.0 END FROM priced JOIN pair_v USING (vendor, year)
     WHERE old_currency = new_currency AND a <> b AND NOT (a <> 0 AND abs((b - a) / nullif(a, 0) * 100) < 1.0)
-  UNION ALL SELECT vendor, key, 'limit_changed', name, 'quantity', old_quantity, new_quantity, NULL, NULL, 0.9 FROM both_v WHERE old_quantity <> new_quantity
-  UNION ALL SELECT vendor, key, 'feature_added', name, 'features', NULL, NULL, NULL, f, 0.6 FROM both_v, unnest(list_filter(new_features, lambda x: NOT list_contains(old_features, x))) t(f)
-  UNION ALL SELECT vendor, key, 'feature_moved_out', name, 'features', NULL, NULL, f, NULL, 0.6 FROM both_v, unnest(list_filter(old_features, lambda x: NOT list_contains(new_features, x))) t(f)),
+  UNION ALL SELECT vendor, year, key, 'limit_changed', name, 'quantity', old_quantity, new_quantity, NULL, NULL, 0.9 FROM both_v WHERE old_quantity <> new_quantity
+  UNION ALL SELECT vendor, year, key, 'feature_added', name, 'features', NULL, NULL, NULL, f, 0.6 FROM both_v, unnest(list_filter(new_features, lambda x: NOT list_contains(old_features, x))) t(f)
+  UNION ALL SELECT vendor, year, key, 'feature_moved_out', name, 'features', NULL, NULL, f, NULL, 0.6 FROM both_v, unnest(list_filter(old_features, lambda x: NOT list_contains(new_features, x))) t(f)),
 events_v AS (
-  SELECT vendor, key, change_type, plan, field, old_num, new_num, old_text, new_text, round(base * share, 4) AS confidence, round(base * share, 4) >= 0.80 AS publishable
-  FROM rules JOIN pair_v USING (vendor))"""
+  SELECT vendor, year, key, change_type, plan, field, old_num, new_num, old_text, new_text, round(base * share, 4) AS confidence, round(base * share, 4) >= 0.80 AS publishable
+  FROM rules JOIN pair_v USING (vendor, year))"""
 
 
 @query(f"WITH {_EVENTS} SELECT * FROM events_v")
@@ -532,15 +541,14 @@ def upper_median(spark, sf_dir):
     return benchmarks.upper_median(V.table(spark, sf_dir, "documents").select("source", "n_chars"), ["source"], "n_chars")
 
 
-_PAIRS = f"""{V.HEADS}, {V.CHANGES}, lively AS (SELECT *, tier = 'daily' OR vendor IN (SELECT vendor FROM changes_v WHERE new_value > 900) AS l FROM heads_v WHERE entry_price IS NOT NULL),
+_PAIRS = f"""{V.HEADS}, {V.CHANGES}, lively AS (SELECT *, tier = 'daily' OR vendor IN (SELECT vendor FROM changes_v) AS l FROM heads_v WHERE entry_price IS NOT NULL),
   pairs_v AS (SELECT a.category, a.vendor AS vendor_a, b.vendor AS vendor_b, a.name AS name_a, b.name AS name_b, a.slug || '-vs-' || b.slug AS pair,
-    a.entry_price AS entry_price_a, b.entry_price AS entry_price_b, a.currency AS currency_a, b.currency AS currency_b, a.per_seat AS per_seat_a, b.per_seat AS per_seat_b,
+    a.entry_price AS entry_price_a, b.entry_price AS entry_price_b, a.currency AS currency_a, b.currency AS currency_b, a.per_seat AS per_seat_a, b.per_seat AS per_seat_b, a.has_free AS has_free_a, b.has_free AS has_free_b,
     a.plans AS plans_a, b.plans AS plans_b FROM lively a JOIN lively b ON a.category = b.category AND a.name < b.name WHERE a.l OR b.l)"""
 
 
 def _pairs(spark, sf_dir):
-    lively = V.changes(spark, sf_dir).where("new_value > 900")
-    return benchmarks.comparison_pairs(V.heads(spark, sf_dir), lively)
+    return benchmarks.comparison_pairs(V.heads(spark, sf_dir), V.changes(spark, sf_dir))
 
 
 @query(f"WITH {_PAIRS} SELECT category, vendor_a, vendor_b, pair FROM pairs_v")
@@ -563,7 +571,8 @@ def compare_gap_bucket(spark, sf_dir):
     return _pairs(spark, sf_dir).select("pair", benchmarks.gap_bucket(F.col("entry_price_a"), F.col("entry_price_b")).alias("bucket"))
 
 
-@query(f"""WITH {_PAIRS} SELECT pair, array_to_string(list_filter([CASE WHEN per_seat_a <> per_seat_b THEN 'billing differs' END,
+@query(f"""WITH {_PAIRS} SELECT pair, array_to_string(list_filter([CASE WHEN has_free_a AND NOT has_free_b THEN 'only first has a free plan' END,
+  CASE WHEN has_free_b AND NOT has_free_a THEN 'only second has a free plan' END, CASE WHEN per_seat_a <> per_seat_b THEN 'billing differs' END,
   CASE WHEN plans_a > plans_b THEN 'first has more plans' END, CASE WHEN plans_a < plans_b THEN 'second has more plans' END], lambda x: x IS NOT NULL), '; ') AS facts FROM pairs_v""")
 def compare_facts(spark, sf_dir):
     return benchmarks.compare_facts(_pairs(spark, sf_dir)).select("pair", F.array_join("facts", "; ").alias("facts"))
@@ -575,10 +584,10 @@ def vendor_siblings(spark, sf_dir):
     return benchmarks.siblings(V.vendors(spark, sf_dir))
 
 
-@query(f"WITH {V.VENDORS}, {V.READINGS} SELECT vendor, currency FROM readings_v ANTI JOIN vendors_v USING (vendor) WHERE year = {V.NEW_YEAR}")
+@query(f"WITH {V.VENDORS}, {V.READINGS} SELECT vendor, year, currency FROM readings_v ANTI JOIN vendors_v USING (vendor)")
 def orphan_records(spark, sf_dir):
-    found = V.readings(spark, sf_dir).where(F.col("year") == V.NEW_YEAR)
-    return benchmarks.orphan_records(found, V.vendors(spark, sf_dir), "vendor").select("vendor", "currency")
+    found = V.readings(spark, sf_dir)
+    return benchmarks.orphan_records(found, V.vendors(spark, sf_dir), "vendor").select("vendor", "year", "currency")
 
 
 # History and feeds
@@ -668,15 +677,15 @@ def digest_by_category(spark, sf_dir):
     return digest.withColumn("latest", F.col("latest").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {_EVENTS} SELECT vendor, key, change_type, field, confidence, (row_number() OVER (
-  ORDER BY confidence, vendor, coalesce(key, ''), change_type, coalesce(field, ''), coalesce(old_text, ''), coalesce(new_text, '')))::BIGINT AS rank
+@query(f"""WITH {_EVENTS} SELECT vendor, year, key, change_type, field, confidence, (row_number() OVER (
+  ORDER BY confidence, vendor, year, coalesce(key, ''), change_type, coalesce(field, ''), coalesce(old_text, ''), coalesce(new_text, '')))::BIGINT AS rank
   FROM events_v WHERE NOT publishable""")
 def review_queue(spark, sf_dir):
     events = _all_events(spark, sf_dir)
     for c in ("key", "field", "old_text", "new_text"):
         events = events.withColumn(f"_{c}", F.coalesce(c, F.lit("")))
-    ranked = reports.review_queue(events, ["vendor", "_key", "change_type", "_field", "_old_text", "_new_text"])
-    return ranked.select("vendor", "key", "change_type", "field", "confidence", F.col("rank").cast("long").alias("rank"))
+    ranked = reports.review_queue(events, ["vendor", "year", "_key", "change_type", "_field", "_old_text", "_new_text"])
+    return ranked.select("vendor", "year", "key", "change_type", "field", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT c_mktsegment, count(*) FILTER (hit) AS shown, count(*) AS total FROM (

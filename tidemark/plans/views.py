@@ -33,7 +33,10 @@ VENDORS = """vendors_v AS (
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly readings of a supplier's plans: one per part brand that it shipped."""
+    """Yearly readings of a supplier's plans: one per part brand that it shipped.
+
+    How many lines a plan has decides what else is said of it: a plus after its name, free, custom.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year")
     )
@@ -44,6 +47,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.count("*") % 2 != 0, F.max("l_extendedprice")).alias("annual_price_per_month"),
         (F.max("l_linenumber") > 6).alias("is_per_seat"),
         F.max("l_quantity").alias("quantity"),
+        F.count("*").alias("lines"),
         F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("features"),
     )
     return rows.select(
@@ -51,11 +55,11 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "year",
         F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]", "").alias("key"),
         F.lit(0).alias("pos"),
-        "name",
+        F.concat("name", F.when(F.col("lines") % 3 == 0, "+").otherwise("")).alias("name"),
         "monthly_price",
         "annual_price_per_month",
-        F.lit(False).alias("is_free"),
-        F.lit(False).alias("is_custom_pricing"),
+        (F.col("lines") % 5 == 0).alias("is_free"),
+        (F.col("lines") % 7 == 0).alias("is_custom_pricing"),
         "is_per_seat",
         F.col("name").endswith("5").alias("is_addon"),
         F.create_map(F.lit("quantity"), F.col("quantity")).alias("limits"),
@@ -64,11 +68,12 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS = """plans_v AS (
-  SELECT l_suppkey AS vendor, year(l_shipdate)::INTEGER AS year, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS key, p_brand AS name,
+  SELECT l_suppkey AS vendor, year(l_shipdate)::INTEGER AS year, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS key,
+         p_brand || CASE WHEN count(*) % 3 = 0 THEN '+' ELSE '' END AS name, count(*) % 5 = 0 AS is_free, count(*) % 7 = 0 AS is_custom_pricing,
          min(l_extendedprice) AS monthly_price, CASE WHEN count(*) % 2 <> 0 THEN max(l_extendedprice) END AS annual_price_per_month,
          max(l_linenumber) > 6 AS is_per_seat, p_brand LIKE '%5' AS is_addon, max(l_quantity) AS quantity,
          list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS features
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, year(l_shipdate), p_brand)"""
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +95,24 @@ READINGS = """readings_v AS (
          CASE WHEN l_suppkey % 10 = 3 THEN 'partly read' ELSE '' END AS extraction_notes
   FROM lineitem)"""
 
-#: The two years that the comparison queries read.
-OLD_YEAR, NEW_YEAR = 1996, 1997
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """Of rows by vendor and year those of each vendor's newest year: its current record."""
+    last = rows.groupBy("vendor").agg(F.max("year").alias("year"))
+    return rows.join(last, ["vendor", "year"], "left_semi")
+
+
+CURRENT = "current_v AS (SELECT * FROM plans_v QUALIFY year = max(year) OVER (PARTITION BY vendor))"
+
+
+def year_pairs(rows: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(old, new): each year's rows beside those of the year before, for every year whose
+    vendor has a reading in both. ``vendor`` becomes a struct of vendor and newer year."""
+    known = readings.select("vendor", "year")
+    side = lambda add: rows.withColumn("vendor", F.struct("vendor", (F.col("year") + add).alias("year"))).drop("year")
+    both = known.join(known.select("vendor", (F.col("year") + 1).alias("year")), ["vendor", "year"]).select(F.struct("vendor", "year").alias("vendor"))
+    return side(1).join(both, "vendor", "left_semi"), side(0).join(both, "vendor", "left_semi")
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,25 +190,26 @@ STATE = f"""{CHECKS}, state_v AS (
          max(checked_at)::DATE AS last_checked FROM checks_v GROUP BY slug)"""
 
 
-def heads(spark: SparkSession, sf_dir: str, year: int = NEW_YEAR) -> DataFrame:
-    """Registered vendors with what their plans of a year say at a glance."""
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered vendors with what their current plans say at a glance."""
     from tidemark.operators.records import headline_prices, vendor_flags
 
-    own = plans(spark, sf_dir).where(F.col("year") == year)
-    flags = vendor_flags(own, ["vendor"]).select("vendor", F.col("free_real").alias("has_free"), F.col("seat_real").alias("per_seat"), F.col("real_plans").alias("plans"))
-    money = readings(spark, sf_dir).where(F.col("year") == year).select("vendor", "currency")
+    own = newest(plans(spark, sf_dir))
+    flags = vendor_flags(own, ["vendor"]).select("vendor", F.col("free_real").alias("has_free"), F.col("seat_real").alias("per_seat"), F.col("custom_real").alias("custom"), F.col("real_plans").alias("plans"))
+    money = newest(readings(spark, sf_dir)).select("vendor", "currency")
     joined = vendors(spark, sf_dir).join(money, "vendor").join(headline_prices(own, ["vendor"]), "vendor", "left").join(flags, "vendor", "left")
     return joined.select(
         "vendor", "name", "slug", "category", "tier", "currency", "entry_price", "top_price", F.coalesce("has_free", F.lit(False)).alias("has_free"),
-        F.coalesce("per_seat", F.lit(False)).alias("per_seat"), F.coalesce("plans", F.lit(0)).cast("long").alias("plans"),
+        F.coalesce("per_seat", F.lit(False)).alias("per_seat"), F.coalesce("custom", F.lit(False)).alias("custom"), F.coalesce("plans", F.lit(0)).cast("long").alias("plans"),
     )
 
 
-HEADS = f"""{VENDORS}, {PLANS}, {READINGS}, priced_v AS (
-  SELECT vendor, coalesce(nullif(monthly_price, 0), nullif(annual_price_per_month, 0)) AS price FROM plans_v WHERE year = {NEW_YEAR} AND NOT is_addon),
+HEADS = f"""{VENDORS}, {PLANS}, {READINGS}, {CURRENT}, priced_v AS (
+  SELECT vendor, coalesce(nullif(monthly_price, 0), nullif(annual_price_per_month, 0)) AS price FROM current_v WHERE NOT is_addon AND NOT is_custom_pricing),
 heads_v AS (
-  SELECT v.vendor, v.name, v.slug, v.category, v.tier, r.currency, p.entry_price, p.top_price, false AS has_free,
-         coalesce(f.per_seat, false) AS per_seat, coalesce(f.plans, 0)::BIGINT AS plans
-  FROM vendors_v v JOIN readings_v r ON r.vendor = v.vendor AND r.year = {NEW_YEAR}
+  SELECT v.vendor, v.name, v.slug, v.category, v.tier, r.currency, p.entry_price, p.top_price, coalesce(f.has_free, false) AS has_free,
+         coalesce(f.per_seat, false) AS per_seat, coalesce(f.custom, false) AS custom, coalesce(f.plans, 0)::BIGINT AS plans
+  FROM vendors_v v JOIN (SELECT * FROM readings_v QUALIFY year = max(year) OVER (PARTITION BY vendor)) r ON r.vendor = v.vendor
   LEFT JOIN (SELECT vendor, min(price) AS entry_price, max(price) AS top_price FROM priced_v WHERE price IS NOT NULL GROUP BY vendor) p ON p.vendor = v.vendor
-  LEFT JOIN (SELECT vendor, bool_or(is_per_seat) AS per_seat, count(*) AS plans FROM plans_v WHERE year = {NEW_YEAR} AND NOT is_addon GROUP BY vendor) f ON f.vendor = v.vendor)"""
+  LEFT JOIN (SELECT vendor, bool_or(is_free) AS has_free, bool_or(is_per_seat) AS per_seat, bool_or(is_custom_pricing) AS custom, count(*) AS plans
+             FROM current_v WHERE NOT is_addon GROUP BY vendor) f ON f.vendor = v.vendor)"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +19,30 @@ def session(name: str = "tidemark", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: The temporary folder of a session on one machine that has no shared one.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Without that setting a session on one machine gets a temporary folder, the same for all
+    calls; on a cluster, whose machines would not see it, the setting is asked for.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("folder")
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder (see :func:`shared_folder`) and cut its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

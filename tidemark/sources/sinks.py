@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def append_changes(changes: DataFrame, path: str, batch: int | str) -> None:
-    """Write a batch of changes once, split by ``publishable``; writing it again replaces it."""
-    tagged = changes.withColumn("batch", F.lit(str(batch)))
-    writer = tagged.write.partitionBy("batch", "publishable").mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Write a batch of changes once, split by ``publishable``; writing it again replaces it whole,
+    also where the rerun has no rows on one side."""
+    writer = changes.drop("batch").write.partitionBy("publishable").mode("overwrite")
+    writer.option("partitionOverwriteMode", "static").parquet(f"{path}/batch={batch}")
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
