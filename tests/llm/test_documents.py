@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +18,7 @@ from tidemark.llm.secrets import base_spans, linked_spans, scan_secrets
 from tidemark.llm.toxicity import FtrlSettings, ftrl, score_toxicity
 from tidemark.llm.urls import filter_urls
 from tidemark.llm.queries import URL_RULES, vocabulary
+from tidemark.llm.words import Runs, batch_words
 
 
 # 1 mixing
@@ -242,18 +244,31 @@ def test_byte_characters_are_distinct():
 # 7 line dedup
 
 
+def test_word_hashes_follow_from_the_words_alone():
+    texts = ["a bb  ccc", None, "", " \t\n", "bb\x0bA\x0ca Ünï\u00a0x ccc\r", "x" * 3000 + " a", "a"]
+    words = batch_words(pa.array(["skipped", *texts]).slice(1))
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert np.diff(words.bounds).tolist() == [len(w) for w in split]
+    names = dict(zip(words.hashes.tolist(), sum(split, []), strict=True))
+    assert len(names) == len(set(sum(split, []))) and [names[h] for h in words.hashes.tolist()] == sum(split, [])
+    low = batch_words(pa.array(["Ab É", "aB É"]), lower=True).hashes
+    assert low[0] == low[2] and low[1] == low[3] and len(batch_words(pa.array([], pa.string())).hashes) == 0
+    runs = Runs(words.hashes)
+    assert runs.of(np.array([0]), np.array([1])) == runs.of(np.array([len(words.hashes) - 1]), np.array([len(words.hashes)]))
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    df = spark.createDataFrame([(1, text, 5), (2, text, 6)], "doc_id long, text string, `a.b` int")
+    df = spark.createDataFrame([(1, text, 5, 1, 2, 3), (2, text, 6, 1, 2, 3)], "doc_id long, text string, `a.b` int, d int, r int, Removed_Words int")
     out = remove_repeated_lines(df)
-    assert out.columns == ["doc_id", "text", "a.b", "removed_lines"]
-    assert sorted(map(tuple, out.collect())) == [(1, text, 5, []), (2, "", 6, [0])]
+    assert out.columns == ["doc_id", "text", "a.b", "d", "r", "removed_words"]
+    assert sorted(map(tuple, out.collect())) == [(1, text, 5, 1, 2, []), (2, "", 6, 1, 2, [(0, 60)])]
 
 
 def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     line = lambda k: " ".join(f"w{rng.integers(10**6)}" for _ in range(k))
-    long, parts, short = line(60), [line(20), "", line(25), line(10)], line(12)
+    long, parts, short, exact = line(60), [line(20), "", line(25), line(10)], line(12), line(50)
     texts = []
     for i in range(40):
         own = [line(int(rng.integers(5, 30))) for _ in range(6)]
@@ -261,22 +276,38 @@ def test_line_dedup_equals_brute_force(spark):
             own[2:2] = [long]
         if i % 4 == 1:
             own[4:4] = [p.replace(" ", "  ") for p in parts]
+        if i % 5 == 2:  # inside a line, with and without its ends
+            own[3] = f"{line(3)} {exact if i % 2 else long[:-8]} {line(i % 3)}"
         own[1:1] = [short]
         texts.append("\n".join(own))
-    texts += [texts[0], None, "", "\n\n", "\n".join([short] * 12), f"{short}\r\n{long}\t\n"]
+    edited = texts[3].split(" ")
+    edited[len(edited) // 2] = "edited"
+    texts += [texts[0], " ".join(edited), None, "", "\n\n", "\n".join([short] * 12), f"{short}\r\n{long}\t\n", "of " * 300, "x " + "of " * 120, line(49), "ü é " * 80]
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (100, texts[0])]
-    df = spark.createDataFrame([(d, t, "k", 9) for d, t in rows], "doc_id long, text string, row string, removed_lines int")
-    out = remove_repeated_lines(df)
-    assert out.columns == ["doc_id", "text", "row", "removed_lines"]
+    df = spark.createDataFrame([(d, t, "k", 9) for d, t in rows], "doc_id long, text string, row string, removed_words int")
+    out = remove_repeated_lines(df.repartition(5))
+    assert out.columns == ["doc_id", "text", "row", "removed_words"]
     got = out.collect()
     want = dedup_oracle(rows)
     assert len(got) == len(rows)
-    assert sorted((str(r["doc_id"]), r["text"], r["removed_lines"]) for r in got if r["text"] is not None) == sorted(
-        (str(d), *want[d, t]) for d, t in rows if t is not None
+    plain = lambda d, t, spans: (str(d), t, [tuple(s) for s in spans])
+    assert sorted(plain(r["doc_id"], r["text"], r["removed_words"]) for r in got if r["text"] is not None) == sorted(
+        plain(d, *want[d, t]) for d, t in rows if t is not None
     )
     assert remove_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_few_words_equals_brute_force(spark):
+    # Few different words and short runs: marks repeat, contexts differ and runs overlap.
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 60)), p=[0.8, 0.1, 0.1])) for _ in range(60)]
+    texts += [" ".join(["a b"] * 30), "a " * 70]
+    rows = list(enumerate(texts))
+    got = remove_repeated_lines(spark.createDataFrame([(str(1000 + i), t) for i, t in rows], "doc_id string, text string"), least_words=8).collect()
+    want = dedup_oracle(rows, 8)
+    assert {r["doc_id"]: (r["text"], [tuple(s) for s in r["removed_words"]]) for r in got} == {str(1000 + i): want[i, t] for i, t in rows}
+
+
 # 8 toxicity
 
 

@@ -1,6 +1,7 @@
 """Plain-Python versions that several tests compare with."""
 
 import base64
+import re
 
 
 def roots(links, nodes):
@@ -42,29 +43,31 @@ def jaccard_oracle(rows):
 
 
 def dedup_oracle(rows, least=50):
-    """Delete every later place of a run of whole lines of ``least`` words or more."""
-    docs = []
-    for doc, text in sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
-        lines = [(i, tuple(x.split())) for i, x in enumerate(text.encode().split(b"\n"))]
-        docs.append((doc, text, [(i, w) for i, w in lines if w]))
+    """Delete every later place of a window of ``least`` words: {(id, text): (text, removed spans)}."""
+    docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    # Rows that share an id come in the order of a hash; tests give them nothing in common.
+    words = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for _, t in docs]
     first, gone = {}, {}
-    runs = []
-    for n, (_, _, lines) in enumerate(docs):
-        for i in range(len(lines)):
-            count = 0
-            for j in range(i, len(lines)):
-                count += len(lines[j][1])
-                if count >= least:
-                    runs.append((tuple(w for _, w in lines[i : j + 1]), n, lines[i][0], lines[j][0]))
-    for key, n, a, b in runs:
-        first[key] = min(first.get(key, (n, a, b)), (n, a, b))
-    for key, n, a, b in runs:
-        if first[key][0] != n or a > first[key][2]:
-            gone.setdefault(n, set()).update(range(a, b + 1))
-    return {
-        (doc, text): ("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(n, ())), sorted(gone.get(n, ())))
-        for n, (doc, text, _) in enumerate(docs)
-    }
+    places = [(tuple(docs[n][1][a:b] for a, b in w[i : i + least]), n, i) for n, w in enumerate(words) for i in range(len(w) - least + 1)]
+    for key, n, i in places:
+        first.setdefault(key, (n, i))
+    for key, n, i in places:
+        if first[key][0] != n or i >= first[key][1] + least:
+            gone.setdefault(n, set()).update(range(i, i + least))
+    out = {}
+    for n, (doc, text) in enumerate(docs):
+        off = sorted(gone.get(n, ()))
+        spans = [[a, a] for a in off if a - 1 not in gone[n]]
+        for s in spans:
+            while s[1] in gone[n]:
+                s[1] += 1
+        at = [a for a, _ in words[n]] + [len(text)]
+        kept, done = [], 0
+        for a, b in spans:
+            kept.append(text[done : at[a]])
+            done = at[b]
+        out[doc, text] = ("".join(kept) + text[done:], [tuple(s) for s in spans])
+    return out
 
 
 def tiktoken_encoding_of():

@@ -1,4 +1,4 @@
-"""Operator 7: line dedup by winnowing over line hashes."""
+"""Operator 7: line dedup by winnowing."""
 
 from __future__ import annotations
 
@@ -7,112 +7,226 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable_checkpoint
+from tidemark.llm.common import reliable_checkpoint, slices
+from tidemark.llm.words import Runs, Words, batch_words
 
+#: Bits of the table that tells which fingerprints stand in two places or more: 4 MB.
+TABLE_BITS = 25
+#: Documents are told apart by so many buckets before texts are shuffled.
+BUCKETS = 1 << 20
 
-def line_windows(words: list[int], least: int) -> set[tuple[int, int]]:
-    """Windows (first, last) of lines, both included, of ``least`` words or more.
 
-    From each line the shortest window that begins there and the shortest that ends
-    there. Any run of ``least`` words or more holds windows that cover all its lines.
+def window_minima(words: Words, runs: Runs, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, mark, line hashes): each window of ``least`` words in a text and its fingerprint.
+
+    A line is a run of half as many words, one from each word on. The mark of a window is
+    the place of the smallest line hash in it, the rightmost of equal ones, so that
+    it follows from the window's words alone.
+    """
+    k, n, left = least // 2, len(words.hashes), words.left()
+    start = np.flatnonzero(left >= least)
+    first = np.arange(max(0, n - k + 1))
+    lines = runs.of(first, first + k)
+    width, reach, best = 1, least - k + 1, first
+    while len(start) and width < reach:
+        step = min(width, reach - width)
+        one, two = best[:-step], best[step:]
+        best, width = np.where(lines[two] <= lines[one], two, one), width + step
+    return start, best[start] if len(start) else start, lines
+
+
+def marks_of(words: Words, least: int) -> tuple[np.ndarray, ...]:
+    """(text number, place in it, fingerprint, context) of the distinct window minima.
+
+    The context is the hash of all words that any window around the mark can hold.
     """
-    total = np.concatenate(([0], np.cumsum(words)))
-    last = np.searchsorted(total, total[:-1] + least, "left") - 1
-    first = np.searchsorted(total, total[1:] - least, "right") - 1
-    ahead = {(i, j) for i, j in enumerate(last.tolist()) if j < len(words)}
-    return ahead | {(i, j) for j, i in enumerate(first.tolist()) if i >= 0}
+    runs = Runs(words.hashes)
+    _, mark, lines = window_minima(words, runs, least)
+    mark = mark[np.concatenate(([True], mark[1:] != mark[:-1]))] if len(mark) else mark
+    row = np.searchsorted(words.bounds, mark, "right") - 1
+    low = np.maximum(words.bounds[row], mark - (least - least // 2))
+    high = np.minimum(words.bounds[row + 1], mark + least)
+    context = runs.of(low, high) + (mark - low).astype(np.uint64)
+    return row, mark - words.bounds[row], lines[mark], context
 
 
-def fingerprints(text: str, least: int) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, context, first line, last line) of each window of a text.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 20):
+            yield part, batch_words(part.column("text"))
 
-    The fingerprint is the smallest line hash in the window, the context the hash of all
-    of its lines: two texts that share a run share its windows, hence both. Lines without
-    words are passed over.
-    """
-    split = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-    number = [i for i, words in enumerate(split) if words]
-    count = [len(split[i]) for i in number]
-    if sum(count) < least:
-        return []
-    hashes = [xxhash.xxh3_64_intdigest(b" ".join(split[i])) for i in number]
-    raw = np.array(hashes, np.uint64).tobytes()
-    return [
-        (min(hashes[i : j + 1]), xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j + 8]), number[i], number[j])
-        for i, j in line_windows(count, least)
-    ]
-
-
-def _winnow(least: int):
+
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
+
+
+def _fingerprints(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words in _parts(batches):
+            yield pa.record_batch([_long(marks_of(words, least)[2])], ["mark"])
+
+    return run
+
+
+def _places(least: int, table: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, found = [], []
-            for i, text in enumerate(batch.column(1)):
-                marks = fingerprints(text.as_py() or "", least)
-                found += marks
-                row += [i] * len(marks)
-            columns = np.array(found, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(4))],
-                ["doc", "mark", "context", "first", "last"],
-            )
+        for part, words in _parts(batches):
+            row, pos, mark, context = marks_of(words, least)
+            bit = mark & np.uint64((1 << TABLE_BITS) - 1)
+            seen = (table.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            keys = [part.column(c).take(pa.array(row[seen])) for c in ("n", "i", "r")]
+            yield pa.record_batch([*keys, _long(pos[seen]), _long(mark[seen]), _long(context[seen])], ["n", "i", "r", "pos", "mark", "context"])
 
     return run
 
 
-def _cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
-    """Texts without the lines of the given numbers."""
+def _windows(least: int):
+    """Windows whose marks are listed in ``marks``, named by 128 bits of their words."""
 
-    def one(text, lines):
-        if text is None or lines is None or not len(lines):
-            return text
-        gone = set(lines.tolist())
-        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _parts(batches):
+            asked = part.column("marks")
+            runs = Runs(words.hashes)
+            start, mark, _ = window_minima(words, runs, least)
+            wanted = np.zeros(len(words.hashes) + 1, bool)
+            number = np.repeat(np.arange(len(part)), asked.value_lengths().to_numpy())
+            wanted[words.bounds[number] + asked.flatten().to_numpy()] = True
+            start = start[wanted[mark]]
+            row = np.searchsorted(words.bounds, start, "right") - 1
+            keys = [part.column(c).take(pa.array(row)) for c in ("n", "i", "r")]
+            names = [_long(Runs(words.hashes, kind).of(start, start + least)) for kind in (0, 1)]
+            yield pa.record_batch([*keys, _long(start - words.bounds[row]), *names], ["n", "i", "r", "pos", "w1", "w2"])
 
-    return pd.Series([one(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
+    return run
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
-    """Delete later repeats of line runs: all columns of ``docs`` with the text cut, and
-    ``removed_lines`` (numbers of deleted lines, from 0) beside them.
+def _cut(least: int):
+    """(text, removed) without the words of the windows that begin in the given ranges."""
+
+    def one(text: str, ranges: list) -> tuple[str, list[dict]]:
+        words = batch_words(pa.array([text]))
+        n = len(words.hashes)
+        change = np.zeros(n + 1, np.int64)
+        for low, high in ranges:
+            change[max(0, low)] += 1
+            change[min(high, n - least) + least] -= 1
+        gone = np.cumsum(change[:n]) > 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        first, last = edge[::2], edge[1::2]
+        at = np.append(words.starts, len(words.data))
+        data, kept, done = words.data.tobytes(), [], 0
+        for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True):
+            kept.append(data[done:a])
+            done = b
+        kept.append(data[done:])
+        return b"".join(kept).decode(), [{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+    def run(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        rows = [one(t, [(x["low"], x["high"]) for x in r]) if r is not None else (t, []) for t, r in zip(texts, ranges, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "removed"])
+
+    return F.pandas_udf(run, "text string, removed array<struct<start:int,end:int>>")
+
+
+def bit_table(hashes: DataFrame) -> Broadcast:
+    """A bit for each hash by its last bits, of fixed size; others may share it, none is left out."""
+    low = hashes.select((F.col("mark").bitwiseAND((1 << TABLE_BITS) - 1)).alias("v"))
+    rows = low.groupBy(F.shiftright("v", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("v").bitwiseAND(32767)).alias("bits"))
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    for r in rows.collect():
+        table[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose bucket is (``left_semi``) or is not (``left_anti``) one of those of ``keys``.
+
+    At most :data:`BUCKETS` numbers are broadcast. Rows of other keys may share a bucket.
+    """
+    bucket = F.pmod("r", F.lit(BUCKETS)).alias("b")
+    return rows.join(F.broadcast(keys.select(bucket).distinct()), F.pmod(rows["r"], F.lit(BUCKETS)) == F.col("b"), how)
+
+
+def repeated_windows(named: DataFrame, kind: str, least: int) -> DataFrame:
+    """(n, i, r, low, high): windows to cut, as ranges of their first words, of ``named(n, i, r, text)``."""
+    key = ["n", "i", "r"]
+    place = F.struct(*key, "pos").alias("at")
+    apart = (F.struct(*key) != F.struct("at.n", "at.i", "at.r")) | (F.col("pos") >= F.col("at.pos") + least)
+    hashes = named.select("text").mapInArrow(_fingerprints(least), "mark long")
+    shared = hashes.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1")
+    table = bit_table(shared)
+    marks = named.mapInArrow(_places(least, table), f"n boolean, i {kind}, r long, pos long, mark long, context long")
+
+    # Marks of one context have all their windows in common with the first of them. The
+    # checkpoint takes the sum's partitioning away, so that a passage of many rows can be split.
+    contexts = marks.groupBy("mark", "context").agg(F.min(place).alias("at"), F.count("*").alias("c"))
+    contexts = reliable_checkpoint(contexts)
+    later = marks.join(contexts.where("c > 1").drop("c"), ["mark", "context"]).where(F.struct(*key, "pos") != F.col("at"))
+    later = reliable_checkpoint(later.select(*key, "pos", "mark", apart.alias("apart")))
+    whole = later.where("apart").select(*key, (F.col("pos") - (least - least // 2)).alias("low"), F.col("pos").alias("high"))
+
+    # Where the contexts of a mark differ, runs end nearby: windows are compared one by one.
+    several = contexts.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark")
+    edges = contexts.select("at.*", "mark").unionByName(later.where("NOT apart").drop("apart"))
+    edges = edges.join(reliable_checkpoint(several), "mark").groupBy(*key).agg(F.collect_set("pos").alias("marks"))
+    edges = reliable_checkpoint(edges)
+    texts = _among(named, edges, "left_semi").join(edges, key).select(*key, "text", "marks")
+    windows = texts.mapInArrow(_windows(least), f"n boolean, i {kind}, r long, pos long, w1 long, w2 long")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = windows.join(reliable_checkpoint(earliest), ["w1", "w2"]).where(apart)
+    return whole.unionByName(met.select(*key, F.col("pos").alias("low"), F.col("pos").alias("high")))
+
+
+def _never_null(column: Column, kind: str) -> Column:
+    return F.coalesce(column, F.lit("") if kind == "string" else F.lit(0).cast(kind))
 
-    A run is a sequence of whole lines of ``least_words`` words or more, compared by their
-    words. The earliest place of a run, by id and line, stays; every later one goes,
-    also within a document where it does not overlap the earliest.
 
-    Method: windows of at least ``least_words`` words slide over the lines, forwards from
-    and backwards to each line; each is marked by the smallest line hash in it, so any
-    shared run has marks in common wherever it lies. Marks are joined by their windows'
-    content with the earliest place, and the joined windows together extend a match both
-    ways to the whole run. Minima are pre-aggregated and the joins are plain, so that a
-    passage in a third of the documents is split, not collected.
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50) -> DataFrame:
+    """Delete later repeats of word runs: all columns of ``docs`` with the text cut, and
+    ``removed_words`` (numbers of the deleted words, from 0, as start and end) beside them.
+
+    A run is a sequence of ``least_words`` words or more, wherever it begins and ends in
+    its lines, and words are compared exactly. Its earliest place, by id and word, stays;
+    every later one goes, also within a document where it does not overlap the earliest.
+    With a word go the blanks and line ends up to the next word that stays.
+
+    Method: a line of half of ``least_words`` words begins at each word, since a passage may
+    start inside a printed line. Windows over the line hashes select their minima, so that two
+    places of a run have fingerprints in common wherever it lies. Fingerprints are counted
+    first; only those of two places or more are joined by position. A match is extended both
+    ways: at once where all words around the fingerprints agree, else window by
+    window. Minima are pre-aggregated and the joins are plain, so that a passage
+    in a third of the documents is split, not collected. Texts that nothing is cut from,
+    told by their bucket, are not shuffled.
 
     Null, empty and short texts are left as they are; a text that consists of repeats
     becomes empty, and its row stays. Rows with a null id come after all others. Rows
     equal in id and text count as one document and are cut alike; rows that share only
     an id are told apart by a hash of their text. An empty table gives an empty result. A
-    column named ``removed_lines`` is replaced.
+    column named ``removed_words``, in any case, is replaced. Fingerprints, contexts and
+    windows are compared by 128 bits.
     """
-    others = [c for c in docs.columns if c != "removed_lines"]
-    named = docs.select(*(F.col(f"`{c}`") for c in others)).withColumn("_tm_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    doc = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_tm_row").alias("r"))
-    kind = docs.select(id_col).dtypes[0][1]
-    marks = named.select(doc.alias("doc"), F.col(text_col).alias("text")).mapInArrow(
-        _winnow(least_words), f"doc struct<n:boolean,i:{kind},r:bigint>, mark long, context long, first long, last long"
+    others = [c for c in docs.columns if c.lower() != "removed_words"]
+    kind = dict(docs.dtypes)[id_col]
+    kind = kind if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    # All input columns travel in one struct, so no name can clash.
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("d"))
+    held, text = F.col("d").getField(id_col), F.col("d").getField(text_col)
+    named = row.select(
+        held.isNull().alias("n"), _never_null(held.cast(kind), kind).alias("i"), F.xxhash64(held, text).alias("r"), text.alias("text"), "d"
     )
-    marks = reliable_checkpoint(marks)
-    place = F.struct("doc", "first", "last")
-    earliest = marks.groupBy("mark", "context").agg(F.min(place).alias("at"), F.count("*").alias("places")).where("places > 1")
-    # The checkpoint takes the sum's partitioning away, so that a passage of many rows can be split.
-    earliest = reliable_checkpoint(earliest.drop("places"))
-    later = marks.join(earliest, ["mark", "context"]).where("doc <> at.doc OR first > at.last")
-    runs = later.groupBy(F.col("doc.r").alias("_tm_row")).agg(F.collect_set(F.sequence("first", "last")).alias("_tm_runs"))
-    runs = runs.select("_tm_row", F.array_sort(F.array_distinct(F.flatten("_tm_runs"))).alias("_tm_gone"))
-    joined = named.join(runs, "_tm_row", "left")
-    cut = F.when(F.col("_tm_gone").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut, "string")(F.col(text_col), F.col("_tm_gone")))
-    gone = F.coalesce("_tm_gone", F.array().cast("array<long>")).alias("removed_lines")
-    return joined.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in others), gone)
+    ranges = repeated_windows(named.drop("d"), kind, least_words)
+    key = ["n", "i", "r"]
+    # Rows equal in id and text give the same ranges twice over; a text has as many as it has marks.
+    cuts = ranges.groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    cuts = reliable_checkpoint(cuts)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    shown = lambda text, removed: [*(text.alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in others), removed.alias("removed_words")]
+    as_they_are = _among(named, cuts, "left_anti").select(*shown(F.col("text"), none))
+    joined = _among(named.drop("text"), cuts, "left_semi").join(cuts, key, "left")
+    done = joined.select("d", _cut(least_words)(F.col("d").getField(text_col), F.col("ranges")).alias("cut"))
+    return as_they_are.unionByName(done.select(*shown(F.col("cut.text"), F.col("cut.removed"))))

@@ -156,30 +156,25 @@ FROM scored QUALIFY rank <= 20
 """
 
 OP7 = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
-), split AS (
-  SELECT doc_id, pos, {_WORDS.format(text='line')} AS w FROM lines
-), counted AS (
-  SELECT doc_id, pos, array_to_string(w, ' ') AS norm, len(w) AS k, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM split WHERE len(w) > 0
-), enough AS (
-  SELECT a.doc_id, a.pos AS f, b.pos AS t FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.k >= 50
+WITH words AS (
+  SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM words
 ), windows AS (
-  SELECT doc_id, f, min(t) AS t FROM enough GROUP BY doc_id, f UNION SELECT doc_id, max(f), t FROM enough GROUP BY doc_id, t
-), contents AS (
-  SELECT w.doc_id, w.f, w.t, string_agg(c.norm, chr(10) ORDER BY c.pos) AS content
-  FROM windows w JOIN counted c ON c.doc_id = w.doc_id AND c.pos BETWEEN w.f AND w.t GROUP BY ALL
+  SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS content FROM places
 ), earliest AS (
-  SELECT content, min(struct_pack(d := doc_id, f := f, t := t)) AS e FROM contents GROUP BY content
+  SELECT content, min(struct_pack(d := doc_id, p := pos)) AS e FROM windows GROUP BY content HAVING count(*) > 1
+), starts AS (
+  SELECT doc_id, pos FROM windows JOIN earliest USING (content) WHERE doc_id <> e.d OR pos >= e.p + 50
 ), gone AS (
-  SELECT DISTINCT c.doc_id, unnest(range(c.f, c.t + 1)) AS pos FROM contents c JOIN earliest USING (content) WHERE c.doc_id <> e.d OR c.f > e.t
-), cut AS (
-  SELECT l.doc_id, count(g.pos) AS n_removed, string_agg(g.pos::VARCHAR, ',' ORDER BY g.pos) AS removed,
-         string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept
-  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+  SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 50)))) AS g FROM starts GROUP BY doc_id
+), edges AS (
+  SELECT doc_id, g, list_sort(list_filter(g, lambda x: NOT list_contains(g, x - 1))) AS a, list_sort(list_filter(g, lambda x: NOT list_contains(g, x + 1))) AS b FROM gone
 )
-SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id
+SELECT w.doc_id, coalesce(len(g), 0)::BIGINT AS n_removed,
+       coalesce(array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || ':' || (b[i] + 1)), ','), '') AS removed,
+       sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i - 1)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM words w LEFT JOIN edges e ON e.doc_id = w.doc_id
 """
 
 OP9 = f"""

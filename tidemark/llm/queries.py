@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.common import WORD_PATTERN
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.neardup import embedding_near_duplicates
@@ -70,12 +71,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_lines(read(spark, sf_dir, "documents"))
-    return cut.select(
-        "doc_id",
-        F.size("removed_lines").cast("long").alias("n_removed"),
-        F.array_join("removed_lines", ",").alias("removed"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), 0), " ")
+    removed = F.aggregate("removed_words", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    spans = F.array_join(F.transform("removed_words", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return cut.select("doc_id", removed.cast("long").alias("n_removed"), spans.alias("removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
