@@ -47,13 +47,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; later repeats of line runs are cut from text, and n_chars follows.
+    """All documents; later repeats of word runs are cut from text, and n_chars follows.
 
     Rows equal in id and text count as one document and are cut alike; the next stage
     keeps one of them.
     """
     cut = remove_repeated_lines(docs)
-    changed = F.size("removed_lines") > 0
+    changed = F.size("removed_words") > 0
     length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(docs.columns)
 
