@@ -11,7 +11,7 @@ from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import embedding_near_duplicates, quantise
 from tidemark.llm.ngram_join import ngram_jaccard_join
-from tidemark.llm.tries import link_groups
+from tidemark.llm.tries import link_groups, links_between
 
 
 @settings(max_examples=60, deadline=None)
@@ -26,6 +26,9 @@ def test_trie_links_equal_brute_force(sets, unique):
         if 175 * len(sets[i] & sets[j]) >= 75 * (sizes[i] + sizes[j])
     ]
     want = roots(links, range(len(sets)))
+    half = len(tokens) // 2
+    met = set(links_between(tokens[:half], sizes[:half], tokens[half:], sizes[half:], 75))
+    assert met == {(j, i - half) for i, j in links if j < half <= i}
     got = link_groups(tokens, sizes, 75)
     assert len({(want[i], int(got[i])) for i in want}) == len(set(want.values())) == len(set(got.tolist()))
 
@@ -49,7 +52,7 @@ def near_copies(rng, count, words=60, edits=3):
         yield " ".join(copy)
 
 
-@pytest.mark.parametrize("block_sets", [4000, 7])
+@pytest.mark.parametrize("block_sets", [4000, 7, 2])
 def test_ngram_join_equals_brute_force(spark, block_sets):
     rng = np.random.default_rng(3)
     passage = " ".join(f"p{i}" for i in range(40))

@@ -6,27 +6,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import WordHashes, fold_hashes, lower_words, mix64, reliable_checkpoint, shuffle_partitions
+from tidemark.llm.common import mix64, reliable_checkpoint, shuffle_partitions, slices
 from tidemark.llm.components import connected_components
-from tidemark.llm.tries import link_groups
+from tidemark.llm.tries import link_groups, links_between
+from tidemark.llm.words import Runs, batch_words
 
+#: Tokens that one task holds at once: some 100 MB with all copies that its sorts make.
+SLOT_TOKENS = 1_000_000
 
-def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer words make one shingle."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    width = min(k, len(words))
-    return np.unique(fold_hashes([words[i : len(words) - width + 1 + i] for i in range(width)]))
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit name of a shingle set; equal sets share it."""
-    total = np.uint64(mix64(tokens).sum(dtype=np.uint64))
-    return int(mix64(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's k-word shingles; fewer words make one shingle."""
+    words = batch_words(texts, lower=True)
+    runs, bounds = Runs(words.hashes), words.bounds
+    start = np.flatnonzero(words.left() >= k)
+    tokens, cuts = runs.of(start, start + k), np.searchsorted(start, bounds)
+    few = np.diff(bounds) < k
+    whole = runs.of(bounds[:-1][few], bounds[1:][few])
+    sets = [np.unique(tokens[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    for i, token in zip(np.flatnonzero(few).tolist(), whole, strict=True):
+        if bounds[i] < bounds[i + 1]:
+            sets[i] = np.array([token], np.uint64)
+    return sets
+
+
+def set_names(tokens: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two independent 64-bit names of a shingle set; equal sets share both."""
+    salt = np.array([2 * seed + 1, 2 * seed + 2], np.uint64) * _FOLD
+    total = np.array([mix64(tokens ^ x).sum(dtype=np.uint64) for x in salt], np.uint64)
+    return tuple(mix64(total + np.uint64(len(tokens))).view(np.int64).tolist())
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, "text", 1 << 20)
 
 
 def _bytes(parts: list[np.ndarray]) -> pa.Array:
@@ -37,25 +57,20 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _describe(k: int):
-    """Rows of (key, text) to (key, n, node): set size and set name."""
+def _describe(k: int, seed: int):
+    """Rows of (key, text) to (key, n, node, check): set size and the set's two names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            n, node = [], []
-            for text in batch.column(1):
-                tokens = shingle_set(hashes.of(lower_words(text.as_py())), k)
-                n.append(len(tokens))
-                node.append(set_id(tokens) if len(tokens) else None)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], [batch.schema.names[0], "n", "node"]
-            )
+        for part in _texts(batches):
+            sets = shingle_sets(part.column("text"), k)
+            named = [set_names(s, seed) if len(s) else (None, None) for s in sets]
+            columns = [[len(s) for s in sets], [a for a, _ in named], [b for _, b in named]]
+            yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], [part.schema.names[0], "n", "node", "check"])
 
     return run
 
 
-def _by_range(k: int, ranges: int, most: int = 1 << 20, remembered: int = 200_000):
+def _by_range(k: int, ranges: int, seed: int, most: int = 1 << 20, remembered: int = 200_000):
     """Documents to packed token arrays, one row per hash range and about ``most`` tokens.
 
     A task passes over sets it has sent before, of the first ``remembered`` names; copies
@@ -83,12 +98,11 @@ def _by_range(k: int, ranges: int, most: int = 1 << 20, remembered: int = 200_00
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets, named, total = WordHashes(), [], [], 0
+        sets, named, total = [], [], 0
         seen: set[int] = set()
-        for batch in batches:
-            for text in batch.column(0):
-                tokens = shingle_set(hashes.of(lower_words(text.as_py())), k)
-                if not len(tokens) or (name := set_id(tokens)) in seen:
+        for part in _texts(batches):
+            for tokens in shingle_sets(part.column("text"), k):
+                if not len(tokens) or (name := set_names(tokens, seed)[0]) in seen:
                     continue
                 if len(seen) < remembered:
                     seen.add(name)
@@ -182,36 +196,101 @@ def _alive(percent: int):
     return run
 
 
+def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Names, sizes and tokens of the rows of a table, each name once, in order."""
+    node, first = np.unique(table["node"].to_numpy(), return_index=True)
+    raw = table["tokens"].combine_chunks()
+    return node, table["n"].to_numpy()[first], [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in first]
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    none = [np.empty(0, np.int64)]
+    return pa.table([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], ["a", "b"])
+
+
 def _tree_join(percent: int):
-    """Link the sets of each block of a group; rows (node, root) for all but the roots."""
+    """Link the sets of each block of a group; rows (a, b) that connect what is linked."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"].to_numpy()
         order = np.argsort(block, kind="stable")
-        node, size = table["node"].to_numpy(), table["n"].to_numpy()
-        raw = table["tokens"].combine_chunks()
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]))
         member, root = [], []
         for low, high in zip(cuts, cuts[1:], strict=False):
-            rows = order[low:high]
-            rows = rows[np.argsort(node[rows])]
-            group = link_groups([np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in rows], size[rows], percent)
-            other = group != np.arange(len(rows))
-            member.append(node[rows][other])
-            root.append(node[rows][group[other]])
-        return pa.table([pa.array(np.concatenate(member)), pa.array(np.concatenate(root))], ["node", "root"])
+            node, size, tokens = _sets(table.take(pa.array(order[low:high])))
+            group = link_groups(tokens, size, percent)
+            other = group != np.arange(len(node))
+            member.append(node[other])
+            root.append(node[group[other]])
+        return _edges(member, root)
 
     return run
 
 
+def _tree_probe(percent: int):
+    """Links between the asking sets of a group and its other sets of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"]
+        node, size, tokens = _sets(table.filter(pc.invert(asks)))
+        probe, probe_size, probe_tokens = _sets(table.filter(asks))
+        label = dict(zip(table["node"].to_pylist(), table["label"].to_pylist(), strict=True))
+        pairs = links_between(probe_tokens, probe_size, tokens, size, percent)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in pairs:
+            a, b = int(probe[i]), int(node[j])
+            if label[a] != label[b]:
+                found.setdefault((label[a], label[b]), (a, b))
+        links = np.array(list(found.values()), np.int64).reshape(-1, 2)
+        return _edges([links[:, 0]], [links[:, 1]])
+
+    return run
+
+
+def _tile(count: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+
+
+def _links_of_large(sets: DataFrame, percent: int, most: int, pivots: int = 4) -> DataFrame:
+    """(a, b) edges that connect the links of blocks too large for a task.
+
+    ``sets(block, tiles, node, n, tokens)``. Each tile of a block is joined inside, together
+    with a few pivots of the whole block, so that a group of near copies becomes one
+    component in work that grows with its size. What is not of a block's largest component
+    then asks all tiles for links to other components.
+    """
+    chosen = [F.min_by(F.struct("node", "n", "tokens"), F.xxhash64("node", F.lit(salt))).alias(f"p{salt}") for salt in range(pivots)]
+    pivot = sets.groupBy("block", "tiles").agg(*chosen).select("block", "tiles", F.explode(F.array(*(f"p{s}" for s in range(pivots)))).alias("p"))
+    pivot = pivot.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "p.*")
+    tiled = sets.withColumn("tile", _tile("tiles", 7))
+    columns = ["block", "tile", "node", "n", "tokens"]
+    near = tiled.select(columns).unionByName(pivot.select(columns)).groupBy("block", "tile").applyInArrow(_tree_join(percent), "a long, b long")
+    near = reliable_checkpoint(near)
+    labelled = tiled.join(connected_components(near).withColumnRenamed("root", "label"), "node", "left")
+    labelled = reliable_checkpoint(labelled.withColumn("label", F.coalesce("label", "node")))
+    parts = labelled.groupBy("block", "label").agg(F.count("*").alias("c"))
+    main = parts.groupBy("block").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    main = reliable_checkpoint(main.where("others > 0").withColumn("asking", F.ceil(F.col("others") / most).cast("int")).drop("others"))
+    if main.isEmpty():
+        return near
+    left = labelled.join(main, "block")
+    every = left.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("asks", F.lit(False))
+    rest = left.where("label <> main").withColumn("ask", _tile("asking", 8)).withColumn("asks", F.lit(True))
+    rest = rest.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    columns += ["ask", "asks", "label"]
+    met = every.select(columns).unionByName(rest.select(columns)).groupBy("block", "tile", "ask")
+    return near.unionByName(reliable_checkpoint(met.applyInArrow(_tree_probe(percent), "a long, b long")))
+
+
 def similar_sets(
-    docs: DataFrame, described: DataFrame, text_col: str, k: int, percent: int, block_sets: int, block_tokens: int
+    docs: DataFrame, described: DataFrame, text_col: str, k: int, percent: int, block_sets: int, block_tokens: int, seed: int
 ) -> DataFrame:
     """(node, root) of every set that links with another one."""
     spark = docs.sparkSession
     total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slots = max(shuffle_partitions(spark), total // 4_000_000 + 1)
-    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_by_range(k, slots), _PACKED)
+    slots = max(shuffle_partitions(spark), total // SLOT_TOKENS + 1)
+    # Enough tokens in a batch for each of its slots to get a run of them.
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_by_range(k, slots, seed, min(1 << 23, max(1 << 20, 64 * slots))), _PACKED)
     shared = packed.groupBy("slot").applyInArrow(
         _shared_tokens(slots), "bucket int, tokens binary, often binary, nodes binary, counts binary, sizes binary"
     )
@@ -232,30 +311,18 @@ def similar_sets(
     weight = reliable_checkpoint(
         weight.withColumn("tiles", F.ceil(F.greatest(F.col("sets") / block_sets, F.col("held") / block_tokens)).cast("int"))
     )
-    tasks = max(shuffle_partitions(spark), (weight.agg(F.sum("held")).first()[0] or 0) // 1_000_000 + 1)
+    tasks = max(shuffle_partitions(spark), (weight.agg(F.sum("held")).first()[0] or 0) // SLOT_TOKENS + 1)
     sized = sets.join(weight.select("block", "tiles"), "block")
-    small = (
+    links = (
         sized.where("tiles <= 1")
         .withColumn("task", F.pmod(F.xxhash64("block"), F.lit(int(tasks))))
         .groupBy("task")
-        .applyInArrow(_tree_join(percent), "node long, root long")
-    )
-    if weight.where("tiles > 1").isEmpty():
-        return reliable_checkpoint(small)
-    # Beyond a block's bound every pair of its tiles is a task of bounded size.
-    tile = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
-    tiled = (
-        sized.where("tiles > 1")
-        .withColumn("mine", tile)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("mine", "other"))
-        .withColumn("high", F.greatest("mine", "other"))
-        .where("low < high")
-        .groupBy("block", "low", "high")
-        .applyInArrow(_tree_join(percent), "node long, root long")
+        .applyInArrow(_tree_join(percent), "a long, b long")
     )
-    links = small.unionByName(tiled)
-    return connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    if not weight.where("tiles > 1").isEmpty():
+        large = reliable_checkpoint(sized.where("tiles > 1"))
+        links = links.unionByName(_links_of_large(large, percent, block_sets))
+    return connected_components(links)
 
 
 def linked_rows(
@@ -264,15 +331,22 @@ def linked_rows(
     text_col: str = "text",
     k: int = 5,
     percent: int = 75,
-    block_sets: int = 4_000,
-    block_tokens: int = 2_000_000,
+    block_sets: int = 200,
+    block_tokens: int = 400_000,
 ) -> DataFrame:
     """(key, n, node, root) of every row: ``key`` of it, set size, set name and a name of
     its group, null for a row without words (see :func:`ngram_jaccard_join`)."""
     plain = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    schema = StructType([plain.schema["key"], StructField("n", LongType()), StructField("node", LongType())])
-    described = reliable_checkpoint(plain.mapInArrow(_describe(k), schema))
-    roots = similar_sets(docs, described, text_col, k, percent, block_sets, block_tokens)
+    schema = StructType([plain.schema["key"], *(StructField(c, LongType()) for c in ("n", "node", "check"))])
+    for seed in range(8):
+        described = reliable_checkpoint(plain.mapInArrow(_describe(k, seed), schema))
+        twice = described.where("node IS NOT NULL").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash"))
+        if twice.where("clash").isEmpty():
+            break
+    else:
+        raise ValueError("too many sets for names of 64 bits")
+    described = described.drop("check")
+    roots = similar_sets(docs, described, text_col, k, percent, block_sets, block_tokens, seed)
     return described.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -282,8 +356,8 @@ def ngram_jaccard_join(
     text_col: str = "text",
     k: int = 5,
     percent: int = 75,
-    block_sets: int = 4_000,
-    block_tokens: int = 2_000_000,
+    block_sets: int = 200,
+    block_tokens: int = 400_000,
 ) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of k-word shingle sets.
 
@@ -296,14 +370,16 @@ def ngram_jaccard_join(
     each range keeps those of two or more sets. A set of which less than
     ``percent`` % is shared cannot link. Others meet in coarse blocks over their
     rarest tokens (the prefix filter), and inside a block a prefix tree is walked.
-    A block beyond ``block_sets`` or ``block_tokens`` is cut into tiles, all pairs
-    of which are joined, so no bound drops a link.
+    A block beyond ``block_sets`` or ``block_tokens`` is cut into tiles. Each is joined with a
+    few pivots of the block, and what is not of the block's largest component then asks
+    all other tiles, so no bound drops a link.
 
     Null or empty text, or text without words: 0 shingles, linked with nothing.
     Fewer than ``k`` words: one shingle of all. Null ids keep their row and never
     become a component id while another member has one. Repeated rows link with each
     other. An empty table gives an empty result. Other columns are not read.
-    Tokens and sets are named by 64-bit hashes.
+    Tokens are named by 64-bit hashes. So are sets, whose names are checked by a second
+    hash and drawn anew where two sets share one.
     """
     grouped = linked_rows(docs, F.col(id_col), text_col, k, percent, block_sets, block_tokens).withColumnRenamed("key", "doc_id")
     least = reliable_checkpoint(grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -58,15 +60,13 @@ class PrefixTree:
     def linked(self, probe: np.ndarray, size: int, sizes: np.ndarray, percent: int, mask: np.ndarray) -> list[int]:
         """Members whose Jaccard similarity with the probe is ``percent`` or more."""
         mask[probe] = True
-        passed = np.cumsum(mask)
         total, found = len(probe), []
         walk = [(0, 0)]
         while walk:
             at, overlap = walk.pop()
             segment, _, children, leaves, rest, least = self.nodes[at]
             if len(segment):
-                first = segment[0]
-                left = total - int(passed[first]) + int(mask[first])
+                left = total - int(np.searchsorted(probe, segment[0], "left"))
                 if (100 + percent) * (overlap + min(left, len(segment) + rest)) < percent * (size + least):
                     continue
                 overlap += int(np.count_nonzero(mask[segment]))
@@ -74,13 +74,39 @@ class PrefixTree:
                 if (100 + percent) * overlap >= percent * (size + int(sizes[i])):
                     found.append(i)
             if children:
-                left = total - (int(passed[segment[-1]]) if len(segment) else 0)
+                left = total - (int(np.searchsorted(probe, segment[-1], "right")) if len(segment) else 0)
                 if (100 + percent) * (overlap + min(left, rest)) >= percent * (size + least):
                     walk.extend((c, overlap) for c in children)
         mask[probe] = False
         return found
 
 
+def ranked_sets(tokens: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Each set as sorted ranks of its tokens, and how many different tokens there are.
+
+    Frequent tokens come first: common prefixes are long, and their overlaps are shared.
+    """
+    names, inverse, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, -often))] = np.arange(len(names))
+    ranked = rank[inverse]
+    cuts = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+    return [np.sort(ranked[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], len(names)
+
+
+def links_between(
+    probes: list[np.ndarray], probe_sizes: np.ndarray, tokens: list[np.ndarray], sizes: np.ndarray, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Pairs (number of a probe, number of a set) of Jaccard >= ``percent``/100."""
+    if not probes or not tokens:
+        return
+    sets, different = ranked_sets([*tokens, *probes])
+    tree, mask = PrefixTree(sets[: len(tokens)], sizes, list(range(len(tokens)))), np.zeros(different, bool)
+    for i, probe in enumerate(sets[len(tokens) :]):
+        for j in tree.linked(probe, int(probe_sizes[i]), sizes, percent, mask):
+            yield i, j
+
+
 def link_groups(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
     """Component number of each set, where sets of Jaccard >= ``percent``/100 link.
 
@@ -90,15 +116,8 @@ def link_groups(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np
     """
     count = len(tokens)
     group = np.full(count, -1, np.int64)
-    flat = np.concatenate(tokens)
-    names, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
-    # Frequent tokens first: common prefixes are long, and their overlaps are shared.
-    rank = np.empty(len(names), np.int64)
-    rank[np.lexsort((names, -often))] = np.arange(len(names))
-    ranked = rank[inverse]
-    cuts = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
-    sets = [np.sort(ranked[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    mask = np.zeros(len(names), bool)
+    sets, different = ranked_sets(tokens)
+    mask = np.zeros(different, bool)
     waiting = set(range(count))
     tree, built = None, 0
     for start in range(count):
