@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import reliable_checkpoint, shared_folder  # noqa: F401  (used by the operators)
+
 #: The characters between words: space and U+0009 to U+000D, nothing else.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Without that setting a session on one machine gets a temporary folder, the same for all
-    calls; on a cluster, whose machines would not see it, the setting is asked for.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("folder")
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _LOCAL["folder"] = tempfile.mkdtemp(prefix="spark-")
-    return folder
-
-
-#: The temporary folder of a process without a shared one.
-_LOCAL: dict[str, str] = {}
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder (see :func:`shared_folder`) and cut its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """A broadcast hint when ``df`` is counted at ``max_rows`` narrow rows or fewer.
 
@@ -56,23 +29,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each computed once; bounded by ``limit`` entries."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -94,15 +50,6 @@ def fold_hashes(parts: list[np.ndarray]) -> np.ndarray:
     return mix64(total)
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased; null counts as empty.
-
-    ``bytes.split`` and ``bytes.lower`` work on exactly the ASCII characters of
-    :data:`WORD_PATTERN` and A-Z.
-    """
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` of ``column``, one row at least."""
     if batch.num_rows == 0:

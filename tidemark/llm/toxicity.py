@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import WordHashes, fold_hashes
+from tidemark.llm.common import fold_hashes, slices
+from tidemark.llm.words import batch_words, span_hashes
 
 #: A-Z lower-cased, other ASCII that is no letter or digit to a space; other bytes stay.
-_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
@@ -36,22 +37,27 @@ class FtrlSettings:
 STEM_BYTES = 5
 
 
-def features(text: str | None, hashes: WordHashes, bits: int) -> np.ndarray:
-    """Buckets of words, their stems, neighbouring pairs and pairs with one word between, repeats kept.
+def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of words, their stems, neighbouring pairs and pairs with one word
+    between, each pair once, in order.
 
     A stem, a word's first bytes, lets rare forms of a word share what is learnt.
     """
-    split = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split() if text else []
-    words = hashes.of(split)
-    parts = []
-    if len(words):
-        stems = hashes.of([w[:STEM_BYTES] for w in split])
-        parts += [fold_hashes([words]), fold_hashes([stems, np.full(len(stems), STEM_BYTES, np.uint64)])]
-    if len(words) > 1:
-        parts.append(fold_hashes([words[:-1], words[1:]]))
-    if len(words) > 2:
-        parts.append(fold_hashes([words[:-2], words[2:], words[2:]]))
-    return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64) if parts else np.empty(0, np.int64)
+    words = batch_words(texts, translate=_PLAIN)
+    stems = span_hashes(words.data, words.starts, np.minimum(words.starts + STEM_BYTES, words.ends))
+    w, left = words.hashes, words.left()
+    row = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+    two, three = np.flatnonzero(left > 1), np.flatnonzero(left > 2)
+    kinds = (
+        (row, fold_hashes([w])),
+        (row, fold_hashes([stems, np.full(len(stems), STEM_BYTES, np.uint64)])),
+        (row[two], fold_hashes([w[two], w[two + 1]])),
+        (row[three], fold_hashes([w[three], w[three + 2], w[three + 2]])),
+    )
+    rows = np.concatenate([r for r, _ in kinds]).astype(np.uint64)
+    buckets = np.concatenate([h for _, h in kinds]) >> np.uint64(64 - bits)
+    pairs = np.unique(rows << np.uint64(bits) | buckets)
+    return (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def ftrl(rows: list[np.ndarray], labels: list[int], settings: FtrlSettings) -> tuple[np.ndarray, float]:
@@ -82,14 +88,27 @@ def ftrl(rows: list[np.ndarray], labels: list[int], settings: FtrlSettings) -> t
     return w[:size], float(w[size])
 
 
+def _hash(bits: int):
+    """Rows of (key, label, text) to (key, label, at), the text's buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                row, bucket = features(part.column("text"), bits)
+                cuts = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                at = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
+                yield pa.record_batch([part.column("key"), part.column("label"), at], ["key", "label", "at"])
+
+    return run
+
+
 def _train(settings: FtrlSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows = WordHashes(), []
+        rows, end = [], np.array([1 << settings.bits], np.int32)
         for batch in batches:
-            for key, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.append(np.unique(features(text, hashes, settings.bits)), 1 << settings.bits).astype(np.int32)
-                rows.append((key, label, at))
-        rows.sort(key=lambda r: r[:2])
+            key, label, at = batch.columns
+            for i in range(len(batch)):
+                rows.append((key[i].as_py(), label[i].as_py(), np.append(at[i].values.to_numpy(), end)))
         w, bias = ftrl([r[2] for r in rows], [r[1] for r in rows], settings) if rows else (np.zeros(1), 0.0)
         at = np.flatnonzero(w)
         yield pa.record_batch(
@@ -112,9 +131,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, settings:
     chosen = marked.orderBy("key", "doc_id").limit(settings.max_documents)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # The limit bounds what is broadcast, so no text but the sample's is shuffled.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("key", F.coalesce("text", F.lit("")).alias("text"), "label")
-    sample = sample.orderBy("key", "text").limit(settings.max_documents)
-    learnt = sample.repartition(1).mapInArrow(_train(settings), "bucket long, weight double")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("key", "label", F.coalesce("text", F.lit("")).alias("text"))
+    # Texts are hashed where they are read; the task that trains gets numbers, in a fixed order.
+    hashed = sample.mapInArrow(_hash(settings.bits), "key long, label int, at array<int>")
+    hashed = hashed.orderBy("key", "label", "at").limit(settings.max_documents)
+    learnt = hashed.repartition(1).sortWithinPartitions("key", "label", "at").mapInArrow(_train(settings), "bucket long, weight double")
     return {r["bucket"]: r["weight"] for r in learnt.collect()}
 
 
@@ -126,15 +147,12 @@ def _score(model, bits: int):
         for at, w in sparse.items():
             if at >= 0:
                 dense[at] = w
-        active = dense != 0
-        hashes = WordHashes()
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                at = features(text.as_py(), hashes, bits)
-                total = bias + dense[np.unique(at[active[at]])].sum()
-                scores.append(1 / (1 + np.exp(-min(max(total, -35.0), 35.0))))
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], [batch.schema.names[0], "score"])
+            for part in slices(batch, "text", 1 << 20):
+                row, bucket = features(part.column("text"), bits)
+                total = bias + np.bincount(row, dense[bucket], len(part))
+                scores = 1 / (1 + np.exp(-np.clip(total, -35.0, 35.0)))
+                yield pa.record_batch([part.column(0), pa.array(scores, pa.float64())], [part.schema.names[0], "score"])
 
     return run
 

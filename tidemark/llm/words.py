@@ -50,16 +50,33 @@ class Words:
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.hashes))
 
 
-def batch_words(column: pa.Array, lower: bool = False) -> Words:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of the bytes of each span; spans are ordered by their starts and by their ends."""
+    table, hashes, low = _LOWER_TABLE if lower else _TABLE, np.empty(len(starts), np.uint64), 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _CHUNK, "right")))
+        at, to = starts[low:high] - starts[low], ends[low:high] - starts[low]
+        up, down = powers(_BYTES, int(to[-1]))
+        total = np.zeros(int(to[-1]) + 1, np.uint64)
+        np.cumsum(table[data[starts[low] : ends[high - 1]]] * up[: to[-1]], out=total[1:])
+        hashes[low:high] = mix64((total[to] - total[at]) * down[at] + (to - at).astype(np.uint64))
+        low = high
+    return hashes
+
+
+def batch_words(column: pa.Array, lower: bool = False, translate: np.ndarray | None = None, hashed: bool = True) -> Words:
     """Words (see ``WORD_PATTERN``) of a batch of texts; null counts as empty.
 
-    A word's hash depends on its bytes alone, A-Z as a-z if ``lower``.
+    A word's hash depends on its bytes alone, A-Z as a-z if ``lower``. ``translate`` names
+    another byte for each of the 256 before the texts are split. Without ``hashed`` only the
+    places are made.
     """
     column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
+    data = data if translate is None else translate[data]
     solid = (data != 32) & ((data < 9) | (data > 13))
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -68,16 +85,7 @@ def batch_words(column: pa.Array, lower: bool = False) -> Words:
     first, last = offsets[:-1][filled], offsets[1:][filled] - 1
     begin[first], end[last] = solid[first], solid[last]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    table, hashes = _LOWER_TABLE if lower else _TABLE, np.empty(len(starts), np.uint64)
-    low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _CHUNK, "right")))
-        at, to = starts[low:high] - starts[low], ends[low:high] - starts[low]
-        up, down = powers(_BYTES, int(to[-1]))
-        total = np.zeros(int(to[-1]) + 1, np.uint64)
-        np.cumsum(table[data[starts[low] : ends[high - 1]]] * up[: to[-1]], out=total[1:])
-        hashes[low:high] = mix64((total[to] - total[at]) * down[at] + (to - at).astype(np.uint64))
-        low = high
+    hashes = span_hashes(data, starts, ends, lower) if hashed else np.empty(0, np.uint64)
     return Words(data, offsets, hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
