@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,32 +104,51 @@ def _windows(least: int):
     return run
 
 
+def cut_part(texts: pa.Array, ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int) -> pa.Array:
+    """(text, removed) of each text without the windows that begin in the given ranges: text
+    numbers and first and last places, in words."""
+    words = batch_words(texts, hashed=False)
+    bounds, n = words.bounds, len(words.starts)
+    change = np.zeros(n + 1, np.int64)
+    for row, low, high in ranges:
+        np.add.at(change, bounds[row] + np.maximum(low, 0), 1)
+        np.add.at(change, bounds[row] + np.minimum(high, bounds[row + 1] - bounds[row] - least) + least, -1)
+    gone = np.cumsum(change[:n]) > 0
+    begins, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    begins[bounds], ends[bounds] = True, True
+    first = np.flatnonzero(gone & (begins[:n] | ~np.concatenate(([False], gone))[:n]))
+    last = np.flatnonzero(gone & (ends[1:] | ~np.append(gone, False)[1:])) + 1
+    row = np.searchsorted(bounds, first, "right") - 1
+    # Up to the next word of the same text, or the end of it.
+    to = np.where(last < bounds[row + 1], np.append(words.starts, len(words.data))[last], words.offsets[row + 1])
+    step = np.zeros(len(words.data) + 1, np.int8)
+    np.add.at(step, words.starts[first], 1)
+    np.add.at(step, to, -1)
+    keep = np.cumsum(step[:-1], dtype=np.int8) == 0
+    offsets = np.concatenate(([0], np.cumsum(keep)))[words.offsets].astype(np.int32)
+    kept = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(words.data[keep]))
+    kept = pc.if_else(texts.is_null(), pa.scalar(None, pa.string()), kept)
+    places = [pa.array((x - bounds[row]).astype(np.int32)) for x in (first, last)]
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(places, ["start", "end"]))
+    return pa.StructArray.from_arrays([kept, spans], ["text", "removed"])
+
+
 def _cut(least: int):
-    """(text, removed) without the words of the windows that begin in the given ranges."""
-
-    def one(text: str, ranges: list) -> tuple[str, list[dict]]:
-        words = batch_words(pa.array([text]))
-        n = len(words.hashes)
-        change = np.zeros(n + 1, np.int64)
-        for low, high in ranges:
-            change[max(0, low)] += 1
-            change[min(high, n - least) + least] -= 1
-        gone = np.cumsum(change[:n]) > 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-        first, last = edge[::2], edge[1::2]
-        at = np.append(words.starts, len(words.data))
-        data, kept, done = words.data.tobytes(), [], 0
-        for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True):
-            kept.append(data[done:a])
-            done = b
-        kept.append(data[done:])
-        return b"".join(kept).decode(), [{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-
-    def run(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-        rows = [one(t, [(x["low"], x["high"]) for x in r]) if r is not None else (t, []) for t, r in zip(texts, ranges, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "removed"])
-
-    return F.pandas_udf(run, "text string, removed array<struct<start:int,end:int>>")
+    """Texts without windows: those around the marks in ``whole``, and those that begin at ``starts``."""
+
+    @F.arrow_udf("text string, removed array<struct<start:int,end:int>>")
+    def run(texts: pa.Array, whole: pa.Array, starts: pa.Array) -> pa.Array:
+        batch, done = pa.record_batch([texts, whole, starts], ["text", "whole", "starts"]), []
+        for part in slices(batch, "text", 1 << 20):
+            ranges = []
+            for column, before in ((part.column("whole"), least - least // 2), (part.column("starts"), 0)):
+                row = np.repeat(np.arange(len(part)), pc.fill_null(column.value_lengths(), 0).to_numpy())
+                pos = column.flatten().to_numpy()
+                ranges.append((row, pos - before, pos))
+            done.append(cut_part(part.column("text"), ranges, least))
+        return pa.concat_arrays(done)
+
+    return run
 
 
 def bit_table(hashes: DataFrame) -> Broadcast:
@@ -151,8 +170,9 @@ def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys.select(bucket).distinct()), F.pmod(rows["r"], F.lit(BUCKETS)) == F.col("b"), how)
 
 
-def repeated_windows(named: DataFrame, kind: str, least: int) -> DataFrame:
-    """(n, i, r, low, high): windows to cut, as ranges of their first words, of ``named(n, i, r, text)``."""
+def repeated_windows(named: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """What to cut from ``named(n, i, r, text)``, a row for each text that loses words: marks all
+    of whose windows go, (n, i, r, whole), and first words of single windows, (n, i, r, starts)."""
     key = ["n", "i", "r"]
     place = F.struct(*key, "pos").alias("at")
     apart = (F.struct(*key) != F.struct("at.n", "at.i", "at.r")) | (F.col("pos") >= F.col("at.pos") + least)
@@ -166,19 +186,22 @@ def repeated_windows(named: DataFrame, kind: str, least: int) -> DataFrame:
     contexts = marks.groupBy("mark", "context").agg(F.min(place).alias("at"), F.count("*").alias("c"))
     contexts = reliable_checkpoint(contexts)
     later = marks.join(contexts.where("c > 1").drop("c"), ["mark", "context"]).where(F.struct(*key, "pos") != F.col("at"))
-    later = reliable_checkpoint(later.select(*key, "pos", "mark", apart.alias("apart")))
-    whole = later.where("apart").select(*key, (F.col("pos") - (least - least // 2)).alias("low"), F.col("pos").alias("high"))
+    # A text has as many marks as a share of its words; rows equal in id and text have them twice.
+    whole = F.collect_set(F.when(apart, F.col("pos"))).alias("whole")
+    close = F.collect_set(F.when(~apart, F.struct("pos", "mark"))).alias("close")
+    later = reliable_checkpoint(later.groupBy(*key).agg(whole, close))
 
     # Where the contexts of a mark differ, runs end nearby: windows are compared one by one.
     several = contexts.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark")
-    edges = contexts.select("at.*", "mark").unionByName(later.where("NOT apart").drop("apart"))
+    edges = contexts.select("at.*", "mark").unionByName(later.select(*key, F.explode("close").alias("m")).select(*key, "m.pos", "m.mark"))
     edges = edges.join(reliable_checkpoint(several), "mark").groupBy(*key).agg(F.collect_set("pos").alias("marks"))
     edges = reliable_checkpoint(edges)
     texts = _among(named, edges, "left_semi").join(edges, key).select(*key, "text", "marks")
     windows = texts.mapInArrow(_windows(least), f"n boolean, i {kind}, r long, pos long, w1 long, w2 long")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = windows.join(reliable_checkpoint(earliest), ["w1", "w2"]).where(apart)
-    return whole.unionByName(met.select(*key, F.col("pos").alias("low"), F.col("pos").alias("high")))
+    met = reliable_checkpoint(met.groupBy(*key).agg(F.collect_set("pos").alias("starts")))
+    return later.where(F.size("whole") > 0).drop("close"), met
 
 
 def _never_null(column: Column, kind: str) -> Column:
@@ -219,14 +242,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = row.select(
         held.isNull().alias("n"), _never_null(held.cast(kind), kind).alias("i"), F.xxhash64(held, text).alias("r"), text.alias("text"), "d"
     )
-    ranges = repeated_windows(named.drop("d"), kind, least_words)
+    whole, single = repeated_windows(named.drop("d"), kind, least_words)
     key = ["n", "i", "r"]
-    # Rows equal in id and text give the same ranges twice over; a text has as many as it has marks.
-    cuts = ranges.groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    cuts = reliable_checkpoint(cuts)
+    lose = whole.select("r").unionByName(single.select("r"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     shown = lambda text, removed: [*(text.alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in others), removed.alias("removed_words")]
-    as_they_are = _among(named, cuts, "left_anti").select(*shown(F.col("text"), none))
-    joined = _among(named.drop("text"), cuts, "left_semi").join(cuts, key, "left")
-    done = joined.select("d", _cut(least_words)(F.col("d").getField(text_col), F.col("ranges")).alias("cut"))
+    as_they_are = _among(named, lose, "left_anti").select(*shown(F.col("text"), none))
+    joined = _among(named.drop("text"), lose, "left_semi").join(whole, key, "left").join(single, key, "left")
+    done = joined.select("d", _cut(least_words)(F.col("d").getField(text_col), F.col("whole"), F.col("starts")).alias("cut"))
     return as_they_are.unionByName(done.select(*shown(F.col("cut.text"), F.col("cut.removed"))))
