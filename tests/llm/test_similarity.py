@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests_support import jaccard_oracle, roots
-from tidemark.llm.ann import nearest_neighbours
+from tidemark.llm.ann import code_products, nearest_neighbours, one_bit_codes, rotation
 from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import embedding_near_duplicates, quantise
 from tidemark.llm.ngram_join import ngram_jaccard_join
@@ -125,6 +125,17 @@ def test_near_duplicates_of_nothing(spark):
     assert embedding_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 7, 8, 64, 70])
+def test_packed_codes_give_the_products_of_their_signs(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((50, dim))
+    codes, norms, corrections = one_bit_codes(x, 3)
+    turned, query = x / norms[:, None] @ rotation(dim, 3).T, rng.standard_normal(dim).astype(np.float32)
+    signs = np.where(turned >= 0, 1, -1) / np.sqrt(dim)
+    assert np.allclose(code_products(query, np.ascontiguousarray(codes.T)), signs @ query, atol=1e-5)
+    assert np.allclose(corrections, (turned * signs).sum(axis=1))
+
+
 def test_nearest_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((600, 32)).astype(np.float32)
