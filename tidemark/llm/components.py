@@ -43,9 +43,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("contraction did not end")
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # Later maps are smaller: compose from the back.
+    # Later maps are smaller: compose from the back, each step stored, as planning many joins
+    # in one plan takes longer than running them.
     roots = maps[-1].withColumnRenamed("to", "root")
     for earlier in reversed(maps[:-1]):
         later = roots.select(F.col("node").alias("to"), F.col("root").alias("end"))
-        roots = earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root"))
-    return reliable_checkpoint(roots) if len(maps) > 1 else roots
+        roots = reliable_checkpoint(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")))
+    return roots
