@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests_support import dedup_oracle, tiktoken_encoding_of
-from tidemark.llm.bpe import ByteBpe, bpe_decode, bpe_encode, byte_characters, byte_table, decode_ids
+from tidemark.llm.bpe import ByteBpe, bpe_decode, bpe_encode, byte_characters, byte_table, check_ranks, decode_ids
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secrets import base_spans, linked_spans, scan_secrets
@@ -237,6 +237,18 @@ def test_any_text_round_trips(tiktoken_encoding, text):
 ROUND: dict = {}
 
 
+def test_ranks_and_vocabulary_agree(tmp_path):
+    import public_tokenizers
+
+    path, ranks = vocabulary()[0], public_tokenizers.path("byte_bpe_50k.tiktoken")
+    check_ranks(ranks, path)
+    lines = open(ranks, "rb").read().split(b"\n")
+    lines[300], lines[301] = lines[300].split()[0] + b" 301", lines[301].split()[0] + b" 300"
+    (tmp_path / "other").write_bytes(b"\n".join(lines))
+    with pytest.raises(ValueError, match="disagree"):
+        check_ranks(str(tmp_path / "other"), path)
+
+
 def test_byte_characters_are_distinct():
     assert len(set(byte_characters())) == 256 and byte_characters()[32] == "Ġ"
 

@@ -36,6 +36,9 @@ def damaged():
     yield "not a frame", b"WARC/1.1 plain"
     yield "bad dictionary", struct.pack("<II", warc.DICTIONARY_MAGIC, 8) + b"nonsense" + warc.build_archive([record])
     yield "short dictionary", struct.pack("<II", warc.DICTIONARY_MAGIC, 99) + b"x"
+    # A frame of one byte that claims 2**40 bytes, and one that claims 2**30 and is cut short.
+    for claim in (1 << 40, 1 << 30):
+        yield f"claims {claim}", struct.pack("<IBQ", warc.FRAME_MAGIC, 0b11100000, claim) + bytes([1 | 1 << 3, 0, 0]) + b"x"
     yield "length", warc.build_archive([record.replace(b"payload", b"payloads")])
     yield "digest", warc.build_archive([record.replace(b"payload", b"pAyload")])
     yield "no version", warc.build_archive([record[4:]])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,22 @@ def byte_table(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=4)
+def known_table(path: str) -> list[bytes]:
+    """:func:`byte_table`, read once a process."""
+    return byte_table(path)
+
+
+def check_ranks(ranks_path: str, path: str) -> None:
+    """ValueError unless a file of ranks (base64 bytes and rank per line) says of each id what the vocabulary says."""
+    with open(ranks_path, "rb") as file:
+        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, filter(None, map(bytes.strip, file)))}
+    table = known_table(path)
+    # The vocabulary may go on with special tokens, which have no rank and are never produced.
+    if any(i >= len(table) or table[i] != token for i, token in ranks.items()):
+        raise ValueError(f"{ranks_path} and {path} disagree")
+
+
 def decode_ids(table: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
@@ -58,7 +76,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
-        self.lengths = np.array([len(b) for b in byte_table(path)], np.int64)
+        self.lengths = np.array([len(b) for b in known_table(path)], np.int64)
 
     def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of the pieces that the table lacks; they enter it while there is room."""
@@ -82,9 +100,15 @@ class ByteBpe:
         return number[ends - self.lengths[ids]], number[ends - 1] + 1
 
 
+@lru_cache(maxsize=2)
+def known_encoder(path: str, pattern: str) -> ByteBpe:
+    """An encoder, loaded once a process, with its table of pieces."""
+    return ByteBpe(path, pattern)
+
+
 def _encoder(path: str, pattern: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = known_encoder(path, pattern)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -102,7 +126,7 @@ def _encoder(path: str, pattern: str, offsets: bool):
 
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(path)
+        table = known_table(path)
         for batch in batches:
             if not batch.num_rows:
                 continue

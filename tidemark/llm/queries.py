@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest_neighbours
-from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.bpe import bpe_decode, bpe_encode, check_ranks
 from tidemark.llm.common import WORD_PATTERN
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
@@ -64,7 +64,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     path, pattern = vocabulary()
+    check_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), path)
     decoded = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), path, pattern), path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 

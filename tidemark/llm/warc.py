@@ -148,6 +148,21 @@ def frame_length(data: memoryview) -> int:
     return at
 
 
+#: Claimed sizes up to which a frame is decoded in one step.
+_BELIEVED = 1 << 26
+
+
+def _streamed(reader: zstandard.ZstdDecompressor, frame: memoryview, max_record: int) -> bytes:
+    parts, total = [], 0
+    with reader.stream_reader(frame) as stream:
+        while part := stream.read(1 << 20):
+            parts.append(part)
+            total += len(part)
+            if total > max_record:
+                raise ValueError(f"a frame holds more than {max_record} bytes")
+    return b"".join(parts)
+
+
 def archive_records(content: bytes, max_record: int = 1 << 31) -> Iterator[bytes]:
     """Decoded frames of an archive, one record each."""
     data, at, shared = memoryview(content), 0, None
@@ -164,8 +179,13 @@ def archive_records(content: bytes, max_record: int = 1 << 31) -> Iterator[bytes
     reader = zstandard.ZstdDecompressor(dict_data=shared)
     while at < len(data):
         size = frame_length(data[at:])
+        frame = data[at : at + size]
         try:
-            yield reader.decompress(data[at : at + size], max_output_size=max_record)
+            claimed = zstandard.frame_content_size(frame)
+            if claimed > max_record:
+                raise ValueError(f"a frame claims {claimed} bytes")
+            # A size that is claimed is only believed where it is small; else memory follows what is decoded.
+            yield reader.decompress(frame) if 0 <= claimed <= _BELIEVED else _streamed(reader, frame, max_record)
         except zstandard.ZstdError as error:
             raise ValueError(f"a frame can't be decoded: {error}") from error
         at += size
