@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_decode, bpe_encode
-from tidemark.llm.common import WORD_PATTERN, broadcast_if_small, reliable_checkpoint
+from tidemark.llm.common import WORD_PATTERN, broadcast_if_small, reliable_checkpoint, shared_folder
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import linked_rows
@@ -38,12 +38,28 @@ def row_key() -> Column:
     return F.struct(*of_source(), F.xxhash64("text").alias("h"))
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(docs: DataFrame, key: Column) -> DataFrame:
+    """(d, key): each row in one struct beside its key, so that no column's name can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), key.alias("key"))
+
+
+def shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of the structs ``d``."""
+    return rows.select(*(F.col("d").getField(c).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier does not reject, unchanged; each is judged by its own text,
     whatever its id."""
     scored = scored_rows(docs, read(spark, sf_dir, "labels"), row_key())
     rejected = reliable_checkpoint(scored.where(F.col("score") >= TOXIC).select("key").distinct())
-    return docs.withColumn("key", row_key()).join(broadcast_if_small(rejected), "key", "left_anti").select(docs.columns)
+    return shown(held(docs, row_key()).join(broadcast_if_small(rejected), "key", "left_anti"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +69,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keeps one of them.
     """
     cut = remove_repeated_lines(docs)
-    changed = F.size("removed_words") > 0
-    length = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length).select(docs.columns)
+    length = F.when(F.size("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select(*((length if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,13 +83,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged = linked.join(reliable_checkpoint(best), "root")
     judged = judged.groupBy("key").agg(F.first(F.col("key") == F.col("best")).alias("stays"), F.count("*").alias("c"))
     judged = reliable_checkpoint(judged.where("NOT stays OR c > 1").select("key", "stays"))
-    keyed = docs.withColumn("key", row_key())
-    alone = keyed.join(judged.select("key"), "key", "left_anti").select(docs.columns)
+    keyed = held(docs, row_key())
+    alone = keyed.join(judged.select("key"), "key", "left_anti").select("d")
     repeated = judged.where("stays").select("key")
     if repeated.isEmpty():
-        return alone
-    one = keyed.join(broadcast_if_small(repeated), "key", "left_semi").groupBy("key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return alone.unionByName(one.select("row.*"))
+        return shown(alone, docs)
+    one = keyed.join(broadcast_if_small(repeated), "key", "left_semi").groupBy("key").agg(F.min("d").alias("d"))
+    return shown(alone.unionByName(one.select("d")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,9 +102,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = mixed.select(F.struct(*of_source()).alias("key"), F.expr("taken div size").cast("int").alias("times")).distinct()
     # The checkpoint takes the distinct rows' partitioning away, so that a key of many rows can be split.
     times = reliable_checkpoint(times)
-    worded = docs.where(F.col("text").rlike(WORD_PATTERN)).withColumn("key", F.struct(*of_source()))
-    repeated = worded.join(times, "key").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(docs.columns)
+    worded = held(docs, F.struct(*of_source())).where(F.col("d.text").rlike(WORD_PATTERN))
+    return shown(worded.join(times, "key").select("d", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -113,12 +127,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a
+    stage wrote goes once the next one is written."""
     docs = read(spark, sf_dir, "documents")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         place = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs
