@@ -29,9 +29,10 @@ def planted():
         text = "\n".join(lines)
         if i % 15 == 14:
             text = rows[i - 4][1]
-            words = text.split(" ")
-            words[2] = "changed"
-            text = " ".join(words).replace("\n", " ")
+            # Changed often enough that no 50 words in a row are shared, so that line dedup leaves it whole.
+            words = text.split()
+            words[24::45] = [f"changed{i}"] * len(words[24::45])
+            text = " ".join(words)
         if i % 30 == 29:
             text = rows[i - 9][1]
         rows.append((i, text, "en", f"s{i % 3}", len(text)))

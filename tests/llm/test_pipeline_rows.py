@@ -45,3 +45,15 @@ def test_mix_takes_each_row_by_its_source(spark):
     assert [got[r] for r in small] == [2, 2, 0]
     # An id of two sources is taken in each as that source's other ids are.
     assert max(got[r] for r in large) - min(got[r] for r in large) <= 1 and sum(got[r] for r in large) < 1.6 * len(large)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows, labels = planted()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = DOCUMENTS + ", `a.b` int, times int, key string, d int, removed_words int, stays boolean, root long"
+    docs = spark.createDataFrame([(*r, 1, 2, "k", 3, 4, True, 5) for r in rows], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        kept = [c for c in docs.columns if c != "removed_words"] if stage is corpus_pipeline.drop_repeated_lines else docs.columns
+        assert [c for c in out.columns if c in kept] == kept
+        assert {tuple(r)[5:9] for r in out.collect()} == {(1, 2, "k", 3)}
