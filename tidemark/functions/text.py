@@ -157,5 +157,18 @@ def extraction_cost(text: Column) -> Column:
     return tokens / 1e6 * IN_USD + OUTPUT_TOKENS / 1e6 * OUT_USD
 
 
+def percent_text(old: Column, new: Column) -> Column:
+    """A signed change in per cent to one place, ``n/a`` from 0 or nothing."""
+    exact = percent_change(old, new)
+    percent = F.round(exact, 1)
+    # Rounding to nothing keeps the direction.
+    return F.when(percent.isNull(), "n/a").when((percent == 0) & (exact < 0), "-0.0%").otherwise(F.format_string("%+.1f%%", percent))
+
+
+def relative_prefix(path: Column) -> Column:
+    """``../`` for each folder between a page and the root."""
+    return F.repeat(F.lit("../"), F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))))
+
+
 def percent_change(old: Column, new: Column) -> Column:
     return F.when(old != 0, (new - old) / old * 100)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import places
+
 #: Days after which a vendor is stale, snapshots always kept, spend that alarms.
 STALE_DAYS, KEEP_RECENT, SPEND_ALARM = 14, 60, 3.0
 
@@ -31,20 +35,14 @@ def digest_by_category(changes: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def review_queue(changes: DataFrame, order: list[str], k: int | None = None) -> DataFrame:
-    """Changes below the publishing threshold, least certain first and numbered from 1.
-
-    Confidences take a few values: a rank is the number of rows of lower confidence plus
-    the place among equals, so the whole queue is never sorted in one task.
-    """
+    """Changes below the publishing threshold, least certain first and numbered from 1; ``k``
+    bounds a top-k report. Ranks come from ranges, as confidences take a few values and one
+    may hold most of the queue."""
     queue = changes.where("NOT publishable")
     if k is not None:
         queue = queue.orderBy("confidence", *order).limit(k)
         return queue.withColumn("rank", F.row_number().over(Window.orderBy("confidence", *order)))
-    sizes = queue.groupBy("confidence").agg(F.count("*").alias("n"))
-    line = Window.orderBy("confidence").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(line), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("confidence").orderBy(*order))
-    return queue.withColumn("_in", inside).join(starts, "confidence").withColumn("rank", F.col("start") + F.col("_in")).drop("_in", "start")
+    return places(queue, ["confidence", *order], name="rank")
 
 
 def find_rows(rows: DataFrame, term: str, columns: list[str], group: str) -> DataFrame:
@@ -86,8 +84,11 @@ def stale_vendors(state: DataFrame, today: Column, days: int = STALE_DAYS) -> Da
     return state.where(F.col("last_checked") < F.date_sub(today, days))
 
 
-def status_rollup(state: DataFrame, changes: DataFrame, snapshots: DataFrame, today: Column) -> DataFrame:
-    """One row of counts over vendors, changes and snapshots."""
+def status_rollup(
+    state: DataFrame, changes: DataFrame, snapshots: DataFrame, today: Column, records: DataFrame | None = None, pending: DataFrame | None = None, review: DataFrame | None = None
+) -> DataFrame:
+    """One row of counts over vendors, changes and snapshots, and over confirmed records, held
+    readings and changes under review where they are given."""
     reasons = F.col("status").isin(list(FAILING))
     a = state.agg(
         F.count("*").alias("vendors"),
@@ -99,8 +100,36 @@ def status_rollup(state: DataFrame, changes: DataFrame, snapshots: DataFrame, to
     b = changes.agg(F.count("*").alias("changes"))
     c = snapshots.agg(F.count("*").alias("snapshots"))
     health = F.when(F.col("vendors") == 0, "unknown").when((F.col("failing") > 0) | (F.col("stale") > 0), "problems").otherwise("ok")
+    counted = [b, c, *(f.agg(F.count("*").alias(n)) for n, f in (("records", records), ("pending", pending), ("review", review)) if f is not None)]
     # Single rows: the products hold one row each.
-    return a.join(b, how="cross").join(c, how="cross").withColumn("health", health)
+    return reduce(lambda x, y: x.join(y, how="cross"), counted, a).withColumn("health", health)
+
+
+def digest_rows(changes: DataFrame, categories: DataFrame) -> DataFrame:
+    """``changes`` with ``category``, the rows of a digest; vendors without one are uncategorised."""
+    joined = changes.join(categories.select("vendor", F.col("category").alias("_category")), "vendor", "left")
+    return joined.withColumn("category", F.coalesce("_category", F.lit("uncategorised"))).drop("_category")
+
+
+def digest_header(changes: DataFrame) -> DataFrame:
+    """How many changes a digest has, and of how many vendors over all categories."""
+    return changes.agg(F.count("*").alias("changes"), F.count_distinct("vendor").alias("vendors"))
+
+
+def grand_totals(vendors: DataFrame, plans: DataFrame, changes: DataFrame, since: Column) -> DataFrame:
+    """One row: vendors, real plans of their current records, changes, and since when."""
+    real = plans.where(~F.coalesce("is_addon", F.lit(False))).agg(F.count("*").alias("plans"))
+    one = vendors.agg(F.count("*").alias("vendors")).join(real, how="cross").join(changes.agg(F.count("*").alias("changes")), how="cross")
+    return one.withColumn("since", since)
+
+
+def milestone_text(days: Column) -> Column:
+    """Words for the way to the next milestone."""
+    target = F.lit(None).cast("int")
+    for at in reversed(MILESTONES):
+        target = F.when(days < at, at).otherwise(target)
+    left = F.concat((target - days).cast("string"), F.lit(" days to "), target.cast("string"))
+    return F.coalesce(left, F.lit("past every milestone"))
 
 
 def days_recording(since: Column, today: Column) -> Column:

@@ -97,7 +97,7 @@ def failing(reasons: dict[str, str]) -> Check:
         known = F.create_map(*(F.lit(x) for pair in reasons.items() for x in pair))
         bad = frames["state"].withColumn("why", known[F.col("status")]).where("why IS NOT NULL")
         return bad.groupBy("why").agg(F.count("*").alias("n")).select(
-            F.lit("vendors").alias("check"), F.concat(F.col("n").cast("string"), F.lit(" vendors: "), F.substring("why", 1, 70)).alias("problem")
+            F.lit("vendors").alias("check"), F.concat(F.col("n").cast("string"), F.lit(" vendors: "), F.substring(F.replace("why", F.lit("_"), F.lit(" ")), 1, 70)).alias("problem")
         )
 
     return check

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import gate, reports, site
+from tidemark.operators.extract import extract_records
+from tidemark.operators.html import clean_pages
+from tidemark.operators.ranks import places
 from tidemark.plans import render
 from tidemark.plans import views as V
+from tidemark.plans.ingest import ingest
 from tidemark.plans.queries import _HASHES, NOW, _all_events, query
 from tidemark.plans.queries import _EVENTS as EVENTS
 from tidemark.plans.queries import _hashes as hashes
+from tidemark.session import reliable_checkpoint
 
 _DIGITS = r"regexp_replace(regexp_replace(format('{{:,.2f}}', {x}), '0+$', ''), '\.$', '')"
 _AMOUNT = "CASE WHEN {x} IS NULL THEN '—' ELSE CASE currency WHEN 'GBP' THEN '£' ELSE '$' END || " + _DIGITS + " END"
@@ -68,10 +74,15 @@ def trial_days(spark, sf_dir):
     return site.trial_days(plans, ["s_nationkey"])
 
 
-@query(f"WITH {V.VENDORS} SELECT category, array_to_string(list_sort(list(name)), ', ') AS names FROM vendors_v GROUP BY category")
+@query(f"WITH {V.VENDORS} SELECT category, name, row_number() OVER (PARTITION BY category ORDER BY name) AS place FROM vendors_v")
 def category_members(spark, sf_dir):
-    grouped = V.vendors(spark, sf_dir).groupBy("category").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    return grouped.select("category", F.array_join("names", ", ").alias("names"))
+    return places(V.vendors(spark, sf_dir).select("category", "name"), ["name"], ["category"])
+
+
+@query("SELECT page_id, path, repeat('../', length(path) - length(replace(path, '/', ''))) AS prefix FROM (SELECT page_id, regexp_extract(url, '://[^/]*/(.*)', 1) AS path FROM pages)")
+def relative_prefix(spark, sf_dir):
+    path = F.regexp_extract("url", "://[^/]*/(.*)", 1)
+    return V.table(spark, sf_dir, "pages").select("page_id", path.alias("path"), T.relative_prefix(path).alias("prefix"))
 
 
 @query("""SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY lower(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END), p_partkey))::INTEGER AS place FROM part""")
@@ -93,3 +104,71 @@ def health_problems(spark, sf_dir):
 @query("SELECT bool_or(event_id % 50 <> 0) AS real, bool_or(event_id % 50 = 0) AS made_up FROM events")
 def real_data(spark, sf_dir):
     return site.has_real_data(V.table(spark, sf_dir, "events").select((F.col("event_id") % 50 == 0).alias("demo")))
+
+
+# Pages made up from columns, so that SQL knows what a reader sees
+
+
+def _markup(spark, sf_dir):
+    """Pages with optional end tags left out, noise, a widget that is some sites' own, and masks."""
+    key = F.sha2(F.col("c_custkey").cast("string"), 256)
+    uuid = F.concat_ws("-", *(F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    price = F.format_string("%d", F.col("c_custkey") % 90 + 9)
+    html = F.concat(
+        F.lit("<html><head><title>"), "c_name", F.lit("</title><script>var a = '$9'</script><body class=page><nav>Menu $1</nav>"),
+        F.lit('<div class="cookie-consent">Accept $2</div><div id="intercom-box">Chat $3</div><main><h1>Pricing \t plan</h1><p>Pro $'), price,
+        F.lit(" per month<p> Pro  $"), price, F.lit(" per month <p>Id "), uuid, F.lit(" nonce-x"), key, F.lit("<ul><li>"), "c_mktsegment",
+        F.lit('<li>Seats &amp; teams</ul><span aria-hidden="true">Hidden $4</span><!-- $5 --></main>'),
+        F.when(F.col("c_custkey") % 2 == 0, "<footer>Foot $6</footer>").otherwise(""),
+    )
+    url = F.when(F.col("c_custkey") % 10 == 0, "https://www.intercom.test/pricing").otherwise("https://shop.test/pricing")
+    return V.table(spark, sf_dir, "customer").select("c_custkey", url.alias("url"), html.alias("html"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'Chat $3' || chr(10) ELSE '' END || 'Pricing plan' || chr(10) || 'Pro $' || (c_custkey % 90 + 9) || ' per month'
+  || chr(10) || 'Id <UUID> <NONCE>' || chr(10) || c_mktsegment || chr(10) || 'Seats & teams' AS text FROM customer""")
+def clean_markup(spark, sf_dir):
+    return clean_pages(_markup(spark, sf_dir)).select("c_custkey", "text")
+
+
+_REASONS = "Every subscription is billed by the month and it can be left at any time without a reason being asked for."
+
+
+def _price_page(price):
+    return F.concat(F.lit("<main><h1>Pricing</h1><h2>Pro</h2><p>$"), price.cast("string"), F.lit(f" per month</p><p>1. {_REASONS}</p><p>2. {_REASONS}</p></main>"))
+
+
+#: What a run may spend in the query below.
+_BUDGET = 0.2
+
+
+@query(f"""WITH p AS (
+    SELECT s_suppkey AS k, 10 + s_suppkey % 50 AS price, 10 + s_suppkey % 50 + CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE 0 END AS old FROM supplier),
+  gated AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'robots_disallowed' WHEN k % 11 = 0 THEN 'error' WHEN k % 7 = 0 THEN 'not_a_pricing_page'
+    WHEN k % 4 = 0 AND k % 6 <> 0 THEN 'same' ELSE 'read' END AS gate FROM p),
+  spent AS (SELECT *, sum(CASE WHEN gate = 'read' THEN length('Pricing' || 'Pro' || '$' || price || ' per month' || '1. {_REASONS}' || '2. {_REASONS}') + 4 ELSE 0 END / 4.0::DOUBLE / 1e6
+    + CASE WHEN gate = 'read' THEN 900 / 1e6 * 5.0::DOUBLE ELSE 0 END) OVER (ORDER BY k) AS spent FROM gated),
+  run AS (SELECT *, CASE WHEN gate <> 'read' THEN gate WHEN spent <= {_BUDGET}::DOUBLE THEN 'ok' ELSE 'over_budget' END AS status FROM spent)
+  SELECT 's' || k AS slug, status, CASE WHEN status = 'ok' AND k % 5 <> 0 AND k % 6 = 0 THEN old::DOUBLE END AS old_price,
+    CASE WHEN status = 'ok' AND k % 5 <> 0 AND k % 6 = 0 THEN price::DOUBLE END AS new_price,
+    (k % 5 <> 0 OR status = 'ok') AS confirmed, CASE WHEN status = 'ok' THEN k % 5 <> 0 AND k % 3 = 0 AND k % 6 <> 0 ELSE k % 6 = 0 END AS held FROM run""")
+def ingest_run(spark, sf_dir):
+    k = F.col("s_suppkey")
+    price = 10 + k % 50
+    known = V.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("slug"), k.alias("pos"), F.lit("https://shop.test/").alias("url"),
+        F.when(k % 11 == 0, 404).otherwise(200).alias("status"), (k % 13 == 0).alias("blocked"),
+        F.when(k % 7 == 0, "<p>hi</p>").otherwise(_price_page(price)).alias("html"), _price_page(price + F.when(k % 3 == 0, 5).otherwise(0)).alias("old"),
+    )
+    pages = known.drop("old")
+    clean = clean_pages(pages.where(F.col("pos") % 4 == 0))
+    state = clean.select("slug", T.content_hash(F.col("text")).alias("hash"))
+    # What earlier runs stored.
+    record = lambda rows: reliable_checkpoint(extract_records(reliable_checkpoint(clean_pages(rows).select("slug", "text"))).select("slug", "record"))
+    baseline = record(known.where(F.col("pos") % 5 != 0).select("slug", "url", F.col("old").alias("html")))
+    pending = record(known.where(F.col("pos") % 6 == 0).select("slug", "url", _price_page(10 + F.col("pos") % 50).alias("html")))
+    run = ingest(pages, state, baseline, pending, "2024-01-31", _BUDGET)
+    changes = run.changes.select(F.col("vendor").alias("slug"), F.col("old_num").alias("old_price"), F.col("new_num").alias("new_price"))
+    one = lambda rows, name: rows.select("slug", F.lit(True).alias(name))
+    out = run.outcomes.select("slug", "status").join(changes, "slug", "left").join(one(run.confirmed, "confirmed"), "slug", "left").join(one(run.pending, "held"), "slug", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("confirmed", "held")})

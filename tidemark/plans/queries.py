@@ -33,9 +33,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 @query(rf"""WITH {V.TEXTS} SELECT id,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
     '\?v=[\w.-]+', '', 'g'), '\b[0-9a-f]{{32,64}}\b', '<HASH>', 'g'), '\bnonce-[\w+/=-]+', '<NONCE>', 'gi'),
     '\b\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}(:\d{{2}})?\b', '<TS>', 'g'),
+    '\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\b', '<UUID>', 'gi'),
     '\b\d[\d,]{{3,}}\+?\s+(customers|teams|companies|users|businesses|developers)\b', '<COUNT> \1', 'gi') AS masked
   FROM texts_v""")
 def mask_volatile(spark, sf_dir):
@@ -153,10 +154,13 @@ def plan_key(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", T.plan_key(F.expr(_PLAN_NAME)).alias("key"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type) || '-' || replace(p_name, ' ', '-'), '-'),
-  lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'CRM' ELSE array_to_string(list_transform(string_split(
+    CASE WHEN p_partkey % 3 = 0 THEN 'seo-api-' ELSE '' END || lower(p_type) || '-' || replace(p_name, ' ', '-'), '-'),
+  lambda w: CASE w WHEN 'seo' THEN 'SEO' WHEN 'api' THEN 'API' ELSE upper(w[1]) || lower(w[2:]) END), ' ') END AS title FROM part""")
 def title_case(spark, sf_dir):
-    slug = F.concat(F.lower("p_type"), F.lit("-"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    prefix = F.when(F.col("p_partkey") % 3 == 0, "seo-api-").otherwise("")
+    slug = F.concat(prefix, F.lower("p_type"), F.lit("-"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    slug = F.when(F.col("p_partkey") % 7 == 0, "crm-tools").otherwise(slug)
     return V.table(spark, sf_dir, "part").select("p_partkey", T.title_case(slug).alias("title"))
 
 
@@ -397,6 +401,11 @@ def pct_change(spark, sf_dir):
     return _persisted(spark, sf_dir).select(*_SPLIT, "key", F.round(pct, 6).alias("pct"))
 
 
+@query(f"""WITH {_YEARS} SELECT vendor, year, key, coalesce(format('{{:+.1f}}%', round((new_monthly - old_monthly) / nullif(old_monthly, 0) * 100, 1)), 'n/a') AS pct FROM both_v""")
+def pct_text(spark, sf_dir):
+    return _persisted(spark, sf_dir).select(*_SPLIT, "key", T.percent_text(F.col("old.monthly_price"), F.col("new.monthly_price")).alias("pct"))
+
+
 def _all_events(spark, sf_dir):
     readings = V.readings(spark, sf_dir)
     events = diff.diff_readings(*_years(spark, sf_dir), *V.year_pairs(readings, readings))
@@ -497,6 +506,11 @@ def due_vendors(spark, sf_dir):
     return gate.due_vendors(V.vendors(spark, sf_dir), F.lit("2024-01-23").cast("date")).select("vendor", "name", "slug", "tier")
 
 
+@query(f"WITH {V.VENDORS} SELECT vendor, name, slug, tier FROM vendors_v")
+def due_vendors_monday(spark, sf_dir):
+    return gate.due_vendors(V.vendors(spark, sf_dir), F.lit("2024-01-22").cast("date")).select("vendor", "name", "slug", "tier")
+
+
 @query(f"""WITH {V.CHECKS}, g AS (SELECT slug, outcome, count(*) FILTER (outcome <> 'error') OVER (
     PARTITION BY slug ORDER BY checked_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS later_ok FROM checks_v)
   SELECT slug, count(*) FILTER (outcome = 'error' AND later_ok = 0) AS consecutive_failures FROM g GROUP BY slug""")
@@ -525,13 +539,15 @@ def failure_alarm(spark, sf_dir):
 
 @query(f"""WITH {V.HEADS}, priced AS (SELECT * FROM heads_v WHERE entry_price IS NOT NULL),
   counts AS (SELECT category, currency, count(*) AS c FROM priced GROUP BY ALL),
-  best AS (SELECT category, arg_min(currency, (-c, currency)) AS currency, max(c) AS c, count(*) AS currencies, sum(c) AS priced FROM counts GROUP BY category),
+  seen AS (SELECT category, count(DISTINCT currency) AS currencies FROM heads_v GROUP BY category),
+  best AS (SELECT category, arg_min(currency, (-c, currency)) AS currency, max(c) AS c, sum(c) AS priced FROM counts GROUP BY category),
   main AS (SELECT p.* FROM priced p JOIN best b ON p.category = b.category AND p.currency = b.currency),
   med AS (SELECT category, list_sort(list(entry_price))[count(*) // 2 + 1] AS median_entry, list_sort(list(top_price))[count(*) // 2 + 1] AS median_top FROM main GROUP BY category)
   SELECT f.category, count(*) AS vendors, count(*) FILTER (has_free) / count(*) * 100 AS pct_free, count(*) FILTER (per_seat) / count(*) * 100 AS pct_per_seat,
-    any_value(b.currency) AS currency, any_value(b.currencies) AS currencies, any_value(median_entry) AS median_entry, any_value(median_top) AS median_top,
+    coalesce(any_value(b.currency), 'USD') AS currency, any_value(s.currencies) AS currencies, coalesce(any_value(b.c), 0)::BIGINT AS priced_in_currency,
+    any_value(median_entry) AS median_entry, any_value(median_top) AS median_top,
     coalesce(any_value(b.priced) - any_value(b.c), 0)::BIGINT AS excluded
-  FROM heads_v f LEFT JOIN best b ON b.category = f.category LEFT JOIN med m ON m.category = f.category GROUP BY f.category""")
+  FROM heads_v f JOIN seen s ON s.category = f.category LEFT JOIN best b ON b.category = f.category LEFT JOIN med m ON m.category = f.category GROUP BY f.category""")
 def category_benchmark(spark, sf_dir):
     return benchmarks.category_benchmark(V.heads(spark, sf_dir))
 
@@ -544,7 +560,8 @@ def upper_median(spark, sf_dir):
 _PAIRS = f"""{V.HEADS}, {V.CHANGES}, lively AS (SELECT *, tier = 'daily' OR vendor IN (SELECT vendor FROM changes_v) AS l FROM heads_v WHERE entry_price IS NOT NULL),
   pairs_v AS (SELECT a.category, a.vendor AS vendor_a, b.vendor AS vendor_b, a.name AS name_a, b.name AS name_b, a.slug || '-vs-' || b.slug AS pair,
     a.entry_price AS entry_price_a, b.entry_price AS entry_price_b, a.currency AS currency_a, b.currency AS currency_b, a.per_seat AS per_seat_a, b.per_seat AS per_seat_b, a.has_free AS has_free_a, b.has_free AS has_free_b,
-    a.plans AS plans_a, b.plans AS plans_b FROM lively a JOIN lively b ON a.category = b.category AND a.name < b.name WHERE a.l OR b.l)"""
+    a.plans AS plans_a, b.plans AS plans_b, a.trial_days AS days_a, b.trial_days AS days_b, a.features AS features_a, b.features AS features_b,
+    a.changes AS changes_a, b.changes AS changes_b FROM lively a JOIN lively b ON a.category = b.category AND a.name < b.name WHERE a.l OR b.l)"""
 
 
 def _pairs(spark, sf_dir):
@@ -573,7 +590,15 @@ def compare_gap_bucket(spark, sf_dir):
 
 @query(f"""WITH {_PAIRS} SELECT pair, array_to_string(list_filter([CASE WHEN has_free_a AND NOT has_free_b THEN 'only first has a free plan' END,
   CASE WHEN has_free_b AND NOT has_free_a THEN 'only second has a free plan' END, CASE WHEN per_seat_a <> per_seat_b THEN 'billing differs' END,
-  CASE WHEN plans_a > plans_b THEN 'first has more plans' END, CASE WHEN plans_a < plans_b THEN 'second has more plans' END], lambda x: x IS NOT NULL), '; ') AS facts FROM pairs_v""")
+  CASE WHEN plans_a > plans_b THEN 'first has more plans' END, CASE WHEN plans_a < plans_b THEN 'second has more plans' END,
+  CASE WHEN has_free_a AND has_free_b THEN 'both have a free plan' END,
+  CASE WHEN days_a > days_b THEN 'first has the longer trial, ' || days_a || ' days against ' || days_b END,
+  CASE WHEN days_a < days_b THEN 'second has the longer trial, ' || days_b || ' days against ' || days_a END,
+  'only first names ' || nullif(array_to_string(list_sort(list_filter(features_a, lambda x: NOT list_contains(features_b, x)))[1:6], ', '), ''),
+  'only second names ' || nullif(array_to_string(list_sort(list_filter(features_b, lambda x: NOT list_contains(features_a, x)))[1:6], ', '), ''),
+  CASE WHEN changes_a > 0 AND changes_b = 0 THEN 'only first has changed, times ' || changes_a END,
+  CASE WHEN changes_b > 0 AND changes_a = 0 THEN 'only second has changed, times ' || changes_b END,
+  CASE WHEN changes_a > 0 AND changes_b > 0 THEN 'both have changed, times ' || changes_a || ' and ' || changes_b END], lambda x: x IS NOT NULL), '; ') AS facts FROM pairs_v""")
 def compare_facts(spark, sf_dir):
     return benchmarks.compare_facts(_pairs(spark, sf_dir)).select("pair", F.array_join("facts", "; ").alias("facts"))
 
@@ -677,6 +702,24 @@ def digest_by_category(spark, sf_dir):
     return digest.withColumn("latest", F.col("latest").cast("timestamp_ntz"))
 
 
+@query(f"""WITH {_RECENT}, {V.VENDORS} SELECT r.event_id, r.vendor, r.plan, coalesce(v.category, 'uncategorised') AS category FROM recent_v r LEFT JOIN vendors_v v ON v.vendor = r.vendor""")
+def digest_rows(spark, sf_dir):
+    return reports.digest_rows(_recent(spark, sf_dir), V.vendors(spark, sf_dir)).select("event_id", "vendor", "plan", "category")
+
+
+@query(f"WITH {_RECENT} SELECT count(*) AS changes, count(DISTINCT vendor) AS vendors FROM recent_v")
+def digest_header(spark, sf_dir):
+    return reports.digest_header(_recent(spark, sf_dir))
+
+
+@query(f"""WITH {V.VENDORS}, {V.PLANS}, {V.CURRENT}, {V.CHANGES} SELECT (SELECT count(*) FROM vendors_v) AS vendors,
+  (SELECT count(*) FROM current_v SEMI JOIN vendors_v USING (vendor) WHERE NOT is_addon) AS plans, (SELECT count(*) FROM changes_v) AS changes, '{TODAY}' AS since""")
+def grand_totals(spark, sf_dir):
+    known = V.vendors(spark, sf_dir)
+    own = V.newest(V.plans(spark, sf_dir)).join(known.select("vendor"), "vendor", "left_semi")
+    return reports.grand_totals(known, own, V.changes(spark, sf_dir), F.lit(TODAY))
+
+
 @query(f"""WITH {_EVENTS} SELECT vendor, year, key, change_type, field, confidence, (row_number() OVER (
   ORDER BY confidence, vendor, year, coalesce(key, ''), change_type, coalesce(field, ''), coalesce(old_text, ''), coalesce(new_text, '')))::BIGINT AS rank
   FROM events_v WHERE NOT publishable""")
@@ -725,9 +768,13 @@ def spend_by_month(spark, sf_dir):
 
 @query(f"""WITH {V.STATE}, {V.CHANGES}, {V.SNAPSHOTS} SELECT count(*) AS vendors, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failing,
   count(*) FILTER (last_checked < DATE '{TODAY}' - 14) AS stale, max(last_checked)::VARCHAR AS last_run, (SELECT count(*) FROM changes_v) AS changes,
-  (SELECT count(*) FROM snap_v) AS snapshots, 'problems' AS health FROM state_v""")
+  (SELECT count(*) FROM snap_v) AS snapshots,
+  (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS records, (SELECT count(DISTINCT user_id) FROM events) AS pending, (SELECT count(*) FROM changes_v WHERE old_value IS NULL) AS review,
+  'problems' AS health FROM state_v""")
 def status_rollup(spark, sf_dir):
-    row = reports.status_rollup(V.state(spark, sf_dir), V.changes(spark, sf_dir), V.snapshots(spark, sf_dir), F.lit(TODAY).cast("date"))
+    changes = V.changes(spark, sf_dir)
+    stored = (V.readings(spark, sf_dir).select("vendor").distinct(), changes.select("vendor").distinct(), changes.where("old_value IS NULL"))
+    row = reports.status_rollup(V.state(spark, sf_dir), changes, V.snapshots(spark, sf_dir), F.lit(TODAY).cast("date"), *stored)
     return row.withColumn("last_run", F.col("last_run").cast("string"))
 
 
@@ -761,6 +808,14 @@ def next_milestone(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select("o_orderkey", reports.next_milestone(days).alias("days_left"))
 
 
+@query(f"""WITH d AS (SELECT o_orderkey, ({_DAYS})::INTEGER AS days FROM orders), t AS (
+    SELECT *, CASE WHEN days < 7 THEN 7 WHEN days < 30 THEN 30 WHEN days < 90 THEN 90 WHEN days < 365 THEN 365 END AS target FROM d)
+  SELECT o_orderkey, coalesce((target - days) || ' days to ' || target, 'past every milestone') AS milestone FROM t""")
+def milestone_text(spark, sf_dir):
+    days = reports.days_recording(_since(), F.lit(TODAY).cast("date"))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", reports.milestone_text(days).alias("milestone"))
+
+
 @query("""WITH d AS (SELECT event_id, ts, CASE WHEN date_trunc('day', ts) + INTERVAL 6 HOUR <= ts THEN date_trunc('day', ts) + INTERVAL 30 HOUR
     ELSE date_trunc('day', ts) + INTERVAL 6 HOUR END AS due FROM events),
   s AS (SELECT event_id, floor(epoch(due) - epoch(ts))::BIGINT AS s FROM d)

@@ -48,6 +48,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.max("l_linenumber") > 6).alias("is_per_seat"),
         F.max("l_quantity").alias("quantity"),
         F.count("*").alias("lines"),
+        F.when(F.count("*") % 4 < 2, F.lit(14) + 16 * (F.count("*") % 2)).cast("int").alias("trial_days"),
         F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("features"),
     )
     return rows.select(
@@ -62,6 +63,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("lines") % 7 == 0).alias("is_custom_pricing"),
         "is_per_seat",
         F.col("name").endswith("5").alias("is_addon"),
+        "trial_days",
         F.create_map(F.lit("quantity"), F.col("quantity")).alias("limits"),
         "features",
     )
@@ -70,6 +72,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLANS = """plans_v AS (
   SELECT l_suppkey AS vendor, year(l_shipdate)::INTEGER AS year, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS key,
          p_brand || CASE WHEN count(*) % 3 = 0 THEN '+' ELSE '' END AS name, count(*) % 5 = 0 AS is_free, count(*) % 7 = 0 AS is_custom_pricing,
+         (CASE WHEN count(*) % 4 < 2 THEN 14 + 16 * (count(*) % 2) END)::INTEGER AS trial_days,
          min(l_extendedprice) AS monthly_price, CASE WHEN count(*) % 2 <> 0 THEN max(l_extendedprice) END AS annual_price_per_month,
          max(l_linenumber) > 6 AS is_per_seat, p_brand LIKE '%5' AS is_addon, max(l_quantity) AS quantity,
          list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS features
@@ -142,8 +145,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-like texts from the orders, with everything that changes on each request."""
     at = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")
     key = F.col("o_orderkey").cast("string")
+    parts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    uuid = F.concat_ws("-", *(F.substring(F.sha2(F.concat(F.lit("u"), key), 256), a, n) for a, n in parts))
     built = F.concat(
-        F.lit("Built "), at, F.lit(" ?v="), key, F.lit(" "), F.sha2(key, 256), F.lit(" nonce-Ab"), F.col("o_custkey").cast("string"),
+        F.lit("Built "), at, F.lit(" ?v="), key, F.lit(" "), F.sha2(key, 256), F.lit(" id "), uuid, F.lit(" nonce-Ab"), F.col("o_custkey").cast("string"),
         F.lit(" by 12,"), (F.lit(100) + F.col("o_custkey") % 900).cast("string"), F.lit(" teams $"),
         F.floor("o_totalprice").cast("bigint").cast("string"), F.lit(" per month plan"),
     )
@@ -154,8 +159,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXTS = """texts_v AS (
   SELECT o_orderkey AS id, b || CASE WHEN o_orderkey % 3 = 0 THEN repeat(' more words', 10) ELSE '' END AS text FROM (
     SELECT o_orderkey, 'Built ' || strftime(o_orderdate, '%Y-%m-%d %H:%M') || ' ?v=' || o_orderkey || ' ' || sha256(o_orderkey::VARCHAR)
-      || ' nonce-Ab' || o_custkey || ' by 12,' || (100 + o_custkey % 900) || ' teams $' || floor(o_totalprice)::BIGINT || ' per month plan' AS b
-    FROM orders))"""
+      || ' id ' || concat_ws('-', u[1:8], u[9:12], u[13:16], u[17:20], u[21:32]) || ' nonce-Ab' || o_custkey || ' by 12,' || (100 + o_custkey % 900) || ' teams $' || floor(o_totalprice)::BIGINT || ' per month plan' AS b
+    FROM (SELECT *, sha256('u' || o_orderkey) AS u FROM orders)))"""
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,15 +197,21 @@ STATE = f"""{CHECKS}, state_v AS (
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered vendors with what their current plans say at a glance."""
-    from tidemark.operators.records import headline_prices, vendor_flags
+    from tidemark.operators.records import all_features, headline_prices, vendor_flags
 
     own = newest(plans(spark, sf_dir))
     flags = vendor_flags(own, ["vendor"]).select("vendor", F.col("free_real").alias("has_free"), F.col("seat_real").alias("per_seat"), F.col("custom_real").alias("custom"), F.col("real_plans").alias("plans"))
     money = newest(readings(spark, sf_dir)).select("vendor", "currency")
+    tried = own.groupBy("vendor").agg(F.max("trial_days").alias("trial_days"))
+    # What a page names is one list per vendor, the unit of the data model.
+    named = all_features(own, ["vendor"]).groupBy("vendor").agg(F.sort_array(F.collect_set("feature")).alias("features"))
+    counted = changes(spark, sf_dir).groupBy("vendor").agg(F.count("*").alias("changes"))
+    flags = flags.join(tried, "vendor", "full_outer").join(named, "vendor", "left").join(counted, "vendor", "left")
     joined = vendors(spark, sf_dir).join(money, "vendor").join(headline_prices(own, ["vendor"]), "vendor", "left").join(flags, "vendor", "left")
     return joined.select(
         "vendor", "name", "slug", "category", "tier", "currency", "entry_price", "top_price", F.coalesce("has_free", F.lit(False)).alias("has_free"),
         F.coalesce("per_seat", F.lit(False)).alias("per_seat"), F.coalesce("custom", F.lit(False)).alias("custom"), F.coalesce("plans", F.lit(0)).cast("long").alias("plans"),
+        "trial_days", F.coalesce("features", F.array().cast("array<string>")).alias("features"), F.coalesce("changes", F.lit(0)).alias("changes"),
     )
 
 
@@ -208,8 +219,11 @@ HEADS = f"""{VENDORS}, {PLANS}, {READINGS}, {CURRENT}, priced_v AS (
   SELECT vendor, coalesce(nullif(monthly_price, 0), nullif(annual_price_per_month, 0)) AS price FROM current_v WHERE NOT is_addon AND NOT is_custom_pricing),
 heads_v AS (
   SELECT v.vendor, v.name, v.slug, v.category, v.tier, r.currency, p.entry_price, p.top_price, coalesce(f.has_free, false) AS has_free,
-         coalesce(f.per_seat, false) AS per_seat, coalesce(f.custom, false) AS custom, coalesce(f.plans, 0)::BIGINT AS plans
+         coalesce(f.per_seat, false) AS per_seat, coalesce(f.custom, false) AS custom, coalesce(f.plans, 0)::BIGINT AS plans, t.trial_days,
+         coalesce(list_filter(f.features, lambda x: x IS NOT NULL), []) AS features, coalesce(c.changes, 0)::BIGINT AS changes
   FROM vendors_v v JOIN (SELECT * FROM readings_v QUALIFY year = max(year) OVER (PARTITION BY vendor)) r ON r.vendor = v.vendor
   LEFT JOIN (SELECT vendor, min(price) AS entry_price, max(price) AS top_price FROM priced_v WHERE price IS NOT NULL GROUP BY vendor) p ON p.vendor = v.vendor
-  LEFT JOIN (SELECT vendor, bool_or(is_free) AS has_free, bool_or(is_per_seat) AS per_seat, bool_or(is_custom_pricing) AS custom, count(*) AS plans
-             FROM current_v WHERE NOT is_addon GROUP BY vendor) f ON f.vendor = v.vendor)"""
+  LEFT JOIN (SELECT vendor, bool_or(is_free) AS has_free, bool_or(is_per_seat) AS per_seat, bool_or(is_custom_pricing) AS custom, count(*) AS plans,
+               list_distinct(flatten(list(features))) AS features FROM current_v WHERE NOT is_addon GROUP BY vendor) f ON f.vendor = v.vendor
+  LEFT JOIN (SELECT vendor, max(trial_days) AS trial_days FROM current_v GROUP BY vendor) t ON t.vendor = v.vendor
+  LEFT JOIN (SELECT user_id AS vendor, count(*) AS changes FROM events GROUP BY user_id) c ON c.vendor = v.vendor)"""
