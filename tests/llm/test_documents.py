@@ -15,7 +15,7 @@ from tidemark.llm.bpe import ByteBpe, bpe_decode, bpe_encode, byte_characters, b
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secrets import base_spans, linked_spans, scan_secrets
-from tidemark.llm.toxicity import FtrlSettings, ftrl, score_toxicity
+from tidemark.llm.toxicity import FtrlSettings, ftrl, packed, score_toxicity, unpacked
 from tidemark.llm.urls import filter_urls
 from tidemark.llm.queries import URL_RULES, vocabulary
 from tidemark.llm.words import Runs, batch_words
@@ -351,6 +351,12 @@ def test_held_out_accuracy(spark):
     assert {r["score"] for r in blank} == {0.5} and score_toxicity(docs.limit(0), marks).count() == 0
 
 
+@given(st.sets(st.integers(0, (1 << 20) - 1), max_size=50))
+def test_packed_buckets_come_back(buckets):
+    at = np.array(sorted(buckets), np.int64)
+    assert unpacked(packed(at)).tolist() == at.tolist()
+
+
 def test_ftrl_keeps_only_what_matters():
     rows = [np.array([i % 2, 2, 8]) for i in range(400)]
     weights, bias = ftrl(rows, [i % 2 for i in range(400)], FtrlSettings(bits=3))

@@ -37,9 +37,9 @@ class FtrlSettings:
 STEM_BYTES = 5
 
 
-def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: pa.Array, bits: int, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of words, their stems, neighbouring pairs and pairs with one word
-    between, each pair once, in order.
+    between, each pair once, in order; of the ``counted`` buckets alone, if given.
 
     A stem, a word's first bytes, lets rare forms of a word share what is learnt.
     """
@@ -56,10 +56,27 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     )
     rows = np.concatenate([r for r, _ in kinds]).astype(np.uint64)
     buckets = np.concatenate([h for _, h in kinds]) >> np.uint64(64 - bits)
+    if counted is not None:
+        use = counted[buckets]
+        rows, buckets = rows[use], buckets[use]
     pairs = np.unique(rows << np.uint64(bits) | buckets)
     return (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending numbers as steps of two bytes; 65535 is part of a longer step."""
+    step = np.diff(buckets, prepend=0)
+    long = step // 65535
+    out = np.full(len(step) + int(long.sum()), 65535, np.uint16)
+    out[np.cumsum(long + 1) - 1] = step % 65535
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    step = np.frombuffer(raw, np.uint16)
+    return np.cumsum(step, dtype=np.int64)[step != 65535]
+
+
 def ftrl(rows: list[np.ndarray], labels: list[int], settings: FtrlSettings) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on presence features.
 
@@ -89,14 +106,14 @@ def ftrl(rows: list[np.ndarray], labels: list[int], settings: FtrlSettings) -> t
 
 
 def _hash(bits: int):
-    """Rows of (key, label, text) to (key, label, at), the text's buckets."""
+    """Rows of (key, label, text) to (key, label, at), the text's packed buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 row, bucket = features(part.column("text"), bits)
-                cuts = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                at = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
+                cuts = np.searchsorted(row, np.arange(len(part) + 1))
+                at = pa.array([packed(bucket[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
                 yield pa.record_batch([part.column("key"), part.column("label"), at], ["key", "label", "at"])
 
     return run
@@ -104,11 +121,11 @@ def _hash(bits: int):
 
 def _train(settings: FtrlSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, end = [], np.array([1 << settings.bits], np.int32)
+        rows, end = [], 1 << settings.bits
         for batch in batches:
             key, label, at = batch.columns
             for i in range(len(batch)):
-                rows.append((key[i].as_py(), label[i].as_py(), np.append(at[i].values.to_numpy(), end)))
+                rows.append((key[i].as_py(), label[i].as_py(), np.append(unpacked(at[i].as_py()), end).astype(np.int32)))
         w, bias = ftrl([r[2] for r in rows], [r[1] for r in rows], settings) if rows else (np.zeros(1), 0.0)
         at = np.flatnonzero(w)
         yield pa.record_batch(
@@ -133,7 +150,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, settings:
     # The limit bounds what is broadcast, so no text but the sample's is shuffled.
     sample = texts.join(F.broadcast(chosen), "doc_id").select("key", "label", F.coalesce("text", F.lit("")).alias("text"))
     # Texts are hashed where they are read; the task that trains gets numbers, in a fixed order.
-    hashed = sample.mapInArrow(_hash(settings.bits), "key long, label int, at array<int>")
+    hashed = sample.mapInArrow(_hash(settings.bits), "key long, label int, at binary")
     hashed = hashed.orderBy("key", "label", "at").limit(settings.max_documents)
     learnt = hashed.repartition(1).sortWithinPartitions("key", "label", "at").mapInArrow(_train(settings), "bucket long, weight double")
     return {r["bucket"]: r["weight"] for r in learnt.collect()}
@@ -147,9 +164,10 @@ def _score(model, bits: int):
         for at, w in sparse.items():
             if at >= 0:
                 dense[at] = w
+        counted = dense != 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                row, bucket = features(part.column("text"), bits)
+                row, bucket = features(part.column("text"), bits, counted)
                 total = bias + np.bincount(row, dense[bucket], len(part))
                 scores = 1 / (1 + np.exp(-np.clip(total, -35.0, 35.0)))
                 yield pa.record_batch([part.column(0), pa.array(scores, pa.float64())], [part.schema.names[0], "score"])
