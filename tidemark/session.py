@@ -46,3 +46,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written to a folder and read again.
+
+    Unlike a checkpoint it forgets the sizes that were estimated for ``df``: a loop that joins
+    what it stored would multiply them each time, until planning takes longer than running.
+    """
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
