@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable_checkpoint
+from tidemark.llm.common import reliable_checkpoint, shared_folder
+from tidemark.session import remove_folder, stored
 
 
 def _priority(node: Column, turn: int) -> Column:
@@ -23,7 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joins can be split. Roots are arbitrary members of their component. Nulls and
     self-loops are ignored; no edges give an empty table.
     """
-    live = reliable_checkpoint(edges.select("a", "b").where("a <> b").distinct())
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    live = stored(edges.select("a", "b").where("a <> b").distinct(), f"{folder}/edges")
     maps: list[DataFrame] = []
     for turn in range(max_rounds):
         if live.isEmpty():
@@ -32,21 +37,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         follow = both.groupBy("a").agg(
             F.least(F.min(_priority(F.col("b"), turn)), _priority(F.col("a"), turn))["v"].alias("to")
         )
-        follow = reliable_checkpoint(follow.withColumnRenamed("a", "node"))
+        follow = stored(follow.withColumnRenamed("a", "node"), f"{folder}/map-{turn}")
         maps.append(follow)
         left = follow.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = follow.select(F.col("node").alias("b"), F.col("to").alias("y"))
         live = live.join(left, "a").join(right, "b").where("x <> y")
-        live = live.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        live = reliable_checkpoint(live)
+        live = stored(live.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{folder}/edges-{turn}")
     else:
         raise RuntimeError("contraction did not end")
     if not maps:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # Later maps are smaller: compose from the back, each step stored, as planning many joins
-    # in one plan takes longer than running them.
-    roots = maps[-1].withColumnRenamed("to", "root")
-    for earlier in reversed(maps[:-1]):
-        later = roots.select(F.col("node").alias("to"), F.col("root").alias("end"))
-        roots = reliable_checkpoint(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")))
+        roots = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        # Later maps are smaller: compose from the back, a step at a time.
+        roots = maps[-1].withColumnRenamed("to", "root")
+        for turn, earlier in reversed(list(enumerate(maps[:-1]))):
+            later = roots.select(F.col("node").alias("to"), F.col("root").alias("end"))
+            roots = stored(earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("root")), f"{folder}/roots-{turn}")
+    roots = reliable_checkpoint(roots)
+    remove_folder(spark, folder)
     return roots
