@@ -19,6 +19,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import linked_rows
 from tidemark.llm.queries import read, vocabulary
 from tidemark.llm.toxicity import scored_rows
+from tidemark.session import remove_folder
 
 
 #: Fixed value: the score from which a text is toxic, as in ``score_toxicity``.
@@ -38,12 +39,6 @@ def row_key() -> Column:
     return F.struct(*of_source(), F.xxhash64("text").alias("h"))
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever store holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held(docs: DataFrame, key: Column) -> DataFrame:
     """(d, key): each row in one struct beside its key, so that no column's name can clash."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), key.alias("key"))
