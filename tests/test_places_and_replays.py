@@ -9,8 +9,12 @@ from tidemark.functions import text as T
 from tidemark.operators import benchmarks, gate, reports
 from tidemark.operators.extract import extract_records
 from tidemark.operators.ranks import places
+from tidemark.plans import render
 from tidemark.session import remove_folder, shared_folder, stored
-from tidemark.sources.sinks import append_changes
+from tidemark.sources.logs import text_or_default
+from tidemark.sources.registry import made_up_records, made_up_snapshots, patched_registry
+from tidemark.sources.sinks import add_spend, append_changes
+from tidemark.streaming.confirm import reading_stream
 
 
 @pytest.mark.parametrize("within", [[], ["g"]])
@@ -76,3 +80,53 @@ def test_stored_tables_come_and_go(spark):
     remove_folder(spark, folder)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folder)
+
+
+def test_registry_addresses_move_in_place():
+    text = '# ours\nvendors:\n  - name: A  # first\n    pricing_url: https://a.test/pricing # old\n  - name: B\n    pricing_url: "https://b.test/p"\n    note: https://b.test/p\n  - pricing_url: https://a.test/pricing/more\n'
+    moved = patched_registry(text, [("https://a.test/pricing", "https://a.test/plans"), ("https://b.test/p", "https://b.test/q")])
+    assert moved == text.replace("pricing # old", "plans # old").replace('"https://b.test/p"', '"https://b.test/q"')
+    assert patched_registry(text, []) == text
+
+
+def test_made_up_tables_repeat(spark):
+    snaps = made_up_snapshots(spark, 3, 25)
+    assert snaps.count() == 75 and sorted(snaps.collect()) == sorted(made_up_snapshots(spark, 3, 25).repartition(5).collect())
+    moved = snaps.groupBy("slug").agg(F.count_distinct("text").alias("n")).collect()
+    assert all(3 <= r["n"] <= 4 for r in moved)
+    for r in made_up_records(spark, 4).collect():
+        prices = [p["monthly_price"] for p in r["record"]["plans"]]
+        assert r["demo"] and len(prices) == 3 and prices == sorted(prices)
+
+
+def test_json_ld_of_site_and_archive(spark):
+    totals = spark.createDataFrame([(3, 5, "</script>2024")], "vendors long, changes long, since string")
+    row = render.dataset_schema(totals, "N & co", "https://x.test").withColumn("site", render.site_schema("N", "https://x.test", "<d>")).first()
+    assert "<" not in row["json_ld"] + row["site"] and "&" not in row["json_ld"]
+    archive, site = json.loads(row["json_ld"]), json.loads(row["site"])
+    assert archive["@type"] == "Dataset" and archive["creator"]["name"] == "N & co" and archive["temporalCoverage"] == "</script>2024/.."
+    assert site == {"@context": "https://schema.org", "@type": "WebSite", "name": "N", "url": "https://x.test", "description": "<d>"}
+
+
+def test_spend_adds_up_and_fetched_texts_have_defaults(spark):
+    month = lambda rows: spark.createDataFrame(rows, "month string, usd double")
+    got = add_spend(month([("2024-01", 0.1), ("2024-02", 1.0)]), month([("2024-02", 0.25), ("2024-03", 2.0)])).collect()
+    assert {tuple(r) for r in got} == {("2024-01", 0.1), ("2024-02", 1.25), ("2024-03", 2.0)}
+    fetched = spark.createDataFrame([(200, "ok"), (500, "gone"), (200, None)], "status int, body string")
+    assert [r[0] for r in fetched.select(text_or_default(F.col("status"), F.col("body"), "-")).collect()] == ["ok", "-", "-"]
+
+
+def test_a_backlog_comes_in_steps(spark, tmp_path):
+    for i in range(5):
+        spark.createDataFrame([(i,)], "event_id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = reading_stream(spark, str(tmp_path / "in"), "event_id int", most_files=2)
+    sizes = []
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ckpt")).foreachBatch(lambda b, _: sizes.append(b.count())).start().awaitTermination()
+    assert sum(sizes) == 5 and max(sizes) <= 2
+
+
+def test_amounts_of_changes_have_the_vendors_currency(spark):
+    events = spark.createDataFrame([("a", "price_increase", "Pro", 1.0, 2.0), ("b", "price_increase", "Pro", 1.0, 2.0)], "vendor string, change_type string, plan string, old_num double, new_num double")
+    events = events.withColumns({c: F.lit(None).cast("string") for c in ("old_text", "new_text", "detected_at")})
+    rows = render.change_rows(events, spark.createDataFrame([("a", "GBP")], "vendor string, currency string")).collect()
+    assert {r["vendor"]: r["phrase"] for r in rows} == {"a": "Pro went up from £1 to £2", "b": "Pro went up from $1 to $2"}

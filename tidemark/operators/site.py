@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import money
 from tidemark.operators.records import plan_price
 
 #: Hours after which a run is late.
@@ -37,6 +38,28 @@ def has_real_data(records: DataFrame) -> DataFrame:
     return records.agg(F.coalesce(F.bool_or(~demo), F.lit(False)).alias("real"), F.coalesce(F.bool_or(demo), F.lit(False)).alias("made_up"))
 
 
+def with_plans(vendors: DataFrame, plans: DataFrame, key: str = "vendor") -> DataFrame:
+    """Vendors whose record holds plans: the others get no page."""
+    return vendors.join(plans.select(key).distinct(), key, "left_semi")
+
+
+def compare_table(pairs: DataFrame) -> DataFrame:
+    """(pair, place, label, first, second): the cells of a comparison, in order."""
+    none, word = F.lit("—"), lambda when, yes, no: F.when(when, yes).otherwise(no)
+    cells = {
+        "Cheapest paid plan": lambda s: money(F.col(f"currency_{s}"), F.col(f"entry_price_{s}")),
+        "Highest listed plan": lambda s: money(F.col(f"currency_{s}"), F.col(f"top_price_{s}")),
+        "Free tier": lambda s: word(F.col(f"has_free_{s}"), "Yes", "No"),
+        "Billing": lambda s: word(F.col(f"per_seat_{s}"), "Per seat", "Flat"),
+        "Free trial": lambda s: F.coalesce(F.concat(F.col(f"trial_days_{s}").cast("string"), F.lit(" days")), none),
+        "Plans published": lambda s: F.col(f"plans_{s}").cast("string"),
+        "Enterprise quote only": lambda s: word(F.col(f"custom_{s}"), "Yes", "No"),
+        "Price changes recorded": lambda s: F.col(f"changes_{s}").cast("string"),
+    }
+    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("label"), c("a").alias("first"), c("b").alias("second")) for i, (n, c) in enumerate(cells.items(), 1)))
+    return pairs.select("pair", F.explode(rows).alias("r")).select("pair", "r.*")
+
+
 def vendor_page(plans: DataFrame) -> DataFrame:
     """Plans of each vendor in stored order, add-ons apart: price, basis, billing, first limits."""
     price, basis = plan_price(F.col("monthly_price"), F.col("annual_price_per_month"))

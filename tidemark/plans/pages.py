@@ -15,8 +15,10 @@ from tidemark.plans import views as V
 from tidemark.plans.ingest import ingest
 from tidemark.plans.queries import _HASHES, NOW, _all_events, query
 from tidemark.plans.queries import _EVENTS as EVENTS
+from tidemark.plans.queries import _PAIRS, _pairs
 from tidemark.plans.queries import _hashes as hashes
 from tidemark.session import reliable_checkpoint
+from tidemark.sources.logs import json_or_default
 
 _DIGITS = r"regexp_replace(regexp_replace(format('{{:,.2f}}', {x}), '0+$', ''), '\.$', '')"
 _AMOUNT = "CASE WHEN {x} IS NULL THEN '—' ELSE CASE currency WHEN 'GBP' THEN '£' ELSE '$' END || " + _DIGITS + " END"
@@ -106,6 +108,55 @@ def real_data(spark, sf_dir):
     return site.has_real_data(V.table(spark, sf_dir, "events").select((F.col("event_id") % 50 == 0).alias("demo")))
 
 
+_SIDE = """SELECT pair, [{{'place': 1, 'label': 'Cheapest paid plan', 'v': {entry}}}, {{'place': 2, 'label': 'Highest listed plan', 'v': {top}}},
+  {{'place': 3, 'label': 'Free tier', 'v': CASE WHEN has_free_{s} THEN 'Yes' ELSE 'No' END}}, {{'place': 4, 'label': 'Billing', 'v': CASE WHEN per_seat_{s} THEN 'Per seat' ELSE 'Flat' END}},
+  {{'place': 5, 'label': 'Free trial', 'v': coalesce(days_{s} || ' days', '—')}}, {{'place': 6, 'label': 'Plans published', 'v': plans_{s}::VARCHAR}},
+  {{'place': 7, 'label': 'Enterprise quote only', 'v': CASE WHEN custom_{s} THEN 'Yes' ELSE 'No' END}}, {{'place': 8, 'label': 'Price changes recorded', 'v': changes_{s}::VARCHAR}}] AS cells FROM named"""
+
+
+def _side(s):
+    amount = lambda c: _AMOUNT.format(x=f"{c}_{s}").replace("currency", f"currency_{s}")
+    return _SIDE.format(s=s, entry=amount("entry_price"), top=amount("top_price"))
+
+
+@query(f"""WITH {_PAIRS}, named AS (SELECT p.*, a.top_price AS top_price_a, b.top_price AS top_price_b, a.custom AS custom_a, b.custom AS custom_b
+    FROM pairs_v p JOIN heads_v a ON a.vendor = p.vendor_a JOIN heads_v b ON b.vendor = p.vendor_b),
+  x AS (SELECT pair, unnest(cells) AS c FROM ({_side('a')})), y AS (SELECT pair, unnest(cells) AS c FROM ({_side('b')}))
+  SELECT x.pair, x.c.place::INTEGER AS place, x.c.label AS label, x.c.v AS first, y.c.v AS second FROM x JOIN y ON y.pair = x.pair AND y.c.place = x.c.place""")
+def compare_table(spark, sf_dir):
+    return site.compare_table(_pairs(spark, sf_dir))
+
+
+def _shown(s):
+    return f"CASE WHEN {s}_num IS NOT NULL THEN " + _AMOUNT.format(x=f"{s}_num") + f" ELSE {s}_text END"
+
+
+@query(f"""WITH {EVENTS}, shown AS (SELECT e.*, {_shown('old')} AS a, {_shown('new')} AS b
+    FROM (SELECT events_v.*, new_currency AS currency FROM events_v JOIN pair_v USING (vendor, year)) e),
+  said AS (SELECT *, coalesce(plan, 'the page') AS p, ' from ' || coalesce(a, 'nothing') || ' to ' || coalesce(b, 'nothing') AS moved FROM shown)
+  SELECT vendor, year, change_type, coalesce(CASE change_type WHEN 'price_increase' THEN p || ' went up' || moved WHEN 'price_decrease' THEN p || ' went down' || moved
+    WHEN 'plan_added' THEN p || ' is new' WHEN 'plan_removed' THEN p || ' is gone' WHEN 'plan_renamed' THEN a || ' is now called ' || b
+    WHEN 'pricing_hidden' THEN 'prices are no longer public' WHEN 'pricing_published' THEN 'prices are public' WHEN 'feature_added' THEN p || ' gained ' || b
+    WHEN 'feature_moved_out' THEN p || ' lost ' || a END, p || ': ' || replace(change_type, '_', ' ') || moved) AS phrase FROM said""")
+def change_phrases(spark, sf_dir):
+    events = _all_events(spark, sf_dir).withColumn("detected_at", F.lit(None).cast("timestamp"))
+    return render.change_rows(events, V.readings(spark, sf_dir), ("vendor", "year")).drop("day")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 OR NOT json_valid(body) THEN -1 ELSE json_extract(body, '$.k')::BIGINT END AS k
+  FROM (SELECT event_id, CASE WHEN event_id % 7 = 1 THEN '{"k": ' ELSE props END AS body FROM events)""")
+def remote_scan(spark, sf_dir):
+    status = F.when(F.col("event_id") % 5 == 0, 503).otherwise(200)
+    body = F.when(F.col("event_id") % 7 == 1, '{"k": ').otherwise(F.col("props"))
+    found = json_or_default(status, body, '{"k": -1}')
+    return V.table(spark, sf_dir, "events").select("event_id", F.try_variant_get(found, "$.k", "bigint").alias("k"))
+
+
+@query(f"WITH {V.VENDORS} SELECT vendor, name FROM vendors_v SEMI JOIN lineitem ON l_suppkey = vendor")
+def pages_with_plans(spark, sf_dir):
+    return site.with_plans(V.vendors(spark, sf_dir), V.plans(spark, sf_dir)).select("vendor", "name")
+
+
 # Pages made up from columns, so that SQL knows what a reader sees
 
 

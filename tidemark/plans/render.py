@@ -42,9 +42,38 @@ def sitemap_rows(pages: DataFrame, base: str) -> DataFrame:
     return pages.select(F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), F.col("lastmod").cast("string"), F.lit("</lastmod></url>")).alias("value"))
 
 
+def json_ld(fields: Column) -> Column:
+    """A struct as a JSON-LD document that is safe inside a script element."""
+    body = F.to_json(fields)
+    for sign, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        body = F.replace(body, F.lit(sign), F.lit(code))
+    return body
+
+
+def _schema(kind: str, **fields) -> Column:
+    """JSON-LD of a type of schema.org from columns and plain values."""
+    known = [F.lit("https://schema.org").alias("@context"), F.lit(kind).alias("@type")]
+    return json_ld(F.struct(*known, *((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items())))
+
+
+def site_schema(name: str, base: str, description: str) -> Column:
+    """The site as a WebSite."""
+    return _schema("WebSite", name=name, url=base, description=description)
+
+
+def dataset_schema(totals: DataFrame, name: str, base: str) -> DataFrame:
+    """``totals(vendors, changes, since)`` with ``json_ld``, the archive as a Dataset."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    vendors, changes, since = (F.col(c) for c in ("vendors", "changes", "since"))
+    described = text("Published prices of ", vendors, " vendors, read daily since ", since, "; ", changes, " changes.")
+    creator = F.struct(F.lit("Organization").alias("@type"), F.lit(name).alias("name"))
+    own = _schema("Dataset", name=f"{name} price archive", description=described, url=base, creator=creator, temporalCoverage=text(since, "/.."), isAccessibleForFree=True)
+    return totals.withColumn("json_ld", own)
+
+
 def product_schema(offers: DataFrame, name: str, currency: str) -> DataFrame:
     """JSON-LD of aggregate offers that is safe inside a script element."""
-    body = F.to_json(
+    body = json_ld(
         F.struct(
             F.lit("https://schema.org").alias("@context"),
             F.lit("Product").alias("@type"),
@@ -58,8 +87,6 @@ def product_schema(offers: DataFrame, name: str, currency: str) -> DataFrame:
             ).alias("offers"),
         )
     )
-    for sign, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
-        body = F.replace(body, F.lit(sign), F.lit(code))
     return offers.withColumn("json_ld", body)
 
 
@@ -81,9 +108,15 @@ def index_rows(heads: DataFrame) -> DataFrame:
     )
 
 
-def change_rows(changes: DataFrame) -> DataFrame:
-    """Cells of the change list: day, vendor, phrase."""
-    show = lambda n, t: F.coalesce(money(F.lit("USD"), F.col(n)), F.col(t))
+def change_rows(changes: DataFrame, currencies: DataFrame | None = None, keys: tuple[str, ...] = ("vendor",)) -> DataFrame:
+    """Cells of the change list: day, the keys, kind of change and phrase; amounts in the currency
+    that ``currencies`` has for the keys, or else in USD."""
+    if currencies is None:
+        changes = changes.withColumn("_currency", F.lit("USD"))
+    else:
+        changes = changes.join(currencies.select(*keys, F.col("currency").alias("_currency")), list(keys), "left")
+    code = F.coalesce(F.nullif("_currency", F.lit("")), F.lit("USD"))
+    show = lambda n, t: F.coalesce(money(code, F.col(n)), F.col(t))
     value = lambda side: F.when(F.col(f"{side}_num").isNotNull(), show(f"{side}_num", f"{side}_text")).otherwise(F.col(f"{side}_text"))
     phrase = event_phrase(F.col("change_type"), F.col("plan"), value("old"), value("new"))
-    return changes.select(pretty_date(F.col("detected_at").cast("string")).alias("day"), "vendor", html_escape(phrase).alias("phrase"))
+    return changes.select(pretty_date(F.col("detected_at").cast("string")).alias("day"), *keys, "change_type", html_escape(phrase).alias("phrase"))

@@ -37,6 +37,16 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"detected_at": at, "old_num": number("old_value"), "new_num": number("new_value")})
 
 
+def json_or_default(status: Column, body: Column, default: str) -> Column:
+    """A fetched JSON document as a variant; ``default`` where the fetch failed or it does not parse."""
+    return F.coalesce(F.when(status == 200, F.try_parse_json(body)), F.parse_json(F.lit(default)))
+
+
+def text_or_default(status: Column, body: Column, default: str = "") -> Column:
+    """A fetched text, or ``default`` where the fetch failed."""
+    return F.coalesce(F.when(status == 200, body), F.lit(default))
+
+
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Nested records, one JSON document per file; unreadable files give a row with a null record.
 

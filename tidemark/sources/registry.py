@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import hrefs, slugify
+from tidemark.operators.records import RECORD
 
 VENDOR_SCHEMA = "name string, slug string, category string, crawl_tier string, pricing_url string"
 
@@ -76,6 +79,37 @@ def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> D
     return joined.withColumn("allowed", F.pandas_udf(judge, "boolean")("url", "text")).drop("text")
 
 
+def patched_registry(text: str, found: list[tuple[str, str]]) -> str:
+    """A YAML registry with price pages moved: each (old, new) address; comments and layout stay.
+
+    An address is only taken whole, as the value of a ``pricing_url``.
+    """
+    moved = dict(found)
+    return re.sub(r"(?m)^(\s*(?:-\s+)?pricing_url:\s*[\"']?)([^\s\"'#]+)", lambda m: m[1] + moved.get(m[2], m[2]), text)
+
+
+def made_up_snapshots(spark: SparkSession, vendors: int, days: int, seed: int = 7) -> DataFrame:
+    """(slug, day, text) of made-up price pages; a vendor's price moves about every tenth day."""
+    at = spark.range(vendors * days).select((F.col("id") / days).cast("long").alias("vendor"), (F.col("id") % days).cast("int").alias("n"))
+    price = 10 + F.col("vendor") % 90 + F.floor((F.col("n") + F.pmod(F.xxhash64("vendor", F.lit(seed)), F.lit(10))) / 10)
+    text = F.concat(F.lit("Pricing plans\nStandard\n$"), price.cast("string"), F.lit(" per month\nbilled monthly"))
+    return at.select(F.concat(F.lit("vendor-"), F.col("vendor").cast("string")).alias("slug"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"), text.alias("text"))
+
+
+def made_up_records(spark: SparkSession, vendors: int, steps: int = 3, seed: int = 7) -> DataFrame:
+    """(slug, record, demo) of made-up records, each a ladder of ``steps`` plans of rising price."""
+    vendor, rung = F.col("id"), lambda x: (F.lit(10) + F.col("id") % 90) * x
+    plan = lambda x: F.struct(
+        F.concat(F.lit("Step "), x.cast("string")).alias("name"), F.concat(F.lit("step"), x.cast("string")).alias("key"), rung(x).cast("double").alias("monthly_price"),
+        F.round(rung(x) * 0.8, 2).alias("annual_price_per_month"), F.lit(False).alias("is_free"), F.lit(False).alias("is_custom_pricing"),
+        (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0).alias("is_per_seat"), F.lit(False).alias("is_addon"), F.lit(None).cast("int").alias("min_seats"), F.lit(14).alias("trial_days"),
+        F.array(F.struct(F.lit("seats").alias("metric"), (x * 5).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))).alias("limits"),
+        F.array(F.lit("support")).alias("features"),
+    )
+    record = F.struct(F.lit("USD").alias("currency"), F.lit(True).alias("pricing_is_public"), F.lit("").alias("extraction_notes"), F.transform(F.sequence(F.lit(1), F.lit(steps)), plan).alias("plans"))
+    return spark.range(vendors).select(F.concat(F.lit("vendor-"), vendor.cast("string")).alias("slug"), record.cast(RECORD).alias("record"), F.lit(True).alias("demo"))
+
+
 def made_up_changes(spark: SparkSession, vendors: int, per_vendor: int, seed: int = 7) -> DataFrame:
     """A change log without any source: every value follows from its place and the seed."""
     base = spark.range(vendors * per_vendor).withColumn("vendor", (F.col("id") / per_vendor).cast("long"))

@@ -23,6 +23,11 @@ def without(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(gone.select(*keys), keys, "left_anti")
 
 
+def add_spend(stored: DataFrame, charges: DataFrame) -> DataFrame:
+    """``(month, usd)`` with the charges of the same shape added to their months."""
+    return stored.unionByName(charges).groupBy("month").agg(F.round(F.sum("usd"), 6).alias("usd"))
+
+
 def to_jsonl(changes: DataFrame, path: str) -> None:
     """A change log of a JSON object per line."""
     changes.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)

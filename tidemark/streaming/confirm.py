@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.sinks import append_changes
@@ -52,6 +52,12 @@ def confirm_stream(readings: DataFrame, strict: bool = False) -> DataFrame:
     return readings.groupBy("slug").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def reading_stream(spark: SparkSession, path: str, schema: str, most_files: int = 1_000) -> DataFrame:
+    """Readings that arrive as Parquet files, at most ``most_files`` of them in a batch, so that a
+    backlog is worked off in steps."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
+
+
 def route_stream(changes: DataFrame, path: str, checkpoint: str):
     """Write a stream of changes to the published log and the review queue, each batch once."""
     writer = changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
