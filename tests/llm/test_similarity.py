@@ -33,9 +33,10 @@ def test_trie_links_equal_brute_force(sets, unique):
     assert len({(want[i], int(got[i])) for i in want}) == len(set(want.values())) == len(set(got.tolist()))
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("in_a_task", [0, 30, 200_000])
+def test_components_of_paths_stars_and_loops(spark, in_a_task):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
-    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), in_a_task=in_a_task).collect()
     groups = {}
     for r in found:
         groups.setdefault(r["root"], set()).add(r["node"])

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +19,34 @@ def _priority(node: Column, turn: int) -> Column:
     return F.struct(F.xxhash64(node, F.lit(turn)).alias("p"), node.alias("v"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def forest(x: np.ndarray, y: np.ndarray, label: np.ndarray, edges: list[np.ndarray]) -> None:
+    """Add the links (x, y) that join new components; ``label`` holds each row's component."""
+    while True:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return
+        high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+        roots, first = np.unique(high, return_index=True)
+        edges.append(np.stack((x[first], y[first]), axis=1))
+        up = np.arange(len(label))
+        up[roots] = low[first]
+        while not np.array_equal(up, flat := up[up]):
+            up = flat
+        label[:] = up[label]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph to (node, to), the smallest node of each one's component."""
+    table = list(batches)
+    a, b = (np.concatenate([np.empty(0, np.int64), *(x.column(c).to_numpy() for x in table)]) for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = np.arange(len(nodes))
+    forest(at[: len(a)], at[len(a) :], label, [])
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], ["node", "to"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, in_a_task: int = 200_000) -> DataFrame:
     """Map every node of ``edges(a long, b long)`` to a root: ``(node, root)``.
 
     Each round lets every node follow the neighbour (or itself) of the smallest
@@ -23,7 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     long paths from costing a round per link: a constant share of the nodes goes
     each time, so rounds grow with the logarithm of the node count. Hot nodes cost
     no task their whole neighbourhood, because minima are pre-aggregated and the
-    joins can be split. Roots are arbitrary members of their component. Nulls and
+    joins can be split. Once at most ``in_a_task`` edges are left, 3 MB of them, one task
+    ends the work, as rounds over so few cost more than they do. Roots are arbitrary members of their component. Nulls and
     self-loops are ignored; no edges give an empty table.
     """
     spark = edges.sparkSession
@@ -31,7 +63,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     live = stored(edges.select("a", "b").where("a <> b").distinct(), f"{folder}/edges")
     maps: list[DataFrame] = []
     for turn in range(max_rounds):
-        if live.isEmpty():
+        left_over = live.count()
+        if left_over == 0:
+            break
+        if left_over <= in_a_task:
+            maps.append(stored(live.coalesce(1).mapInArrow(_whole, "node long, to long"), f"{folder}/map-{turn}"))
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         follow = both.groupBy("a").agg(

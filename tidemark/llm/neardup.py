@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import reliable_checkpoint
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, forest
 
 
 def usable(vector: Column) -> Column:
@@ -51,23 +51,6 @@ def _pack_tile(table: pa.Table) -> pa.Table:
     return pa.table(same | packed)
 
 
-def forest(x: np.ndarray, y: np.ndarray, label: np.ndarray, edges: list[np.ndarray]) -> None:
-    """Add the links (x, y) that join new components; ``label`` holds each row's component."""
-    while True:
-        apart = label[x] != label[y]
-        x, y = x[apart], y[apart]
-        if not len(x):
-            return
-        high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
-        roots, first = np.unique(high, return_index=True)
-        edges.append(np.stack((x[first], y[first]), axis=1))
-        up = np.arange(len(label))
-        up[roots] = low[first]
-        while not np.array_equal(up, flat := up[up]):
-            up = flat
-        label[:] = up[label]
-
-
 def _found(names: np.ndarray, links: np.ndarray, edges: list[np.ndarray], tail: int = 0) -> dict[str, pa.Array]:
     """Columns of counts (node, links) and edges (node, other), then ``tail`` empty rows."""
     linked = links > 0
