@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import mix64, reliable_checkpoint, shuffle_partitions, slices
+from tidemark.llm.common import broadcast_if_small, mix64, reliable_checkpoint, shuffle_partitions, slices
 from tidemark.llm.components import connected_components
 from tidemark.llm.tries import link_groups, links_between
 from tidemark.llm.words import Runs, batch_words
@@ -251,41 +251,50 @@ def _tile(count: str, salt: int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
 
 
-def _links_of_large(sets: DataFrame, percent: int, most: int, pivots: int = 4) -> DataFrame:
-    """(a, b) edges that connect the links of blocks too large for a task.
+def _pivots(placed: DataFrame, count: int = 4) -> DataFrame:
+    """(node, block, tiles): a few sets of each large block, the same for all its tiles."""
+    chosen = [F.min_by("node", F.xxhash64("node", F.lit(salt))) for salt in range(count)]
+    return placed.where("tiles > 1").groupBy("block", "tiles").agg(F.array_distinct(F.array(*chosen)).alias("p")).select(F.explode("p").alias("node"), "block", "tiles")
 
-    ``sets(block, tiles, node, n, tokens)``. Each tile of a block is joined inside, together
-    with a few pivots of the whole block, so that a group of near copies becomes one
-    component in work that grows with its size. What is not of a block's largest component
-    then asks all tiles for links to other components.
+
+def _links_across(alive: DataFrame, postings: DataFrame, placed: DataFrame, near: DataFrame, percent: int, most: int) -> DataFrame | None:
+    """(a, b) edges that connect links between tiles of large blocks that ``near`` leaves apart.
+
+    What is not of a block's largest component so far asks for links to other components, but
+    only those sets that share a prefix token with one that asks, since others cannot link.
     """
-    chosen = [F.min_by(F.struct("node", "n", "tokens"), F.xxhash64("node", F.lit(salt))).alias(f"p{salt}") for salt in range(pivots)]
-    pivot = sets.groupBy("block", "tiles").agg(*chosen).select("block", "tiles", F.explode(F.array(*(f"p{s}" for s in range(pivots)))).alias("p"))
-    pivot = pivot.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "p.*")
-    tiled = sets.withColumn("tile", _tile("tiles", 7))
-    columns = ["block", "tile", "node", "n", "tokens"]
-    near = tiled.select(columns).unionByName(pivot.select(columns)).groupBy("block", "tile").applyInArrow(_tree_join(percent), "a long, b long")
-    near = reliable_checkpoint(near)
-    labelled = tiled.join(connected_components(near).withColumnRenamed("root", "label"), "node", "left")
-    labelled = reliable_checkpoint(labelled.withColumn("label", F.coalesce("label", "node")))
-    parts = labelled.groupBy("block", "label").agg(F.count("*").alias("c"))
-    main = parts.groupBy("block").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    main = reliable_checkpoint(main.where("others > 0").withColumn("asking", F.ceil(F.col("others") / most).cast("int")).drop("others"))
+    labels = placed.where("tiles > 1").join(connected_components(near).withColumnRenamed("root", "label"), "node", "left")
+    labels = reliable_checkpoint(labels.select("node", "block", F.coalesce("label", "node").alias("label")))
+    parts = labels.groupBy("block", "label").agg(F.count("*").alias("c"))
+    main = parts.groupBy("block").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("parts"))
+    main = reliable_checkpoint(main.where("parts > 1").drop("parts"))
     if main.isEmpty():
-        return near
-    left = labelled.join(main, "block")
-    every = left.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("asks", F.lit(False))
-    rest = left.where("label <> main").withColumn("ask", _tile("asking", 8)).withColumn("asks", F.lit(True))
-    rest = rest.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    columns += ["ask", "asks", "label"]
-    met = every.select(columns).unionByName(rest.select(columns)).groupBy("block", "tile", "ask")
-    return near.unionByName(reliable_checkpoint(met.applyInArrow(_tree_probe(percent), "a long, b long")))
+        return None
+    rest = reliable_checkpoint(labels.join(broadcast_if_small(main), "block").where("label <> main").drop("main"))
+    tokens = postings.join(broadcast_if_small(rest.select("node")), "node").select("token").distinct()
+    tokens = reliable_checkpoint(tokens)
+    met = postings.join(broadcast_if_small(tokens), "token", "left_semi").select("node").distinct()
+    met = reliable_checkpoint(labels.join(reliable_checkpoint(met), "node"))
+    count = lambda rows, name: rows.groupBy("block").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = reliable_checkpoint(count(rest, "asking").join(count(met, "tiles"), "block"))
+    columns = ["node", "label", "block", "tile", "ask", "asks"]
+    every = met.join(sizes, "block").withColumns({"tile": _tile("tiles", 7), "ask": F.explode(F.sequence(F.lit(0), F.col("asking") - 1)), "asks": F.lit(False)})
+    asked = rest.join(sizes, "block").withColumns({"ask": _tile("asking", 8), "tile": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "asks": F.lit(True)})
+    rows = reliable_checkpoint(every.select(columns).unionByName(asked.select(columns)))
+    held = alive.select("node", "n", "tokens").join(broadcast_if_small(rows), "node")
+    return held.groupBy("block", "tile", "ask").applyInArrow(_tree_probe(percent), "a long, b long")
 
 
 def similar_sets(
     docs: DataFrame, described: DataFrame, text_col: str, k: int, percent: int, block_sets: int, block_tokens: int, seed: int
 ) -> DataFrame:
-    """(node, root) of every set that links with another one."""
+    """(node, root) of every set that links with another one.
+
+    Tokens are dealt by hash range, then by set, then once more with their blocks. A block
+    too large for a task is cut into tiles; each is joined inside, together with a few pivots
+    of the whole block, so that a group of near copies becomes one component in work that
+    grows with its size, and :func:`_links_across` finds what is left between tiles.
+    """
     spark = docs.sparkSession
     total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots = max(shuffle_partitions(spark), total // SLOT_TOKENS + 1)
@@ -306,22 +315,24 @@ def similar_sets(
     pairs = postings.join(stars, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     coarse = connected_components(pairs)
 
-    sets = alive.select("node", "n", "tokens").join(coarse.withColumnRenamed("root", "block"), "node")
-    weight = sets.groupBy("block").agg(F.count("*").alias("sets"), F.sum(F.length("tokens") / 8).alias("held"))
+    sizes = alive.select("node", (F.length("tokens") / 8).alias("held")).join(coarse.withColumnRenamed("root", "block"), "node")
+    weight = sizes.groupBy("block").agg(F.count("*").alias("sets"), F.sum("held").alias("held"))
     weight = reliable_checkpoint(
         weight.withColumn("tiles", F.ceil(F.greatest(F.col("sets") / block_sets, F.col("held") / block_tokens)).cast("int"))
     )
     tasks = max(shuffle_partitions(spark), (weight.agg(F.sum("held")).first()[0] or 0) // SLOT_TOKENS + 1)
-    sized = sets.join(weight.select("block", "tiles"), "block")
-    links = (
-        sized.where("tiles <= 1")
-        .withColumn("task", F.pmod(F.xxhash64("block"), F.lit(int(tasks))))
-        .groupBy("task")
-        .applyInArrow(_tree_join(percent), "a long, b long")
-    )
-    if not weight.where("tiles > 1").isEmpty():
-        large = reliable_checkpoint(sized.where("tiles > 1"))
-        links = links.unionByName(_links_of_large(large, percent, block_sets))
+    placed = reliable_checkpoint(sizes.drop("held").join(weight.select("block", "tiles"), "block"))
+    # Small blocks share tasks; a tile has its own.
+    tile = F.xxhash64("block", _tile("tiles", 7))
+    own = placed.select("node", "block", F.when(F.col("tiles") > 1, tile).otherwise(F.pmod(F.xxhash64("block"), F.lit(int(tasks)))).alias("task"))
+    pivots = _pivots(placed).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pivots = reliable_checkpoint(pivots.select("node", "block", F.xxhash64("block", "tile").alias("task")))
+    sets = alive.select("node", "n", "tokens")
+    joined = sets.join(own, "node").unionByName(sets.join(broadcast_if_small(pivots), "node"))
+    links = reliable_checkpoint(joined.groupBy("task").applyInArrow(_tree_join(percent), "a long, b long"))
+    if not pivots.isEmpty():
+        across = _links_across(alive, postings, placed, links, percent, block_sets)
+        links = links if across is None else links.unionByName(across)
     return connected_components(links)
 
 
