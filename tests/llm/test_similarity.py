@@ -158,6 +158,16 @@ def test_nearest_neighbours_equal_brute_force(spark):
     assert hits / total >= 0.99 and set(got) == set(range(0, 600, 20))
 
 
+def test_nearest_neighbours_of_extreme_vectors(spark):
+    x = np.random.default_rng(6).standard_normal((120, 8)) * 1e60
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=5).collect()}
+    for q in range(0, 120, 20):
+        scores = x @ x[q]
+        want = [int(i) for i in np.argsort(-scores) if i != q][:5]
+        assert [got[q, r] for r in range(1, 6)] == want
+
+
 def test_nearest_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [3.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest_neighbours(df, F.lit(True)).orderBy("query_id").collect()] == [(0, 1, 1, 0.5), (1, 1, 0, 0.5)]

@@ -90,7 +90,7 @@ def code_products(turned: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def search_block(
-    query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, estimate: np.ndarray, error: np.ndarray, k: int
+    query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, estimate: np.ndarray, error: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The block's ``k`` nearest: (row numbers, exact scores), nearest first, ties to smaller id.
 
@@ -100,14 +100,15 @@ def search_block(
     """
     rows = np.flatnonzero(ids != own)
     exact = lambda at: inner_products(query.astype(np.float64), vectors[at].astype(np.float64))
-    if len(rows) > 4 * k:
-        head = rows[np.argpartition(-estimate[rows], 4 * k)[: 4 * k]]
+    # Norms beyond single precision leave no estimate: then all are chosen.
+    if len(rows) > 4 * k and np.isfinite(estimate).all() and np.isfinite(error).all():
+        estimate[ids == own] = -np.inf
+        head = np.argpartition(estimate, -4 * k)[-4 * k :]
         floor = np.partition(exact(head), -k)[-k]
-        rows = rows[estimate[rows] + error[rows] >= floor - 1e-9 * abs(floor)]
+        rows = np.flatnonzero(estimate + error >= floor - 1e-6 * abs(floor))
     if len(rows) > 2 * k:
-        chosen = vectors[rows]
-        near = (chosen @ query).astype(np.float64)
-        slack = np.finfo(vectors.dtype).eps * (len(query) + 4) * np.sqrt(np.einsum("ij,ij->i", chosen, chosen, dtype=np.float64) * query.astype(np.float64).dot(query))
+        near = (vectors[rows] @ query).astype(np.float64)
+        slack = np.finfo(vectors.dtype).eps * (len(query) + 4) * math.sqrt(query.astype(np.float64) @ query) * norms[rows]
         if np.isfinite(near).all() and np.isfinite(slack).all():
             rows = rows[near + slack >= np.partition(near - slack, -k)[-k]]
     scores = exact(rows)
@@ -127,11 +128,13 @@ def _search(k: int, seed: int, bound: float):
                 turned = (queries.astype(np.float64) @ rotation(dim, seed).T).astype(np.float32)
                 # <o, q> = <code, q> / c up to |q| sqrt(1 - c^2) / c times a component of a random direction.
                 spread = np.sqrt(np.maximum(0, 1 - corrections**2)) / corrections * min(1.0, bound / math.sqrt(max(1, dim - 1)))
-                scale, error = norms / corrections, (spread + 1e-5) * norms
+                # Single precision rounds by less than the margin of 1e-5.
+                scale, error = (norms / corrections).astype(np.float32), ((spread + 1e-5) * norms).astype(np.float32)
                 out: list[list] = [[], [], []]
                 for i, query in enumerate(queries):
                     length = math.sqrt(query.astype(np.float64) @ query)
-                    found, scores = search_block(query, query_ids[i], ids, vectors, scale * code_products(turned[i], codes), error * length, k)
+                    estimate = scale * code_products(turned[i], codes)
+                    found, scores = search_block(query, query_ids[i], ids, vectors, norms, estimate, error * np.float32(length), k)
                     for column, x in zip(out, (np.full(len(found), query_ids[i]), ids[found], scores), strict=True):
                         column.append(x)
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
