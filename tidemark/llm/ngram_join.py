@@ -19,6 +19,9 @@ from tidemark.llm.words import Runs, batch_words
 #: Tokens that one task holds at once: some 100 MB with all copies that its sorts make.
 SLOT_TOKENS = 1_000_000
 
+#: Rows of names and places, 10 MB, up to which they are broadcast rather than tokens shuffled.
+NARROW_ROWS = 200_000
+
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -281,7 +284,7 @@ def _links_across(alive: DataFrame, postings: DataFrame, placed: DataFrame, near
     every = met.join(sizes, "block").withColumns({"tile": _tile("tiles", 7), "ask": F.explode(F.sequence(F.lit(0), F.col("asking") - 1)), "asks": F.lit(False)})
     asked = rest.join(sizes, "block").withColumns({"ask": _tile("asking", 8), "tile": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "asks": F.lit(True)})
     rows = reliable_checkpoint(every.select(columns).unionByName(asked.select(columns)))
-    held = alive.select("node", "n", "tokens").join(broadcast_if_small(rows), "node")
+    held = alive.select("node", "n", "tokens").join(broadcast_if_small(rows, NARROW_ROWS), "node")
     return held.groupBy("block", "tile", "ask").applyInArrow(_tree_probe(percent), "a long, b long")
 
 
@@ -328,7 +331,7 @@ def similar_sets(
     pivots = _pivots(placed).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pivots = reliable_checkpoint(pivots.select("node", "block", F.xxhash64("block", "tile").alias("task")))
     sets = alive.select("node", "n", "tokens")
-    joined = sets.join(own, "node").unionByName(sets.join(broadcast_if_small(pivots), "node"))
+    joined = sets.join(broadcast_if_small(own, NARROW_ROWS), "node").unionByName(sets.join(broadcast_if_small(pivots), "node"))
     links = reliable_checkpoint(joined.groupBy("task").applyInArrow(_tree_join(percent), "a long, b long"))
     if not pivots.isEmpty():
         across = _links_across(alive, postings, placed, links, percent, block_sets)
@@ -342,7 +345,7 @@ def linked_rows(
     text_col: str = "text",
     k: int = 5,
     percent: int = 75,
-    block_sets: int = 200,
+    block_sets: int = 100,
     block_tokens: int = 400_000,
 ) -> DataFrame:
     """(key, n, node, root) of every row: ``key`` of it, set size, set name and a name of
@@ -367,7 +370,7 @@ def ngram_jaccard_join(
     text_col: str = "text",
     k: int = 5,
     percent: int = 75,
-    block_sets: int = 200,
+    block_sets: int = 100,
     block_tokens: int = 400_000,
 ) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of k-word shingle sets.
