@@ -60,6 +60,17 @@ def decode_ids(table: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=2)
+def known_model(path: str):
+    """The library's tokenizer of a vocabulary file, loaded once a process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    return model
+
+
 class ByteBpe:
     """Encoder around a byte-level vocabulary file of the tokenizers library.
 
@@ -68,11 +79,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 200_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model = known_model(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
@@ -100,15 +107,11 @@ class ByteBpe:
         return number[ends - self.lengths[ids]], number[ends - 1] + 1
 
 
-@lru_cache(maxsize=2)
-def known_encoder(path: str, pattern: str) -> ByteBpe:
-    """An encoder, loaded once a process, with its table of pieces."""
-    return ByteBpe(path, pattern)
-
-
 def _encoder(path: str, pattern: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = known_encoder(path, pattern)
+        # The vocabulary stays with the process; the table of pieces goes with the task, so that
+        # stages after this one find the memory free.
+        bpe = ByteBpe(path, pattern)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +16,24 @@ _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uin
 _LOWER_TABLE = _TABLE.copy()
 _LOWER_TABLE[65:91] = _TABLE[97:123]
 #: Bytes of text whose products are held at once; a longer word is held whole.
-_CHUNK = 1 << 19
-
-
-@lru_cache(maxsize=8)
-def _grown(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    return tuple(
-        np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64))) for x in (base, inverse)
-    )
+_CHUNK = 1 << 17
+#: Powers by base, and up to which number they are kept: 4 MB each.
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEEP = 1 << 18
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to ``size`` or more of an odd number and of its inverse, modulo 2**64."""
-    return _grown(base, 1 << max(10, int(size).bit_length()))
+    known = _KEPT.get(base)
+    if known is None or len(known[0]) <= size:
+        count = 1 << max(10, int(size).bit_length())
+        known = tuple(
+            np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(count, x, np.uint64), dtype=np.uint64)))
+            for x in (base, pow(base, -1, 1 << 64))
+        )
+        if count <= _KEEP:
+            _KEPT[base] = known
+    return known
 
 
 @dataclass
