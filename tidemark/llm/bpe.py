@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import release_memory, slices
 
 
 def byte_characters() -> list[str]:
@@ -60,9 +60,8 @@ def decode_ids(table: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
-def known_model(path: str):
-    """The library's tokenizer of a vocabulary file, loaded once a process."""
+def load_model(path: str):
+    """The library's tokenizer of a vocabulary file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -79,7 +78,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 200_000):
-        self.model = known_model(path)
+        self.model = load_model(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
@@ -109,11 +108,10 @@ class ByteBpe:
 
 def _encoder(path: str, pattern: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The vocabulary stays with the process; the table of pieces goes with the task, so that
-        # stages after this one find the memory free.
+        # Vocabulary and table of pieces go with the task, so that later stages find the memory free.
         bpe = ByteBpe(path, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = bpe.encode(texts)
                 cuts = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
@@ -123,6 +121,8 @@ def _encoder(path: str, pattern: str, offsets: bool):
                     arrays += [np.concatenate([s[k] for s in spans]).astype(np.int32) for k in (0, 1)]
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(a, pa.int32())) for a in arrays]
                 yield pa.record_batch([part.column(0), *lists], ["doc_id", "ids", "starts", "ends"][: 1 + len(lists)])
+        del bpe
+        release_memory()
 
     return run
 

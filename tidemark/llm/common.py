@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,13 @@ def fold_hashes(parts: list[np.ndarray]) -> np.ndarray:
     return mix64(total)
 
 
+def release_memory() -> None:
+    """Give back to the system what a task has freed, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` of ``column``, one row at least."""
     if batch.num_rows == 0:
