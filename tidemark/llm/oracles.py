@@ -212,6 +212,107 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM bits
 """
 
+OP11 = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+), marks AS (
+  SELECT doc_id, part,
+         (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS m
+  FROM texts
+), known AS (
+  SELECT doc_id, coalesce(max((quality = 1)::INTEGER), 0) AS good, coalesce(max((toxic = 1)::INTEGER), 0) AS bad FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, m, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad
+  FROM marks LEFT JOIN known ON known.doc_id = marks.doc_id GROUP BY part, m
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+  SELECT o, step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), told AS (
+  SELECT part, o, step, s.f, n, good, bad, strpos(m, s.f) > 0 AS fails, m = s.f AS alone,
+         length(translate(m, before, '')) < length(m) AS earlier
+  FROM cells, steps s
+), summed AS (
+  SELECT part, o, step, f,
+         coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT earlier), 0) AS good_lost, coalesce(sum(bad) FILTER (fails AND NOT earlier), 0) AS toxic_lost
+  FROM told GROUP BY part, o, step, f
+)
+SELECT part, o AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM summed
+"""
+
+#: ``formatted_chars`` counts the marks too: 24 a turn, and a backslash for each escape.
+OP12 = r"""
+WITH chats AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, length(role) + length(text) + 24
+    + len(regexp_extract_all(role || chr(10) || text, '<\\*(\||s>|/s>|SYS>|/SYS>|bos>|eos>|start_of_turn>|end_of_turn>)|\[\\*/?INST\]')) AS chars
+  FROM chats
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn ASC NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn ASC NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+
+def _op13(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain rounds: every part against every entry of its codebook."""
+    dot = "list_inner_product({0}, {1})".format
+    steps = [
+        f"""cut AS (
+  SELECT vec_id, label, p, list_transform(embedding[1 + p * len(embedding) // {parts} : (p + 1) * len(embedding) // {parts}], lambda x: floor(x::DOUBLE * 1024)) AS x
+  FROM embeddings, (SELECT unnest(range({parts})) AS p)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM cut QUALIFY e < {entries}
+)"""
+    ]
+    for turn in range(rounds + 1):
+        d = f"{dot('x', 'x')} - 2 * {dot('x', 'c')} + {dot('c', 'c')}"
+        steps.append(f"""near{turn} AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, cut.p, any_value(x) AS x, min(struct_pack(d := {d}, e := e)) AS m
+  FROM cut JOIN book{turn} b ON b.p = cut.p GROUP BY vec_id, cut.p
+)""")
+        if turn < rounds:
+            steps.append(f"""mean{turn} AS (
+  SELECT p, e, list(v ORDER BY i) AS c FROM (
+    SELECT p, e, i, floor(sum(v) / count(*)) AS v
+    FROM (SELECT p, m.e AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{turn}) GROUP BY p, e, i
+  ) GROUP BY p, e
+), book{turn + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM book{turn} b LEFT JOIN mean{turn} n ON n.p = b.p AND n.e = b.e
+)""")
+    return "WITH " + ", ".join(steps) + f""", coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id
+), said AS (
+  SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS s
+  FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM book{rounds})
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM coded, said
+"""
+
+
+OP13 = _op13()
+
 ORACLES = {
     "op1_mixing": OP1,
     "op2_embedding_near_dedup": OP2,
@@ -220,4 +321,7 @@ ORACLES = {
     "op7_line_dedup": OP7,
     "op9_ngram_jaccard_join": OP9,
     "op10_warc": OP10,
+    "op11_filter_audit": OP11,
+    "op12_chat_format": OP12,
+    "op13_vector_codes": OP13,
 }
