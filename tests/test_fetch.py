@@ -1,10 +1,14 @@
 """Polite fetching with a made-up fetcher."""
 
+import os
+import subprocess
+import sys
+import threading
 import time
 
 import pytest
 
-from tidemark.sources.fetch import fetch_one, fetch_pages, wait_seconds
+from tidemark.sources.fetch import fetch_one, fetch_pages, take_turns, wait_seconds
 
 
 @pytest.mark.parametrize(
@@ -33,3 +37,96 @@ def test_pages_of_a_host_are_spaced(spark):
     assert got["https://a.test/1"]["status"] is None and "robots" in got["https://a.test/1"]["error"]
     assert got["https://a.test/2"]["html"] == "2" and got["https://b.test/"]["status"] == 200
     assert fetch_pages(spark.createDataFrame([], "url string, allowed boolean"), lambda u: (200, "", None)).count() == 0
+
+
+def requests(log):
+    return sorted(log.read_text().split()) if log.exists() else []
+
+
+def test_two_actions_ask_once(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def counted(url):
+        with log.open("a") as f:
+            f.write(url + "\n")
+        return 200, url[-1], None
+
+    urls = [(f"https://h{i % 7}.test/{i}",) for i in range(30)] + [("https://h1.test/1",), (None,)]
+    frame = spark.createDataFrame(urls, "url string").selectExpr("url", "NOT coalesce(url LIKE '%/9', false) AS allowed")
+    pages = fetch_pages(frame, counted, delay=0.0, queues=3)
+    assert pages.count() == 30 and pages.where("status = 200").count() == 29 and len(pages.collect()) == 30
+    asked = requests(log)
+    assert len(asked) == len(set(asked)) == 29 and "https://h2.test/9" not in asked
+
+
+def test_a_broken_run_goes_on_where_it_stopped(spark, tmp_path):
+    """A fetcher that ends its worker: what was brought home before is not asked for again."""
+    log, killed = tmp_path / "asked", tmp_path / "killed"
+
+    def deadly(url):
+        if url.endswith("/5") and not killed.exists():
+            killed.touch()
+            os._exit(1)
+        with log.open("a") as f:
+            f.write(url + "\n")
+        return 200, "page", None
+
+    urls = spark.createDataFrame([(f"https://a.test/{i}", True) for i in range(10)], "url string, allowed boolean")
+    store = str(tmp_path / "store")
+    with pytest.raises(Exception, match="crashed|exited|EOF|closed"):
+        fetch_pages(urls, deadly, delay=0.0, store=store, workers=1).count()
+    first = requests(log)
+    assert first == [f"https://a.test/{i}" for i in range(5)]
+    pages = fetch_pages(urls, deadly, delay=0.0, store=store, workers=1)
+    assert sorted(r.url for r in pages.collect()) == [f"https://a.test/{i}" for i in range(10)]
+    assert requests(log) == [f"https://a.test/{i}" for i in range(10)]
+    assert not any((tmp_path / "store" / "journal").iterdir())
+
+
+KILLED_TASK = """
+import os, sys
+from pathlib import Path
+from pyspark.sql import SparkSession
+from tidemark.sources.fetch import fetch_pages
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").getOrCreate()
+log, killed = Path(sys.argv[1]), Path(sys.argv[2])
+def deadly(url):
+    if url.endswith("/3") and not killed.exists():
+        killed.touch()
+        os._exit(1)
+    with log.open("a") as f:
+        f.write(url + chr(10))
+    return 200, "page", None
+urls = spark.createDataFrame([(f"https://h{i % 2}.test/{i}", True) for i in range(8)], "url string, allowed boolean")
+pages = fetch_pages(urls, deadly, delay=0.0, queues=2, workers=1)
+print(pages.count(), pages.count())
+"""
+
+
+def test_a_killed_task_asks_for_the_rest_alone(tmp_path):
+    """The task is started again inside the same job."""
+    said = subprocess.run([sys.executable, "-c", KILLED_TASK, tmp_path / "asked", tmp_path / "killed"], capture_output=True, text=True, check=True).stdout
+    assert said.split() == ["8", "8"] and (tmp_path / "killed").exists()
+    assert requests(tmp_path / "asked") == [f"https://h{i % 2}.test/{i}" for i in sorted(range(8), key=lambda i: (i % 2, i))]
+
+
+def test_a_busy_host_holds_up_no_other():
+    answers = {"slow/1": iter([(503, None, "0.6"), (200, "late", None)])}
+    order = [u for u, *_ in take_turns({"slow": ["slow/1", "slow/2"], "quick": [f"quick/{i}" for i in range(4)]}, lambda u: next(answers[u]) if u in answers else (200, "x", None), 0.05, 1, 2)]
+    assert order == ["quick/0", "quick/1", "quick/2", "quick/3", "slow/1", "slow/2"]
+
+
+def test_one_request_of_a_host_at_a_time():
+    open_now, most, lock = {"a": 0, "b": 0}, [], threading.Lock()
+
+    def slow(url):
+        with lock:
+            open_now[url[0]] += 1
+            most.append((open_now[url[0]], sum(open_now.values())))
+        time.sleep(0.05)
+        with lock:
+            open_now[url[0]] -= 1
+        return 200, "", None
+
+    assert len(list(take_turns({"a": ["a1", "a2", "a3"], "b": ["b1", "b2", "b3"]}, slow, 0.0, 4, 0))) == 6
+    assert max(m for m, _ in most) == 1 and max(m for _, m in most) == 2
