@@ -7,8 +7,10 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.sources.fetch import fetch_one, fetch_pages, take_turns, wait_seconds
+from tidemark.sources.registry import find_moved_pages
 
 
 @pytest.mark.parametrize(
@@ -88,6 +90,7 @@ import os, sys
 from pathlib import Path
 from pyspark.sql import SparkSession
 from tidemark.sources.fetch import fetch_pages
+from tidemark.sources.registry import find_moved_pages
 spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").getOrCreate()
 log, killed = Path(sys.argv[1]), Path(sys.argv[2])
 def deadly(url):
@@ -130,3 +133,33 @@ def test_one_request_of_a_host_at_a_time():
 
     assert len(list(take_turns({"a": ["a1", "a2", "a3"], "b": ["b1", "b2", "b3"]}, slow, 0.0, 4, 0))) == 6
     assert max(m for m, _ in most) == 1 and max(m for _, m in most) == 2
+
+
+def test_the_search_for_moved_pages_stops_at_the_first_hit(spark, tmp_path):
+    """Rounds ask in order, skip what another page has asked, read home pages last, and ask no more after a hit."""
+    log, page = tmp_path / "asked", "x" * 501
+    home = '<a href="/about">x</a><a href="//c.test/Pricing-now">x</a><a href="https://other.test/pricing">x</a><a href="https://c.testing/pricing">x</a><a href="/plans-2">x</a>'
+    there = {
+        "https://a.test/old/": page, "https://b.test/plans": page, "https://c.test": home, "https://c.test/Pricing-now": "short",
+        "https://c.test/plans-2": page, "https://d.test": page + '<a href="/pricing/plans/">x</a>',
+    }
+
+    def counted(url):
+        with log.open("a") as f:
+            f.write(url + "\n")
+        return (200, there[url], None) if url in there else (404, None, None)
+
+    lost = ["https://a.test/old", "https://b.test/pricing/", "https://b.test/gone", "https://c.test/x", "https://d.test/y", "https://e.test/z", None, "https://c.test/x"]
+    frame = spark.createDataFrame([(u,) for u in lost], "url string")
+    forbid = lambda urls: urls.withColumn("allowed", F.col("host") != "e.test")
+    found = {r.url: r.found for r in find_moved_pages(frame, counted, forbid, delay=0.0).collect()}
+    assert found == {
+        "https://a.test/old": "https://a.test/old/", "https://b.test/pricing/": "https://b.test/plans", "https://b.test/gone": "https://b.test/plans",
+        "https://c.test/x": "https://c.test/plans-2", "https://d.test/y": None, "https://e.test/z": None,
+    }
+    asked, paths = requests(log), ["/pricing", "/pricing/", "/plans", "/plans/", "/en/pricing", "/pricing/plans"]
+    of = lambda host: [u for u in asked if u.startswith(f"https://{host}")]
+    assert of("a.test") == ["https://a.test/old/"] and of("e.test") == [] and of("other.test") == []
+    assert of("b.test") == sorted(["https://b.test/pricing", "https://b.test/gone/", "https://b.test/pricing/", "https://b.test/plans"])
+    assert of("c.test") == sorted(["https://c.test" + p for p in ["", "/x/", *paths, "/Pricing-now", "/plans-2"]])
+    assert of("d.test") == sorted(["https://d.test" + p for p in ["", "/y/", *paths, "/pricing/plans/"]])

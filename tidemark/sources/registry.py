@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import hrefs, slugify
+from tidemark.functions.text import host_of, hrefs, slugify
 from tidemark.operators.records import RECORD
+from tidemark.session import remove_folder, shared_folder, stored
+from tidemark.sources.fetch import CRAWL_DELAY, Fetcher, fetch_pages
 
 VENDOR_SCHEMA = "name string, slug string, category string, crawl_tier string, pricing_url string"
 
 #: Paths at which a price page is looked for, after the address itself.
-PAGE_GUESSES = ("/pricing", "/pricing/", "/plans", "/plans/", "/plans-pricing", "/pricing-plans")
+PAGE_GUESSES = ("/pricing", "/pricing/", "/plans", "/plans/", "/en/pricing", "/pricing/plans")
+
+#: Characters that a page must have more of to count as reached.
+LEAST_CHARS = 500
 
 
 def vendors_from_yaml(spark: SparkSession, text: str) -> DataFrame:
@@ -33,23 +40,101 @@ def vendors_from_yaml(spark: SparkSession, text: str) -> DataFrame:
     )
 
 
-def address_candidates(pages: DataFrame) -> DataFrame:
-    """Where else a page may be, in order: ``(url, html)`` to ``(url, candidate, place)``.
+def _root(url: Column) -> Column:
+    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+
 
-    The slash at the end turned, the usual paths of the host, then links of the page that
-    look like prices and stay on the host.
+def guessed_addresses(pages: DataFrame) -> DataFrame:
+    """Addresses to try without reading anything, in order: ``(url)`` to ``(url, candidate, place)``.
+
+    The slash at the end turned, then the usual paths of the host that are not the address itself.
     """
-    root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    turned = F.when(F.col("url").endswith("/"), F.regexp_replace("url", "/$", "")).otherwise(F.concat("url", F.lit("/")))
-    guesses = F.array(*(F.concat(root, F.lit(g)) for g in PAGE_GUESSES))
+    bare = F.regexp_replace("url", "/+$", "")
+    turned = F.when(F.col("url").endswith("/"), bare).otherwise(F.concat("url", F.lit("/")))
+    guesses = F.filter(F.array(*(F.concat(_root(F.col("url")), F.lit(g)) for g in PAGE_GUESSES)), lambda g: F.regexp_replace(g, "/+$", "") != bare)
+    return pages.select("url", F.posexplode(F.array_distinct(F.concat(F.array(turned), guesses))).alias("place", "candidate"))
+
+
+def linked_addresses(pages: DataFrame) -> DataFrame:
+    """Links of a home page that look like prices and stay on its host, in order: ``(url, html)`` to
+    ``(url, candidate, place)``."""
+    root = _root(F.col("url"))
     links = F.filter(hrefs(F.coalesce("html", F.lit(""))), lambda h: F.lower(h).rlike("pricing|/plans"))
-    absolute = F.transform(links, lambda h: F.when(h.startswith("/"), F.concat(root, h)).otherwise(h))
-    own = F.filter(absolute, lambda h: h.startswith(root))
-    listed = F.array_distinct(F.concat(F.array(turned), guesses, own))
-    return pages.select("url", F.posexplode(listed).alias("place", "candidate"))
+    scheme = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    absolute = F.transform(
+        links, lambda h: F.when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(root, h)).when(h.startswith("http"), h)
+    )
+    own = F.filter(absolute, lambda h: (h == root) | h.rlike("^[^/]*//[^/?#]*[/?#]") & h.startswith(root) & F.substring(h, F.length(root) + 1, F.lit(1)).isin("/", "?", "#"))
+    return pages.select("url", F.posexplode(F.array_distinct(own)).alias("place", "candidate"))
+
 
+def address_candidates(pages: DataFrame) -> DataFrame:
+    """Where else a page may be, in order: ``(url, html)`` to ``(url, candidate, place)``.
 
-def first_reachable(candidates: DataFrame, reachable: DataFrame, least_chars: int = 500) -> DataFrame:
+    Guesses first, then links of the page's ``html``.
+    """
+    guessed = guessed_addresses(pages)
+    both = guessed.withColumn("late", F.lit(False)).unionByName(linked_addresses(pages).withColumn("late", F.lit(True)))
+    first = both.groupBy("url", "candidate").agg(F.min(F.struct("late", "place")).alias("at"))
+    line = Window.partitionBy("url").orderBy("at")
+    return first.select("url", "candidate", (F.row_number().over(line) - 1).alias("place"))
+
+
+def find_moved_pages(
+    lost: DataFrame, fetcher: Fetcher, allow: Callable[[DataFrame], DataFrame] | None = None, delay: float = CRAWL_DELAY, least_chars: int = LEAST_CHARS
+) -> DataFrame:
+    """(url, found) of pages ``lost(url)`` that are at another address now; ``found`` is null for the rest.
+
+    A round asks for the next candidate of every page that is still lost, in the order of
+    :func:`guessed_addresses`; a page leaves with its first answer of status 200 and more than ``least_chars``
+    characters, and nothing is asked for after it. Then the home pages of what is left are read, and rounds go on
+    over their links. A candidate that several pages share is asked for once in all, and candidates that
+    ``allow`` (of (url, host), giving ``allowed``) forbids never. Rounds are as many as a page has candidates; each works on the pages
+    that are still lost and leaves a written table.
+    """
+    spark = lost.sparkSession
+    folder = f"{shared_folder(spark)}/moved-{uuid.uuid4().hex}"
+    left = stored(lost.select("url").where("url IS NOT NULL").distinct(), f"{folder}/lost")
+    found = spark.createDataFrame([], "url string, found string")
+    known = spark.createDataFrame([], "candidate string, good boolean, html string")
+    number = 0
+
+    def answers(asked: DataFrame) -> DataFrame:
+        """(candidate, good, html) of ``asked(candidate)``, each asked for once over all rounds."""
+        nonlocal known, number
+        fresh = asked.join(known.select("candidate"), "candidate", "left_anti").select(F.col("candidate").alias("url"))
+        judged = fresh.withColumn("allowed", F.lit(True)) if allow is None else allow(fresh.withColumn("host", host_of(F.col("url"))))
+        pages = fetch_pages(judged, fetcher, delay, f"{folder}/pages-{number}", retries=0)
+        good = (F.coalesce("status", F.lit(0)) == 200) & (F.length("html") > least_chars)
+        said = pages.select(F.col("url").alias("candidate"), F.coalesce(good, F.lit(False)).alias("good"), "html")
+        known = known.unionByName(stored(said, f"{folder}/known-{number}"))
+        remove_folder(spark, f"{folder}/pages-{number}")
+        number += 1
+        return known
+
+    def rounds(candidates: DataFrame) -> None:
+        nonlocal left, found
+        places = candidates.agg(F.max("place")).first()[0]
+        for place in range(-1 if places is None else places + 1):
+            now = candidates.where(F.col("place") == place).join(left, "url", "left_semi")
+            tried = now.join(answers(now.select("candidate").distinct()), "candidate").where("good")
+            hits = stored(tried.select("url", F.col("candidate").alias("found")), f"{folder}/found-{number}")
+            found = found.unionByName(hits)
+            left = stored(left.join(hits, "url", "left_anti"), f"{folder}/left-{number}")
+            if left.isEmpty():
+                return
+
+    rounds(stored(guessed_addresses(left), f"{folder}/guessed"))
+    if not left.isEmpty():
+        homes = left.select("url", _root(F.col("url")).alias("candidate")).where("candidate <> ''")
+        read = homes.join(answers(homes.select("candidate").distinct()), "candidate").where("html IS NOT NULL")
+        rounds(stored(linked_addresses(read.select("url", "html")), f"{folder}/linked"))
+    result = stored(lost.select("url").where("url IS NOT NULL").distinct().join(found, "url", "left"), f"{folder}-found")
+    remove_folder(spark, folder)
+    return result
+
+
+def first_reachable(candidates: DataFrame, reachable: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The first candidate of each url among ``reachable(candidate, html)`` pages that are long enough."""
     good = candidates.join(reachable.where(F.length("html") > least_chars).select("candidate"), "candidate")
     return good.groupBy("url").agg(F.min_by("candidate", "place").alias("found"))
