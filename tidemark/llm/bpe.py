@@ -127,7 +127,7 @@ def _encoder(path: str, pattern: str, offsets: bool):
     return run
 
 
-def _decoder(path: str):
+def _decoder(path: str, digests: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known_table(path)
         for batch in batches:
@@ -142,9 +142,9 @@ def _decoder(path: str):
                     batch.column(0),
                     pa.array([len(r) for r in rows], pa.int64()),
                     pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows]),
-                    pa.array(raw, pa.binary()),
+                    pa.array([hashlib.sha256(r).hexdigest() for r in raw]) if digests else pa.array(raw, pa.binary()),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded"],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256" if digests else "decoded"],
             )
 
     return run
@@ -182,3 +182,14 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     known = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     schema = f"doc_id {_key_type(known, 'doc_id')}, n_tokens long, ids_sha256 string, decoded binary"
     return known.mapInArrow(_decoder(path), schema)
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what :func:`bpe_decode` says of :func:`bpe_encode`.
+
+    Ids and decoded bytes stay in the one worker that encodes and decodes; only digests leave it.
+    """
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {_key_type(known, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    encode, decode = _encoder(path, pattern, False), _decoder(path, digests=True)
+    return known.mapInArrow(lambda batches: decode(encode(batches)), schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.audit import failure_masks, interaction_audit
-from tidemark.llm.bpe import bpe_decode, bpe_encode, check_ranks
+from tidemark.llm.bpe import bpe_round_trip, check_ranks
 from tidemark.llm.chat import chat_digests, format_chats
 from tidemark.llm.common import WORD_PATTERN
 from tidemark.llm.heap_lloyd import compress_vectors
@@ -71,8 +71,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = vocabulary()
     check_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), path)
-    decoded = bpe_decode(bpe_encode(read(spark, sf_dir, "documents"), path, pattern), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_round_trip(read(spark, sf_dir, "documents"), path, pattern)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
