@@ -1,6 +1,7 @@
 """Operators 1, 3, 4, 6, 7 and 8 on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -10,12 +11,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests_support import dedup_oracle, tiktoken_encoding_of
-from tidemark.llm.bpe import ByteBpe, bpe_decode, bpe_encode, byte_characters, byte_table, check_ranks, decode_ids
+from tests_support import dedup_oracle, thue_morse, tiktoken_encoding_of
+from tidemark.llm.bpe import ByteBpe, bpe_decode, bpe_encode, bpe_round_trip, byte_characters, byte_table, check_ranks, decode_ids
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secrets import base_spans, linked_spans, scan_secrets
-from tidemark.llm.toxicity import FtrlSettings, ftrl, packed, score_toxicity, unpacked
+from tidemark.llm.toxicity import FtrlSettings, features, ftrl, packed, score_toxicity, unpacked
 from tidemark.llm.urls import filter_urls
 from tidemark.llm.queries import URL_RULES, vocabulary
 from tidemark.llm.words import Runs, batch_words
@@ -295,6 +296,10 @@ def test_line_dedup_equals_brute_force(spark):
     edited = texts[3].split(" ")
     edited[len(edited) // 2] = "edited"
     texts += [texts[0], " ".join(edited), None, "", "\n\n", "\n".join([short] * 12), f"{short}\r\n{long}\t\n", "of " * 300, "x " + "of " * 120, line(49), "ü é " * 80]
+    shared, few = line(49), line(2).split()
+    texts += [f"{shared} {word}" for word in thue_morse(1024)]
+    # The same arrangement of two words as of two letters.
+    texts += [" ".join(few["ab".index(c)] for c in word) for word in thue_morse(64)]
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (100, texts[0])]
     df = spark.createDataFrame([(d, t, "k", 9) for d, t in rows], "doc_id long, text string, row string, removed_words int")
     out = remove_repeated_lines(df.repartition(5))
@@ -361,3 +366,61 @@ def test_ftrl_keeps_only_what_matters():
     rows = [np.array([i % 2, 2, 8]) for i in range(400)]
     weights, bias = ftrl(rows, [i % 2 for i in range(400)], FtrlSettings(bits=3))
     assert weights[1] > 0 > weights[0] and not weights[3:].any() and np.isfinite(bias)
+
+
+def plain_ftrl(rows, labels, settings):
+    """One coordinate at a time, in dictionaries; the last is the bias, without a penalty."""
+    bias = 1 << settings.bits
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == bias else settings.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((settings.beta + math.sqrt(n.get(i, 0.0))) / settings.alpha + settings.l2)
+
+    order = np.random.default_rng(settings.seed)
+    for _ in range(settings.epochs):
+        for row in order.permutation(len(rows)).tolist():
+            w = {i: weight(i) for i in rows[row].tolist()}
+            gradient = 1 / (1 + math.exp(-min(max(sum(w.values()), -35.0), 35.0))) - labels[row]
+            for i in w:
+                old = n.get(i, 0.0)
+                n[i] = old + gradient * gradient
+                z[i] = z.get(i, 0.0) + gradient - (math.sqrt(n[i]) - math.sqrt(old)) / settings.alpha * w[i]
+    return [weight(i) for i in range(bias)], weight(bias)
+
+
+@pytest.mark.parametrize("settings", [FtrlSettings(bits=5, l1=0.5), FtrlSettings(bits=5, l1=2.0, l2=0.3, alpha=0.2, epochs=3, seed=9)])
+def test_ftrl_equals_one_coordinate_at_a_time(settings):
+    rng = np.random.default_rng(2)
+    rows = [np.append(np.sort(rng.choice(32, 6, replace=False)), 32) for _ in range(200)]
+    labels = [int(3 in r or rng.random() < 0.1) for r in rows]
+    weights, bias = ftrl(rows, labels, settings)
+    plain, plain_bias = plain_ftrl(rows, labels, settings)
+    assert np.allclose(weights, plain, atol=1e-9) and abs(bias - plain_bias) < 1e-9 and 0 < np.count_nonzero(weights) < 32
+
+
+def plain_features(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c if c >= "\x80" or c.isalnum() else " " for c in text or ""))
+    words = [w.encode() for w in words]
+    return {*((w,) for w in words), *(("stem", w[:5]) for w in words), *zip(words, words[1:], strict=False), *((a, "", b) for a, b in zip(words, words[2:], strict=False))}
+
+
+def test_features_are_those_of_plain_strings():
+    texts = ["One two, ONE-two three!", None, "", "é Éa one two", "stemming stemmed stem three two one", "a b a b a b c", "x" * 5000 + " end", *thue_morse(1024)]
+    row, bucket = features(pa.array(texts, pa.string()), 40)
+    named = {}
+    for i, text in enumerate(texts):
+        own, want = set(bucket[row == i].tolist()), plain_features(text)
+        assert len(own) == len(want)
+        for j in range(i):
+            assert len(own & named[j][0]) == len(want & named[j][1])
+        named[i] = own, want
+
+
+def test_round_trip_is_encoding_and_decoding(spark):
+    path, pattern = vocabulary()
+    docs = spark.createDataFrame([(1, "Plain text, é and 😀"), (2, None), (None, ""), (1, "again " * 500)], "doc_id long, text string")
+    both = bpe_decode(bpe_encode(docs, path, pattern), path).selectExpr("doc_id", "n_tokens", "ids_sha256", "sha2(decoded, 256)")
+    assert sorted(map(str, bpe_round_trip(docs, path, pattern).collect())) == sorted(str(r).replace("sha2(decoded, 256)", "decoded_sha256") for r in both.collect())

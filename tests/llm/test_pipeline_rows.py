@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_pipeline import DOCUMENTS, planted
 
@@ -50,8 +52,10 @@ def test_mix_takes_each_row_by_its_source(spark):
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     rows, labels = planted()
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    schema = DOCUMENTS + ", `a.b` int, times int, key string, d int, removed_words int, stays boolean, root long"
-    docs = spark.createDataFrame([(*r, 1, 2, "k", 3, 4, True, 5) for r in rows], schema)
+    rows += [rows[0], rows[0]]
+    schema = DOCUMENTS + ", `a.b` int, times int, key string, d int, removed_words int, stays boolean, root long, tags map<string, array<int>>"
+    docs = spark.createDataFrame([(*r, 1, 2, "k", 3, 4, True, 5, {"m": [i]}) for i, r in enumerate(rows)], schema)
+    docs = docs.withColumn("any", F.parse_json(F.lit('{"a": 1}')))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         kept = [c for c in docs.columns if c != "removed_words"] if stage is corpus_pipeline.drop_repeated_lines else docs.columns

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests_support import jaccard_oracle, roots
+from tests_support import jaccard_oracle, roots, thue_morse
 from tidemark.llm.ann import code_products, nearest_neighbours, one_bit_codes, rotation
 from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import embedding_near_duplicates, quantise
@@ -60,6 +60,7 @@ def test_ngram_join_equals_brute_force(spark, block_sets):
     texts = [t for _ in range(6) for t in near_copies(rng, 12)]
     texts += [f"{' '.join(f'u{rng.integers(10**6)}' for _ in range(50))} {passage}" for _ in range(15)]
     texts += [None, "", " \t\n", "One two", "one TWO", "one two three", "é É one two three", "é É one two three", "a " * 3000]
+    texts += [f"q r s t {word}" for word in thue_morse(1024)]
     rows = [(i * 3 % 1009, t) for i, t in enumerate(texts)] + [(5000, texts[0]), (5000, texts[0]), (5001, "one two")]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n long, component_id int")
     got = ngram_jaccard_join(df, block_sets=block_sets).collect()

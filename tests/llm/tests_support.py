@@ -77,3 +77,11 @@ def tiktoken_encoding_of():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def thue_morse(length):
+    """Two different words of ``a`` and ``b`` that sums of powers modulo 2**64 cannot tell apart."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -42,7 +42,8 @@ def window_minima(words: Words, runs: Runs, least: int) -> tuple[np.ndarray, np.
 def marks_of(words: Words, least: int) -> tuple[np.ndarray, ...]:
     """(text number, place in it, fingerprint, context) of the distinct window minima.
 
-    The context is the hash of all words that any window around the mark can hold.
+    The context is the hash of all words that any window around the mark can hold, of another kind
+    than the fingerprint, so that words that clash in one do not in the other.
     """
     runs = Runs(words.hashes)
     _, mark, lines = window_minima(words, runs, least)
@@ -50,7 +51,7 @@ def marks_of(words: Words, least: int) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(words.bounds, mark, "right") - 1
     low = np.maximum(words.bounds[row], mark - (least - least // 2))
     high = np.minimum(words.bounds[row + 1], mark + least)
-    context = runs.of(low, high) + (mark - low).astype(np.uint64)
+    context = Runs(words.named(1)).of(low, high) + (mark - low).astype(np.uint64)
     return row, mark - words.bounds[row], lines[mark], context
 
 
@@ -98,7 +99,7 @@ def _windows(least: int):
             start = start[wanted[mark]]
             row = np.searchsorted(words.bounds, start, "right") - 1
             keys = [part.column(c).take(pa.array(row)) for c in ("n", "i", "r")]
-            names = [_long(Runs(words.hashes, kind).of(start, start + least)) for kind in (0, 1)]
+            names = [_long(x.of(start, start + least)) for x in (runs, Runs(words.named(1)))]
             yield pa.record_batch([*keys, _long(start - words.bounds[row]), *names], ["n", "i", "r", "pos", "w1", "w2"])
 
     return run
@@ -230,8 +231,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     becomes empty, and its row stays. Rows with a null id come after all others. Rows
     equal in id and text count as one document and are cut alike; rows that share only
     an id are told apart by a hash of their text. An empty table gives an empty result. A
-    column named ``removed_words``, in any case, is replaced. Fingerprints, contexts and
-    windows are compared by 128 bits.
+    column named ``removed_words``, in any case, is replaced. Fingerprints with their contexts,
+    and windows, are compared by two 64-bit hashes of their words that have nothing in common.
     """
     others = [c for c in docs.columns if c.lower() != "removed_words"]
     kind = dict(docs.dtypes)[id_col]

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidemark.llm.common import broadcast_if_small, mix64, reliable_checkpoint, shuffle_partitions, slices
 from tidemark.llm.components import connected_components
 from tidemark.llm.tries import link_groups, links_between
-from tidemark.llm.words import Runs, batch_words
+from tidemark.llm.words import Runs, Words, batch_words
 
 #: Tokens that one task holds at once: some 100 MB with all copies that its sorts make.
 SLOT_TOKENS = 1_000_000
@@ -25,10 +25,9 @@ NARROW_ROWS = 200_000
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+def shingle_sets(words: Words, hashes: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles; fewer words make one shingle."""
-    words = batch_words(texts, lower=True)
-    runs, bounds = Runs(words.hashes), words.bounds
+    runs, bounds = Runs(hashes), words.bounds
     start = np.flatnonzero(words.left() >= k)
     tokens, cuts = runs.of(start, start + k), np.searchsorted(start, bounds)
     few = np.diff(bounds) < k
@@ -40,11 +39,10 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return sets
 
 
-def set_names(tokens: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two independent 64-bit names of a shingle set; equal sets share both."""
-    salt = np.array([2 * seed + 1, 2 * seed + 2], np.uint64) * _FOLD
-    total = np.array([mix64(tokens ^ x).sum(dtype=np.uint64) for x in salt], np.uint64)
-    return tuple(mix64(total + np.uint64(len(tokens))).view(np.int64).tolist())
+def set_name(tokens: np.ndarray, seed: int) -> int:
+    """A 64-bit name of a shingle set."""
+    total = mix64(tokens ^ (np.uint64(seed + 1) * _FOLD)).sum(dtype=np.uint64) + np.uint64(len(tokens))
+    return int(mix64(np.array([total])).view(np.int64)[0])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +59,15 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _describe(k: int, seed: int):
-    """Rows of (key, text) to (key, n, node, check): set size and the set's two names."""
+    """Rows of (key, text) to (key, n, node, check): set size and two names of the set, which come from
+    two kinds of hashes of its words, so that words that clash in one do not in the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _texts(batches):
-            sets = shingle_sets(part.column("text"), k)
-            named = [set_names(s, seed) if len(s) else (None, None) for s in sets]
-            columns = [[len(s) for s in sets], [a for a, _ in named], [b for _, b in named]]
+            words = batch_words(part.column("text"), lower=True, kind=2 * seed)
+            sets = shingle_sets(words, words.hashes, k)
+            names = [[set_name(s, seed) if len(s) else None for s in group] for group in (sets, shingle_sets(words, words.named(2 * seed + 1), k))]
+            columns = [[len(s) for s in sets], *names]
             yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], [part.schema.names[0], "n", "node", "check"])
 
     return run
@@ -104,8 +104,9 @@ def _by_range(k: int, ranges: int, seed: int, most: int = 1 << 20, remembered: i
         sets, named, total = [], [], 0
         seen: set[int] = set()
         for part in _texts(batches):
-            for tokens in shingle_sets(part.column("text"), k):
-                if not len(tokens) or (name := set_names(tokens, seed)[0]) in seen:
+            words = batch_words(part.column("text"), lower=True, kind=2 * seed)
+            for tokens in shingle_sets(words, words.hashes, k):
+                if not len(tokens) or (name := set_name(tokens, seed)) in seen:
                     continue
                 if len(seen) < remembered:
                     seen.add(name)
@@ -393,7 +394,7 @@ def ngram_jaccard_join(
     become a component id while another member has one. Repeated rows link with each
     other. An empty table gives an empty result. Other columns are not read.
     Tokens are named by 64-bit hashes. So are sets, whose names are checked by a second
-    hash and drawn anew where two sets share one.
+    hash of the words themselves; where two sets share a name, all hashes are drawn anew.
     """
     grouped = linked_rows(docs, F.col(id_col), text_col, k, percent, block_sets, block_tokens).withColumnRenamed("key", "doc_id")
     least = reliable_checkpoint(grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))

@@ -10,30 +10,14 @@ import pyarrow.compute as pc
 
 from tidemark.llm.common import mix64
 
-#: Odd multipliers of the polynomials over bytes and over words.
-_BYTES, _RUNS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_TABLE = _TABLE.copy()
-_LOWER_TABLE[65:91] = _TABLE[97:123]
-#: Bytes of text whose products are held at once; a longer word is held whole.
+#: A-Z as a-z, byte by byte.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Blocks of eight bytes that are mixed at once: about 10 MB with all copies.
 _CHUNK = 1 << 17
-#: Powers by base, and up to which number they are kept: 4 MB each.
-_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_KEEP = 1 << 18
-
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to ``size`` or more of an odd number and of its inverse, modulo 2**64."""
-    known = _KEPT.get(base)
-    if known is None or len(known[0]) <= size:
-        count = 1 << max(10, int(size).bit_length())
-        known = tuple(
-            np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(count, x, np.uint64), dtype=np.uint64)))
-            for x in (base, pow(base, -1, 1 << 64))
-        )
-        if count <= _KEEP:
-            _KEPT[base] = known
-    return known
+#: The bytes of a block that belong to its word, by how many are left of it.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_PLACE, _KIND, _LENGTH, _PAIR = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 @dataclass
@@ -50,27 +34,45 @@ class Words:
 
     def left(self) -> np.ndarray:
         """How many words of its text each word and those after it are."""
-        return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.hashes))
+        return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.starts))
 
+    def named(self, kind: int) -> np.ndarray:
+        """Hashes of another kind: words that share one of one kind do not share that of another."""
+        return span_hashes(self.data, self.starts, self.ends, kind)
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of the bytes of each span; spans are ordered by their starts and by their ends."""
-    table, hashes, low = _LOWER_TABLE if lower else _TABLE, np.empty(len(starts), np.uint64), 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _CHUNK, "right")))
-        at, to = starts[low:high] - starts[low], ends[low:high] - starts[low]
-        up, down = powers(_BYTES, int(to[-1]))
-        total = np.zeros(int(to[-1]) + 1, np.uint64)
-        np.cumsum(table[data[starts[low] : ends[high - 1]]] * up[: to[-1]], out=total[1:])
-        hashes[low:high] = mix64((total[to] - total[at]) * down[at] + (to - at).astype(np.uint64))
-        low = high
-    return hashes
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, of a family by ``kind``.
 
-def batch_words(column: pa.Array, lower: bool = False, translate: np.ndarray | None = None, hashed: bool = True) -> Words:
+    Blocks of eight bytes are mixed with their place and the kind, summed, and mixed with the length. No
+    step is linear in the bytes, so a text's structure cannot make two spans equal, and a long span is read in parts.
+    """
+    size = ends - starts
+    last = np.cumsum((size + 7) >> 3)
+    total = np.zeros(len(starts), np.uint64)
+    eights = np.lib.stride_tricks.as_strided(padded := np.append(data, np.zeros(8, np.uint8)), (len(data) + 1, 8), (1, 1)) if len(data) else None
+    salt = mix64(np.array([kind], np.uint64) * _KIND + _KIND)
+    for low in range(0, int(last[-1]) if len(last) else 0, _CHUNK):
+        block = np.arange(low, min(low + _CHUNK, int(last[-1])))
+        one, end = np.searchsorted(last, (block[0], block[-1]), "right")
+        here = slice(one, end + 1)
+        first = last[here] - ((size[here] + 7) >> 3)
+        inside = np.minimum(last[here], block[-1] + 1) - np.maximum(first, low)
+        filled = np.flatnonzero(inside > 0)
+        span = np.repeat(filled, inside[filled])
+        place = block - first[span]
+        at = starts[here][span] + 8 * place
+        value = eights[at].view("<u8").ravel() & _MASKS[np.minimum(ends[here][span] - at, 8)]
+        mixed = mix64(value ^ mix64(place.astype(np.uint64) * _PLACE + salt))
+        cuts = np.concatenate(([0], np.cumsum(inside[filled])[:-1]))
+        total[one + filled] += np.add.reduceat(mixed, cuts)
+    return mix64(total + (size.astype(np.uint64) + np.uint64(1)) * _LENGTH)
+
+
+def batch_words(column: pa.Array, lower: bool = False, translate: np.ndarray | None = None, hashed: bool = True, kind: int = 0) -> Words:
     """Words (see ``WORD_PATTERN``) of a batch of texts; null counts as empty.
 
-    A word's hash depends on its bytes alone, A-Z as a-z if ``lower``. ``translate`` names
+    A word's hash depends on its bytes alone, A-Z as a-z if ``lower``, and on ``kind``. ``translate`` names
     another byte for each of the 256 before the texts are split. Without ``hashed`` only the
     places are made.
     """
@@ -80,6 +82,7 @@ def batch_words(column: pa.Array, lower: bool = False, translate: np.ndarray | N
     data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
     data = data if translate is None else translate[data]
+    data = _LOWER[data] if lower else data
     solid = (data != 32) & ((data < 9) | (data > 13))
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -88,18 +91,35 @@ def batch_words(column: pa.Array, lower: bool = False, translate: np.ndarray | N
     first, last = offsets[:-1][filled], offsets[1:][filled] - 1
     begin[first], end[last] = solid[first], solid[last]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    hashes = span_hashes(data, starts, ends, lower) if hashed else np.empty(0, np.uint64)
+    hashes = span_hashes(data, starts, ends, kind) if hashed else np.empty(0, np.uint64)
     return Words(data, offsets, hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
 class Runs:
-    """Hashes of any runs of words of an array, from prefix sums."""
+    """Hashes of any runs of words of an array, from those of twice as many words each time.
+
+    A run is named by the two runs of a power of two words that begin and end with it, and its length.
+    Each step mixes, so no arrangement of words, however regular, cancels out.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        self.levels = [hashes]
 
-    def __init__(self, hashes: np.ndarray, kind: int = 0):
-        up, self.down = powers(_RUNS[kind], len(hashes) + 1)
-        self.total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=self.total[1:])
+    def _level(self, number: int) -> np.ndarray:
+        while len(self.levels) <= number:
+            half, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(mix64(half[:-step] * _PAIR + half[step:]) if len(half) > step else half[:0])
+        return self.levels[number]
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the runs from ``first`` to before ``last``; content and length matter, place does not."""
-        return mix64((self.total[last] - self.total[first]) * self.down[first] + (last - first).astype(np.uint64))
+        size = last - first
+        out, number = np.zeros(len(first), np.uint64), 0
+        while (wide := size >> number).any():
+            pick = np.flatnonzero(wide == 1)
+            if len(pick):
+                level = self._level(number)
+                a, b = level[first[pick]], level[last[pick] - (1 << number)]
+                out[pick] = mix64(a * _LENGTH + b + size[pick].astype(np.uint64) * _PLACE)
+            number += 1
+        return out
