@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.common import WORD_PATTERN, broadcast_if_small, reliable_checkpoint, shared_folder
 from tidemark.llm.line_dedup import remove_repeated_lines
 from tidemark.llm.mixing import mix_sources
@@ -70,7 +70,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one: that with the smallest id, null ids last, then by
-    source and text hash; of equal rows one. Rows without words link with nothing and stay.
+    source and text hash; of rows with the same key that with the smallest hash of all its columns, which
+    may be of any type. Rows without words link with nothing and stay.
     """
     linked = linked_rows(docs, row_key()).where("root IS NOT NULL").select("key", "root")
     # Checkpoints take the sums' partitioning away, so that hot groups and keys can be split.
@@ -83,7 +84,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = judged.where("stays").select("key")
     if repeated.isEmpty():
         return shown(alone, docs)
-    one = keyed.join(broadcast_if_small(repeated), "key", "left_semi").groupBy("key").agg(F.min("d").alias("d"))
+    one = keyed.join(broadcast_if_small(repeated), "key", "left_semi").groupBy("key").agg(F.min_by("d", F.xxhash64(F.to_json("d"))).alias("d"))
     return shown(alone.unionByName(one.select("d")), docs)
 
 
@@ -104,9 +105,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and a check that they decode to its text."""
     path, pattern = vocabulary()
-    encoded = bpe_encode(docs, path, pattern)
-    decoded = bpe_decode(encoded, path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_round_trip(docs, path, pattern)
 
 
 STAGES = [
