@@ -43,6 +43,40 @@ def with_plans(vendors: DataFrame, plans: DataFrame, key: str = "vendor") -> Dat
     return vendors.join(plans.select(key).distinct(), key, "left_semi")
 
 
+def head_columns() -> list[Column]:
+    """What a vendor's plans say at a glance, as aggregates over the plans of one record: headline
+    prices over real, priced, non-custom plans, flags over real plans, and what they name."""
+    truth = lambda c: F.coalesce(F.col(c), F.lit(False))
+    real = ~truth("is_addon")
+    price, basis = plan_price(F.col("monthly_price"), F.col("annual_price_per_month"))
+    priced = F.when(real & ~truth("is_custom_pricing"), price)
+    any_of = lambda c: F.coalesce(F.bool_or(F.when(real, truth(c))), F.lit(False))
+    named = F.flatten(F.collect_set(F.when(real, F.coalesce("features", F.array().cast("array<string>")))))
+    return [
+        F.min(priced).alias("entry_price"), F.max(priced).alias("top_price"),
+        F.when(F.bool_and(F.when(priced.isNotNull(), basis == "annual")), "annual").when(F.count(priced) > 0, "monthly").alias("basis"),
+        any_of("is_free").alias("has_free"), any_of("is_per_seat").alias("per_seat"), any_of("is_custom_pricing").alias("custom"),
+        F.count_if(real).alias("plans"), F.max("trial_days").alias("trial_days"),
+        F.array_compact(F.sort_array(F.array_distinct(named))).alias("features"),
+    ]
+
+
+def vendor_heads(vendors: DataFrame, records: DataFrame, changes: DataFrame, key: str = "vendor") -> DataFrame:
+    """Registered vendors that have a record, with its head and how often they changed.
+
+    ``records(key, currency, head)`` holds the aggregates of :func:`head_columns` as a struct, null
+    where the record has no plans; ``changes`` has a row per change.
+    """
+    counted = changes.groupBy(key).agg(F.count("*").alias("changes"))
+    joined = vendors.join(records, key).join(counted, key, "left")
+    head = lambda c, default=None: (F.col(f"head.{c}") if default is None else F.coalesce(f"head.{c}", default)).alias(c)
+    no = F.lit(False)
+    return joined.select(
+        *vendors.columns, "currency", head("entry_price"), head("top_price"), head("has_free", no), head("per_seat", no), head("custom", no),
+        head("plans", F.lit(0).cast("long")), head("trial_days"), head("features", F.array().cast("array<string>")), F.coalesce("changes", F.lit(0).cast("long")).alias("changes"),
+    )
+
+
 def compare_table(pairs: DataFrame) -> DataFrame:
     """(pair, place, label, first, second): the cells of a comparison, in order."""
     none, word = F.lit("—"), lambda when, yes, no: F.when(when, yes).otherwise(no)

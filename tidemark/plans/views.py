@@ -196,23 +196,17 @@ STATE = f"""{CHECKS}, state_v AS (
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered vendors with what their current plans say at a glance."""
-    from tidemark.operators.records import all_features, headline_prices, vendor_flags
-
-    own = newest(plans(spark, sf_dir))
-    flags = vendor_flags(own, ["vendor"]).select("vendor", F.col("free_real").alias("has_free"), F.col("seat_real").alias("per_seat"), F.col("custom_real").alias("custom"), F.col("real_plans").alias("plans"))
-    money = newest(readings(spark, sf_dir)).select("vendor", "currency")
-    tried = own.groupBy("vendor").agg(F.max("trial_days").alias("trial_days"))
-    # What a page names is one list per vendor, the unit of the data model.
-    named = all_features(own, ["vendor"]).groupBy("vendor").agg(F.sort_array(F.collect_set("feature")).alias("features"))
-    counted = changes(spark, sf_dir).groupBy("vendor").agg(F.count("*").alias("changes"))
-    flags = flags.join(tried, "vendor", "full_outer").join(named, "vendor", "left").join(counted, "vendor", "left")
-    joined = vendors(spark, sf_dir).join(money, "vendor").join(headline_prices(own, ["vendor"]), "vendor", "left").join(flags, "vendor", "left")
-    return joined.select(
-        "vendor", "name", "slug", "category", "tier", "currency", "entry_price", "top_price", F.coalesce("has_free", F.lit(False)).alias("has_free"),
-        F.coalesce("per_seat", F.lit(False)).alias("per_seat"), F.coalesce("custom", F.lit(False)).alias("custom"), F.coalesce("plans", F.lit(0)).cast("long").alias("plans"),
-        "trial_days", F.coalesce("features", F.array().cast("array<string>")).alias("features"), F.coalesce("changes", F.lit(0)).alias("changes"),
-    )
+    """Registered vendors with what their current plans say at a glance.
+
+    Heads are made for every year in the one pass that groups the lines; the newest is picked after.
+    """
+    from tidemark.operators.site import head_columns, vendor_heads
+
+    yearly = plans(spark, sf_dir).groupBy("vendor", "year").agg(*head_columns())
+    columns = [c for c in yearly.columns if c not in ("vendor", "year")]
+    own = yearly.groupBy("vendor").agg(F.max_by(F.struct(*columns), "year").alias("head"))
+    read = readings(spark, sf_dir).groupBy("vendor").agg(F.max_by("currency", "year").alias("currency"))
+    return vendor_heads(vendors(spark, sf_dir), read.join(own, "vendor", "left"), changes(spark, sf_dir))
 
 
 HEADS = f"""{VENDORS}, {PLANS}, {READINGS}, {CURRENT}, priced_v AS (
