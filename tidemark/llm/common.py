@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,16 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, whose task gives its freed memory back when it ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` of ``column``, one row at least."""
     if batch.num_rows == 0:

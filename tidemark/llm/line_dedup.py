@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable_checkpoint, slices
+from tidemark.llm.common import giving_back, release_memory, reliable_checkpoint, shared_folder, slices
 from tidemark.llm.words import Runs, Words, batch_words
+from tidemark.session import remove_folder, stored
 
-#: Bits of the table that tells which fingerprints stand in two places or more: 4 MB.
-TABLE_BITS = 25
+#: Bits of a table that tells which numbers are listed, as powers of two: from 128 kB to 32 MB.
+TABLE_BITS = (20, 28)
+#: Spreads the places of a text over a table of bits.
+_STEP = 40503
 #: Documents are told apart by so many buckets before texts are shuffled.
 BUCKETS = 1 << 20
 
@@ -70,39 +74,36 @@ def _fingerprints(least: int):
         for _, words in _parts(batches):
             yield pa.record_batch([_long(marks_of(words, least)[2])], ["mark"])
 
-    return run
+    return giving_back(run)
 
 
 def _places(least: int, table: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches):
             row, pos, mark, context = marks_of(words, least)
-            bit = mark & np.uint64((1 << TABLE_BITS) - 1)
-            seen = (table.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            seen = in_table(table.value, mark)
             keys = [part.column(c).take(pa.array(row[seen])) for c in ("n", "i", "r")]
             yield pa.record_batch([*keys, _long(pos[seen]), _long(mark[seen]), _long(context[seen])], ["n", "i", "r", "pos", "mark", "context"])
 
-    return run
+    return giving_back(run)
 
 
-def _windows(least: int):
-    """Windows whose marks are listed in ``marks``, named by 128 bits of their words."""
+def _windows(least: int, table: Broadcast):
+    """Windows around the marks that the table lists by place, named by two hashes of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches):
-            asked = part.column("marks")
             runs = Runs(words.hashes)
             start, mark, _ = window_minima(words, runs, least)
-            wanted = np.zeros(len(words.hashes) + 1, bool)
-            number = np.repeat(np.arange(len(part)), asked.value_lengths().to_numpy())
-            wanted[words.bounds[number] + asked.flatten().to_numpy()] = True
-            start = start[wanted[mark]]
             row = np.searchsorted(words.bounds, start, "right") - 1
+            named = part.column("r").to_numpy()[row].view(np.uint64)
+            listed = in_table(table.value, named ^ ((mark - words.bounds[row]) * _STEP).astype(np.uint64))
+            start, row = start[listed], row[listed]
             keys = [part.column(c).take(pa.array(row)) for c in ("n", "i", "r")]
             names = [_long(x.of(start, start + least)) for x in (runs, Runs(words.named(1)))]
             yield pa.record_batch([*keys, _long(start - words.bounds[row]), *names], ["n", "i", "r", "pos", "w1", "w2"])
 
-    return run
+    return giving_back(run)
 
 
 def cut_part(texts: pa.Array, ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int) -> pa.Array:
@@ -147,19 +148,32 @@ def _cut(least: int):
                 pos = column.flatten().to_numpy()
                 ranges.append((row, pos - before, pos))
             done.append(cut_part(part.column("text"), ranges, least))
+        release_memory()
         return pa.concat_arrays(done)
 
     return run
 
 
-def bit_table(hashes: DataFrame) -> Broadcast:
-    """A bit for each hash by its last bits, of fixed size; others may share it, none is left out."""
-    low = hashes.select((F.col("mark").bitwiseAND((1 << TABLE_BITS) - 1)).alias("v"))
+def bit_table(numbers: DataFrame) -> Broadcast:
+    """A bit for each of ``numbers(v long)`` by its last bits; others may share it, none is left out.
+
+    The table has some eight bits a number, within bounds: beyond them more numbers share a bit, which costs
+    work and changes nothing.
+    """
+    count = numbers.count()
+    bits = min(max((count * 8).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+    low = numbers.select(F.col("v").bitwiseAND((1 << bits) - 1).alias("v"))
     rows = low.groupBy(F.shiftright("v", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("v").bitwiseAND(32767)).alias("bits"))
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    table = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows.collect():
         table[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(table)
+    return numbers.sparkSession.sparkContext.broadcast(table)
+
+
+def in_table(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which of the numbers have their bit in the table of :func:`bit_table`."""
+    bit = numbers & np.uint64(len(table) * 8 - 1)
+    return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -174,34 +188,38 @@ def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def repeated_windows(named: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataFrame]:
     """What to cut from ``named(n, i, r, text)``, a row for each text that loses words: marks all
     of whose windows go, (n, i, r, whole), and first words of single windows, (n, i, r, starts)."""
-    key = ["n", "i", "r"]
+    spark, key = named.sparkSession, ["n", "i", "r"]
+    folder = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}"
     place = F.struct(*key, "pos").alias("at")
     apart = (F.struct(*key) != F.struct("at.n", "at.i", "at.r")) | (F.col("pos") >= F.col("at.pos") + least)
     hashes = named.select("text").mapInArrow(_fingerprints(least), "mark long")
-    shared = hashes.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1")
-    table = bit_table(shared)
-    marks = named.mapInArrow(_places(least, table), f"n boolean, i {kind}, r long, pos long, mark long, context long")
+    shared = stored(hashes.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select(F.col("mark").alias("v")), f"{folder}/shared")
+    # Written, since texts are hashed anew each time that their marks are asked for.
+    schema = f"n boolean, i {kind}, r long, pos long, mark long, context long"
+    marks = stored(named.mapInArrow(_places(least, bit_table(shared)), schema), f"{folder}/marks")
 
-    # Marks of one context have all their windows in common with the first of them. The
-    # checkpoint takes the sum's partitioning away, so that a passage of many rows can be split.
+    # Marks of one context have all their windows in common with the first of them. Writing
+    # takes the sum's partitioning away, so that a passage of many rows can be split.
     contexts = marks.groupBy("mark", "context").agg(F.min(place).alias("at"), F.count("*").alias("c"))
-    contexts = reliable_checkpoint(contexts)
+    contexts = stored(contexts, f"{folder}/contexts")
     later = marks.join(contexts.where("c > 1").drop("c"), ["mark", "context"]).where(F.struct(*key, "pos") != F.col("at"))
     # A text has as many marks as a share of its words; rows equal in id and text have them twice.
     whole = F.collect_set(F.when(apart, F.col("pos"))).alias("whole")
     close = F.collect_set(F.when(~apart, F.struct("pos", "mark"))).alias("close")
     later = reliable_checkpoint(later.groupBy(*key).agg(whole, close))
 
-    # Where the contexts of a mark differ, runs end nearby: windows are compared one by one.
-    several = contexts.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark")
+    # Where the contexts of a mark differ, runs end nearby: windows there are compared one by one. Texts
+    # stay where they are: a table of bits tells the places, as it told the fingerprints.
+    several = stored(contexts.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"), f"{folder}/several")
     edges = contexts.select("at.*", "mark").unionByName(later.select(*key, F.explode("close").alias("m")).select(*key, "m.pos", "m.mark"))
-    edges = edges.join(reliable_checkpoint(several), "mark").groupBy(*key).agg(F.collect_set("pos").alias("marks"))
-    edges = reliable_checkpoint(edges)
-    texts = _among(named, edges, "left_semi").join(edges, key).select(*key, "text", "marks")
-    windows = texts.mapInArrow(_windows(least), f"n boolean, i {kind}, r long, pos long, w1 long, w2 long")
+    edges = stored(edges.join(several, "mark").select("r", "pos"), f"{folder}/edges")
+    listed = bit_table(edges.select(F.col("r").bitwiseXOR(F.col("pos") * _STEP).alias("v")).distinct())
+    texts = _among(named.select(*key, "text"), edges, "left_semi")
+    windows = stored(texts.mapInArrow(_windows(least, listed), f"n boolean, i {kind}, r long, pos long, w1 long, w2 long"), f"{folder}/windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = windows.join(reliable_checkpoint(earliest), ["w1", "w2"]).where(apart)
+    met = windows.join(stored(earliest, f"{folder}/earliest"), ["w1", "w2"]).where(apart)
     met = reliable_checkpoint(met.groupBy(*key).agg(F.collect_set("pos").alias("starts")))
+    remove_folder(spark, folder)
     return later.where(F.size("whole") > 0).drop("close"), met
 
 

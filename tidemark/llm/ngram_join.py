@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import broadcast_if_small, mix64, reliable_checkpoint, shuffle_partitions, slices
+from tidemark.llm.common import broadcast_if_small, giving_back, mix64, reliable_checkpoint, shuffle_partitions, slices
 from tidemark.llm.components import connected_components
 from tidemark.llm.tries import link_groups, links_between
 from tidemark.llm.words import Runs, Words, batch_words
@@ -70,7 +70,7 @@ def _describe(k: int, seed: int):
             columns = [[len(s) for s in sets], *names]
             yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], [part.schema.names[0], "n", "node", "check"])
 
-    return run
+    return giving_back(run)
 
 
 def _by_range(k: int, ranges: int, seed: int, most: int = 1 << 20, remembered: int = 200_000):
@@ -119,7 +119,7 @@ def _by_range(k: int, ranges: int, seed: int, most: int = 1 << 20, remembered: i
         if sets:
             yield pack(sets, named)
 
-    return run
+    return giving_back(run)
 
 
 _PACKED = "slot int, tokens binary, nodes binary, counts binary, sizes binary"

@@ -76,7 +76,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_lines(read(spark, sf_dir, "documents"))
-    kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN), 0), " ")
+    # Words with one space between: what separates them, replaced, and no space at the ends.
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_PATTERN.replace("^", "", 1), " "))
     removed = F.aggregate("removed_words", F.lit(0), lambda n, x: n + x["end"] - x["start"])
     spans = F.array_join(F.transform("removed_words", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return cut.select("doc_id", removed.cast("long").alias("n_removed"), spans.alias("removed"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import fold_hashes, slices
+from tidemark.llm.common import fold_hashes, giving_back, slices
 from tidemark.llm.words import batch_words, span_hashes
 
 #: A-Z lower-cased, other ASCII that is no letter or digit to a space; other bytes stay.
@@ -116,7 +116,7 @@ def _hash(bits: int):
                 at = pa.array([packed(bucket[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
                 yield pa.record_batch([part.column("key"), part.column("label"), at], ["key", "label", "at"])
 
-    return run
+    return giving_back(run)
 
 
 def _train(settings: FtrlSettings):
@@ -172,7 +172,7 @@ def _score(model, bits: int):
                 scores = 1 / (1 + np.exp(-np.clip(total, -35.0, 35.0)))
                 yield pa.record_batch([part.column(0), pa.array(scores, pa.float64())], [part.schema.names[0], "score"])
 
-    return run
+    return giving_back(run)
 
 
 def held_out(doc_id: Column) -> Column:
