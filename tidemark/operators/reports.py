@@ -184,3 +184,14 @@ def diagnose(ok: Column, http_status: Column, raw_prices: Column, clean_prices:
         .when(raw_prices == 0, F.when(raw_length > 20_000, "js_empty").otherwise("wrong_page"))
         .otherwise("wrong_page")
     )
+
+
+def summarise(facts: DataFrame, snapshots: DataFrame, changes: DataFrame, today: Column, site_up: Column, crawl_problem: Column, problems: Column) -> DataFrame:
+    """Advice with the context that is shown beside it: one row of (advice, days, milestone, changes).
+
+    ``facts`` is one row; the last three columns say of it whether the site is up, whether runs are late and how many problems there are.
+    """
+    days = days_recording(F.col("since").cast("string"), today)
+    one = facts.join(recording_since(snapshots, today), how="cross").join(changes.agg(F.count("*").alias("changes")), how="cross")
+    one = one.withColumn("days", days)
+    return one.select(advise(site_up, crawl_problem, problems, F.col("days"), F.col("changes")).alias("advice"), "days", milestone_text(F.col("days")).alias("milestone"), "changes")

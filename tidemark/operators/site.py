@@ -94,15 +94,16 @@ def compare_table(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair", F.explode(rows).alias("r")).select("pair", "r.*")
 
 
-def vendor_page(plans: DataFrame) -> DataFrame:
-    """Plans of each vendor in stored order, add-ons apart: price, basis, billing, first limits."""
+def vendor_page(plans: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Plans of each vendor in stored order, add-ons apart: price, basis, billing, first limits, and
+    ``more`` columns."""
     price, basis = plan_price(F.col("monthly_price"), F.col("annual_price_per_month"))
     shown = F.when(F.coalesce("is_custom_pricing", F.lit(False)), "contact").when(F.coalesce("is_free", F.lit(False)), "free").otherwise(basis)
     first = F.slice(F.array_sort(F.map_entries("limits")), 1, 3)
     limit = F.transform(first, lambda x: F.concat(x["key"], F.lit(" "), F.when(x["value"] == -1, "unlimited").otherwise(F.round(x["value"]).cast("bigint").cast("string"))))
     return plans.select(
         "vendor", "name", F.coalesce("is_addon", F.lit(False)).alias("addon"), price.alias("price"), shown.alias("shown"),
-        F.when(F.col("is_per_seat"), "per seat").otherwise("flat").alias("billing"), F.array_join(limit, ", ").alias("limits"),
+        F.when(F.col("is_per_seat"), "per seat").otherwise("flat").alias("billing"), F.array_join(limit, ", ").alias("limits"), *(more or []),
     )
 
 

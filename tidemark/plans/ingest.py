@@ -32,6 +32,52 @@ class IngestRun:
     pending: DataFrame
     #: Typed changes with confidence and ``publishable``.
     changes: DataFrame
+    #: (month, usd) that the extractions of the run cost.
+    spend: DataFrame
+    #: (slug, fate) of every page that was extracted: new, noise, hold, change, or confirmed without an event.
+    fates: DataFrame
+
+    def counters(self) -> DataFrame:
+        """One row: what the run did, in the counts that it reports."""
+        status, fate = F.col("status"), F.col("fate")
+        skipped = status.isin("robots_disallowed")
+        checks = self.outcomes.agg(
+            F.count("*").alias("checked"),
+            F.count_if(status == "same").alias("unchanged"),
+            F.count_if(skipped).alias("skipped_robots"),
+            F.count_if(status.isin("error", "not_a_pricing_page", "extraction_error")).alias("failed"),
+            F.count_if(status == "over_budget").alias("over_budget"),
+        )
+        read = self.fates.agg(
+            F.count("*").alias("extracted"), F.count_if(fate.isin("noise", "confirmed")).alias("noisy"), F.count_if(fate == "hold").alias("awaiting")
+        )
+        routed = self.changes.agg(F.count_if("publishable").alias("changes"), F.count_if(~F.col("publishable")).alias("queued"))
+        # Single rows: the products hold one row each.
+        return checks.join(read, how="cross").join(routed, how="cross")
+
+
+#: What is known of a page from run to run.
+STATE = "slug string, status string, hash string, last_checked date, consecutive_failures int, hash_changes int"
+
+
+def state_after(state: DataFrame, run: IngestRun, day: str) -> DataFrame:
+    """The state with what a run found: a hash is kept until its page was read, failures count up to the
+    next page that came, and a moved hash counts once. Pages that the run did not see stay as they are."""
+    moved = run.snapshots.select("slug", F.lit(1).alias("_moved"))
+    old = state.select("slug", *(F.col(c).alias(f"_{c}") for c in ("hash", "last_checked", "consecutive_failures", "hash_changes")))
+    known = run.outcomes.join(old, "slug", "left").join(moved, "slug", "left")
+    number = lambda c: F.coalesce(c, F.lit(0))
+    status = F.col("status")
+    seen = known.select(
+        "slug",
+        "status",
+        F.when(status.isin("ok", "same"), F.col("hash")).otherwise(F.col("_hash")).alias("hash"),
+        F.when(status.isin("ok", "same", "over_budget", "extraction_error"), F.lit(day).cast("date")).otherwise(F.col("_last_checked")).alias("last_checked"),
+        F.when(status == "error", number("_consecutive_failures") + 1).when(status == "robots_disallowed", number("_consecutive_failures")).otherwise(0).alias("consecutive_failures"),
+        (number("_hash_changes") + number("_moved")).cast("int").alias("hash_changes"),
+    )
+    rest = state.join(run.outcomes.select("slug"), "slug", "left_anti")
+    return seen.unionByName(rest.select(*seen.columns))
 
 
 def flat_plans(records: DataFrame) -> DataFrame:
@@ -105,10 +151,17 @@ def ingest(
     done = read.select("slug", F.when(F.col("record").isNull(), "extraction_error").otherwise("ok").alias("_read"))
     outcome = F.when(F.col("outcome") != "read", F.col("outcome")).otherwise(F.coalesce("_read", F.lit("over_budget")))
     outcomes = judged.join(done, "slug", "left").select("slug", outcome.alias("status"), "hash")
+    charged = costed.join(paid.select("slug", "pos"), ["slug", "pos"], "left_semi")
+    spend = charged.groupBy(F.date_format(F.lit(day).cast("date"), "yyyy-MM").alias("month")).agg(F.round(F.sum("cost"), 6).alias("usd"))
+    told = changes.select(F.col("vendor").alias("slug"), F.lit(True).alias("_told")).distinct()
+    fates = compared.select("slug", "fate").join(told, "slug", "left")
+    fates = fates.select("slug", F.when((F.col("fate") == "change") & F.col("_told").isNull(), "confirmed").otherwise(F.col("fate")).alias("fate"))
     return IngestRun(
         outcomes,
         snapshots,
         baseline.select("slug", "record").join(fresh.select("slug"), "slug", "left_anti").unionByName(fresh),
         pending.select("slug", "record").join(settled.unionByName(held.select("slug")), "slug", "left_anti").unionByName(held),
         changes,
+        spend,
+        fates,
     )

@@ -99,17 +99,17 @@ def digest_markdown(digest: DataFrame, days: int) -> str:
     return head + "".join(f"- {r['category']}: {r['changes']} changes at {r['vendors']} vendors\n" for r in rows)
 
 
-def index_rows(heads: DataFrame) -> DataFrame:
-    """Cells of the index: entry and top price, free tier and billing of each vendor."""
+def index_rows(heads: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Cells of the index: entry and top price, free tier and billing of each vendor, and ``more`` columns."""
     entry = F.when(F.col("entry_price").isNull(), "on request").otherwise(money(F.col("currency"), F.col("entry_price")))
     return heads.select(
         "category", "name", entry.alias("entry"), money(F.col("currency"), F.col("top_price")).alias("top"),
-        F.when(F.col("has_free"), "yes").otherwise("no").alias("free_tier"), F.when(F.col("per_seat"), "per seat").otherwise("flat").alias("billing"),
+        F.when(F.col("has_free"), "yes").otherwise("no").alias("free_tier"), F.when(F.col("per_seat"), "per seat").otherwise("flat").alias("billing"), *(more or []),
     )
 
 
-def change_rows(changes: DataFrame, currencies: DataFrame | None = None, keys: tuple[str, ...] = ("vendor",)) -> DataFrame:
-    """Cells of the change list: day, the keys, kind of change and phrase; amounts in the currency
+def change_rows(changes: DataFrame, currencies: DataFrame | None = None, keys: tuple[str, ...] = ("vendor",), more: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of the change list: day, the keys, ``more`` columns, kind of change and phrase; amounts in the currency
     that ``currencies`` has for the keys, or else in USD."""
     if currencies is None:
         changes = changes.withColumn("_currency", F.lit("USD"))
@@ -119,4 +119,4 @@ def change_rows(changes: DataFrame, currencies: DataFrame | None = None, keys: t
     show = lambda n, t: F.coalesce(money(code, F.col(n)), F.col(t))
     value = lambda side: F.when(F.col(f"{side}_num").isNotNull(), show(f"{side}_num", f"{side}_text")).otherwise(F.col(f"{side}_text"))
     phrase = event_phrase(F.col("change_type"), F.col("plan"), value("old"), value("new"))
-    return changes.select(pretty_date(F.col("detected_at").cast("string")).alias("day"), *keys, "change_type", html_escape(phrase).alias("phrase"))
+    return changes.select(pretty_date(F.col("detected_at").cast("string")).alias("day"), *keys, *more, "change_type", html_escape(phrase).alias("phrase"))

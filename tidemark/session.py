@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,41 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store holds it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of whatever store holds it, in order; none where it is missing."""
+    path, files = _path(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    place, files = _path(spark, path)
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
+    """A small file, moved to its name when it is whole, so that nobody reads half of it."""
+    place, files = _path(spark, path)
+    if files.exists(place):
+        if not replace:
+            raise FileExistsError(path)
+        files.delete(place, False)
+    new = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(new, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not files.rename(new, place):
+        raise OSError(f"{path} could not be put in place")

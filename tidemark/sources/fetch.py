@@ -46,6 +46,22 @@ def wait_seconds(header: str | None, attempt: int, now: float) -> float:
     return min(MOST_WAIT, max(0.0, asked))
 
 
+def web_fetcher(agent: str = "tidemark", timeout: float = 20.0) -> Fetcher:
+    """A fetcher over the network. Answers are read as UTF-8, or as their header says."""
+
+    def get(url: str) -> tuple[int, str | None, str | None]:
+        from urllib.error import HTTPError
+        from urllib.request import Request, urlopen
+
+        try:
+            with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:
+                return answer.status, answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace"), None
+        except HTTPError as refused:
+            return refused.code, None, refused.headers.get("Retry-After")
+
+    return get
+
+
 def ask(url: str, fetcher: Fetcher) -> tuple[int, str | None, str | None, str | None]:
     """(status, html, Retry-After, error) of one request."""
     try:
