@@ -8,6 +8,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,30 +74,49 @@ def load_model(path: str):
 class ByteBpe:
     """Encoder around a byte-level vocabulary file of the tokenizers library.
 
-    The pattern splits a text first; each piece is encoded by the library once and kept
-    in a table of ``limit`` pieces at most, since most pieces repeat.
+    The pattern splits a text first; each piece is encoded by the library once and kept, by its
+    number, in a table of ``limit`` pieces at most, since most pieces repeat. A batch's pieces are looked up as
+    numbers, and their ids gathered at once.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 200_000):
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
         self.model = load_model(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.numbers: dict[str, int] = {}
         self.limit = limit
+        #: Ids of all pieces one after another, and where each piece's begin; there is one begin more than pieces.
+        self.ids, self.begins = np.empty(0, np.int32), np.zeros(1, np.int64)
         self.lengths = np.array([len(b) for b in known_table(path)], np.int64)
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of the pieces that the table lacks; they enter it while there is room."""
-        new = list({p for p in pieces if p not in self.known})
-        fresh = dict(zip(new, (tuple(e.ids) for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(self.known) + len(fresh) <= self.limit:
-            self.known.update(fresh)
-            return self.known
-        return fresh | {p: self.known[p] for p in set(pieces) if p in self.known}
+    def _learn(self, new: list[str]) -> None:
+        """Number the pieces and add their encodings."""
+        # As words of one sequence, the pieces are encoded apart but come back together.
+        found = self.model.encode(new, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.ids = np.concatenate((self.ids, np.array(found.ids, np.int32)))
+        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
+
+    def _forget(self, pieces: list[str]) -> None:
+        for piece in pieces:
+            del self.numbers[piece]
+        self.begins = self.begins[: len(self.numbers) + 1]
+        self.ids = self.ids[: self.begins[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split(t) for t in texts]
-        table = self._learn([p for pieces in split for p in pieces])
-        return [np.array([i for p in pieces for i in table[p]], np.int32) for pieces in split]
+        pieces = list(chain.from_iterable(split))
+        new = list(set(pieces).difference(self.numbers))
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        begins, sizes = self.begins[at], np.diff(self.begins)[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        if len(self.numbers) > self.limit:
+            self._forget(new)
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def offsets(self, ids: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Code-point start and end of each token; tokens that share a split character overlap in it."""
