@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def confirm_changes(readings: DataFrame, key: str, seq: str, print_col: str) ->
     return before.where("_old <> _print").select(key, "seq", F.col("_old").alias("old_print"), F.col("_print").alias("new_print"))
 
 
-def budget_cutoff(costs: DataFrame, run: str, order: str, cost: str, budget: float = RUN_BUDGET_USD, block: int = 10_000) -> DataFrame:
+def budget_cutoff(costs: DataFrame, run: str, order: str, cost: str, budget: float | Decimal = RUN_BUDGET_USD, block: int = 10_000) -> DataFrame:
     """Rows of each run before the first that would exceed its budget, with the sum so far.
 
     ``order`` is a whole number. Sums of blocks of ``block`` places come first and only they

@@ -92,10 +92,19 @@ def flat_plans(records: DataFrame) -> DataFrame:
     )
 
 
-def _readings(records: DataFrame) -> DataFrame:
+def reading_of(records: DataFrame) -> DataFrame:
     return records.select(F.col("slug").alias("vendor"), "record.currency", "record.pricing_is_public", "record.extraction_notes")
 
 
+def daily_changes(records: DataFrame) -> DataFrame:
+    """Changes between the records ``(slug, n, record)`` of each number and the one before: (slug, n, and what
+    :func:`diff_readings` says)."""
+    side = lambda add: records.select(F.struct("slug", (F.col("n") + add).alias("n")).alias("slug"), "record")
+    old, new = side(1), side(0)
+    changes = diff_readings(flat_plans(old), flat_plans(new), reading_of(old), reading_of(new))
+    return changes.select("vendor.slug", "vendor.n", *(c for c in changes.columns if c != "vendor"))
+
+
 def ingest(
     pages: DataFrame,
     state: DataFrame,
@@ -145,7 +154,7 @@ def ingest(
     fresh = compared.where("fate IN ('new', 'change')").select("slug", "record")
     changed = compared.where("fate = 'change'")
     old, new = changed.select("slug", F.col("_base").alias("record")), changed.select("slug", "record")
-    changes = diff_readings(flat_plans(old), flat_plans(new), _readings(old), _readings(new))
+    changes = diff_readings(flat_plans(old), flat_plans(new), reading_of(old), reading_of(new))
     settled = compared.where("fate <> 'hold'").select("slug")
     held = compared.where("fate = 'hold'").select("slug", "record")
     done = read.select("slug", F.when(F.col("record").isNull(), "extraction_error").otherwise("ok").alias("_read"))

@@ -10,14 +10,16 @@ from tidemark.operators import gate, reports, site
 from tidemark.operators.extract import extract_records
 from tidemark.operators.html import clean_pages
 from tidemark.operators.ranks import places
+from tidemark.operators.asof import latest_before
 from tidemark.plans import render
 from tidemark.plans import views as V
-from tidemark.plans.ingest import ingest
+from tidemark.plans.ingest import daily_changes, ingest
 from tidemark.plans.queries import _HASHES, NOW, _all_events, query
 from tidemark.plans.queries import _EVENTS as EVENTS
 from tidemark.plans.queries import _PAIRS, _pairs
 from tidemark.plans.queries import _hashes as hashes
 from tidemark.session import reliable_checkpoint
+from tidemark.sources import registry
 from tidemark.sources.logs import json_or_default
 
 _DIGITS = r"regexp_replace(regexp_replace(format('{{:,.2f}}', {x}), '0+$', ''), '\.$', '')"
@@ -223,3 +225,45 @@ def ingest_run(spark, sf_dir):
     one = lambda rows, name: rows.select("slug", F.lit(True).alias(name))
     out = run.outcomes.select("slug", "status").join(changes, "slug", "left").join(one(run.confirmed, "confirmed"), "slug", "left").join(one(run.pending, "held"), "slug", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("confirmed", "held")})
+
+
+@query("""WITH r AS (SELECT o_custkey AS vendor, o_orderdate::DATE AS day, max(struct_pack(base_order := o_orderkey, base_price := o_totalprice)) AS found FROM orders GROUP BY ALL)
+  SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey AS vendor, l.l_shipdate::DATE::VARCHAR AS day, r.found.base_order::VARCHAR AS base_order, r.found.base_price AS base_price
+  FROM (SELECT *, l_shipdate::DATE AS at FROM lineitem) l ASOF LEFT JOIN r ON r.vendor = l.l_suppkey AND l.at > r.day""")
+def baseline_as_of(spark, sf_dir):
+    """Each reading of a vendor with the latest record that was confirmed before it."""
+    readings = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("vendor"), F.to_date("l_shipdate").alias("day"))
+    records = V.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("vendor"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("base_order"), F.col("o_totalprice").alias("base_price")
+    )
+    found = latest_before(readings, records, "vendor", "day", ["base_order", "base_price"])
+    return found.withColumns({c: F.col(c).cast("string") for c in ("day", "base_order")})
+
+
+#: Days of the made-up history below.
+_DAYS = 40
+
+
+@query(f"""WITH drawn AS (
+    SELECT s_suppkey AS v, n, (s_suppkey * 7919 + n * 104729 + s_suppkey * n * 31 + 611 * 7) % 1000 AS d FROM supplier, unnest(range({_DAYS})) t(n)),
+  walk AS (SELECT v, n, 20 + v % 60 + sum(CASE WHEN n > 0 AND d < 60 THEN 1 + d % 4 WHEN n > 0 AND d < 90 THEN -1 ELSE 0 END) OVER w AS units,
+      5 + sum(CASE WHEN n > 0 AND d >= 90 AND d < 110 THEN 5 ELSE 0 END) OVER w AS seats,
+      sum(CASE WHEN n > 0 AND d >= 110 AND d < 125 THEN 1 ELSE 0 END) OVER w % 2 = 1 AS export
+    FROM drawn WINDOW w AS (PARTITION BY v ORDER BY n)),
+  pairs AS (SELECT *, lag(units) OVER w AS u, lag(seats) OVER w AS s, lag(export) OVER w AS e FROM walk WINDOW w AS (PARTITION BY v ORDER BY n)),
+  steps AS (SELECT *, x, round(u * x * 0.8::DOUBLE, 2) AS ua, round(units * x * 0.8::DOUBLE, 2) AS na FROM pairs, unnest([1, 2, 3]) t(x) WHERE n > 0),
+  events AS (
+    SELECT v, n, x, CASE WHEN units > u THEN 'price_increase' ELSE 'price_decrease' END AS change_type, 'monthly_price' AS field, u * x::DOUBLE AS old_num, units * x::DOUBLE AS new_num,
+      NULL::VARCHAR AS old_text, NULL::VARCHAR AS new_text FROM steps WHERE units <> u AND abs((units - u) / u::DOUBLE * 100) >= 1
+    UNION ALL SELECT v, n, x, CASE WHEN units > u THEN 'price_increase' ELSE 'price_decrease' END, 'annual_price_per_month', ua, na, NULL, NULL FROM steps WHERE ua <> na AND abs((na - ua) / ua * 100) >= 1
+    UNION ALL SELECT v, n, x, 'limit_changed', 'seats', s * x::DOUBLE, seats * x::DOUBLE, NULL, NULL FROM steps WHERE s <> seats
+    UNION ALL SELECT v, n, x, 'feature_added', 'features', NULL, NULL, NULL, 'export' FROM steps WHERE export AND NOT e
+    UNION ALL SELECT v, n, x, 'feature_moved_out', 'features', NULL, NULL, 'export', NULL FROM steps WHERE e AND NOT export)
+  SELECT 'supplier-' || v AS slug, (DATE '2024-01-01' + n::INTEGER)::DATE::VARCHAR AS day, 'step' || x AS key, change_type, field, old_num, new_num, old_text, new_text FROM events""")
+def made_up_history(spark, sf_dir):
+    """What the made-up records of the suppliers, compared day by day, say has changed."""
+    vendors = V.table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_suppkey").alias("number"))
+    walk = registry.made_up_walk(vendors, _DAYS)
+    days = walk.select("slug", "n", F.col("day").cast("string").alias("day"))
+    changes = daily_changes(reliable_checkpoint(registry.walk_records(walk))).join(days, ["slug", "n"])
+    return changes.select("slug", "day", "key", "change_type", "field", "old_num", "new_num", "old_text", "new_text")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import host_of, hrefs, slugify
+from tidemark.operators.diff import MIN_PERCENT
 from tidemark.operators.records import RECORD
 from tidemark.session import remove_folder, shared_folder, stored
 from tidemark.sources.fetch import CRAWL_DELAY, Fetcher, fetch_pages
@@ -173,6 +174,78 @@ def patched_registry(text: str, found: list[tuple[str, str]]) -> str:
     return re.sub(r"(?m)^(\s*(?:-\s+)?pricing_url:\s*[\"']?)([^\s\"'#]+)", lambda m: m[1] + moved.get(m[2], m[2]), text)
 
 
+#: The odds of a day's events, in thousandths, and what makes the numbers of a walk.
+_UP, _DOWN, _SEATS, _EXPORT, _OF = 60, 90, 110, 125, 1000
+_WALK = (7919, 104729, 31, 611)
+
+
+def made_up_walk(vendors: DataFrame, days: int, seed: int = 7) -> DataFrame:
+    """(slug, number, n, day, units, seats, export) of made-up vendors ``(slug, number)``, on ``days`` days each.
+
+    A walk from which snapshots, records and changes all follow: on a few days the price of a unit goes up or
+    down, the seats of a plan grow, or an export comes or goes. Each day's event follows from the vendor's
+    number, the day and the seed alone; what holds on a day is the sum of the events up to it.
+    """
+    a, b, c, d = _WALK
+    daily = vendors.select("slug", F.col("number").cast("long").alias("number"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("n"))
+    drawn = F.pmod(F.col("number") * a + F.col("n") * b + F.col("number") * F.col("n") * c + seed * d, F.lit(_OF))
+    on = F.col("n") > 0
+    moved = F.when(on & (drawn < _UP), 1 + drawn % 4).when(on & (drawn < _DOWN), -1).otherwise(0)
+    line = Window.partitionBy("slug", "number").orderBy("n")
+    total = lambda x: F.sum(x.cast("long")).over(line)
+    return daily.select(
+        "slug", "number", "n", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"),
+        (20 + F.pmod("number", F.lit(60)) + total(moved)).alias("units"),
+        (5 + total(F.when(on & (drawn >= _DOWN) & (drawn < _SEATS), 5).otherwise(0))).alias("seats"),
+        (total(F.when(on & (drawn >= _SEATS) & (drawn < _EXPORT), 1).otherwise(0)) % 2 == 1).alias("export"),
+    )
+
+
+def walk_records(walk: DataFrame, steps: int = 3) -> DataFrame:
+    """(slug, day, n, record, demo) on each day of a walk: a ladder of ``steps`` plans."""
+    plan = lambda x: F.struct(
+        F.concat(F.lit("Step "), x.cast("string")).alias("name"), F.concat(F.lit("step"), x.cast("string")).alias("key"), (F.col("units") * x).cast("double").alias("monthly_price"),
+        F.round(F.col("units") * x * 0.8, 2).alias("annual_price_per_month"), F.lit(False).alias("is_free"), F.lit(False).alias("is_custom_pricing"),
+        (F.col("number") % 2 == 0).alias("is_per_seat"), F.lit(False).alias("is_addon"), F.lit(None).cast("int").alias("min_seats"), F.lit(14).alias("trial_days"),
+        F.array(F.struct(F.lit("seats").alias("metric"), (x * F.col("seats")).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))).alias("limits"),
+        F.when(F.col("export"), F.array(F.lit("export"), F.lit("support"))).otherwise(F.array(F.lit("support"))).alias("features"),
+    )
+    record = F.struct(F.lit("USD").alias("currency"), F.lit(True).alias("pricing_is_public"), F.lit("").alias("extraction_notes"), F.transform(F.sequence(F.lit(1), F.lit(steps)), plan).alias("plans"))
+    return walk.select("slug", "day", "n", record.cast(RECORD).alias("record"), F.lit(True).alias("demo"))
+
+
+def walk_snapshots(walk: DataFrame, steps: int = 3) -> DataFrame:
+    """(slug, day, text) on each day of a walk: what the extractor reads the day's plans from."""
+    plan = lambda x: F.concat_ws(
+        "\n", F.concat(F.lit("Step "), x.cast("string")), F.concat(F.lit("$"), (F.col("units") * x).cast("string"), F.lit(" per month")),
+        F.concat((F.col("seats") * x).cast("string"), F.lit(" seats")), F.lit("Support"), F.when(F.col("export"), "Export"),
+    )
+    text = F.concat(F.lit("Pricing plans\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(steps)), plan), "\n"), F.lit("\nbilled monthly"))
+    return walk.select("slug", "day", text.alias("text"))
+
+
+def walk_changes(walk: DataFrame, steps: int = 3) -> DataFrame:
+    """(slug, day, key, change_type, field, old_num, new_num, old_text, new_text) of each day of a walk
+    against the day before, from its numbers alone; moves below one per cent are no changes."""
+    line = Window.partitionBy("slug", "number").orderBy("n")
+    before = walk.withColumns({f"_{c}": F.lag(c).over(line) for c in ("units", "seats", "export")}).where("n > 0")
+    rung = before.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    nothing, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    x, old, new = F.col("x"), F.col("_units"), F.col("units")
+    event = lambda when, kind, field, a=nothing, b=nothing, was=text, now=text: F.when(
+        when, F.struct(kind.alias("change_type"), F.lit(field).alias("field"), a.cast("double").alias("old_num"), b.cast("double").alias("new_num"), was.alias("old_text"), now.alias("new_text"))
+    )
+    kind = F.when(new > old, "price_increase").otherwise("price_decrease")
+    prices = {"monthly_price": lambda u: (u * x).cast("double"), "annual_price_per_month": lambda u: F.round(u * x * 0.8, 2)}
+    far = lambda a, b: (a != b) & (F.abs((b - a) / a * 100) >= MIN_PERCENT)
+    events = [event(far(p(old), p(new)), kind, field, p(old), p(new)) for field, p in prices.items()]
+    events.append(event(F.col("_seats") != F.col("seats"), F.lit("limit_changed"), "seats", F.col("_seats") * x, F.col("seats") * x))
+    events.append(event(~F.col("_export") & F.col("export"), F.lit("feature_added"), "features", now=F.lit("export")))
+    events.append(event(F.col("_export") & ~F.col("export"), F.lit("feature_moved_out"), "features", was=F.lit("export")))
+    listed = rung.select("slug", "day", F.concat(F.lit("step"), x.cast("string")).alias("key"), F.explode(F.array_compact(F.array(*events))).alias("e"))
+    return listed.select("slug", "day", "key", "e.*")
+
+
 def made_up_snapshots(spark: SparkSession, vendors: int, days: int, seed: int = 7) -> DataFrame:
     """(slug, day, text) of made-up price pages; a vendor's price moves about every tenth day."""
     at = spark.range(vendors * days).select((F.col("id") / days).cast("long").alias("vendor"), (F.col("id") % days).cast("int").alias("n"))
