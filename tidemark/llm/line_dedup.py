@@ -157,11 +157,11 @@ def _cut(least: int):
 def bit_table(numbers: DataFrame) -> Broadcast:
     """A bit for each of ``numbers(v long)`` by its last bits; others may share it, none is left out.
 
-    The table has some eight bits a number, within bounds: beyond them more numbers share a bit, which costs
+    The table has 32 bits a number or more, within bounds: beyond them more numbers share a bit, which costs
     work and changes nothing.
     """
     count = numbers.count()
-    bits = min(max((count * 8).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+    bits = min(max((count * 32).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
     low = numbers.select(F.col("v").bitwiseAND((1 << bits) - 1).alias("v"))
     rows = low.groupBy(F.shiftright("v", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("v").bitwiseAND(32767)).alias("bits"))
     table = np.zeros(1 << (bits - 3), np.uint8)
