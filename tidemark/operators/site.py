@@ -119,6 +119,12 @@ def category_page(vendors: DataFrame, plans: DataFrame, changes: DataFrame) -> D
     return rows.withColumn("changes", F.coalesce("changes", F.lit(0)))
 
 
+def category_header(benchmark: DataFrame) -> DataFrame:
+    """The line above a category's vendors: how many there are, their median entry price, how many in
+    other currencies it leaves out, and the share with a free plan."""
+    return benchmark.select("category", "vendors", money(F.col("currency"), F.col("median_entry")).alias("median"), "excluded", F.round("pct_free").cast("int").alias("pct_free"))
+
+
 def status_page(state: DataFrame, hash_changes: DataFrame) -> DataFrame:
     labels = F.create_map(*(F.lit(x) for pair in STATUS_LABELS.items() for x in pair))
     joined = state.join(hash_changes, "slug", "left")

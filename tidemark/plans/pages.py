@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import gate, reports, site
+from tidemark.operators import benchmarks, gate, history, reports, site
 from tidemark.operators.extract import extract_records
 from tidemark.operators.html import clean_pages
 from tidemark.operators.ranks import places
@@ -14,13 +16,14 @@ from tidemark.operators.asof import latest_before
 from tidemark.plans import render
 from tidemark.plans import views as V
 from tidemark.plans.ingest import daily_changes, ingest
-from tidemark.plans.queries import _HASHES, NOW, _all_events, query
+from tidemark.plans.queries import _HASHES, NOW, ORACLES, TODAY, _all_events, query
 from tidemark.plans.queries import _EVENTS as EVENTS
 from tidemark.plans.queries import _PAIRS, _pairs
 from tidemark.plans.queries import _hashes as hashes
-from tidemark.session import reliable_checkpoint
+from tidemark.session import reliable_checkpoint, shared_folder
 from tidemark.sources import registry
-from tidemark.sources.logs import json_or_default
+from tidemark.sources.logs import json_or_default, read_records
+from tidemark.sources.site_files import write_records
 
 _DIGITS = r"regexp_replace(regexp_replace(format('{{:,.2f}}', {x}), '0+$', ''), '\.$', '')"
 _AMOUNT = "CASE WHEN {x} IS NULL THEN '—' ELSE CASE currency WHEN 'GBP' THEN '£' ELSE '$' END || " + _DIGITS + " END"
@@ -195,17 +198,8 @@ def _price_page(price):
 _BUDGET = 0.2
 
 
-@query(f"""WITH p AS (
-    SELECT s_suppkey AS k, 10 + s_suppkey % 50 AS price, 10 + s_suppkey % 50 + CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE 0 END AS old FROM supplier),
-  gated AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'robots_disallowed' WHEN k % 11 = 0 THEN 'error' WHEN k % 7 = 0 THEN 'not_a_pricing_page'
-    WHEN k % 4 = 0 AND k % 6 <> 0 THEN 'same' ELSE 'read' END AS gate FROM p),
-  spent AS (SELECT *, sum(CASE WHEN gate = 'read' THEN length('Pricing' || 'Pro' || '$' || price || ' per month' || '1. {_REASONS}' || '2. {_REASONS}') + 4 ELSE 0 END / 4.0::DOUBLE / 1e6
-    + CASE WHEN gate = 'read' THEN 900 / 1e6 * 5.0::DOUBLE ELSE 0 END) OVER (ORDER BY k) AS spent FROM gated),
-  run AS (SELECT *, CASE WHEN gate <> 'read' THEN gate WHEN spent <= {_BUDGET}::DOUBLE THEN 'ok' ELSE 'over_budget' END AS status FROM spent)
-  SELECT 's' || k AS slug, status, CASE WHEN status = 'ok' AND k % 5 <> 0 AND k % 6 = 0 THEN old::DOUBLE END AS old_price,
-    CASE WHEN status = 'ok' AND k % 5 <> 0 AND k % 6 = 0 THEN price::DOUBLE END AS new_price,
-    (k % 5 <> 0 OR status = 'ok') AS confirmed, CASE WHEN status = 'ok' THEN k % 5 <> 0 AND k % 3 = 0 AND k % 6 <> 0 ELSE k % 6 = 0 END AS held FROM run""")
-def ingest_run(spark, sf_dir):
+def _supplier_run(spark, sf_dir):
+    """A run over a page of each supplier, some of them held, unchanged, blocked or broken."""
     k = F.col("s_suppkey")
     price = 10 + k % 50
     known = V.table(spark, sf_dir, "supplier").select(
@@ -220,7 +214,23 @@ def ingest_run(spark, sf_dir):
     record = lambda rows: reliable_checkpoint(extract_records(reliable_checkpoint(clean_pages(rows).select("slug", "text"))).select("slug", "record"))
     baseline = record(known.where(F.col("pos") % 5 != 0).select("slug", "url", F.col("old").alias("html")))
     pending = record(known.where(F.col("pos") % 6 == 0).select("slug", "url", _price_page(10 + F.col("pos") % 50).alias("html")))
-    run = ingest(pages, state, baseline, pending, "2024-01-31", _BUDGET)
+    return ingest(pages, state, baseline, pending, "2024-01-31", _BUDGET)
+
+
+_RUN = f"""p AS (
+    SELECT s_suppkey AS k, 10 + s_suppkey % 50 AS price, 10 + s_suppkey % 50 + CASE WHEN s_suppkey % 3 = 0 THEN 5 ELSE 0 END AS old FROM supplier),
+  gated AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'robots_disallowed' WHEN k % 11 = 0 THEN 'error' WHEN k % 7 = 0 THEN 'not_a_pricing_page'
+    WHEN k % 4 = 0 AND k % 6 <> 0 THEN 'same' ELSE 'read' END AS gate FROM p),
+  spent AS (SELECT *, sum(CASE WHEN gate = 'read' THEN length('Pricing' || 'Pro' || '$' || price || ' per month' || '1. {_REASONS}' || '2. {_REASONS}') + 4 ELSE 0 END / 4.0::DOUBLE / 1e6
+    + CASE WHEN gate = 'read' THEN 900 / 1e6 * 5.0::DOUBLE ELSE 0 END) OVER (ORDER BY k) AS spent FROM gated),
+  run AS (SELECT *, CASE WHEN gate <> 'read' THEN gate WHEN spent <= {_BUDGET}::DOUBLE THEN 'ok' ELSE 'over_budget' END AS status FROM spent)"""
+
+
+@query(f"""WITH {_RUN} SELECT 's' || k AS slug, status, CASE WHEN status = 'ok' AND k % 5 <> 0 AND k % 6 = 0 THEN old::DOUBLE END AS old_price,
+    CASE WHEN status = 'ok' AND k % 5 <> 0 AND k % 6 = 0 THEN price::DOUBLE END AS new_price,
+    (k % 5 <> 0 OR status = 'ok') AS confirmed, CASE WHEN status = 'ok' THEN k % 5 <> 0 AND k % 3 = 0 AND k % 6 <> 0 ELSE k % 6 = 0 END AS held FROM run""")
+def ingest_run(spark, sf_dir):
+    run = _supplier_run(spark, sf_dir)
     changes = run.changes.select(F.col("vendor").alias("slug"), F.col("old_num").alias("old_price"), F.col("new_num").alias("new_price"))
     one = lambda rows, name: rows.select("slug", F.lit(True).alias(name))
     out = run.outcomes.select("slug", "status").join(changes, "slug", "left").join(one(run.confirmed, "confirmed"), "slug", "left").join(one(run.pending, "held"), "slug", "left")
@@ -267,3 +277,54 @@ def made_up_history(spark, sf_dir):
     days = walk.select("slug", "n", F.col("day").cast("string").alias("day"))
     changes = daily_changes(reliable_checkpoint(registry.walk_records(walk))).join(days, ["slug", "n"])
     return changes.select("slug", "day", "key", "change_type", "field", "old_num", "new_num", "old_text", "new_text")
+
+
+@query(f"""WITH {_RUN} SELECT count(*) AS checked, count(*) FILTER (status = 'same') AS unchanged, count(*) FILTER (status = 'robots_disallowed') AS skipped_robots,
+  count(*) FILTER (status IN ('error', 'not_a_pricing_page')) AS failed, count(*) FILTER (status = 'over_budget') AS over_budget, count(*) FILTER (status = 'ok') AS extracted,
+  count(*) FILTER (status = 'ok' AND k % 5 <> 0 AND k % 3 <> 0) AS noisy, count(*) FILTER (status = 'ok' AND k % 5 <> 0 AND k % 3 = 0 AND k % 6 <> 0) AS awaiting,
+  count(*) FILTER (status = 'ok' AND k % 5 <> 0 AND k % 6 = 0) AS changes, 0::BIGINT AS queued FROM run""")
+def run_counters(spark, sf_dir):
+    """What a run reports of itself."""
+    return _supplier_run(spark, sf_dir).counters()
+
+
+@query(f"""WITH {_PAIRS}, d AS (SELECT vendor, max(detected_at)::DATE AS day FROM changes_v GROUP BY vendor)
+  SELECT pair, coalesce(greatest(a.day, b.day), DATE '2024-01-01')::VARCHAR AS lastmod FROM pairs_v LEFT JOIN d a ON a.vendor = vendor_a LEFT JOIN d b ON b.vendor = vendor_b""")
+def pair_lastmod(spark, sf_dir):
+    """When a comparison was last changed: with the newest change of either vendor."""
+    latest = history.latest_change(V.changes(spark, sf_dir))
+    return history.pair_lastmod(_pairs(spark, sf_dir), latest, F.lit("2024-01-01").cast("date")).withColumn("lastmod", F.col("lastmod").cast("string"))
+
+
+@query(f"""WITH b AS ({ORACLES['category_benchmark']}) SELECT category, vendors, {_AMOUNT.format(x='median_entry')} AS median, excluded, round(pct_free)::INTEGER AS pct_free FROM b""")
+def category_header(spark, sf_dir):
+    """What stands above a category's vendors."""
+    return site.category_header(benchmarks.category_benchmark(V.heads(spark, sf_dir)))
+
+
+@query(f"""WITH {V.READINGS}, {V.PLANS}, {V.CURRENT} SELECT 'vendor-' || c.vendor AS slug, any_value(r.currency) AS currency, count(*) AS plans, round(sum(c.monthly_price), 2) AS total, true AS readable
+  FROM current_v c JOIN readings_v r ON r.vendor = c.vendor AND r.year = c.year GROUP BY c.vendor""")
+def record_files(spark, sf_dir):
+    """Records written as a JSON file each, published by a manifest, and scanned again."""
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    own = V.newest(V.plans(spark, sf_dir)).join(V.readings(spark, sf_dir).select("vendor", "year", "currency"), ["vendor", "year"])
+    plan = F.struct("name", "key", "monthly_price")
+    record = F.struct(F.first("currency").alias("currency"), F.collect_list(plan).alias("plans"))
+    records = own.groupBy("vendor").agg(record.alias("record")).select(F.concat(F.lit("vendor-"), F.col("vendor").cast("string")).alias("slug"), "record")
+    root = write_records(records, folder)
+    read = read_records(spark, root, "currency string, plans array<struct<name: string, key: string, monthly_price: double>>")
+    total = F.round(F.aggregate("record.plans", F.lit(0.0), lambda t, p: t + p["monthly_price"]), 2)
+    return read.select("slug", "record.currency", F.size("record.plans").cast("long").alias("plans"), total.alias("total"), "readable")
+
+
+@query(f"""WITH {V.STATE}, {V.CHANGES}, {V.SNAPSHOTS}, f AS (
+    SELECT (SELECT count(*) FROM state_v WHERE status <> 'ok') AS problems, (SELECT count(*) FROM changes_v) AS changes, (SELECT min(day) FROM snap_v) AS since, DATE '{TODAY}' AS today),
+  d AS (SELECT *, date_diff('day', since, today) AS days FROM f)
+  SELECT CASE WHEN problems > 0 THEN 'clear problems' WHEN days < 7 THEN 'wait' WHEN changes = 0 AND days >= 21 THEN 'widen' WHEN changes = 0 THEN 'keep waiting'
+    WHEN days < 30 THEN 'tell one person' ELSE 'check who came' END AS advice, days::INTEGER AS days,
+    CASE WHEN days < 7 THEN (7 - days) || ' days to 7' WHEN days < 30 THEN (30 - days) || ' days to 30' WHEN days < 90 THEN (90 - days) || ' days to 90'
+      WHEN days < 365 THEN (365 - days) || ' days to 365' ELSE 'past every milestone' END AS milestone, changes FROM d""")
+def summary(spark, sf_dir):
+    """What to do next, with what is shown beside it."""
+    problems = reports.failing_vendors(V.state(spark, sf_dir)).agg(F.count("*").alias("problems"))
+    return reports.summarise(problems, V.snapshots(spark, sf_dir), V.changes(spark, sf_dir), F.lit(TODAY).cast("date"), F.lit(True), F.lit(False), F.col("problems"))

@@ -129,3 +129,12 @@ def site_files(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], _PART)
     lists = [f"{folder}/{manifest['run']}/lists/{p}" for p in manifest["parts"]]
     return spark.read.schema(_PART).json(lists).where(F.col("path").isNotNull())
+
+
+def write_records(records: DataFrame, folder: str) -> str | None:
+    """Records ``(slug, record)`` as a JSON file each, published together; returns the folder that holds them.
+
+    ``read_records`` reads them back.
+    """
+    write_site(records.select(F.concat("slug", F.lit(".json")).alias("path"), F.to_json("record").alias("content")), folder)
+    return site_root(folder)
