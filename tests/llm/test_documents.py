@@ -323,6 +323,12 @@ def test_line_dedup_of_few_words_equals_brute_force(spark):
     got = remove_repeated_lines(spark.createDataFrame([(str(1000 + i), t) for i, t in rows], "doc_id string, text string"), least_words=8).collect()
     want = dedup_oracle(rows, 8)
     assert {r["doc_id"]: (r["text"], [tuple(s) for s in r["removed_words"]]) for r in got} == {str(1000 + i): want[i, t] for i, t in rows}
+    # Distinct whole numbers are packed with word numbers, where there is room for both.
+    for shift in (-30, 2**40, 2**62, -(2**63)):
+        moved = [(i + shift, t) for i, t in rows]
+        got = remove_repeated_lines(spark.createDataFrame(moved, "doc_id long, text string").repartition(3), least_words=8).collect()
+        want = dedup_oracle(moved, 8)
+        assert {r["doc_id"]: (r["text"], [tuple(s) for s in r["removed_words"]]) for r in got} == {d: want[d, t] for d, t in moved}
 
 
 # 8 toxicity

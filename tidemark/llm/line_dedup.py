@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,18 +78,18 @@ def _fingerprints(least: int):
     return giving_back(run)
 
 
-def _places(least: int, table: Broadcast):
+def _places(least: int, table: Broadcast, key: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches):
             row, pos, mark, context = marks_of(words, least)
             seen = in_table(table.value, mark)
-            keys = [part.column(c).take(pa.array(row[seen])) for c in ("n", "i", "r")]
-            yield pa.record_batch([*keys, _long(pos[seen]), _long(mark[seen]), _long(context[seen])], ["n", "i", "r", "pos", "mark", "context"])
+            keys = [part.column(c).take(pa.array(row[seen])) for c in key]
+            yield pa.record_batch([*keys, _long(pos[seen]), _long(mark[seen]), _long(context[seen])], [*key, "pos", "mark", "context"])
 
     return giving_back(run)
 
 
-def _windows(least: int, table: Broadcast):
+def _windows(least: int, table: Broadcast, key: list[str]):
     """Windows around the marks that the table lists by place, named by two hashes of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +100,9 @@ def _windows(least: int, table: Broadcast):
             named = part.column("r").to_numpy()[row].view(np.uint64)
             listed = in_table(table.value, named ^ ((mark - words.bounds[row]) * _STEP).astype(np.uint64))
             start, row = start[listed], row[listed]
-            keys = [part.column(c).take(pa.array(row)) for c in ("n", "i", "r")]
+            keys = [part.column(c).take(pa.array(row)) for c in key]
             names = [_long(x.of(start, start + least)) for x in (runs, Runs(words.named(1)))]
-            yield pa.record_batch([*keys, _long(start - words.bounds[row]), *names], ["n", "i", "r", "pos", "w1", "w2"])
+            yield pa.record_batch([*keys, _long(start - words.bounds[row]), *names], [*key, "pos", "w1", "w2"])
 
     return giving_back(run)
 
@@ -185,24 +186,71 @@ def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys.select(bucket).distinct()), F.pmod(rows["r"], F.lit(BUCKETS)) == F.col("b"), how)
 
 
-def repeated_windows(named: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """What to cut from ``named(n, i, r, text)``, a row for each text that loses words: marks all
-    of whose windows go, (n, i, r, whole), and first words of single windows, (n, i, r, starts)."""
-    spark, key = named.sparkSession, ["n", "i", "r"]
+@dataclass(frozen=True)
+class Places:
+    """How a place is named, so that places compare by id and word.
+
+    A text is named by ``key``. Where that is one whole number that leaves room, a place is the number and
+    ``bits`` bits of the word's number in one long, which Spark keeps and compares without a sort; else it is a struct.
+    """
+
+    key: list[str]
+    bits: int = 0
+
+    def place(self) -> Column:
+        return (F.shiftleft(self.key[0], self.bits) + F.col("pos")) if self.bits else F.struct(*self.key, "pos")
+
+    def text(self) -> Column:
+        return F.col(self.key[0]) if self.bits else F.struct(*self.key)
+
+    def text_of(self, at: str) -> Column:
+        return F.shiftright(at, self.bits) if self.bits else F.struct(*(F.col(f"{at}.{k}") for k in self.key))
+
+    def pos_of(self, at: str) -> Column:
+        return F.col(at).bitwiseAND((1 << self.bits) - 1) if self.bits else F.col(f"{at}.pos")
+
+    def parts(self, at: str) -> list[Column]:
+        """The key's columns and the word's number out of a place."""
+        key = [self.text_of(at).alias(self.key[0])] if self.bits else [F.col(f"{at}.{k}") for k in self.key]
+        return [*key, self.pos_of(at).alias("pos")]
+
+
+def distinct_ids(named: DataFrame, kind: str) -> bool:
+    """Whether ids are whole numbers that name one row each."""
+    if kind == "string":
+        return False
+    counted = named.groupBy("n", "i").agg(F.count("*").alias("c")).where("n OR c > 1")
+    return counted.isEmpty()
+
+
+def packed_places(marks: DataFrame, least: int) -> Places:
+    """Places of texts that their id names, in one long where ids and word numbers leave room."""
+    low, high, words = marks.agg(F.min("i"), F.max("i"), F.max("pos")).first()
+    bits = ((words or 0) + least).bit_length()
+    fits = low is None or max(abs(int(low)), abs(int(high)) + 1).bit_length() + bits < 63
+    return Places(["i"], bits if fits else 0)
+
+
+def repeated_windows(named: DataFrame, kind: str, least: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What to cut from ``named(key..., r, text)``, a row for each text that loses words: marks all
+    of whose windows go, (key..., whole), and first words of single windows, (key..., starts)."""
+    spark = named.sparkSession
     folder = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}"
-    place = F.struct(*key, "pos").alias("at")
-    apart = (F.struct(*key) != F.struct("at.n", "at.i", "at.r")) | (F.col("pos") >= F.col("at.pos") + least)
+    kinds = {"n": "boolean", "i": kind, "r": "long"}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", pos long, "
     hashes = named.select("text").mapInArrow(_fingerprints(least), "mark long")
     shared = stored(hashes.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select(F.col("mark").alias("v")), f"{folder}/shared")
     # Written, since texts are hashed anew each time that their marks are asked for.
-    schema = f"n boolean, i {kind}, r long, pos long, mark long, context long"
-    marks = stored(named.mapInArrow(_places(least, bit_table(shared)), schema), f"{folder}/marks")
+    marks = stored(named.mapInArrow(_places(least, bit_table(shared), key), f"{schema}mark long, context long"), f"{folder}/marks")
+    at = packed_places(marks, least) if key == ["i"] else Places(key)
+    place = at.place().alias("at")
+    apart = (at.text() != at.text_of("at")) | (F.col("pos") >= at.pos_of("at") + least)
 
     # Marks of one context have all their windows in common with the first of them. Writing
     # takes the sum's partitioning away, so that a passage of many rows can be split.
     contexts = marks.groupBy("mark", "context").agg(F.min(place).alias("at"), F.count("*").alias("c"))
     contexts = stored(contexts, f"{folder}/contexts")
-    later = marks.join(contexts.where("c > 1").drop("c"), ["mark", "context"]).where(F.struct(*key, "pos") != F.col("at"))
+    later = marks.join(contexts.where("c > 1").drop("c"), ["mark", "context"]).where(at.place() != F.col("at"))
     # A text has as many marks as a share of its words; rows equal in id and text have them twice.
     whole = F.collect_set(F.when(apart, F.col("pos"))).alias("whole")
     close = F.collect_set(F.when(~apart, F.struct("pos", "mark"))).alias("close")
@@ -211,11 +259,12 @@ def repeated_windows(named: DataFrame, kind: str, least: int) -> tuple[DataFrame
     # Where the contexts of a mark differ, runs end nearby: windows there are compared one by one. Texts
     # stay where they are: a table of bits tells the places, as it told the fingerprints.
     several = stored(contexts.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"), f"{folder}/several")
-    edges = contexts.select("at.*", "mark").unionByName(later.select(*key, F.explode("close").alias("m")).select(*key, "m.pos", "m.mark"))
-    edges = stored(edges.join(several, "mark").select("r", "pos"), f"{folder}/edges")
+    edges = contexts.select(*at.parts("at"), "mark").unionByName(later.select(*key, F.explode("close").alias("m")).select(*key, "m.pos", "m.mark"))
+    bucket = F.col("r") if "r" in key else F.xxhash64("i").alias("r")
+    edges = stored(edges.join(several, "mark").select(bucket, "pos"), f"{folder}/edges")
     listed = bit_table(edges.select(F.col("r").bitwiseXOR(F.col("pos") * _STEP).alias("v")).distinct())
-    texts = _among(named.select(*key, "text"), edges, "left_semi")
-    windows = stored(texts.mapInArrow(_windows(least, listed), f"n boolean, i {kind}, r long, pos long, w1 long, w2 long"), f"{folder}/windows")
+    texts = _among(named, edges, "left_semi")
+    windows = stored(texts.mapInArrow(_windows(least, listed, key), f"{schema}w1 long, w2 long"), f"{folder}/windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = windows.join(stored(earliest, f"{folder}/earliest"), ["w1", "w2"]).where(apart)
     met = reliable_checkpoint(met.groupBy(*key).agg(F.collect_set("pos").alias("starts")))
@@ -254,16 +303,20 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     others = [c for c in docs.columns if c.lower() != "removed_words"]
     kind = dict(docs.dtypes)[id_col]
-    kind = kind if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    kind = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
     # All input columns travel in one struct, so no name can clash.
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("d"))
     held, text = F.col("d").getField(id_col), F.col("d").getField(text_col)
     named = row.select(
         held.isNull().alias("n"), _never_null(held.cast(kind), kind).alias("i"), F.xxhash64(held, text).alias("r"), text.alias("text"), "d"
     )
-    whole, single = repeated_windows(named.drop("d"), kind, least_words)
     key = ["n", "i", "r"]
-    lose = whole.select("r").unionByName(single.select("r"))
+    if distinct_ids(named.select("n", "i"), kind):
+        # The id alone names a text, so a row of marks is half as wide and its places are numbers.
+        key, named = ["i"], named.withColumn("r", F.xxhash64("i"))
+    whole, single = repeated_windows(named.select(*{*key, "r"}, "text"), kind, least_words, key)
+    of = lambda rows: rows.select(F.col("r") if "r" in key else F.xxhash64("i").alias("r"))
+    lose = of(whole).unionByName(of(single))
     none = F.array().cast("array<struct<start:int,end:int>>")
     shown = lambda text, removed: [*(text.alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in others), removed.alias("removed_words")]
     as_they_are = _among(named, lose, "left_anti").select(*shown(F.col("text"), none))
