@@ -69,6 +69,18 @@ def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
     return whole
 
 
+def giving_back_groups(run: Callable[[pa.Table], pa.Table], least: int = 8 << 20) -> Callable[[pa.Table], pa.Table]:
+    """``run`` over groups; the memory of one of ``least`` bytes or more is given back before the next."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >= least:
+            release_memory()
+        return out
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most_bytes`` of ``column``, one row at least."""
     if batch.num_rows == 0:

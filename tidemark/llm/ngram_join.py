@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import broadcast_if_small, giving_back, mix64, reliable_checkpoint, shuffle_partitions, slices
+from tidemark.llm.common import broadcast_if_small, giving_back, giving_back_groups, mix64, reliable_checkpoint, shuffle_partitions, slices
 from tidemark.llm.components import connected_components
 from tidemark.llm.tries import link_groups, links_between
 from tidemark.llm.words import Runs, Words, batch_words
@@ -167,7 +167,7 @@ def _shared_tokens(buckets: int):
             ["bucket", "tokens", "often", "nodes", "counts", "sizes"],
         )
 
-    return run
+    return giving_back_groups(run)
 
 
 def _alive(percent: int):
@@ -197,7 +197,7 @@ def _alive(percent: int):
             ["node", "n", "prefix", "tokens"],
         )
 
-    return run
+    return giving_back_groups(run)
 
 
 def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -228,7 +228,7 @@ def _tree_join(percent: int):
             root.append(node[group[other]])
         return _edges(member, root)
 
-    return run
+    return giving_back_groups(run)
 
 
 def _tree_probe(percent: int):
@@ -248,7 +248,7 @@ def _tree_probe(percent: int):
         links = np.array(list(found.values()), np.int64).reshape(-1, 2)
         return _edges([links[:, 0]], [links[:, 1]])
 
-    return run
+    return giving_back_groups(run)
 
 
 def _tile(count: str, salt: int) -> Column:
