@@ -17,8 +17,12 @@ def due_vendors(vendors: DataFrame, day: Column, force: bool = False) -> DataFra
     return vendors.where(F.lit(force) | (tier != "weekly") | (F.weekday(day) == 0))
 
 
-def only_vendors(vendors: DataFrame, wanted: list[str]) -> DataFrame:
-    """Vendors whose slug or lower-cased name is asked for."""
+def only_vendors(vendors: DataFrame, wanted: list[str] | DataFrame) -> DataFrame:
+    """Vendors whose slug or lower-cased name is asked for, in a list or in a table of one column."""
+    if isinstance(wanted, DataFrame):
+        asked = wanted.select(F.lower(wanted.columns[0]).alias("_w")).distinct()
+        known = vendors.withColumn("_w", F.explode(F.array_distinct(F.array("slug", F.lower("name")))))
+        return known.join(asked, "_w", "left_semi").drop("_w").distinct()
     names = [w.lower() for w in wanted]
     return vendors.where(F.col("slug").isin(names) | F.lower("name").isin(names))
 

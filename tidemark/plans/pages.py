@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -22,8 +21,8 @@ from tidemark.plans.queries import _PAIRS, _pairs
 from tidemark.plans.queries import _hashes as hashes
 from tidemark.session import reliable_checkpoint, shared_folder
 from tidemark.sources import registry
-from tidemark.sources.logs import json_or_default, read_records
-from tidemark.sources.site_files import write_records
+from tidemark.sources.logs import json_or_default, read_map, read_records
+from tidemark.sources.site_files import site_root, write_maps, write_records
 
 _DIGITS = r"regexp_replace(regexp_replace(format('{{:,.2f}}', {x}), '0+$', ''), '\.$', '')"
 _AMOUNT = "CASE WHEN {x} IS NULL THEN '—' ELSE CASE currency WHEN 'GBP' THEN '£' ELSE '$' END || " + _DIGITS + " END"
@@ -95,8 +94,8 @@ def relative_prefix(spark, sf_dir):
 @query("""SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY lower(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END), p_partkey))::INTEGER AS place FROM part""")
 def sort_ignoring_case(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
-    line = Window.partitionBy("p_brand").orderBy(F.collate(name, "UNICODE_CI"), "p_partkey")
-    return V.table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(line).alias("place"))
+    rows = V.table(spark, sf_dir, "part").select("p_partkey", F.coalesce("p_brand", F.lit("")).alias("p_brand"), F.collate(name, "UNICODE_CI").alias("name"))
+    return places(rows, ["name", "p_partkey"], ["p_brand"]).select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {V.STATE} SELECT 'run' AS "check", 'the last run is late' AS problem FROM checks_v HAVING date_diff('hour', max(checked_at), TIMESTAMP '{NOW}') > 36
@@ -328,3 +327,42 @@ def summary(spark, sf_dir):
     """What to do next, with what is shown beside it."""
     problems = reports.failing_vendors(V.state(spark, sf_dir)).agg(F.count("*").alias("problems"))
     return reports.summarise(problems, V.snapshots(spark, sf_dir), V.changes(spark, sf_dir), F.lit(TODAY).cast("date"), F.lit(True), F.lit(False), F.col("problems"))
+
+
+@query(f"""WITH {V.VENDORS} SELECT vendor, name, slug FROM vendors_v WHERE vendor % 10 = 3 OR vendor % 10 = 4""")
+def only_vendors(spark, sf_dir):
+    """Vendors that are asked for by slug, or by name in any case."""
+    known = V.vendors(spark, sf_dir).select("vendor", "name", "slug")
+    wanted = known.where("vendor % 10 IN (3, 4)").select(F.when(F.col("vendor") % 10 == 3, F.col("slug")).otherwise(F.upper("name")).alias("w"))
+    return gate.only_vendors(known, wanted)
+
+
+_CHECK = """SELECT event_id, (CASE event_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 404 WHEN 3 THEN 0 ELSE 500 END) AS http, event_id % 6 AS failures, event_id % 7 = 0 AS by_robots FROM events"""
+
+
+@query(f"""WITH c AS ({_CHECK}) SELECT event_id, CASE WHEN http IN (403, 429) THEN 'blocked' WHEN failures >= 3 THEN 'fix the address' END AS hint,
+  http IN (404, 410, 0) AND NOT by_robots AS recover FROM c""")
+def failure_hints(spark, sf_dir):
+    """What to do about a page that could not be read, and whether to look for it elsewhere."""
+    i = F.col("event_id")
+    http = F.when(i % 5 == 0, 403).when(i % 5 == 1, 429).when(i % 5 == 2, 404).when(i % 5 == 3, 0).otherwise(500)
+    checks = V.table(spark, sf_dir, "events").select("event_id", http.alias("http"), (i % 6).alias("failures"), (i % 7 == 0).alias("by_robots"))
+    hint = gate.failure_hint(F.col("http"), F.col("failures"))
+    return checks.select("event_id", hint.alias("hint"), gate.worth_recovering(F.col("http"), F.col("by_robots")).alias("recover"))
+
+
+@query(f"""WITH {V.VENDORS} SELECT vendor, '{{"@type":"Product","name":"' || name || ' \\u003c/script\\u003e \\u0026 more"}}' AS json_ld FROM vendors_v""")
+def json_ld_names(spark, sf_dir):
+    """Names inside JSON-LD, which may not close the script that holds it."""
+    name = F.concat("name", F.lit(" </script> & more"))
+    return V.vendors(spark, sf_dir).select("vendor", render.json_ld(F.struct(F.lit("Product").alias("@type"), name.alias("name"))).alias("json_ld"))
+
+
+@query(f"WITH {V.STATE} SELECT slug::VARCHAR AS slug, status, last_checked::VARCHAR AS last_checked FROM state_v")
+def state_files(spark, sf_dir):
+    """The state of each page, written as JSON maps and scanned again."""
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    state = V.state(spark, sf_dir).select(F.col("slug").cast("string").alias("slug"), "status", F.col("last_checked").cast("string").alias("last_checked"))
+    write_maps(state, "slug", folder)
+    read = read_map(spark, site_root(folder), "struct<status: string, last_checked: string>")
+    return read.select(F.col("key").alias("slug"), "value.status", "value.last_checked")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import benchmarks, diff, gate, history, records, reports
+from tidemark.operators.ranks import places
 from tidemark.plans import views as V
 from tidemark.session import reliable_checkpoint
 
@@ -746,8 +747,9 @@ _CELL = "CASE WHEN c_custkey % 6 = 0 THEN 'contact us' ELSE '$' || c_custkey ||
   SELECT c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY try_cast(nullif(regexp_replace(cell, '[^0-9.-]', '', 'g'), '') AS DOUBLE) DESC NULLS LAST, c_custkey))::INTEGER AS place FROM cells""")
 def sort_blanks_last(spark, sf_dir):
     cells = V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.expr(_CELL).alias("cell"))
-    line = Window.partitionBy("c_mktsegment").orderBy(reports.numeric_order(F.col("cell"), descending=True), "c_custkey")
-    return cells.select("c_custkey", F.row_number().over(line).alias("place"))
+    cells = cells.withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("")))
+    placed = places(cells, [reports.numeric_order(F.col("cell"), descending=True), "c_custkey"], ["c_mktsegment"])
+    return placed.select("c_custkey", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {V.SNAPSHOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY day DESC) AS r FROM snap_v),
@@ -772,7 +774,7 @@ def spend_by_month(spark, sf_dir):
   count(*) FILTER (last_checked < DATE '{TODAY}' - 14) AS stale, max(last_checked)::VARCHAR AS last_run, (SELECT count(*) FROM changes_v) AS changes,
   (SELECT count(*) FROM snap_v) AS snapshots,
   (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS records, (SELECT count(DISTINCT user_id) FROM events) AS pending, (SELECT count(*) FROM changes_v WHERE old_value IS NULL) AS review,
-  'problems' AS health FROM state_v""")
+  CASE WHEN count(*) = 0 THEN 'unknown' WHEN count(*) FILTER (status <> 'ok' OR last_checked < DATE '{TODAY}' - 14) > 0 THEN 'problems' ELSE 'ok' END AS health FROM state_v""")
 def status_rollup(spark, sf_dir):
     changes = V.changes(spark, sf_dir)
     stored = (V.readings(spark, sf_dir).select("vendor").distinct(), changes.select("vendor").distinct(), changes.where("old_value IS NULL"))

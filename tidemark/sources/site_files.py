@@ -138,3 +138,12 @@ def write_records(records: DataFrame, folder: str) -> str | None:
     """
     write_site(records.select(F.concat("slug", F.lit(".json")).alias("path"), F.to_json("record").alias("content")), folder)
     return site_root(folder)
+
+
+def write_maps(rows: DataFrame, key: str, folder: str, entries: int = 20_000) -> dict:
+    """Rows as JSON objects by ``key``, some ``entries`` to a file, published together; ``read_map`` reads them back."""
+    files = rows.count() // entries + 1
+    entry = F.struct(F.col(key).alias("k"), F.struct(*(c for c in rows.columns if c != key)).alias("v"))
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(files)))
+    maps = parts.groupBy("_part").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("content"))
+    return write_site(maps.select(F.concat(F.lit("part-"), F.col("_part").cast("string"), F.lit(".json")).alias("path"), "content"), folder)
