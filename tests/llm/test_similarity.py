@@ -29,8 +29,10 @@ def test_trie_links_equal_brute_force(sets, unique):
     half = len(tokens) // 2
     met = set(links_between(tokens[:half], sizes[:half], tokens[half:], sizes[half:], 75))
     assert met == {(j, i - half) for i, j in links if j < half <= i}
-    got = link_groups(tokens, sizes, 75)
-    assert len({(want[i], int(got[i])) for i in want}) == len(set(want.values())) == len(set(got.tolist()))
+    # In the order of the sets at hand, and in one that is given for all.
+    for classes in (None, [(t % 3).astype(np.uint8) for t in tokens]):
+        got = link_groups(tokens, sizes, 75, classes)
+        assert len({(want[i], int(got[i])) for i in want}) == len(set(want.values())) == len(set(got.tolist()))
 
 
 @pytest.mark.parametrize("in_a_task", [0, 30, 200_000])

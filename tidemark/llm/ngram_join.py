@@ -171,7 +171,8 @@ def _shared_tokens(buckets: int):
 
 
 def _alive(percent: int):
-    """Within a bucket of sets: those that could still link, with ordered tokens and prefix."""
+    """Within a bucket of sets: those that could still link, with tokens in an order that all sets share, rare
+    ones first, their prefix, and how frequent each token is, as a power of two."""
 
     def run(table: pa.Table) -> pa.Table:
         tokens, often = _joined(table["tokens"], np.uint64), _joined(table["often"], np.int32)
@@ -180,8 +181,9 @@ def _alive(percent: int):
         size = np.repeat(_joined(table["sizes"], np.int64), counts)
         order = np.lexsort((tokens, often, node))
         tokens, node, size = tokens[order], node[order], size[order]
+        classes = np.log2(np.maximum(often[order], 1)).astype(np.uint8)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)])) if len(node) else []
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for low, high in zip(cuts, cuts[1:], strict=False):
             n, shared = int(size[low]), int(high - low)
             least = -(-percent * n // 100)
@@ -189,22 +191,23 @@ def _alive(percent: int):
                 continue
             prefix = n - least + 1 - (n - shared)
             for column, x in zip(
-                out, (int(node[low]), n, tokens[low : low + prefix].view(np.int64), tokens[low:high].tobytes()), strict=True
+                out, (int(node[low]), n, tokens[low : low + prefix].view(np.int64), tokens[low:high].tobytes(), classes[low:high].tobytes()), strict=True
             ):
                 column.append(x)
         return pa.table(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-            ["node", "n", "prefix", "tokens"],
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())],
+            ["node", "n", "prefix", "tokens", "classes"],
         )
 
     return giving_back_groups(run)
 
 
-def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Names, sizes and tokens of the rows of a table, each name once, in order."""
+def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Names, sizes, tokens and their classes of the rows of a table, each name once, in order."""
     node, first = np.unique(table["node"].to_numpy(), return_index=True)
-    raw = table["tokens"].combine_chunks()
-    return node, table["n"].to_numpy()[first], [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in first]
+    raw, kinds = table["tokens"].combine_chunks(), table["classes"].combine_chunks()
+    tokens = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in first]
+    return node, table["n"].to_numpy()[first], tokens, [np.frombuffer(kinds[int(i)].as_buffer(), np.uint8) for i in first]
 
 
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
@@ -221,8 +224,8 @@ def _tree_join(percent: int):
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]))
         member, root = [], []
         for low, high in zip(cuts, cuts[1:], strict=False):
-            node, size, tokens = _sets(table.take(pa.array(order[low:high])))
-            group = link_groups(tokens, size, percent)
+            node, size, tokens, classes = _sets(table.take(pa.array(order[low:high])))
+            group = link_groups(tokens, size, percent, classes)
             other = group != np.arange(len(node))
             member.append(node[other])
             root.append(node[group[other]])
@@ -236,10 +239,10 @@ def _tree_probe(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         asks = table["asks"]
-        node, size, tokens = _sets(table.filter(pc.invert(asks)))
-        probe, probe_size, probe_tokens = _sets(table.filter(asks))
+        node, size, tokens, classes = _sets(table.filter(pc.invert(asks)))
+        probe, probe_size, probe_tokens, probe_classes = _sets(table.filter(asks))
         label = dict(zip(table["node"].to_pylist(), table["label"].to_pylist(), strict=True))
-        pairs = links_between(probe_tokens, probe_size, tokens, size, percent)
+        pairs = links_between(probe_tokens, probe_size, tokens, size, percent, classes + probe_classes)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for i, j in pairs:
             a, b = int(probe[i]), int(node[j])
@@ -285,7 +288,7 @@ def _links_across(alive: DataFrame, postings: DataFrame, placed: DataFrame, near
     every = met.join(sizes, "block").withColumns({"tile": _tile("tiles", 7), "ask": F.explode(F.sequence(F.lit(0), F.col("asking") - 1)), "asks": F.lit(False)})
     asked = rest.join(sizes, "block").withColumns({"ask": _tile("asking", 8), "tile": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "asks": F.lit(True)})
     rows = reliable_checkpoint(every.select(columns).unionByName(asked.select(columns)))
-    held = alive.select("node", "n", "tokens").join(broadcast_if_small(rows, NARROW_ROWS), "node")
+    held = alive.select("node", "n", "tokens", "classes").join(broadcast_if_small(rows, NARROW_ROWS), "node")
     return held.groupBy("block", "tile", "ask").applyInArrow(_tree_probe(percent), "a long, b long")
 
 
@@ -307,7 +310,7 @@ def similar_sets(
     shared = packed.groupBy("slot").applyInArrow(
         _shared_tokens(slots), "bucket int, tokens binary, often binary, nodes binary, counts binary, sizes binary"
     )
-    alive = shared.groupBy("bucket").applyInArrow(_alive(percent), "node long, n long, prefix array<long>, tokens binary")
+    alive = shared.groupBy("bucket").applyInArrow(_alive(percent), "node long, n long, prefix array<long>, tokens binary, classes binary")
     alive = reliable_checkpoint(alive)
 
     # A star per prefix token joins all sets that could link into coarse blocks.
@@ -331,7 +334,7 @@ def similar_sets(
     own = placed.select("node", "block", F.when(F.col("tiles") > 1, tile).otherwise(F.pmod(F.xxhash64("block"), F.lit(int(tasks)))).alias("task"))
     pivots = _pivots(placed).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pivots = reliable_checkpoint(pivots.select("node", "block", F.xxhash64("block", "tile").alias("task")))
-    sets = alive.select("node", "n", "tokens")
+    sets = alive.select("node", "n", "tokens", "classes")
     joined = sets.join(broadcast_if_small(own, NARROW_ROWS), "node").unionByName(sets.join(broadcast_if_small(pivots), "node"))
     links = reliable_checkpoint(joined.groupBy("task").applyInArrow(_tree_join(percent), "a long, b long"))
     if not pivots.isEmpty():
@@ -384,7 +387,8 @@ def ngram_jaccard_join(
     Method: equal sets count once. Tokens travel as packed arrays by hash range;
     each range keeps those of two or more sets. A set of which less than
     ``percent`` % is shared cannot link. Others meet in coarse blocks over their
-    rarest tokens (the prefix filter), and inside a block a prefix tree is walked.
+    rarest tokens (the prefix filter), and inside a block a prefix tree is walked, whose
+    order of tokens, by their frequency in all sets, is the same in every block.
     A block beyond ``block_sets`` or ``block_tokens`` is cut into tiles. Each is joined with a
     few pivots of the block, and what is not of the block's largest component then asks
     all other tiles, so no bound drops a link.

@@ -81,12 +81,16 @@ class PrefixTree:
         return found
 
 
-def ranked_sets(tokens: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+def ranked_sets(tokens: list[np.ndarray], classes: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], int]:
     """Each set as sorted ranks of its tokens, and how many different tokens there are.
 
-    Frequent tokens come first: common prefixes are long, and their overlaps are shared.
+    Frequent tokens come first: common prefixes are long, and their overlaps are shared. ``classes`` say
+    how frequent a token is in all sets, so that every tree has the same order; without them
+    the sets at hand are counted.
     """
-    names, inverse, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    names, first, inverse, often = np.unique(np.concatenate(tokens), return_index=True, return_inverse=True, return_counts=True)
+    if classes is not None:
+        often = np.concatenate(classes).astype(np.int64)[first]
     rank = np.empty(len(names), np.int64)
     rank[np.lexsort((names, -often))] = np.arange(len(names))
     ranked = rank[inverse]
@@ -95,19 +99,20 @@ def ranked_sets(tokens: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
 
 
 def links_between(
-    probes: list[np.ndarray], probe_sizes: np.ndarray, tokens: list[np.ndarray], sizes: np.ndarray, percent: int
+    probes: list[np.ndarray], probe_sizes: np.ndarray, tokens: list[np.ndarray], sizes: np.ndarray, percent: int, classes: list[np.ndarray] | None = None
 ) -> Iterator[tuple[int, int]]:
-    """Pairs (number of a probe, number of a set) of Jaccard >= ``percent``/100."""
+    """Pairs (number of a probe, number of a set) of Jaccard >= ``percent``/100; ``classes`` are those
+    of the sets, then those of the probes (see :func:`ranked_sets`)."""
     if not probes or not tokens:
         return
-    sets, different = ranked_sets([*tokens, *probes])
+    sets, different = ranked_sets([*tokens, *probes], classes)
     tree, mask = PrefixTree(sets[: len(tokens)], sizes, list(range(len(tokens)))), np.zeros(different, bool)
     for i, probe in enumerate(sets[len(tokens) :]):
         for j in tree.linked(probe, int(probe_sizes[i]), sizes, percent, mask):
             yield i, j
 
 
-def link_groups(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+def link_groups(tokens: list[np.ndarray], sizes: np.ndarray, percent: int, classes: list[np.ndarray] | None = None) -> np.ndarray:
     """Component number of each set, where sets of Jaccard >= ``percent``/100 link.
 
     ``tokens`` hold what a set shares with any other, ``sizes`` the full set sizes.
@@ -116,7 +121,7 @@ def link_groups(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np
     """
     count = len(tokens)
     group = np.full(count, -1, np.int64)
-    sets, different = ranked_sets(tokens)
+    sets, different = ranked_sets(tokens, classes)
     mask = np.zeros(different, bool)
     waiting = set(range(count))
     tree, built = None, 0
