@@ -90,7 +90,8 @@ def _op3() -> str:
     down = []
     for d in range(1, 8):
         down.append(f"""q{d} AS (
-  SELECT q.host, q.template, CASE WHEN j.node IS NULL THEN q.purity ELSE (j.b + 4.0::DOUBLE * q.purity) / (j.l + 4.0::DOUBLE) END AS purity
+  SELECT q.host, q.template, CASE WHEN j.node IS NULL THEN q.purity ELSE
+    (j.b + 4.0::DOUBLE * q.purity + 4.0::DOUBLE / (j.ol + 4.0::DOUBLE) * j.ob) / (j.l + 4.0::DOUBLE + 4.0::DOUBLE / (j.ol + 4.0::DOUBLE) * j.ol) END AS purity
   FROM q{d - 1} q LEFT JOIN steps s ON s.host = q.host AND s.template = q.template AND s.depth = {d} LEFT JOIN judged j ON j.host = s.host AND j.node = s.node
 )""")
     return f"""
@@ -130,7 +131,8 @@ WITH parts AS (
 ), named AS (
   SELECT *, CASE WHEN abs(b / nullif(l, 0) - pool) <= 1.96::DOUBLE * sqrt(pool * (1 - pool) / nullif(l, 0)) THEN '#' ELSE node END AS branch FROM pooled
 ), judged AS (
-  SELECT host, node, sum(b) OVER w AS b, sum(l) OVER w AS l FROM named WINDOW w AS (PARTITION BY host, parent, branch)
+  SELECT host, node, sum(b) OVER w AS b, sum(l) OVER w AS l, sum(b) OVER e - b AS ob, sum(l) OVER e - l AS ol
+  FROM named WINDOW w AS (PARTITION BY host, parent, branch), e AS (PARTITION BY node)
 ), q0 AS (
   SELECT v.host, v.template, (h.b + 4.0::DOUBLE * d.purity) / (h.l + 4.0::DOUBLE) AS purity FROM leaves v JOIN hosts h ON h.host = v.host JOIN domains d ON d.domain = h.domain
 ), {", ".join(down)}

@@ -73,8 +73,9 @@ def template_purity(leaves: DataFrame, smoothing: float, similar_z: float) -> Da
     block rates lie within ``similar_z`` standard errors of the rate of all of them are
     merged: they share their labels. Going down from the rate of all labels over the
     registered domain and the host to the template, a purity is the block rate smoothed by
-    ``smoothing`` pseudo-labels at the purity one step above. So a branch without labels of
-    its own has its parent's purity, and a host without any has its domain's.
+    ``smoothing`` pseudo-labels at the purity one step above, and as many at most, as labels allow, at
+    the block rate of the equal branch of other hosts. So a branch without labels of its own lies
+    between its parent's purity and what equal branches elsewhere are, and a host without any labels begins with its domain's.
     """
     smooth = lambda b, l, above: (b + smoothing * above) / (l + smoothing)
     totals = [F.sum("b").alias("b"), F.sum("l").alias("l")]
@@ -99,15 +100,24 @@ def template_purity(leaves: DataFrame, smoothing: float, similar_z: float) -> Da
     nodes = reliable_checkpoint(nodes.drop("pool"))
     branches = reliable_checkpoint(nodes.groupBy("host", "parent", "branch").agg(*totals))
     judged = nodes.select("host", "parent", "node", "branch").join(branches, ["host", "parent", "branch"])
-    judged = reliable_checkpoint(judged.select("host", "node", F.struct("b", "l").alias("of_node")))
+    # Equal branches of all hosts; a branch's own labels are taken off where it is judged.
+    equal = reliable_checkpoint(nodes.groupBy("node").agg(F.sum("b").alias("all_b"), F.sum("l").alias("all_l")))
+    own = nodes.select("host", "node", F.col("b").alias("own_b"), F.col("l").alias("own_l"))
+    judged = reliable_checkpoint(judged).join(own, ["host", "node"]).join(equal, "node")
+    of_node = F.struct("b", "l", (F.col("all_b") - F.col("own_b")).alias("other_b"), (F.col("all_l") - F.col("own_l")).alias("other_l"))
+    judged = reliable_checkpoint(judged.select("host", "node", of_node.alias("of_node")))
     # At most max_depth + 1 steps to a template.
     walks = chain.select("host", "template", "depth", "node").join(judged, ["host", "node"])
     walks = walks.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("depth", "of_node"))).alias("walk"))
     known = leaves.select("host", "template").join(reliable_checkpoint(hosts), "host").join(reliable_checkpoint(walks), ["host", "template"], "left")
-    steps_down = F.aggregate(
-        F.coalesce("walk", F.array().cast(walks.schema["walk"].dataType)), F.col("of_host"),
-        lambda above, x: smooth(x["of_node"]["b"], x["of_node"]["l"], above),
-    )
+
+    def down(above: Column, x: Column) -> Column:
+        at = x["of_node"]
+        # Other hosts count as smoothing times their share of labels in labels and smoothing together.
+        part = smoothing / (at["other_l"] + smoothing)
+        return (at["b"] + smoothing * above + part * at["other_b"]) / (at["l"] + smoothing + part * at["other_l"])
+
+    steps_down = F.aggregate(F.coalesce("walk", F.array().cast(walks.schema["walk"].dataType)), F.col("of_host"), down)
     return reliable_checkpoint(known.select("host", "template", steps_down.alias("purity")))
 
 
@@ -130,7 +140,7 @@ def filter_urls(
     also the labels of the method for all others: per host a tree of path templates (see
     :func:`path_templates`), whose branches are merged where their block rates are alike and
     get a smoothed purity, the expected share of blocked urls, that backs off to the branch
-    above, the host, the registered domain and all labels (see :func:`template_purity`). A
+    above, equal branches of other hosts, the host, the registered domain and all labels (see :func:`template_purity`). A
     url without a rule is blocked when its template's purity is ``threshold`` or more.
 
     Everything is counted with pre-aggregated group-bys and joined by host and path, so a
