@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import gate, reports, site
 from tidemark.operators.html import clean_pages
+from tidemark.operators.ranks import places
 from tidemark.operators.records import RECORD
 from tidemark.plans.ingest import STATE, ingest, state_after
 from tidemark.plans.publish import SiteTables, publish_site
@@ -58,6 +59,8 @@ def fetch(spark: SparkSession, args: argparse.Namespace) -> int:
     """Pages of the due vendors, and of where they moved to, as the table that ``run`` reads."""
     web = fetching.web_fetcher()
     vendors = chosen(registry(spark, args.registry), args).where("pricing_url IS NOT NULL").select("slug", F.col("pricing_url").alias("url"))
+    # Dense places, since the budget of a run is summed by blocks of them.
+    vendors = places(vendors, ["slug"], name="pos")
     host = T.host_of(F.col("url"))
     root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     asked = vendors.select(F.concat(root, F.lit("/robots.txt")).alias("url")).distinct()
@@ -72,7 +75,7 @@ def fetch(spark: SparkSession, args: argparse.Namespace) -> int:
     new = moved.join(again, "found").select("url", "found", F.col("status").alias("_status"), F.col("html").alias("_html"))
     known = vendors.join(pages, "url").join(new, "url", "left")
     table = known.select(
-        "slug", F.xxhash64("slug").alias("pos"), F.coalesce("found", "url").alias("url"), F.coalesce("_status", "status", F.lit(0)).alias("status"),
+        "slug", "pos", F.coalesce("found", "url").alias("url"), F.coalesce("_status", "status", F.lit(0)).alias("status"),
         by_robots.alias("blocked"), F.coalesce("_html", "html").alias("html"), F.col("found").alias("moved_to"),
     )
     table.write.mode("overwrite").parquet(args.pages)
