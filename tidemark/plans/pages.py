@@ -10,6 +10,7 @@ from tidemark.functions import text as T
 from tidemark.operators import benchmarks, gate, history, reports, site
 from tidemark.operators.extract import extract_records
 from tidemark.operators.html import clean_pages
+from tidemark.operators.records import aggregate_offer
 from tidemark.operators.ranks import places
 from tidemark.operators.asof import latest_before
 from tidemark.plans import render
@@ -366,3 +367,48 @@ def state_files(spark, sf_dir):
     write_maps(state, "slug", folder)
     read = read_map(spark, site_root(folder), "struct<status: string, last_checked: string>")
     return read.select(F.col("key").alias("slug"), "value.status", "value.last_checked")
+
+
+_FOUND = """SELECT event_id, event_id % 4 = 0 AS ok, (CASE event_id % 9 WHEN 0 THEN 403 WHEN 1 THEN 429 ELSE 200 END) AS http, event_id % 3 AS raw, event_id % 5 AS clean,
+  (event_id % 7) * 5000 AS chars, event_id % 2 = 0 AS js FROM events"""
+
+
+@query(f"""WITH f AS ({_FOUND}) SELECT event_id, CASE WHEN http IN (403, 429) THEN 'blocked' WHEN ok THEN 'ok' WHEN raw > 0 AND clean = 0 THEN CASE WHEN js THEN 'js_json' ELSE 'over_cleaned' END
+  WHEN raw = 0 THEN CASE WHEN chars > 20000 THEN 'js_empty' ELSE 'wrong_page' END ELSE 'wrong_page' END AS verdict FROM f""")
+def diagnosis_rules(spark, sf_dir):
+    """Why a page gave no plans, for every case of what was found on it."""
+    i = F.col("event_id")
+    http = F.when(i % 9 == 0, 403).when(i % 9 == 1, 429).otherwise(200)
+    said = reports.diagnose(i % 4 == 0, http, i % 3, i % 5, (i % 7) * 5000, i % 2 == 0)
+    return V.table(spark, sf_dir, "events").select("event_id", said.alias("verdict"))
+
+
+@query(f"""WITH {V.READINGS}, {V.PLANS}, {V.CURRENT} SELECT c.vendor, '{{"@context":"https://schema.org","@type":"Product","name":"' || c.vendor || '","offers":{{"@type":"AggregateOffer","lowPrice":'
+    || min(monthly_price)::VARCHAR || ',"highPrice":' || max(monthly_price)::VARCHAR || ',"offerCount":' || count(*) || ',"priceCurrency":"' || any_value(r.currency) || '"}}}}' AS json_ld
+  FROM current_v c JOIN readings_v r ON r.vendor = c.vendor AND r.year = c.year WHERE NOT is_addon AND monthly_price IS NOT NULL GROUP BY c.vendor""")
+def product_json_ld(spark, sf_dir):
+    """The offers of each vendor as JSON-LD."""
+    own = V.newest(V.plans(spark, sf_dir)).join(V.readings(spark, sf_dir).select("vendor", "year", "currency"), ["vendor", "year"])
+    return render.product_schema(aggregate_offer(own, ["vendor", "currency"]), "vendor", "currency").select("vendor", "json_ld")
+
+
+_PARTS = "SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/]*(/.*)', 1) AS path FROM pages"
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT page_id, NOT (length(host) % 2 = 0 AND starts_with(path, '/en/')) AS allowed FROM p")
+def robots_gate(spark, sf_dir):
+    """Whether a host's rules let a page be asked for; half the hosts forbid a branch, the others have no rules."""
+    pages = V.table(spark, sf_dir, "pages").select("page_id", "url", T.host_of(F.col("url")).alias("host"))
+    rules = pages.select("host").distinct().where(F.length("host") % 2 == 0).withColumn("text", F.lit("User-agent: *\nDisallow: /en/"))
+    return registry.allowed_by_robots(pages, rules).select("page_id", "allowed")
+
+
+@query(f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, rtrim(url, '/') AS bare FROM pages),
+  g AS (SELECT page_id, list_concat([CASE WHEN url LIKE '%/' THEN bare ELSE url || '/' END],
+    list_filter([{str(list(registry.PAGE_GUESSES))[1:-1]}], lambda x: rtrim(root || x, '/') <> bare)) AS found, root FROM p)
+  SELECT page_id, i - 1 AS place, CASE WHEN i = 1 THEN found[1] ELSE root || found[i] END AS candidate FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM g)""")
+def address_guesses(spark, sf_dir):
+    """Where a page may have moved to, in the order in which the places are tried."""
+    pages = V.table(spark, sf_dir, "pages").select("page_id", "url")
+    guesses = registry.guessed_addresses(pages.select("url").distinct())
+    return pages.join(guesses, "url").select("page_id", F.col("place").cast("long").alias("place"), "candidate")
