@@ -120,7 +120,7 @@ class _Site:
 
     def pairs(self) -> DataFrame:
         changed = self.heads.where("changes > 0").select("vendor")
-        return benchmarks.comparison_pairs(self.heads, changed)
+        return benchmarks.comparison_pairs(site.compare_cells(self.heads), changed)
 
     def vendor_pages(self) -> DataFrame:
         # Of equal metrics the last one counts.
