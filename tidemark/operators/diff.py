@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Thresholds of the rules.
@@ -84,6 +84,11 @@ def _event(kind: str, when: Column, plan, field, old_num=None, new_num=None, old
 
 def plan_events(joined: DataFrame, compare_prices: Column) -> DataFrame:
     """All events of the plan rules: (vendor, key, event struct), one row per event."""
+    return joined.select("vendor", "key", F.explode(_plan_events(compare_prices)).alias("event")).where("event IS NOT NULL")
+
+
+def _plan_events(compare_prices: Column) -> Column:
+    """An event or null per rule for the structs ``old`` and ``new`` of a plan."""
     old, new = F.col("old"), F.col("new")
     both = old.isNotNull() & new.isNotNull()
     name = new["name"]
@@ -115,41 +120,60 @@ def plan_events(joined: DataFrame, compare_prices: Column) -> DataFrame:
     lost = F.transform(F.when(both, F.array_except(old["features"], new["features"])),
                        lambda f: _event("feature_moved_out", F.lit(True), name, F.lit("features"), old_text=f, share=RULE_SHARE["feature_moved_out"]))
     empty = F.array().cast("array<struct<change_type:string,plan:string,field:string,old_num:double,new_num:double,old_text:string,new_text:string,share:double>>")
-    listed = reduce(F.concat, (F.coalesce(x, empty) for x in (limits, gained, lost)), F.array(*events))
-    return joined.select("vendor", "key", F.explode(F.filter(listed, lambda e: e.isNotNull())).alias("event"))
+    return reduce(F.concat, (F.coalesce(x, empty) for x in (limits, gained, lost)), F.array(*events))
 
 
-def reading_events(readings: DataFrame) -> DataFrame:
-    """Events of the whole reading from ``(vendor, old, new)`` reading structs."""
-    old, new = F.col("old"), F.col("new")
+def _reading_events() -> Column:
+    """An event or null per rule for a whole reading, from the structs ``was`` and ``now``."""
+    old, new = F.col("was"), F.col("now")
     was, now = (F.coalesce(x["pricing_is_public"], F.lit(False)) for x in (old, new))
     before, after = (F.coalesce(x["currency"], F.lit("")) for x in (old, new))
-    events = [
+    return F.array(
         _event("pricing_hidden", was & ~now, None, None, old_text=F.lit("true"), new_text=F.lit("false")),
         _event("pricing_published", ~was & now, None, None, old_text=F.lit("false"), new_text=F.lit("true")),
         _event("currency_changed", (before != "") & (before != after), None, F.lit("currency"), old_text=before, new_text=after, share=RULE_SHARE["currency_changed"]),
-    ]
-    return readings.select("vendor", F.lit(None).cast("string").alias("key"), F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("event"))
+    )
 
 
 def diff_readings(old_plans: DataFrame, new_plans: DataFrame, old_readings: DataFrame, new_readings: DataFrame) -> DataFrame:
-    """All events between two readings of each vendor that has both.
+    """All events between two readings of each vendor that has both, as :func:`diff_sides` says."""
+    both = lambda old, new: old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
+    return diff_sides(both(old_plans, new_plans), both(old_readings, new_readings))
+
+
+def diff_sides(plans: DataFrame, readings: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All events between two readings of each vendor that has both; ``new`` tells the side of a plan or reading.
 
     A first reading has no events. Prices are not compared when both currencies are known
     and differ. Returns (vendor, key, change_type, plan, field, old_num, new_num, old_text,
     new_text, confidence, publishable).
+
+    Plans and readings of both sides are shuffled once, by vendor; sides meet in a group-by and readings reach
+    their plans in a window, so nothing is joined or broadcast and no event is shuffled. ``tasks`` bounds what a task sorts.
     """
-    counted = new_plans.groupBy("vendor").agg(F.count("*").alias("plans"))
-    info = lambda df, n: df.select("vendor", F.struct("currency", "pricing_is_public", "extraction_notes").alias(n))
-    readings = info(old_readings, "old").join(info(new_readings, "new"), "vendor").join(counted, "vendor", "left")
-    before, after = (F.coalesce(F.col(f"{x}.currency"), F.lit("")) for x in ("old", "new"))
-    base = base_confidence(F.col("new.extraction_notes"), F.coalesce("plans", F.lit(0)), after)
-    readings = readings.select("vendor", "old", "new", base.alias("base"), ((before == "") | (after == "") | (before == after)).alias("comparable"))
-    joined = join_versions(last_by_key(old_plans), last_by_key(new_plans)).join(readings.select("vendor", "comparable"), "vendor")
-    events = plan_events(joined, F.col("comparable")).unionByName(reading_events(readings))
-    confident = events.join(readings.select("vendor", "base"), "vendor").select(
-        "vendor", "key", "event.*", F.round(F.col("base") * F.col("event.share"), 4).alias("confidence")
-    )
+    of = lambda rows, *more: F.struct(*(c for c in rows.columns if c not in ("vendor", "new", *more)))
+    # Plans without a key are no two sides of one plan; a reading is a row of its own.
+    side = F.when(F.col("key").isNull(), F.col("new").cast("int"))
+    rows = plans.select("vendor", "key", side.alias("_apart"), "new", of(plans, "key").alias("plan"))
+    said = readings.select("vendor", F.lit(None).cast("string").alias("key"), F.lit(2).alias("_apart"), "new", F.struct("currency", "pricing_is_public", "extraction_notes").alias("reading"))
+    rows = rows.unionByName(said, allowMissingColumns=True)
+    rows = rows.repartition("vendor") if tasks is None else rows.repartition(tasks, "vendor")
+
+    new, plan = F.col("new"), F.col("plan").isNotNull()
+    last = lambda on: F.max_by("plan", F.when(plan & on, F.coalesce("plan.pos", F.lit(-(2**31)))))
+    grouped = rows.groupBy("vendor", "key", "_apart").agg(
+        last(~new).alias("old"), last(new).alias("new"), F.count_if(plan & new).alias("plans"),
+        F.max(F.when(~new, F.col("reading"))).alias("was"), F.max(F.when(new, F.col("reading"))).alias("now"),
+    )
+    vendor = Window.partitionBy("vendor")
+    known = grouped.withColumns({"was": F.max("was").over(vendor), "now": F.max("now").over(vendor), "plans": F.sum("plans").over(vendor)})
+    known = known.where("was IS NOT NULL AND now IS NOT NULL AND vendor IS NOT NULL")
+    before, after = (F.coalesce(F.col(f"{x}.currency"), F.lit("")) for x in ("was", "now"))
+    base = base_confidence(F.col("now.extraction_notes"), F.col("plans"), after)
+    comparable = (before == "") | (after == "") | (before == after)
+    listed = F.when(F.coalesce("_apart", F.lit(0)) == 2, _reading_events()).otherwise(_plan_events(comparable))
+    events = known.select("vendor", "key", base.alias("base"), F.explode(listed).alias("event")).where("event IS NOT NULL")
+    confident = events.select("vendor", "key", "event.*", F.round(F.col("base") * F.col("event.share"), 4).alias("confidence"))
     return confident.drop("share").withColumn("publishable", is_publishable(F.col("confidence")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_hash, extraction_cost, looks_like_pricing_page
 from tidemark.operators import gate
-from tidemark.operators.diff import diff_readings, is_publishable
+from tidemark.operators.diff import diff_readings, diff_sides, is_publishable
 from tidemark.operators.extract import Extractor, extract_records, pattern_extractor
 from tidemark.operators.html import clean_pages
 from tidemark.operators.records import record_fingerprint
@@ -99,9 +99,11 @@ def reading_of(records: DataFrame) -> DataFrame:
 def daily_changes(records: DataFrame) -> DataFrame:
     """Changes between the records ``(slug, n, record)`` of each number and the one before: (slug, n, and what
     :func:`diff_readings` says)."""
-    side = lambda add: records.select(F.struct("slug", (F.col("n") + add).alias("n")).alias("slug"), "record")
-    old, new = side(1), side(0)
-    changes = diff_readings(flat_plans(old), flat_plans(new), reading_of(old), reading_of(new))
+    at = lambda new, add: F.struct(F.struct("vendor.slug", (F.col("vendor.n") + add).alias("n")).alias("vendor"), F.lit(new).alias("new"))
+    # One pass makes both sides: a record is new on its number and old on the next.
+    sides = lambda rows: rows.select(F.explode(F.array(at(True, 0), at(False, 1))).alias("_at"), *(c for c in rows.columns if c != "vendor")).select("_at.*", *(c for c in rows.columns if c != "vendor"))
+    named = records.select(F.struct("slug", "n").alias("slug"), "record")
+    changes = diff_sides(sides(flat_plans(named)), sides(reading_of(named)))
     return changes.select("vendor.slug", "vendor.n", *(c for c in changes.columns if c != "vendor"))
 
 

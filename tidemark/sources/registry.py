@@ -179,6 +179,11 @@ _UP, _DOWN, _SEATS, _EXPORT, _OF = 60, 90, 110, 125, 1000
 _WALK = (7919, 104729, 31, 611)
 
 
+def walk_day(n: Column) -> Column:
+    """The date of a walk's day ``n``."""
+    return F.date_add(F.lit("2024-01-01").cast("date"), n)
+
+
 def made_up_walk(vendors: DataFrame, days: int, seed: int = 7) -> DataFrame:
     """(slug, number, n, day, units, seats, export) of made-up vendors ``(slug, number)``, on ``days`` days each.
 
@@ -194,7 +199,7 @@ def made_up_walk(vendors: DataFrame, days: int, seed: int = 7) -> DataFrame:
     line = Window.partitionBy("slug", "number").orderBy("n")
     total = lambda x: F.sum(x.cast("long")).over(line)
     return daily.select(
-        "slug", "number", "n", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"),
+        "slug", "number", "n", walk_day(F.col("n")).alias("day"),
         (20 + F.pmod("number", F.lit(60)) + total(moved)).alias("units"),
         (5 + total(F.when(on & (drawn >= _DOWN) & (drawn < _SEATS), 5).otherwise(0))).alias("seats"),
         (total(F.when(on & (drawn >= _SEATS) & (drawn < _EXPORT), 1).otherwise(0)) % 2 == 1).alias("export"),
