@@ -408,10 +408,9 @@ def pct_text(spark, sf_dir):
 
 
 def _all_events(spark, sf_dir):
-    # Both sides come from one plan, so Spark shuffles the grouped lines once and reads them for either side; writing
-    # plans or readings in between took longer on sf0.1 (5.3 to 7.5 s against 3.6 s).
-    readings = V.readings(spark, sf_dir)
-    events = diff.diff_readings(*_years(spark, sf_dir), *V.year_pairs(readings, readings))
+    # A task gets about as many lines on any input. Each plan and reading is the new side of its year and the old one of the next.
+    tasks = V.line_tasks(spark, sf_dir)
+    events = diff.diff_sides(V.year_sides(V.plans(spark, sf_dir, tasks)), V.year_sides(V.readings(spark, sf_dir)), tasks)
     return events.select(*_SPLIT, *(c for c in events.columns if c != "vendor"))
 
 
