@@ -140,8 +140,8 @@ def latest_change(changes: DataFrame) -> DataFrame:
     return changes.groupBy("vendor").agg(F.to_date(F.max("detected_at")).alias("latest"))
 
 
-def pair_lastmod(pairs: DataFrame, latest: DataFrame, since: Column) -> DataFrame:
-    """(pair, lastmod) of ``pairs(pair, vendor_a, vendor_b)``: the newest change of either, or the day on which recording began."""
-    side = lambda s: latest.select(F.col("vendor").alias(f"vendor_{s}"), F.col("latest").alias(f"latest_{s}"))
-    joined = pairs.select("pair", "vendor_a", "vendor_b").join(side("a"), "vendor_a", "left").join(side("b"), "vendor_b", "left")
-    return joined.select("pair", F.coalesce(F.greatest("latest_a", "latest_b"), since).alias("lastmod"))
+def pair_lastmod(pairs: DataFrame, since: Column) -> DataFrame:
+    """(pair, lastmod) of ``pairs(pair, latest_a, latest_b)``: the newest change of either, or the day on which recording began.
+
+    :func:`latest_change` joins the vendors before they meet, so that no pair is shuffled."""
+    return pairs.select("pair", F.coalesce(F.greatest("latest_a", "latest_b"), since).alias("lastmod"))
