@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import benchmarks, diff, gate, history, records, reports
+from tidemark.operators.pairs import block_pairs
 from tidemark.operators.ranks import places
 from tidemark.plans import views as V
 
@@ -195,12 +196,9 @@ def pretty_date(spark, sf_dir):
 @query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, array_to_string(list_sort([lower(a.s_name), lower(b.s_name)]), '-vs-') AS pair
   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey > b.s_suppkey""")
 def pair_slug(spark, sf_dir):
-    s = V.table(spark, sf_dir, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") > F.col("b.s_suppkey")))
-    return pairs.select(
-        F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), T.pair_slug(F.lower("a.s_name"), F.lower("b.s_name")).alias("pair")
-    )
+    known = V.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.lower("s_name").alias("name"))
+    pairs = block_pairs(known, "s_nationkey", "s_suppkey").where("s_suppkey_a > s_suppkey_b")
+    return pairs.select(F.col("s_suppkey_a").alias("a"), F.col("s_suppkey_b").alias("b"), T.pair_slug(F.col("name_a"), F.col("name_b")).alias("pair"))
 
 
 @query(f"""WITH {V.CHANGES} SELECT event_id, CASE WHEN old_value IS NULL OR new_value IS NULL THEN 'none' WHEN new_value > old_value THEN 'up'
