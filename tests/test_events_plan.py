@@ -40,3 +40,14 @@ def test_number_of_tasks_changes_nothing(spark):
     kinds = {(r.key, r.change_type) for r in rows if r.vendor == 2}
     assert {("b", "plan_added"), ("c", "plan_removed"), (None, "plan_added"), (None, "plan_removed"), ("a", "price_increase")} <= kinds
     assert ("a", "plan_renamed") not in kinds
+
+
+def test_lines_in_more_tasks_give_the_same_events(spark, monkeypatch):
+    from tidemark.plans import views
+
+    few = QUERIES["diff_all_events"](spark, SF)
+    rows, total = few.count(), few.agg(F.sum(F.xxhash64(*few.columns).cast("decimal(38,0)"))).first()[0]
+    monkeypatch.setattr(views, "TASK_LINES", 10_000)
+    assert views.line_tasks(spark, SF) == 6
+    many = QUERIES["diff_all_events"](spark, SF)
+    assert (many.count(), many.agg(F.sum(F.xxhash64(*many.columns).cast("decimal(38,0)"))).first()[0]) == (rows, total)
