@@ -34,3 +34,19 @@ def test_one_category_is_dealt_to_many_tasks(spark):
 def test_slug_of_a_pair_is_in_order_and_leaves_nulls_out(spark):
     rows = spark.createDataFrame([("b", "a"), ("a", "b"), ("a", "a"), (None, "b"), ("a", None), (None, None)], "a string, b string")
     assert [r[0] for r in rows.select(pair_slug(F.col("a"), F.col("b"))).collect()] == ["a-vs-b", "a-vs-b", "a-vs-a", "b", "a", ""]
+
+
+def test_pages_of_a_small_table_are_parsed_in_many_tasks(spark):
+    from conftest import SF
+    from tidemark.plans import pages
+
+    assert pages.V.table(spark, SF, "customer").rdd.getNumPartitions() < 4
+    assert pages._markup(spark, SF).rdd.getNumPartitions() >= 4
+
+
+def test_pairs_are_not_shuffled_for_their_day(spark):
+    from conftest import SF
+    from tidemark.plans.pages import pair_lastmod as lastmod
+
+    plan = lastmod(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
