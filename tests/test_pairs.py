@@ -50,3 +50,21 @@ def test_pairs_are_not_shuffled_for_their_day(spark):
 
     plan = lastmod(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_lines_of_heads_are_grouped_in_tasks_of_their_number(spark, monkeypatch):
+    """The sets of features of all plans in a scan's few tasks outgrew their memory and were spilled."""
+    from conftest import SF
+    from tidemark.plans import views
+
+    def line_tasks(heads):
+        plan = heads._jdf.queryExecution().executedPlan().toString()
+        return [x.split("]")[0] for x in plan.split("hashpartitioning(")[1:] if "REPARTITION_BY_NUM" in x.split("\n")[0]]
+
+    few = views.heads(spark, SF)
+    assert line_tasks(few) == []
+    monkeypatch.setattr(views, "TASK_LINES", 10_000)
+    many = views.heads(spark, SF)
+    found = line_tasks(many)
+    assert len(found) == 1 and "l_suppkey" in found[0] and ", 6)" in found[0]
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
