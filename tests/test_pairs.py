@@ -68,3 +68,13 @@ def test_lines_of_heads_are_grouped_in_tasks_of_their_number(spark, monkeypatch)
     found = line_tasks(many)
     assert len(found) == 1 and "l_suppkey" in found[0] and ", 6)" in found[0]
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_largest_task_does_not_grow_with_the_rows(spark):
+    largest = {}
+    for n in (200, 400):
+        rows = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("i"))
+        met = block_pairs(rows, "g", "i", block=10, task=2000).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in met) == n * n
+        largest[n] = max(r["count"] for r in met)
+    assert largest[400] < 2 * largest[200] and largest[400] < 4 * 2000
