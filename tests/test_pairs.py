@@ -78,3 +78,29 @@ def test_largest_task_does_not_grow_with_the_rows(spark):
         assert sum(r["count"] for r in met) == n * n
         largest[n] = max(r["count"] for r in met)
     assert largest[400] < 2 * largest[200] and largest[400] < 4 * 2000
+
+
+def test_lines_are_not_sorted_to_meet_many_parts(spark, monkeypatch):
+    """Lines sorted by their part in a fixed number of tasks were spilled, and made the longest task of vendors' heads."""
+    from conftest import SF
+    from tidemark.plans import views
+
+    def of_parts(plans):
+        plan = plans._jdf.queryExecution().executedPlan().toString()
+        return [x.split(" [")[0].split()[-1] for x in plan.split("\n") if "Join [l_partkey" in x]
+
+    few = views.plans(spark, SF)
+    assert of_parts(few) == ["BroadcastHashJoin"]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert of_parts(views.plans(spark, SF)) == ["SortMergeJoin"]
+        monkeypatch.setattr(views, "MANY_PARTS", 1000)
+        many = views.plans(spark, SF)
+        assert of_parts(many) == ["ShuffledHashJoin"]
+        assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+        # A table of more parts than a task may hold is sorted as before.
+        monkeypatch.setattr(views, "TABLE_PARTS", 100)
+        assert of_parts(views.plans(spark, SF)) == ["SortMergeJoin"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
