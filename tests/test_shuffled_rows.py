@@ -1,8 +1,11 @@
 """How many rows the comparisons of vendors write to disk on their way, and that what they leave out changes nothing."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from conftest import SF
 from tidemark.operators.pairs import block_pairs
+from tidemark.plans import views
 
 
 def shuffled(df):
@@ -36,3 +39,26 @@ def test_large_and_small_groups_meet_in_one_result(spark):
     rows = spark.range(300).select(F.when(F.col("id") < 200, "large").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("g"), F.col("id").alias("i"))
     pairs = block_pairs(rows, "g", "i", block=50, task=5000)
     assert sorted(map(tuple, pairs.groupBy("g").count().collect())) == sorted([("large", 40_000), *((f"s{i}", 25) for i in range(20))])
+
+
+def test_lines_of_older_years_are_not_shuffled_for_heads(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_LINES", 10_000)
+    lines = views.table(spark, SF, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"))
+    newest = lines.join(lines.groupBy("l_suppkey").agg(F.max("year").alias("year")), ["l_suppkey", "year"]).count()
+    assert max(shuffled(views.heads(spark, SF))) == newest < lines.count() / 4
+
+
+def test_heads_of_a_vendor_whose_newest_lines_have_no_known_part(spark, tmp_path):
+    con = duckdb.connect()
+    for t in "region nation supplier part events lineitem".split():
+        part = "CASE WHEN l_suppkey = 3 AND year(l_shipdate) >= 2000 OR l_suppkey = 4 THEN -1 ELSE l_partkey END AS l_partkey"
+        rows = f"SELECT * {f'REPLACE ({part})' if t == 'lineitem' else ''} FROM '{SF}/{t}.parquet'"
+        con.execute(f"COPY ({rows}) TO '{tmp_path / t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path / t}.parquet'")
+    years = {r["vendor"]: (r["year"], r["plan_year"]) for r in views.newest_years(spark, str(tmp_path)).collect()}
+    assert years[3] == (2001, 1999) and years[4] == (2001, None) and years[5] == (2001, 2001)
+    columns = "vendor, category, currency, entry_price, top_price, has_free, per_seat, custom, plans, trial_days, changes"
+    want = con.execute(f"WITH {views.HEADS} SELECT {columns}, array_to_string(list_sort(features), ',') FROM heads_v").fetchall()
+    got = views.heads(spark, str(tmp_path)).selectExpr(*columns.split(", "), "array_join(array_sort(features), ',')").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert any(r["vendor"] == 3 and r["plans"] > 0 for r in got) and any(r["vendor"] == 4 and r["plans"] == 0 for r in got)
