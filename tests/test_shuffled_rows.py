@@ -1,11 +1,16 @@
 """How many rows the comparisons of vendors write to disk on their way, and that what they leave out changes nothing."""
 
+from functools import partial
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from tidemark.operators import benchmarks
 from tidemark.operators.pairs import block_pairs
 from tidemark.plans import views
+from tidemark.plans.queries import QUERIES
 
 
 def shuffled(df):
@@ -62,3 +67,14 @@ def test_heads_of_a_vendor_whose_newest_lines_have_no_known_part(spark, tmp_path
     got = views.heads(spark, str(tmp_path)).selectExpr(*columns.split(", "), "array_join(array_sort(features), ',')").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert any(r["vendor"] == 3 and r["plans"] > 0 for r in got) and any(r["vendor"] == 4 and r["plans"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("name", ["compare_verdict"])
+def test_query_of_pairs_writes_a_vendor_a_few_times(spark, monkeypatch, name):
+    whole = sorted(map(str, QUERIES[name](spark, SF).collect()))
+    vendors = views.heads(spark, SF).where("entry_price IS NOT NULL").count()
+    monkeypatch.setattr(benchmarks, "block_pairs", partial(block_pairs, block=5, task=500))
+    dealt = QUERIES[name](spark, SF)
+    # Some four blocks a category: a vendor was written 16 times.
+    assert vendors <= sum(shuffled(dealt)) <= 4 * vendors
+    assert sorted(map(str, dealt.collect())) == whole
