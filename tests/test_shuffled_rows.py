@@ -69,7 +69,7 @@ def test_heads_of_a_vendor_whose_newest_lines_have_no_known_part(spark, tmp_path
     assert any(r["vendor"] == 3 and r["plans"] > 0 for r in got) and any(r["vendor"] == 4 and r["plans"] == 0 for r in got)
 
 
-@pytest.mark.parametrize("name", ["compare_verdict"])
+@pytest.mark.parametrize("name", ["compare_verdict", "compare_facts"])
 def test_query_of_pairs_writes_a_vendor_a_few_times(spark, monkeypatch, name):
     whole = sorted(map(str, QUERIES[name](spark, SF).collect()))
     vendors = views.heads(spark, SF).where("entry_price IS NOT NULL").count()
